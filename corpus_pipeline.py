@@ -1,10 +1,78 @@
-"""Corpus pipeline: documents through the training-data operators, stage by stage."""
+"""Corpus pipeline: documents through language ID, line dedup, near-duplicate removal, mixing and packing.
+
+Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept, and returns documents again; the last
+returns the pieces of the packed sequences. `run` writes each stage's rows as Parquet and reads them for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shizuku.llm import langid, linededup, mixing, neardup, packing
+from shizuku.llm.common import crc_of, read, saved
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Piece tokenizer of the last stage; its file is part of the environment.
+TOKENIZER = "word_bpe_49k.json"
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is undetermined, those without a letter, go; all others stay as they are."""
+    held_out = F.pmod(crc_of(F.col("doc_id")), F.lit(4)) == 2
+    model = langid.train(docs.filter(~held_out), "text", "lang", "doc_id")
+    found = langid.identify(docs.select(*COLUMNS, F.col("text").alias("__judged")), model, text_col="__judged")
+    return found.filter(F.col("lang_pred") != "und").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines go from the texts; every document stays, n_chars follows its text."""
+    clean = linededup.dedup(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    found = saved(neardup.near_duplicates(docs, width=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    from shizuku.llm.common import small
+
+    return docs.join(small(found), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document is repeated as often as its source's target takes it, and left out where it doesn't."""
+    taken = mixing.mix(docs).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").cast("int").alias("copies"))
+    taken = saved(taken, "mix")
+    named = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (mixing.size_of(F.col("text")) == F.col("__size"))
+    from shizuku.llm.common import small
+
+    copies = docs.join(small(named), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return copies.select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language", identify_language),
+    ("lines", drop_repeated_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("mix", mix_sources),
+    ("pack", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shizuku.llm import html_main, langid, mixing, quality, topk
+from shizuku.llm import fingerprint, html_main, langid, linededup, mixing, neardup, packing, quality, topk, warc
 from shizuku.llm.common import crc_of, read
 
 
@@ -28,10 +28,33 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans"))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of all pages, fetched in full and then revisited: which response each revisit stands for."""
+    out = warc.resolve(warc.crawl(read(spark, sf_dir, "pages")))
+    number = F.substring("record_id", 2, 20).cast("long").alias("page_id")
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return out.select(number, "url", "canonical_url", "status", F.substring("base_id", 2, 20).cast("long").alias("base_page_id"), headers.alias("headers"), "payload_sha256", "payload_length")
+
+
 def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(read(spark, sf_dir, "documents")))
 
 
+def op6_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint.edited(read(spark, sf_dir, "documents"))
+    fp, changed, following = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint.text_of(fp).alias("fingerprint"), fingerprint.text_of(changed).alias("edited_fingerprint"),
+        fingerprint.likeness(fp, changed).alias("near_edited"), fingerprint.likeness(fp, following).alias("near_next"),
+    )
+
+
 def op8_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels")
@@ -44,14 +67,25 @@ def op8_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= quality.CUT, 1).otherwise(0).alias("predicted"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+_ALL = (op1_html_main_text, op2_exact_top_k, op3_language_id, op4_warc_revisits, op5_weighted_mix, op6_best_fit_pack, op7_multiset_fingerprint, op8_quality_rank, op9_line_dedup, op10_near_duplicates)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_main_text, op2_exact_top_k, op3_language_id, op5_weighted_mix, op8_quality_rank)}
+    return {f.__name__: f for f in _ALL}
 
 
 OP2_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
@@ -75,5 +109,43 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(size *
 """
 
 
+OP9_SQL = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+s AS (SELECT rid, doc_id, string_split(text, chr(10)) AS ls FROM d WHERE text IS NOT NULL),
+l AS (SELECT rid, doc_id, len(ls) AS n_lines, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM s),
+w AS (SELECT *, CAST(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS INTEGER) AS words FROM l),
+f AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) AS place, lead(line) OVER (PARTITION BY rid ORDER BY i) AS following,
+  coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i), n_lines) AS next_i FROM w WHERE words > 0),
+p AS (SELECT rid, place, place + 1 AS last, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, place) AS nth FROM f WHERE following IS NOT NULL
+  UNION ALL SELECT rid, place, place AS last, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS nth FROM f WHERE words >= 25),
+h AS (SELECT rid, place, max(last) AS last FROM p WHERE nth > 1 GROUP BY rid, place),
+g AS (SELECT *, CASE WHEN place <= max(last) OVER (PARTITION BY rid ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM h),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY place ROWS UNBOUNDED PRECEDING) AS run FROM g),
+u AS (SELECT rid, run, min(place) AS a, max(last) AS b FROM r GROUP BY rid, run),
+c AS (SELECT u.rid, u.run, min(f.i) AS lo, max(f.next_i) - 1 AS hi FROM u JOIN f ON f.rid = u.rid AND f.place BETWEEN u.a AND u.b GROUP BY u.rid, u.run HAVING sum(f.words) >= 25),
+x AS (SELECT DISTINCT l.rid, l.i FROM c JOIN l ON l.rid = c.rid AND l.i BETWEEN c.lo AND c.hi),
+k AS (SELECT l.rid, count(*) AS n_lines, count(x.i) AS removed_lines, coalesce(string_agg(CASE WHEN x.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '') AS kept
+  FROM l LEFT JOIN x ON x.rid = l.rid AND x.i = l.i GROUP BY l.rid)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(removed_lines, 0) AS INTEGER) AS removed_lines, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
+
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, url, sha256(coalesce(html, '')) AS sha, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS bytes,
+  regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid|mc_cid|mc_eid)(?:=|$)'))) AS kept FROM p),
+c AS (SELECT page_id, url, sha, bytes, CASE WHEN trim(url) <> '' THEN regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', ''), ':(?:80|443)$', '')
+  || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical_url FROM q),
+m AS (SELECT max(page_id) AS later FROM pages),
+b AS (SELECT canonical_url AS b_url, arg_max(page_id, page_id) AS base, arg_max(sha, page_id) AS base_sha, arg_max(bytes, page_id) AS base_bytes FROM c WHERE canonical_url IS NOT NULL GROUP BY canonical_url),
+j AS (SELECT c.*, b.*, later, CASE WHEN base IS NULL THEN 'no_base' WHEN substr(sha, 1, 16) = substr(base_sha, 1, 16) THEN 'resolved' ELSE 'validator_mismatch' END AS status
+  FROM c LEFT JOIN b ON b_url = canonical_url CROSS JOIN m)
+SELECT page_id, url, canonical_url, status, CASE WHEN status = 'resolved' THEN base END AS base_page_id,
+  CASE WHEN status = 'resolved' THEN 'cache-control=max-age=60;content-length=' || base_bytes || ';content-type=text/html;date=' || (page_id + later + 1) || ';etag="' || substr(sha, 1, 16) || '";expires=never'
+    ELSE 'content-length=0;date=' || (page_id + later + 1) || ';etag="' || substr(sha, 1, 16) || '";expires=never' END AS headers,
+  CASE WHEN status = 'resolved' THEN base_sha END AS payload_sha256, CASE WHEN status = 'resolved' THEN base_bytes END AS payload_length
+FROM j
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL, "op5_weighted_mix": OP5_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op4_warc_revisits": OP4_SQL, "op5_weighted_mix": OP5_SQL, "op9_line_dedup": OP9_SQL}
