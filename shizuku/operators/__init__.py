@@ -1 +1 @@
-"""operators."""
+"""Operators over observation, occurrence and registry tables."""

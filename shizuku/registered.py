@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from shizuku.plans import domain, observation_queries, occurrence_queries, record_queries  # noqa: F401  they register themselves
+
+QUERIES, SQL = domain.QUERIES, domain.SQL

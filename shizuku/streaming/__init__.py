@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming forms of the daily roll-up."""
