@@ -1,4 +1,3 @@
-import sys
 import zlib
 
 import duckdb
@@ -146,5 +145,3 @@ def test_configurations_cover_every_piece():
                 bins.append(x)
         assert sequences <= len(bins) + 1
 
-
-assert sys.version_info >= (3, 10)

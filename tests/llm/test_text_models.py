@@ -82,7 +82,6 @@ def test_quality_separates_held_out_labels(spark):
 
 
 def test_quality_of_odd_texts(spark):
-    rng = np.random.default_rng(0)
     raw = np.array([quality.features(speak(EN, 20 + i, i)) for i in range(60)] + [quality.features("*** ### " * (5 + i)) for i in range(20)])
     m = quality.fit(raw, np.array([1] * 60 + [0] * 20))
     s = m.score(np.array([quality.features(x) for x in (None, "", "a", speak(EN, 50_000), "### *** " * 30, speak(EN, 33))]))
@@ -92,7 +91,6 @@ def test_quality_of_odd_texts(spark):
     out = quality.rank(df, m).collect()
     assert len(out) == 3 and {r.score for r in out} == {1.0, 2.0}
     assert quality.rank(df.limit(0), m).count() == 0
-    assert rng is not None
 
 
 def test_training_is_bounded(spark):
