@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shizuku.llm import langid, linededup, mixing, neardup, packing
-from shizuku.llm.common import crc_of, read, saved
+from shizuku.llm.common import crc_of, read, saved, small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Piece tokenizer of the last stage; its file is part of the environment.
@@ -41,8 +41,6 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id."""
     found = saved(neardup.near_duplicates(docs, width=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    from shizuku.llm.common import small
-
     return docs.join(small(found), "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -52,8 +50,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = saved(taken, "mix")
     named = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (mixing.size_of(F.col("text")) == F.col("__size"))
-    from shizuku.llm.common import small
-
     copies = docs.join(small(named), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return copies.select(*COLUMNS)
 
