@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,11 @@ def compose(assignments: DataFrame, edges: DataFrame, sources: DataFrame, as_of:
     links = edges.filter(active(as_of)).select(F.col("to_id").alias("node"), "from_id", F.when(F.col("basis") != "unknown", F.coalesce("share", F.lit(0.0))).alias("edge_share"), (F.col("basis") == "unknown").alias("edge_unknown"), _rank(F.col("basis"), BASES).alias("edge_basis"))
     paths = assignments.filter(active(as_of)).select("zone", F.col("facility_id").alias("node"), F.coalesce("share", F.lit(0.0)).alias("share"), F.lit(False).alias("unknown"), _rank(F.col("confidence"), CONFIDENCES).alias("confidence"), F.lit(0).alias("basis"), F.array("facility_id").alias("seen"))
     arrived = lost = None
+    context = edges.sparkSession.sparkContext
+    if not edges.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp())  # only where no shared folder is named, as in tests
     for _ in range(depth + 1):
-        at = paths.join(F.broadcast(ids), "node", "left").checkpoint()
+        at = paths.join(ids, "node", "left").checkpoint()
         if at.isEmpty():
             break
         done = at.filter("is_source").drop("is_source", "seen")

@@ -161,7 +161,7 @@ def _share(spark, sf_dir):
     rows = occurrence_cells(spark, sf_dir).filter("place_kind = 'watershed'").groupBy(F.coalesce("taxon_group", F.lit("未判定")).alias("grp"), "binom")
     rows = rows.agg(F.sum(F.when(F.col("year") < 1998, F.col("n")).otherwise(0)).alias("n_a"), F.sum(F.when(F.col("year") >= 1998, F.col("n")).otherwise(0)).alias("n_b"))
     totals = rows.groupBy("grp").agg(F.sum("n_a").alias("total_a"), F.sum("n_b").alias("total_b"))
-    return rows.join(F.broadcast(totals), "grp")  # one row a taxon group
+    return rows.join(totals, "grp")
 
 
 @query(f"WITH {OCC}, {_SHARE} SELECT * FROM t WHERE n_a >= 40 AND n_b >= 20")
@@ -181,7 +181,7 @@ def occupancy(spark, sf_dir):
     here = occurrence_cells(spark, sf_dir).filter("place_kind = 'grid01'")
     effort = here.groupBy("year").agg(F.countDistinct("place_id").alias("cells_all"))
     mine = here.filter("binom IS NOT NULL AND year >= 1993").groupBy("binom", "year").agg(F.countDistinct("place_id").alias("c"))
-    return mine.join(F.broadcast(effort), "year").select("binom", "year", F.round(F.col("c") * 100.0 / F.col("cells_all"), 6).alias("occupancy"))
+    return mine.join(effort, "year").select("binom", "year", F.round(F.col("c") * 100.0 / F.col("cells_all"), 6).alias("occupancy"))
 
 
 @query(f"WITH {OCC} SELECT place_id, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT binom) AS n_binom, CAST(sum(n_red_list) AS BIGINT) AS n_red_list FROM cells WHERE {_GR} AND year = 1996 GROUP BY ALL")
@@ -224,7 +224,7 @@ def effort_years(spark, sf_dir):
 @query(f"WITH {OCC}, s AS (SELECT year, binom, sum(n) AS n FROM cells WHERE {_WS} GROUP BY ALL), top AS (SELECT binom FROM s WHERE binom IS NOT NULL GROUP BY binom ORDER BY sum(n) DESC, binom LIMIT 5) SELECT year, CASE WHEN binom IN (SELECT binom FROM top) THEN binom ELSE 'other' END AS label, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY ALL")
 def top_n_other(spark, sf_dir):
     rows = occurrence_cells(spark, sf_dir).filter("place_kind = 'watershed'").groupBy("year", "binom").agg(F.sum("n").alias("n"))
-    top = rows.filter("binom IS NOT NULL").groupBy("binom").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "binom").limit(5).select(F.col("binom").alias("top"))
+    top = rows.filter("binom IS NOT NULL").groupBy("binom").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "binom").limit(5).select(F.col("binom").alias("top"))  # five rows, so they can be broadcast
     joined = rows.join(F.broadcast(top), F.col("binom") == F.col("top"), "left")
     return joined.groupBy("year", F.coalesce("top", F.lit("other")).alias("label")).agg(F.sum("n").alias("n"))
 
@@ -281,7 +281,7 @@ def _landuse(spark, sf_dir):
 
 def _first_last(spark, sf_dir):
     rows = _landuse(spark, sf_dir)
-    bounds = rows.agg(F.min("year").alias("first"), F.max("year").alias("last"))
+    bounds = rows.agg(F.min("year").alias("first"), F.max("year").alias("last"))  # one row
     ends = rows.join(F.broadcast(bounds), F.col("year").isin(F.col("first"), F.col("last")))
     pick = lambda c: F.coalesce(F.sum(F.when(F.col("year") == F.col(c), F.col("area"))), F.lit(0))
     return ends.groupBy("place", "class").agg(pick("first").alias("first_area"), pick("last").alias("last_area"))
