@@ -263,7 +263,8 @@ def label(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float, l
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' columns `keep` (all but the text by default) with lang_pred, lang_score and lang_spans, an array of (lang, first, words)."""
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    own = (text_col, "lang_pred", "lang_score", "lang_spans")  # columns of these names give way
+    keep = [c for c in docs.columns if c not in own] if keep is None else keep
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # its size is fixed: n-gram buckets times languages
     kept = docs.select(*keep, F.col(text_col).alias("__sz_text"))

@@ -67,7 +67,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     """docs with the text without its repeated runs, and n_lines, removed: array of (first, last) lines of the text before."""
     rows = docs.withColumn("__text", F.col(text_col)).withColumn("__doc", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
     cuts = saved(runs(rows.select("__doc", "__text"), min_words), "line-runs")
-    cuts = cuts.select(F.col("__doc.id").alias("__id"), F.col("__doc.h").alias("__h"), "cut")
+    cuts = cuts.select(F.col("__doc.id").alias("__id"), F.col("__doc.h").alias("__h"), F.col("cut").alias("__cut"))
     same = F.col("__doc.id").eqNullSafe(F.col("__id")) & (F.col("__doc.h") == F.col("__h"))
     joined = rows.join(small(cuts), same, "left")
     lines = F.split("__text", "\n")
@@ -80,8 +80,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
         words = F.aggregate(part, F.lit(0), lambda s, x: s + x["w"])
         return F.struct(F.get(part, F.lit(0))["i"].alias("first"), (F.coalesce(after, F.size("__lines")) - 1).alias("last"), words.alias("words"))
 
-    cut = joined.withColumn("__lines", lines).withColumn("__full", F.when(F.col("cut").isNotNull(), full))
-    cut = cut.withColumn("removed", F.filter(F.transform("cut", span), lambda x: x["words"] >= min_words))
+    cut = joined.withColumn("__lines", lines).withColumn("__full", F.when(F.col("__cut").isNotNull(), full))
+    cut = cut.withColumn("removed", F.filter(F.transform("__cut", span), lambda x: x["words"] >= min_words))
     inside = lambda i: F.exists(F.col("removed"), lambda c: (c["first"] <= i) & (i <= c["last"]))
     kept = F.array_join(F.filter(F.col("__lines"), lambda x, i: ~inside(i)), "\n")
     clean = F.when(F.size("removed") > 0, kept).otherwise(F.col("__text"))

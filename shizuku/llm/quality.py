@@ -123,7 +123,7 @@ def train(labelled: DataFrame, text_col: str, label_col: str, id_col: str, most:
 
 def rank(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all but the text by default) with quality_score, 0 to 1."""
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    keep = [c for c in docs.columns if c not in (text_col, "quality_score")] if keep is None else keep
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
     kept = docs.select(*keep, F.col(text_col).alias("__sz_text"))
 

@@ -146,7 +146,7 @@ def test_line_dedup_catches_passages_and_leaves_the_rest(spark):
     short = "a short line that many documents share"
     rows = [(i, f"{short}\nown {i} start\n{passage}\n\nown {i} middle\n{parts}\nown {i} end") for i in range(5)]
     rows += [(10, f"alone {short}"), (11, None), (12, ""), (13, "\n\n"), (14, passage), (14, passage), (15, f"x\n{parts}")]
-    df = spark.createDataFrame([(*r, "keep", 3) for r in rows], "doc_id long, text string, removed string, n_lines int")
+    df = spark.createDataFrame([(*r, "keep", 3, "c") for r in rows], "doc_id long, text string, removed string, n_lines int, cut string")
     out = {}
     for r in linededup.dedup(df).collect():
         out.setdefault(r.doc_id, []).append(r.text)

@@ -49,7 +49,7 @@ def test_spans_match_a_plain_viterbi(spark):
 
 def test_identify_keeps_columns_and_empty_tables(spark):
     m = model(spark)
-    df = spark.createDataFrame([(1, speak(EN, 9), "x"), (1, speak(EN, 9), "x"), (2, None, None)], "doc_id long, text string, words string")
+    df = spark.createDataFrame([(1, speak(EN, 9), "x", 1), (1, speak(EN, 9), "x", 1), (2, None, None, 1)], "doc_id long, text string, words string, lang_score int")
     out = langid.identify(df, m).collect()
     assert sorted((r.doc_id, r.words or "", r.lang_pred) for r in out) == [(1, "x", "en"), (1, "x", "en"), (2, "", "und")]
     assert langid.identify(df.limit(0), m).count() == 0
@@ -87,7 +87,7 @@ def test_quality_of_odd_texts(spark):
     s = m.score(np.array([quality.features(x) for x in (None, "", "a", speak(EN, 50_000), "### *** " * 30, speak(EN, 33))]))
     assert s[0] == s[1] and ((s >= 0) & (s <= 1)).all() and s[5] > s[4]
     assert (quality.fit(raw, np.ones(80)).score(raw) == 0.5).all()
-    df = spark.createDataFrame([(1, None, 1.0), (1, None, 1.0), (2, speak(EN, 9), 2.0)], "doc_id long, text string, score double")
+    df = spark.createDataFrame([(1, None, 1.0, "q"), (1, None, 1.0, "q"), (2, speak(EN, 9), 2.0, "q")], "doc_id long, text string, score double, quality_score string")
     out = quality.rank(df, m).collect()
     assert len(out) == 3 and {r.score for r in out} == {1.0, 2.0}
     assert quality.rank(df.limit(0), m).count() == 0
