@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shizuku.llm.common import give_back
+
 #: Labelled rows that a model is counted on at most, buckets of hashed character n-grams, their longest length.
 MOST, BUCKETS, LONGEST = 4000, 1 << 15, 4
 #: What a change of language costs, in nats; words whose scores a worker keeps.
-SWITCH, KEPT = 12.0, 150_000
+SWITCH, KEPT = 12.0, 100_000
 # Ranges of code points by script (Unicode blocks that hold the letters of living languages).
 SCRIPTS = [
     ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F),
@@ -275,6 +277,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
             found = list(label(held.value, batch.column(batch.num_columns - 1).to_pylist()))
             spans = pa.array([[{"lang": a, "first": b, "words": c} for a, b, c in x[2]] for x in found], pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans], names=[*batch.schema.names[:-1], "lang_pred", "lang_score", "lang_spans"])
+            del found, spans
+        give_back()
 
     from pyspark.sql import types as T
 

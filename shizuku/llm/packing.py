@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shizuku.llm.common import saved
+from shizuku.llm.common import give_back, saved
 
 #: Tokens in a sequence, the id that ends a document, rounds of the program, words whose ids a worker keeps.
-CAPACITY, END, ROUNDS, KEPT = 4096, 1, 100, 500_000
+CAPACITY, END, ROUNDS, KEPT = 4096, 1, 100, 300_000
 #: Buckets that the pieces of one length are ranked in.
 RANK_BUCKETS = 256
 #: White space where Python's str.split and the tokenizer's patterns agree; texts with other control or odd space go the long way.
@@ -117,6 +117,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
             kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names)) if rows else pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names=list(names))
+        encoder.kept.clear()
+        del encoder
+        give_back()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
