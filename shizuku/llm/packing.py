@@ -28,7 +28,7 @@ from shizuku.llm.common import give_back, saved
 #: Tokens in a sequence, the id that ends a document, rounds of the program, words whose ids a worker keeps.
 CAPACITY, END, ROUNDS, KEPT = 4096, 1, 100, 300_000
 #: Buckets that the pieces of one length are ranked in.
-RANK_BUCKETS = 256
+RANK_BUCKETS = 32
 #: White space where Python's str.split and the tokenizer's patterns agree; texts with other control or odd space go the long way.
 _ODD = [chr(i) for i in (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B, 0xFEFF)]
 
