@@ -6,13 +6,13 @@
    2 * SLOTS / CHUNK slots have a chunk with at most one error, so every chunk is listed once for each slot left out: all pairs
    within that distance meet in a bucket, and most pairs beyond it do. For a similarity of 0.8, which differs in 12
    of 60 slots on average, a pair meets nowhere with a probability of 2e-5.
-3. Within a bucket each signature is compared with leaders: the first is one, and so is each that is further than `reach` from
-   all leaders before it. A signature within reach of a leader is linked to it. Linked classes form families.
+3. Within a bucket all signatures within `reach` of one another are linked: a pair is left out only if other links of the
+   bucket join it already. Linked classes form families.
 4. Within a family all sets are compared exactly. Large families are cut into blocks, and pairs of blocks are tasks
    of their own; a task gives a spanning forest of its links, never all pairs. Components of these links are the result.
 
-Nothing is capped: buckets of any size stream through in sorted order with only their leaders in memory, families of
-any size are compared block by block.
+Nothing is capped: buckets of any size stream through in sorted order, of an open one its distinct signatures are in
+memory; families of any size are compared block by block.
 
 Defined cases: null and empty texts and texts without words have no shingles and are linked with nothing; texts with fewer
 words than a shingle are one shingle; rows that share an id are documents of their own with that id; a null id is never
@@ -34,8 +34,8 @@ from shizuku.llm.common import give_back, saved, small
 from shizuku.llm.components import components
 
 SLOTS, CHUNK = 60, 6
-#: Documents and shingles in a block of a family at most, distinct shingles compared at once, words whose hashes a worker keeps.
-BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS, KEPT = 256, 300_000, 16_384, 100_000
+#: Documents and shingles in a block of a family at most, distinct shingles compared at once, words whose hashes a worker keeps, pairs of signatures compared at once.
+BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS, KEPT, COMPARED = 256, 300_000, 16_384, 100_000, 50_000
 _SEED = np.random.default_rng(20240229)
 _MULT = _SEED.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEED.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -110,42 +110,73 @@ def reach_of(similarity: float) -> int:
 
 
 def led(reach: int):
-    """Links of signatures to leaders of their bucket, from rows (key, node, sig) sorted by key."""
+    """Links that join all signatures of a bucket within reach of one another, from rows (key, node, sig) sorted by key.
+
+    Only pairs that are joined already are not compared. A link always joins two groups, so a bucket gives fewer links than it has rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, open_nodes, open_sigs = None, [], []
+        # Of the bucket that may go on: nodes, distinct signatures, and for each row the position of the first row of its group.
+        open_key, open_nodes, open_sigs, open_groups = None, [], np.empty((0, SLOTS), np.uint8), np.empty(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.asarray(batch.column(0))
-            nodes = batch.column(1).to_pylist()
-            sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SLOTS)
-            found: set[tuple[bytes, bytes]] = set()
-            rest = np.arange(len(keys))
-            if open_key is not None and keys[0] == open_key:
-                end = int(np.searchsorted(keys, open_key, "right"))
-                mine, rest = rest[:end], rest[end:]
-                for node, sig in zip(open_nodes, open_sigs, strict=True):
-                    near = (sigs[mine] != sig).sum(1) <= reach
-                    found.update((node, nodes[i]) for i in mine[near].tolist())
-                    mine = mine[~near]
-                rest = np.concatenate([mine, rest])
-            else:
-                open_nodes, open_sigs = [], []
-            if open_key != keys[-1] and len(open_nodes):
-                open_nodes, open_sigs = [], []
-            last = keys[-1]
+            keys, n = np.asarray(batch.column(0)), batch.num_rows
+            if open_key != keys[0]:
+                open_nodes, open_sigs, open_groups = [], open_sigs[:0], open_groups[:0]
+            nodes = batch.column(1).to_pylist() + open_nodes
+            sigs = np.concatenate([np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SLOTS), open_sigs])
+            group = np.concatenate([np.arange(n), n + open_groups])
+            found: list[tuple[bytes, bytes]] = []
+
+            def join(a: np.ndarray, b: np.ndarray) -> None:
+                """Joins the groups of rows b to those of rows a. In a bucket all rows a are of one group."""
+                nonlocal group
+                other = group[a] != group[b]
+                a, b = a[other], b[other]
+                _, one = np.unique(group[b], return_index=True)
+                a, b = a[one], b[one]
+                found.extend((nodes[i], nodes[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True))
+                to = np.arange(len(group))
+                to[group[b]] = group[a]
+                group = to[group]
+
+            # The rows before this batch: those of a group only until what is left belongs to it.
+            mine = np.arange(np.searchsorted(keys, keys[0], "right") if open_nodes else 0)
+            heads, counts = np.unique(open_groups, return_counts=True)
+            for head in heads[np.argsort(-counts, kind="stable")].tolist() if len(mine) else []:
+                before, lo, step = n + np.flatnonzero(open_groups == head), 0, 1
+                while lo < len(before) and len(left := mine[group[mine] != group[before[0]]]):
+                    some = before[lo : lo + step]
+                    near = np.count_nonzero(sigs[some][:, None] != sigs[left][None], axis=2) <= reach
+                    hit = near.any(0)
+                    join(some[near.argmax(0)[hit]], left[hit])
+                    lo, step = lo + step, max(1, min(2 * step, COMPARED // len(left)))
+
+            # Among themselves, in all buckets at once: in each turn one row of a bucket's smallest group meets the rest.
+            rest = np.arange(n)
             while len(rest):
-                k = keys[rest]
-                first = np.concatenate([[True], k[1:] != k[:-1]])
+                start = np.flatnonzero(np.concatenate([[True], keys[rest][1:] != keys[rest][:-1]]))
+                mixed = np.minimum.reduceat(group[rest], start) != np.maximum.reduceat(group[rest], start)
+                rest = rest[np.repeat(mixed, np.diff(np.append(start, len(rest))))]
+                if not len(rest):
+                    break
+                rest = rest[np.lexsort((np.bincount(group[rest])[group[rest]], keys[rest]))]
+                first = np.concatenate([[True], keys[rest][1:] != keys[rest][:-1]])
                 leader = rest[np.maximum.accumulate(np.where(first, np.arange(len(rest)), 0))]
-                near = (sigs[rest] != sigs[leader]).sum(1) <= reach
-                found.update((nodes[a], nodes[b]) for a, b in zip(leader[near & ~first].tolist(), rest[near & ~first].tolist(), strict=True))
-                for i in rest[first & (k == last)].tolist():
-                    open_nodes.append(nodes[i])
-                    open_sigs.append(sigs[i].copy())
-                rest = rest[~near & ~first]
-            open_key = last
+                other = group[rest] != group[leader]
+                a, b = leader[other], rest[other]
+                near = np.count_nonzero(sigs[a] != sigs[b], axis=1) <= reach
+                join(a[near], b[near])
+                rest = rest[~first]
+
+            open_key = keys[-1]
+            last = np.concatenate([np.flatnonzero(keys == open_key), n + np.arange(len(nodes) - n if keys[0] == open_key else 0)])
+            _, distinct = np.unique(np.ascontiguousarray(sigs[last]).view(f"V{SLOTS}").ravel(), return_index=True)
+            last = last[distinct]
+            open_nodes, open_sigs = [nodes[i] for i in last.tolist()], sigs[last]
+            _, heads, groups = np.unique(group[last], return_index=True, return_inverse=True)
+            open_groups = heads[groups]
             links = [x for x in found if x[0] != x[1]]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], names=["a", "b"])
         give_back()

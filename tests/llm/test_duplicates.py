@@ -121,6 +121,56 @@ def test_leaders_stream_over_batches():
     assert families(7) == whole == families(1)
 
 
+def bucket_links(rows, reach, size):
+    """Links of rows (key, node, sig), in batches of `size` rows."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], names=["key", "node", "sig"])
+    out = neardup.led(reach)(batch[i : i + size] for i in range(0, len(rows), size))
+    return [x for b in out for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+
+
+@pytest.mark.parametrize("size", [3, 2, 1])
+def test_a_row_near_a_linked_row_but_far_from_its_leader(size):
+    far = np.zeros((3, neardup.SLOTS), np.uint8)
+    far[1:, :24] = 1
+    far[2, 24:43] = 2
+    reach = neardup.reach_of(0.8)
+    assert [int((far[i] != far[j]).sum()) for i, j in ((0, 1), (1, 2), (0, 2))] == [reach, 19, 43]
+    assert sorted(map(sorted, bucket_links([(1, b"a", far[0]), (1, b"b", far[1]), (1, b"c", far[2])], reach, size))) == [[b"a", b"b"], [b"b", b"c"]]
+
+
+@pytest.mark.parametrize("size", [300, 41, 6, 1])
+def test_bucket_links_join_what_all_pairs_join(size):
+    rng = np.random.default_rng(size)
+    sigs = rng.integers(0, 256, (300, neardup.SLOTS), dtype=np.uint8)
+    for i in range(300):  # walks: each row changes up to 22 slots of an earlier one
+        if i % 25:
+            sigs[i] = sigs[i - rng.integers(1, i % 25 + 1)]
+            sigs[i, rng.choice(neardup.SLOTS, rng.integers(0, 23), replace=False)] = rng.integers(0, 256)
+    keys = rng.choice([-5, 3, 3, 3, 8], 300)
+    order = sorted(range(300), key=lambda i: (keys[i], rng.random()))
+    rows = [(int(keys[i]), f"{i:04d}".encode(), sigs[i]) for i in order]
+
+    def roots(links):
+        root = {r[1]: r[1] for r in rows}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return {x: find(x) for x in root}
+
+    every = [(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and (x[2] != y[2]).sum() <= 24]
+    links = bucket_links(rows, 24, size)
+    assert roots(links) == roots(every)
+    assert len(links) == 300 - len(set(roots(every).values()))
+
+
 def test_components_of_paths_and_cycles(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 150)]
     out = components.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()
