@@ -171,11 +171,23 @@ def pip_grid_join(spark, sf_dir):
     return spatial.point_in_polygon(points, polygons, cell=5.0).groupBy("polygon_id").agg(F.count("*").alias("n"))
 
 
-@query("WITH p AS (SELECT c_custkey AS point_id, (c_custkey % 40) / 10.0 AS lat, (c_custkey % 37) / 10.0 AS lon FROM customer WHERE c_custkey <= 500), s AS (SELECT 'site:' || s_suppkey AS place_id, (s_suppkey % 17) / 4.0 AS lat, (s_suppkey % 13) / 3.0 AS lon FROM supplier), d AS (SELECT point_id, place_id, 2 * 6371.0088 * asin(sqrt(least(power(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * power(sin(radians(s.lon - p.lon) / 2), 2), 1.0))) AS km FROM p, s), r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, place_id) AS rn FROM d WHERE km <= 50) SELECT point_id, round(km, 6) AS km FROM r WHERE rn = 1")
-def nearest_place(spark, sf_dir):
+def _points_and_places(spark, sf_dir):
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    points = table(spark, sf_dir, "customer").filter("c_custkey <= 500").select(c.alias("point_id"), ((c % 40) / 10.0).alias("lat"), ((c % 37) / 10.0).alias("lon"))
+    points = table(spark, sf_dir, "customer").select(c.alias("point_id"), ((c % 40) / 10.0).alias("lat"), ((c % 37) / 10.0).alias("lon"))
     places = table(spark, sf_dir, "supplier").select(F.concat(F.lit("site:"), s).alias("place_id"), ((s % 17) / 4.0).alias("lat"), ((s % 13) / 3.0).alias("lon"))
+    return points, places
+
+
+@query("WITH p AS (SELECT c_custkey AS point_id, (c_custkey % 40) / 10.0 AS lat, (c_custkey % 37) / 10.0 AS lon FROM customer WHERE c_custkey <= 500), s AS (SELECT 'site:' || s_suppkey AS place_id, (s_suppkey % 17) / 4.0 AS lat, (s_suppkey % 13) / 3.0 AS lon FROM supplier), d AS (SELECT point_id, place_id, 2 * 6371.0088 * asin(sqrt(least(power(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * power(sin(radians(s.lon - p.lon) / 2), 2), 1.0))) AS km FROM p, s), r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, place_id) AS rn FROM d WHERE km <= 50) SELECT point_id, round(km, 6) AS km FROM r WHERE rn = 1")
+def nearest_place(spark, sf_dir):
+    """The first 500 customers, as its SQL has them; nearest_place_all takes all."""
+    points, places = _points_and_places(spark, sf_dir)
+    return spatial.nearest(points.filter("point_id <= 500"), places, 50.0).select("point_id", F.round("km", 6).alias("km"))
+
+
+@query("WITH p AS (SELECT c_custkey AS point_id, (c_custkey % 40) / 10.0 AS lat, (c_custkey % 37) / 10.0 AS lon FROM customer), u AS (SELECT DISTINCT lat, lon FROM p), s AS (SELECT DISTINCT (s_suppkey % 17) / 4.0 AS lat, (s_suppkey % 13) / 3.0 AS lon FROM supplier), d AS (SELECT u.lat, u.lon, min(2 * 6371.0088 * asin(sqrt(least(power(sin(radians(s.lat - u.lat) / 2), 2) + cos(radians(u.lat)) * cos(radians(s.lat)) * power(sin(radians(s.lon - u.lon) / 2), 2), 1.0)))) AS km FROM u, s GROUP BY ALL) SELECT point_id, round(km, 6) AS km FROM p JOIN d ON p.lat = d.lat AND p.lon = d.lon WHERE km <= 50")
+def nearest_place_all(spark, sf_dir):
+    points, places = _points_and_places(spark, sf_dir)
     return spatial.nearest(points, places, 50.0).select("point_id", F.round("km", 6).alias("km"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shizuku import registered
 from shizuku.operators import documents, flow, registry, sampling, spatial, tables, terrain
 from shizuku.plans import envelope
 from shizuku.sources import files
@@ -52,6 +53,37 @@ def test_nearest(spark):
     assert {(r.point_id, r.place_id) for r in spatial.nearest(points, places, 30.0).collect()} == {(1, "a"), (2, "c")}
 
 
+def test_nearest_of_shared_coordinates_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    points = [(int(i % 350), float(rng.integers(0, 12)) / 7, float(rng.integers(0, 12)) / 7) for i in range(400)]
+    places = [(f"p{i}", float(rng.integers(0, 6)) / 3, float(rng.integers(0, 6)) / 3) for i in range(60)]
+    want = {}
+    for point, lat, lon in points:
+        for place, y, x in places:
+            a, b, c, d = map(np.radians, (lat, lon, y, x))
+            km = 2 * 6371.0088 * np.arcsin(np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2))
+            if km <= 20:
+                want[point] = min(want.get(point, (1e9, "")), (round(km, 6), place))
+    got = spatial.nearest(spark.createDataFrame(points, "point_id int, lat double, lon double"), spark.createDataFrame(places, "place_id string, lat double, lon double"), 20.0).collect()
+    assert {r.point_id: (round(r.km, 6), r.place_id) for r in got} == want and len(got) == len(want) and 0 < len(want) < 350
+
+
+def test_nearest_place_of_every_customer(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    customers = [r.c_custkey for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").collect()]
+    at = lambda k, m, n: np.radians(((k % m) / n))
+    s = np.array([r.s_suppkey for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").collect()])
+    want = {}
+    for k in customers:
+        a, b, c, d = at(k, 40, 10.0), at(k, 37, 10.0), at(s, 17, 4.0), at(s, 13, 3.0)
+        km = (2 * 6371.0088 * np.arcsin(np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2))).min()
+        if km <= 50:
+            want[k] = km
+    got = {r.point_id: r.km for r in registered.QUERIES["nearest_place_all"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and max(got) > 500
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in got)
+
+
 EDGE = "to_id string, from_id string, share double, basis string, valid_from string, valid_to string"
 ASSIGN = "zone string, facility_id string, share double, confidence string, valid_from string, valid_to string"
 
