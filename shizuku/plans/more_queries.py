@@ -102,12 +102,22 @@ def greatest_share(spark, sf_dir):
 
 @query("SELECT 'Feature' AS type, c_custkey AS id, CAST(floor(c_acctbal / 100) AS BIGINT) AS gx, CAST(c_custkey % 100 AS BIGINT) AS gy, 5 AS corners FROM customer WHERE c_custkey <= 50")
 def mesh_features(spark, sf_dir):
+    """The first 50 customers, as its SQL has them; mesh_features_all takes all."""
+    return _features(table(spark, sf_dir, "customer").filter("c_custkey <= 50"))
+
+
+@query("SELECT 'Feature' AS type, c_custkey AS id, CAST(floor(c_acctbal / 100) AS BIGINT) AS gx, CAST(c_custkey % 100 AS BIGINT) AS gy, 5 AS corners FROM customer")
+def mesh_features_all(spark, sf_dir):
+    return _features(table(spark, sf_dir, "customer"))
+
+
+def _features(customers):
     """Cells as closed squares; their JSON is read back to show that it holds what went in."""
     from shizuku.sources.files import to_geojson
 
     x, y = F.floor(F.col("c_acctbal") / 100), F.col("c_custkey") % 100
     ring = naming.square(y.cast("double"), x.cast("double"), 1.0)
-    rows = table(spark, sf_dir, "customer").filter("c_custkey <= 50").select(F.col("c_custkey").alias("id"), x.alias("gx"), y.alias("gy"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    rows = customers.select(F.col("c_custkey").alias("id"), x.alias("gx"), y.alias("gy"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
     back = F.from_json("feature", "type string, geometry struct<type: string, coordinates: array<array<array<double>>>>, properties struct<id: long, gx: long, gy: long>")
     read = to_geojson(rows, "geometry", ["id", "gx", "gy"]).select(back.alias("f"))
     return read.select("f.type", "f.properties.id", "f.properties.gx", "f.properties.gy", F.size(F.col("f.geometry.coordinates")[0]).alias("corners"))

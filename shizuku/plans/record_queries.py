@@ -234,10 +234,18 @@ def upsert_rows(spark, sf_dir):
 
 @query("WITH a AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey <= 20), d AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 15) SELECT k AS n_nationkey, 'missing' AS side FROM d WHERE k NOT IN (SELECT k FROM a) UNION ALL SELECT k, 'stale' FROM a WHERE k NOT IN (SELECT k FROM d)")
 def declared_difference(spark, sf_dir):
+    """Suppliers and nations up to an id, as its SQL has them; declared_difference_all compares whole tables."""
     actual = table(spark, sf_dir, "supplier").filter("s_suppkey <= 20").select(F.col("s_nationkey").alias("n_nationkey"))
     return checks.set_difference(actual, table(spark, sf_dir, "nation").filter("n_nationkey < 15"), ["n_nationkey"])
 
 
+@query("WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), d AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0) SELECT k AS c_custkey, 'missing' AS side FROM (SELECT k FROM d EXCEPT SELECT k FROM a) UNION ALL SELECT k, 'stale' FROM (SELECT k FROM a EXCEPT SELECT k FROM d)")
+def declared_difference_all(spark, sf_dir):
+    """Customers with orders against customers in credit."""
+    actual = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return checks.set_difference(actual, table(spark, sf_dir, "customer").filter("c_acctbal > 0"), ["c_custkey"])
+
+
 @query("SELECT CASE WHEN o_orderstatus = 'P' THEN 'synthetic' WHEN o_orderpriority LIKE '5%' THEN 'absent' WHEN o_totalprice < 20000 THEN 'unknown_status' END AS excluded_by, count(*) AS n FROM orders GROUP BY ALL")
 def exclusion_reasons(spark, sf_dir):
     reasons = [("synthetic", F.col("o_orderstatus") == "P"), ("absent", F.col("o_orderpriority").startswith("5")), ("unknown_status", F.col("o_totalprice") < 20000)]

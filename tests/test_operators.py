@@ -68,6 +68,18 @@ def test_nearest_of_shared_coordinates_equals_brute_force(spark):
     assert {r.point_id: (round(r.km, 6), r.place_id) for r in got} == want and len(got) == len(want) and 0 < len(want) < 350
 
 
+def test_features_and_differences_of_whole_tables(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    customers = {r.c_custkey: r.c_acctbal for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal").collect()}
+    ordering = {r.o_custkey for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey").collect()}
+    features = registered.QUERIES["mesh_features_all"](spark, sf_dir).collect()
+    assert sorted((r.id, r.gx, r.gy, r.corners) for r in features) == sorted((k, int(v // 100), k % 100, 5) for k, v in customers.items())
+    credit = {k for k, v in customers.items() if v > 0}
+    got = sorted((r.c_custkey, r.side) for r in registered.QUERIES["declared_difference_all"](spark, sf_dir).collect())
+    assert got == sorted([(k, "missing") for k in credit - ordering] + [(k, "stale") for k in ordering - credit])
+    assert {side for _, side in got} <= {"missing", "stale"} and got
+
+
 def test_nearest_place_of_every_customer(spark):
     sf_dir = "/root/testdata/sf0.01"
     customers = [r.c_custkey for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").collect()]
