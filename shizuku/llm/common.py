@@ -21,9 +21,11 @@ OWN = "__sz_"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Only where it is unset (tests, local mode), a temporary one."""
+    """The shared folder of spark.checkpoint.dir. Where it is unset, local mode gets a temporary one; a cluster, whose machines don't share such folders, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shizuku-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,6 +39,16 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more: what was made of them is saved itself."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A hint to broadcast df, a saved table, if it has at most `most` rows; else df as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shizuku.llm.common import saved
+from shizuku.llm.common import dropped, saved, small
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, root: for every node with an edge the smallest node that it can reach. Nodes can be of any type that sorts.
 
     Each round relinks every node to the smallest of its neighbours; the number of rounds grows with the logarithm of
-    the longest path. A node's neighbours are only ever folded to a minimum, never gathered.
+    the longest path. A node's neighbours are only ever folded to a minimum, never gathered: minima are saved by themselves,
+    so that joining them to the edges broadcasts them or, beyond a checked size, is a plain join of two shuffled tables, in
+    which adaptive execution splits a hub's edges.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     pairs = saved(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -20,15 +22,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         # Large star: the larger neighbours of a node go to the smallest node around it.
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = saved(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
+        large = saved(both.join(small(low), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-star")
+        dropped(pairs, low)
         # Small star: a node and its smaller neighbours go to the smallest of these.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        near = large.join(small(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         pairs = saved(near.filter("u <> v").distinct(), "edges")
+        dropped(large, low)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == now:
             break
         state = now
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return saved(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "components")
+    out = saved(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "components")
+    dropped(pairs)
+    return out

@@ -71,8 +71,11 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_blocks_of_a_large_family(spark, monkeypatch):
+@pytest.mark.parametrize("pivots", [1, 4])
+def test_blocks_of_a_large_family(spark, monkeypatch, pivots):
     monkeypatch.setattr(neardup, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(neardup, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
     rng = random.Random(9)
     words = [f"w{i}" for i in range(80)]
     rows = []
@@ -90,85 +93,82 @@ def test_query_matches_brute_force_on_documents(spark, sf_dir):
     assert got(queries.op10_near_duplicates(spark, sf_dir)) == brute(rows, 4)
 
 
-def test_leaders_stream_over_batches():
-    import pyarrow as pa
-
-    rng = np.random.default_rng(4)
-    base = rng.integers(0, 256, (3, neardup.SLOTS), dtype=np.uint8)
-    keys = np.sort(rng.integers(0, 4, 200))
-    sigs = base[rng.integers(0, 3, 200)].copy()
-    sigs[np.arange(200), rng.integers(0, neardup.SLOTS, 200)] = 7
-    nodes = [f"{i:04d}".encode() for i in range(200)]
-    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes, pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary())], names=["key", "node", "sig"])
+def roots(nodes, links):
+    root = {n: n for n in nodes}
 
-    def families(size):
-        links = [x for b in neardup.led(10)(batch[i : i + size] for i in range(0, 200, size)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        root = {n: n for n in nodes}
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
 
-        for a, b in links:
-            a, b = find(a), find(b)
-            root[max(a, b)] = min(a, b)
-        return [find(n) for n in nodes]
 
-    whole = families(200)
-    kind = [int(np.argmax([(x == y).sum() for y in base])) for x in sigs]
-    assert len(set(whole)) == len(set(zip(keys.tolist(), kind, strict=True)))
-    assert families(7) == whole == families(1)
+def walks(rng, n, most):
+    """n signatures in chains: each changes up to `most` slots of an earlier one."""
+    sigs = rng.integers(0, 1 << 16, (n, neardup.SLOTS), dtype=np.uint16)
+    for i in range(n):
+        if i % 25:
+            sigs[i] = sigs[i - rng.integers(1, i % 25 + 1)]
+            some = rng.choice(neardup.SLOTS, rng.integers(0, most), replace=False)
+            sigs[i, some] = rng.integers(0, 1 << 16, len(some))
+    return sigs
 
 
-def bucket_links(rows, reach, size):
-    """Links of rows (key, node, sig), in batches of `size` rows."""
+def task_links(rows, distance, size):
+    """Links of rows (task, c, label, sig), in batches of `size` rows."""
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], names=["key", "node", "sig"])
-    out = neardup.led(reach)(batch[i : i + size] for i in range(0, len(rows), size))
+    batch = pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3].tobytes() for r in rows], pa.binary())], names=["task", "c", "label", "payload"])
+    out = neardup.near(distance)(batch[i : i + size] for i in range(0, len(rows), size))
     return [x for b in out for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
 
 
-@pytest.mark.parametrize("size", [3, 2, 1])
-def test_a_row_near_a_linked_row_but_far_from_its_leader(size):
-    far = np.zeros((3, neardup.SLOTS), np.uint8)
-    far[1:, :24] = 1
-    far[2, 24:43] = 2
-    reach = neardup.reach_of(0.8)
-    assert [int((far[i] != far[j]).sum()) for i, j in ((0, 1), (1, 2), (0, 2))] == [reach, 19, 43]
-    assert sorted(map(sorted, bucket_links([(1, b"a", far[0]), (1, b"b", far[1]), (1, b"c", far[2])], reach, size))) == [[b"a", b"b"], [b"b", b"c"]]
-
-
 @pytest.mark.parametrize("size", [300, 41, 6, 1])
-def test_bucket_links_join_what_all_pairs_join(size):
+def test_links_of_a_bucket_join_what_all_pairs_join(size):
     rng = np.random.default_rng(size)
-    sigs = rng.integers(0, 256, (300, neardup.SLOTS), dtype=np.uint8)
-    for i in range(300):  # walks: each row changes up to 22 slots of an earlier one
-        if i % 25:
-            sigs[i] = sigs[i - rng.integers(1, i % 25 + 1)]
-            sigs[i, rng.choice(neardup.SLOTS, rng.integers(0, 23), replace=False)] = rng.integers(0, 256)
+    sigs = walks(rng, 300, 15)
     keys = rng.choice([-5, 3, 3, 3, 8], 300)
     order = sorted(range(300), key=lambda i: (keys[i], rng.random()))
-    rows = [(int(keys[i]), f"{i:04d}".encode(), sigs[i]) for i in order]
-
-    def roots(links):
-        root = {r[1]: r[1] for r in rows}
-
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for a, b in links:
-            a, b = find(a), find(b)
-            root[max(a, b)] = min(a, b)
-        return {x: find(x) for x in root}
-
-    every = [(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and (x[2] != y[2]).sum() <= 24]
-    links = bucket_links(rows, 24, size)
-    assert roots(links) == roots(every)
-    assert len(links) == 300 - len(set(roots(every).values()))
+    rows = [(int(keys[i]), i, i, sigs[i]) for i in order]
+    every = [(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and (x[3] != y[3]).sum() <= 15]
+    links = task_links(rows, 15, size)
+    assert roots(range(300), links) == roots(range(300), every)
+    assert len(links) == 300 - len(set(roots(range(300), every).values()))
+
+
+def test_links_between_labels_only():
+    sig = np.zeros(neardup.SLOTS, np.uint16)
+    rows = [(1, 10, 5, sig), (1, 11, 5, sig), (1, 12, 6, sig), (2, 10, 5, sig), (2, 11, 5, sig)]
+    links = task_links(rows, 3, 10)
+    assert len(links) == 1 and 12 in links[0]
+
+
+@pytest.mark.parametrize("rows", [512, 6])
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_families_hold_all_pairs_within_the_distance(spark, monkeypatch, rows, similarity):
+    """Random signatures by brute force, and a pair that a third signature lies between: near the one, far from the other."""
+    monkeypatch.setattr(neardup, "BUCKET_ROWS", rows)
+    distance = neardup.distance_of(similarity)
+    sigs = walks(np.random.default_rng(rows), 300, distance + 3)
+    far = np.full((3, neardup.SLOTS), 7, np.uint16)
+    far[1, :distance] = 1
+    far[2, :distance] = 1
+    far[2, neardup.SLOTS - distance :] = 2
+    sigs = np.concatenate([sigs, far])
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sigs)], "c long, sig binary")
+    every = [(i, j) for i in range(len(sigs)) for j in range(i) if (sigs[i] != sigs[j]).sum() <= distance]
+    want = {k: v for k, v in roots(range(len(sigs)), every).items() if any(k in e for e in every)}
+    assert {r.node: r.root for r in neardup.families(df, distance).collect()} == want
+
+
+def test_rows_without_ids_meet_their_near_copies(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(5, text), (None, text + " x"), (None, "else " * 3)], "doc_id long, text string")
+    assert got(neardup.near_duplicates(df, width=4)) == [("5", 57, "5"), ("None", 1, "None"), ("None", 58, "5")]
 
 
 def test_components_of_paths_and_cycles(spark):
