@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shizuku.llm.common import saved
+from shizuku.llm.common import bound, saved
 
 #: Lanes in one long, bits of a lane (and one for the carry), hashes of a paragraph, longs of a fingerprint.
 LANES_EACH, BITS, HASHES, LONGS = 3, 20, 3, 63
@@ -41,11 +41,6 @@ def _bits(paragraph: Column) -> Column:
     return F.transform(F.array(*(F.xxhash64(F.lit(i), paragraph) for i in range(HASHES))), lambda h: h.bitwiseAND(F.lit((1 << 63) - 1)))
 
 
-def bound(value: Column, use) -> Column:
-    """use(value), where value is computed once although use names it often, also within lambdas."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def lanes(text: Column) -> Column:
     """The fingerprint as an array: paragraphs, then LONGS longs with how often each lane's sign was 1, modulo 2**BITS."""
     ones, keep = F.lit(_ONES), F.lit(_KEEP)

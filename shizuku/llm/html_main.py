@@ -1,12 +1,17 @@
 """Main text of web pages by a maximum-scoring subsequence over words and tags.
 
-A page is read as a sequence of tokens, words and tags. Words score positive and tags negative, with weights that are
-log odds counted on labelled pages (html_pages.LABELLED); words inside menus, adverts and the like have a class of their
-own, whose learned weight is negative. One linear scan finds the contiguous region with the highest sum. Blocks of the
-region that stand in such a part are left out; the others are joined by an empty line.
+A page is read as a sequence of tokens, words and tags. Words score by what they stand in: each element around them has features
+(its name, the words of its class, id and role), and each feature a weight, fitted on labelled pages (html_pages.LABELLED) to
+the odds that a text in it belongs to the main text. Tags score negative, the more the less their surroundings look
+like main text. One linear scan finds the contiguous region with the highest sum. Blocks of the region whose own surroundings score
+negative, adverts within a text for instance, are left out; the others are joined by an empty line.
 
-Defined cases: a null or empty page gives ''; a page without words gives ''; markup that is never closed ends with the
-page; repeated rows give repeated results; further columns of the input are kept by `extract_column`'s caller.
+A name of several parts, as in `related-work`, has the mean weight of its parts, so that the article's own parts aren't taken for
+the page's frame because of one word. The page is scanned once from left to right, in time linear in its length whatever its markup.
+
+Defined cases: a null or empty page gives ''; a page without words gives ''; elements that are never closed end with the page, a
+tag or comment that is never closed is the end of the page, but one with a quote that is never closed ends at its next `>`;
+repeated rows give repeated results; further columns of the input are kept by `extract_column`'s caller.
 """
 
 from __future__ import annotations
@@ -17,141 +22,281 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shizuku.llm.html_pages import LABELLED
 
-# Elements and class words of the HTML standard and of common usage.
+# Elements of the HTML standard.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
+UNSEEN = {"template", "svg", "object", "canvas", "head", "select", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-ASIDE = {"nav", "aside", "footer", "form", "menu", "select", "button", "template", "dialog", "svg", "object", "canvas", "head", "fieldset"}
-ASIDE_WORDS = {
-    "ad", "ads", "adv", "advert", "advertisement", "adverts", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
-    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup",
-    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "widget", "widgets", "related", "recommended", "recommendations",
-    "share", "sharing", "social", "footer", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "form", "search", "login",
-    "pagination", "pager", "toolbar", "skip", "copyright", "disclaimer", "hidden",
-}
-HEAD_WORDS = {"header", "masthead", "topbar"}
-ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "alertdialog"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+#: Elements that end an open one of the same kind.
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
-#: No token weighs more than this, and no piece of text takes more than twice this away: one advert within a text doesn't part it.
-CLIP = 2.0
+#: Bound of a feature's weight and of a word's score; what one part outside of the main text takes away from a region around it, at most.
+CLIP, PART = 4.0, 6.0
+#: What a link takes off a word's score; score of texts in elements that are never seen.
+LINK, NEVER, RIDGE = 1.5, -8.0, 0.3
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[^a-zA-Z/!?])|[^<]+|<", re.S)
-ATTR = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![^\s\"'])(hidden)(?![^\s>])")
-PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+NAME = re.compile(r"[^\s/>]*")
+SPACES = re.compile(r"[\s/]*")
+KEY = re.compile(r"[^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+VALUE = re.compile(r"[^\s>]*")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
+HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+class Page:
+    """Tags and texts of a page, from left to right. Each place is read a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.low, self.gone = page, None, set()
+
+    def find(self, what: str, at: int) -> int:
+        """Place of `what` from `at` on, or -1; what isn't found once isn't looked for again."""
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int]:
+        """The attributes of a tag from `at` on and the place after its `>`; -1 if it has none."""
+        page, found, start = self.page, {}, at
+        while True:
+            at = SPACES.match(page, at).end()
+            if at >= len(page):
+                return found, -1
+            if page[at] == ">":
+                return found, at + 1
+            key = KEY.match(page, at + 1).end()  # a name may start with any sign
+            name = page[at:key].lower()
+            equals = EQUALS.match(page, key)
+            at, value = key, ""
+            if equals:
+                at = equals.end()
+                quote = page[at : at + 1]
+                if quote in ('"', "'") and quote:
+                    end = self.find(quote, at + 1)
+                    if end < 0:
+                        end = self.find(">", start)
+                        return found, end + 1 if end >= 0 else -1
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    end = VALUE.match(page, at).end()
+                    value, at = page[at:end], end
+            found.setdefault(name, value)
+
+    def parts(self):
+        """('text', text, None), ('open', name, attributes) and ('close', name, None)."""
+        page, at = self.page, 0
+        while at < len(page):
+            lt = self.find("<", at)
+            if lt < 0:
+                yield "text", page[at:], None
+                return
+            if lt > at:
+                yield "text", page[at:lt], None
+            sign = page[lt + 1 : lt + 2]
+            if page.startswith("<!--", lt):
+                end = self.find("-->", lt + 2)
+                at = end + 3 if end >= 0 else len(page)
+            elif sign and sign in "!?" or sign == "/" and not page[lt + 2 : lt + 3].isalpha():
+                end = self.find(">", lt)
+                at = end + 1 if end >= 0 else len(page)
+            elif sign == "/":
+                name = NAME.match(page, lt + 2)
+                end = self.find(">", name.end())
+                at = end + 1 if end >= 0 else len(page)
+                if end >= 0:
+                    yield "close", name[0].lower(), None
+            elif sign.isascii() and sign.isalpha():
+                name = NAME.match(page, lt + 1)
+                tag = name[0].lower()
+                found, at = self.attributes(name.end())
+                if at < 0:
+                    return
+                yield "open", tag, found
+                if tag in RAW:
+                    self.low = self.low if self.low is not None else page.lower()
+                    end = self.low.find(f"</{tag}", at) if f"</{tag}" not in self.gone else -1
+                    if end < 0:
+                        return
+                    at = end
+            else:
+                yield "text", "<", None
+                at = lt + 1
+
+
+def features(tag: str, found: dict[str, str], in_main: bool) -> list[tuple[str, ...]]:
+    """The features of an element, each of one or more names whose mean weight it has."""
+    if tag in ("html", "body"):
+        return []
+    out: list[tuple[str, ...]] = []
+    if tag not in INLINE:
+        out.append((f"<main {tag}>" if in_main and tag in ("header", "footer") else f"<{tag}>",))
+    for key in ("class", "id"):
+        for name in found.get(key, "").split():
+            words = tuple(x.lower() for x in WORDS.findall(name))
+            if words:
+                out.append(words)
+    if "role" in found:
+        out.append((f"role {found['role'].lower()}",))
+    return out
+
+
+def unseen(tag: str, found: dict[str, str]) -> bool:
+    return tag in RAW or tag in UNSEEN or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(HIDES.search(found.get("style", "")))
 
 
-def is_aside(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element is a menu, advert, notice, form, comment or the like. A header inside the article is its own."""
-    if tag in ASIDE or tag == "header" and not in_article:
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    for name, *values, bare in ATTR.findall(attrs):
-        value = "".join(values)
-        name = (name or bare).lower()
-        if name in ("class", "id"):
-            found = {x.lower() for x in PARTS.findall(value)}
-            if found & ASIDE_WORDS or found & HEAD_WORDS and not in_article:
-                return True
-        elif name == "role" and value.lower() in ASIDE_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+class Element:
+    """An open element: whether it lies in an article or main element, in a link, is seen; and where the paragraph is that a new block would end."""
+
+    __slots__ = ("tag", "parent", "features", "main", "link", "seen", "p", "score", "part")
+
+    def __init__(self, tag: str, parent: Element | None, found: dict[str, str], at: int):
+        self.tag, self.parent = tag, parent
+        self.features = features(tag, found, parent.main) if parent else []
+        self.main = parent is not None and (parent.main or tag in ("article", "main"))
+        self.link = parent is not None and (parent.link or tag == "a")
+        self.seen = parent is None or parent.seen and not unseen(tag, found)
+        self.p = at if tag == "p" else parent.p if parent is not None and tag in INLINE else -1
+        self.score: float | None = None
+        self.part: Element | None = None
 
 
 def tokens(page: str):
-    """(kind, value, block): kind 'tag' with a name; 'plain', 'link' or 'aside' with text and its block's number."""
-    at, block, stack, aside, article, link = 0, 0, [], 0, 0, 0
-    low = None
-    while at < len(page):
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            text = m[0]
-            if text[0] == "<" and (len(text) > 1 and text[1] in "!?"):
-                continue
-            yield ("aside" if aside else "link" if link else "plain"), text, block
+    """('tag', name, element around it, block) and ('text', text, element around it, block) from left to right."""
+    stack, counts, block = [Element("", None, {}, 0)], Counter(), 0
+
+    def pop(upto: int) -> None:
+        for x in stack[upto:]:
+            counts[x.tag] -= 1
+        del stack[upto:]
+
+    for kind, value, found in Page(page).parts():
+        if kind == "text":
+            yield "text", value, stack[-1], block
             continue
-        tag, closing = tag.lower(), bool(m[1])
-        if tag not in INLINE:
+        if value not in INLINE:
             block += 1
-        yield "tag", tag, block
-        if closing:
-            if any(x[0] == tag for x in stack):
-                while stack:
-                    name, was_aside, was_article, was_link = stack.pop()
-                    aside, article, link = aside - was_aside, article - was_article, link - was_link
-                    if name == tag:
-                        break
-            continue
-        if tag in RAW:
-            low = low if low is not None else page.lower()
-            end = low.find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
-            continue
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
+        if kind == "close":
+            if counts[value]:
+                at = len(stack) - 1
+                while stack[at].tag != value and (value not in INLINE or stack[at].tag in INLINE):
+                    at -= 1
+                if stack[at].tag == value:  # an inline element doesn't end the blocks within it
+                    pop(at)
+            yield "tag", value, stack[-1], block
             continue
-        if tag in CLOSES_P:
-            # A new block ends an open paragraph and the inline elements that it left open.
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    for name, was_aside, was_article, was_link in stack[i:]:
-                        aside, article, link = aside - was_aside, article - was_article, link - was_link
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        here = (tag, int(is_aside(tag, m[3], article > 0)), int(tag in ("article", "main")), int(tag == "a"))
-        stack.append(here)
-        aside, article, link = aside + here[1], article + here[2], link + here[3]
+        if value in CLOSES_P and stack[-1].p > 0:
+            pop(stack[-1].p)
+        while stack[-1].tag in SIBLINGS.get(value, ()):
+            pop(len(stack) - 1)
+        yield "tag", value, stack[-1], block
+        if value == "br":
+            yield "text", " ", stack[-1], block  # words on both of its sides stay apart
+        if value not in VOID:
+            stack.append(Element(value, stack[-1], found, len(stack)))
+            counts[value] += 1
 
 
 @lru_cache(maxsize=1)
 def weights() -> dict[str, float]:
-    """Log odds of each class of token to lie in the main text, from the labelled pages. Tags never score above -0.05."""
-    main, rest = Counter(), Counter()
+    """Weights of features by logistic regression on the texts of the labelled pages, and log odds of tags to lie within the main part.
+
+    '(inside)' and '(outside)' are of a page's article or main element, '(page)' is for pages without one. Weights fitted together
+    don't count twice what features that go together tell.
+    """
+    rows, labels, tags_in, tags_out = [], [], Counter(), Counter()
     for page, wanted in LABELLED:
-        marks, span = [], []
-        for kind, value, _ in tokens(page):
-            names = [f"<{value}>"] if kind == "tag" else [kind] * len(html_lib.unescape(value).split())
-            inside = kind != "tag" and bool(value.strip()) and SPACE.sub(" ", html_lib.unescape(value)).strip() in wanted
-            marks.append((names, inside))
-        span = [i for i, (_, inside) in enumerate(marks) if inside]
-        for i, (names, inside) in enumerate(marks):
-            within = inside or bool(span) and names and names[0][0] == "<" and span[0] < i < span[-1]
-            (main if within else rest).update(names)
-    total_main, total_rest = sum(main.values()), sum(rest.values())
-    out = {}
-    for name in {*main, *rest}:
-        odds = math.log((main[name] + 0.5) / (total_main + 1)) - math.log((rest[name] + 0.5) / (total_rest + 1))
-        odds = max(-CLIP, min(CLIP, odds))
-        out[name] = min(-0.05, odds) if name[0] == "<" else odds
-    return out
+        got = list(tokens(page))
+        has = any(e.main for _, _, e, _ in got)
+        good = [kind == "text" and SPACE.sub(" ", value).strip() in wanted for kind, value, _, _ in got]
+        span = [i for i, x in enumerate(good) if x]
+        for i, (kind, value, e, _) in enumerate(got):
+            if kind == "tag":
+                (tags_in if span[0] < i < span[-1] else tags_out)[f"<{value}>"] += 1
+            elif value.strip() and e.seen:
+                row = Counter({"(inside)" if e.main else "(outside)" if has else "(page)": 1.0})
+                while e is not None:
+                    for names in e.features:
+                        for x in names:
+                            row[x] += 1 / len(names)
+                    e = e.parent
+                rows.append(row)
+                labels.append(good[i])
+    names = sorted({x for row in rows for x in row})
+    at = {x: i for i, x in enumerate(names)}
+    x, y = np.zeros((len(rows), len(names))), np.array(labels, float)
+    for i, row in enumerate(rows):
+        for name, value in row.items():
+            x[i, at[name]] = value
+    fitted = np.zeros(len(names))
+    for _ in range(12):  # Newton's steps, with a ridge of RIDGE
+        p = 1 / (1 + np.exp(-np.clip(x @ fitted, -30, 30)))
+        bend = (x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(names))
+        fitted -= np.linalg.solve(bend, x.T @ (p - y) + RIDGE * fitted)
+    out = dict(zip(names, np.clip(fitted, -CLIP, CLIP).tolist(), strict=True))
+    a, b = sum(tags_in.values()), sum(tags_out.values())
+    odds = lambda n, k: math.log((n + 0.5) / (a + 1)) - math.log((k + 0.5) / (b + 1))
+    return out | {f"tag {x}": min(-0.05, max(-2.0, odds(tags_in[x], tags_out[x]))) for x in {*tags_in, *tags_out}}
+
+
+def mean_weight(names: tuple[str, ...]) -> float:
+    """Mean weight of the parts of a name; where one part clearly stands outside of the main text, others don't count in favour."""
+    found = [weights().get(x, 0.0) for x in names]
+    return sum(min(x, 0.0) if min(found) < -CLIP / 2 else x for x in found) / len(found)
+
+
+def scored(e: Element, has_main: bool) -> float:
+    """The score of a word in an element; sets `part`, the outermost element around that by itself isn't of the main text."""
+    w, open_ = weights(), []
+    while e.score is None and e.parent is not None:
+        open_.append(e)
+        e = e.parent
+    if e.score is None:
+        e.score = 0.0
+    prior = lambda x: w["(inside)"] if x.main else w["(outside)"] if has_main else w["(page)"]
+    for x in reversed(open_):
+        own = sum(mean_weight(names) for names in x.features)
+        # What is clearly no main text stays so whatever it stands in.
+        x.score = max(-2 * CLIP, min(CLIP, (min(e.score, 0.0) if own < -CLIP / 2 - 0.5 else e.score) + own)) if x.seen else NEVER
+        x.part = e.part
+        if x.part is None and (not x.seen or prior(x) + x.score < 0 and own < -CLIP / 2 + 0.5):
+            x.part = x
+        e = x
+    return prior(e) + e.score if e.seen else NEVER
 
 
 def regions(page: str) -> tuple[list[tuple[int, str]], float]:
     """The (block, text) parts of the best region, and its score."""
-    w, parts = weights(), []
-    other = -0.5
+    w, parts, got = weights(), [], list(tokens(page))
+    has_main = any(kind == "text" and e.main and e.seen and not value.isspace() for kind, value, e, _ in got)
+    taken: dict[int, float] = {}
     best = score = 0.0
     first, found = 0, (0, 0)
-    for kind, value, block in tokens(page):
+    for kind, value, e, block in got:
+        s = scored(e, has_main)
         if kind == "tag":
-            score += w.get(f"<{value}>", other)
+            change = 0.0 if e.part is not None else w.get(f"tag <{value}>", -0.5) * math.exp(-max(s, 0.0))
         else:
             value = html_lib.unescape(value)
-            score += max(w[kind] * len(value.split()), -2 * CLIP)
-            parts.append((block, value, kind))
+            change = len(value.split()) * (s - LINK if e.link and s > NEVER else s)
+            parts.append((block, value, s >= 0 or not has_main and e.part is None))
+        if e.part is not None and change < 0:  # a part that is left out doesn't part the text around it
+            left = taken.setdefault(id(e.part), PART)
+            change = max(change, -left)
+            taken[id(e.part)] += change
+        score += change
         if score <= 0:
             score, first = 0.0, len(parts)
         elif score > best:
@@ -162,15 +307,14 @@ def regions(page: str) -> tuple[list[tuple[int, str]], float]:
             lo -= 1
         while hi < len(parts) and parts[hi][0] == parts[hi - 1][0]:
             hi += 1
-    return [(b, v) for b, v, kind in parts[lo:hi] if kind != "aside"], best
+    return [(b, v) for b, v, keep in parts[lo:hi] if keep], best
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks: dict[int, list[str]] = {}
-    # An inline break leaves white space, so that words on both of its sides stay apart.
-    for block, text in regions(re.sub(r"(?i)<br\b[^>]*>", " \\g<0> ", page) if "<br" in page.lower() else page)[0]:
+    for block, text in regions(page)[0]:
         blocks.setdefault(block, []).append(text)
     lines = (SPACE.sub(" ", "".join(x)).strip() for x in blocks.values())
     return "\n\n".join(x for x in lines if x)

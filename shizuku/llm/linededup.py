@@ -1,19 +1,20 @@
 """Line dedup by winnowing over line hashes: later copies of repeated runs of lines are deleted.
 
-A document's lines, without the blank ones, are a sequence of 64-bit hashes. Of every window of WINDOW = 2 neighbouring
-lines the smaller hash is selected as a fingerprint, and a line of MIN_WORDS words or more, a window by itself, always is; so
-every run of two lines and every long line is guaranteed to hold one. A fingerprint's matches are extended to both sides: its key
-is looked up alone and together with the line before and the line after it, and what the earliest position with that
-key has is a match. Matched positions that chain up are a run; a run that stands, piece by piece, earlier in the corpus and has
-at least MIN_WORDS words is deleted.
+A document is the sequence of its lines, where a line of several sentences counts as one line for each (text from the web is often
+not broken into lines), without the blank ones. A stretch of lines of MIN_WORDS words or a little more, from each line on, has a
+hash. Of the stretches in every window of twice as many words, or less at the document's end, the one with the smallest
+hash is selected as a fingerprint. So two documents that share a run of SURE_WORDS words or more share a fingerprint in it.
 
-So a pair of neighbouring lines counts as repeated if the same pair stands at an earlier position, in order of doc_id, then
-place; a long line, if it stands at an earlier position. A key's occurrences meet only the earliest one, found by a
-pre-aggregated minimum: never all pairs. Only DataFrame functions are used.
+A fingerprint's position is joined with the earliest one of the same hash in the corpus, found by a pre-aggregated minimum,
+never with all; further positions in the same document are joined with the one before. Each join gives two documents and how
+far they are shifted against one another. Along that shift the lines of both are compared, so a match goes on both ways as far as the
+lines are equal in one earlier place; runs of MIN_WORDS words or more go. A line's first copy always stays, because what goes
+has an equal line before it, in order of doc_id, then place. Only DataFrame functions are used.
 
 Defined cases: null texts stay null and take no part; empty texts stay; blank lines take no part in runs, and those that
 follow a deleted line go with it; null ids come first; rows with the same id and text count as one document and all get its result;
-of rows with the same id and other texts, the text with the smaller hash counts as earlier.
+of rows with the same id and other texts, the text with the smaller hash counts as earlier. Columns of the input named like
+`n_lines` and `removed` give way.
 """
 
 from __future__ import annotations
@@ -21,73 +22,162 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shizuku.llm.common import saved, small
+from shizuku.llm.common import WORD, bound, dropped, saved, small
 
-#: Least words of a run that is deleted.
+#: Least words of a run that is deleted. Runs of twice as many words are sure to be found.
 MIN_WORDS = 25
+#: Lines that the words of a window are looked for in at first; longer windows take a second step.
+AHEAD = 12
+#: Where a line of several sentences is divided, and all places where lines end.
+SENTENCE_END = r"(?<=[.!?]) "
+LINE_END = rf"\n|{SENTENCE_END}"
+
+
+def split_lines(text: Column) -> Column:
+    """All lines as (line, text), in order: `line` counts line ends, so lines that are sentences of one share it."""
+    parts = F.transform(F.split(text, "\n"), lambda x, i: F.transform(F.split(x, SENTENCE_END), lambda part: F.struct(i.alias("line"), part.alias("text"))))
+    return F.flatten(parts)
 
 
 def _words(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-
-
-def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """key, doc, place, lines: the matches that each fingerprint looks for. `lines` is 1 or 2, from `place` on."""
-    # (place among all lines, hash, words) of the lines that aren't blank.
-    numbered = F.transform(F.split("__text", "\n"), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), _words(x).alias("w")))
-    lines = F.filter(numbered, lambda x: x["w"] > 0)
-    rows = docs.filter(F.col("__text").isNotNull()).select("__doc", lines.alias("l"))
-    # Window minima: of two neighbours the smaller hash is the fingerprint, here with its neighbour as the extension to that side.
-    at = lambda i: F.get(F.col("l"), i)
-    pair = lambda a, b: F.struct(F.when(a["h"] <= b["h"], F.xxhash64(F.lit("after"), a["h"], b["h"])).otherwise(F.xxhash64(F.lit("before"), b["h"], a["h"])).alias("key"), a["n"].alias("n"), F.lit(2).alias("lines"), (a["w"] + b["w"]).alias("w"))
-    placed = F.transform(F.col("l"), lambda x, n: F.struct(n.alias("n"), x["h"].alias("h"), x["w"].alias("w")))
-    rows = rows.withColumn("l", placed)
-    pairs = F.zip_with(F.slice(F.col("l"), 1, F.greatest(F.size("l") - 1, F.lit(0))), F.slice(F.col("l"), 2, F.greatest(F.size("l") - 1, F.lit(0))), pair)
-    alone = F.transform(F.filter(F.col("l"), lambda x: x["w"] >= min_words), lambda x: F.struct(F.xxhash64(F.lit("alone"), x["h"]).alias("key"), x["n"].alias("n"), F.lit(1).alias("lines"), x["w"].alias("w")))
-    return rows.select("__doc", F.explode(F.concat(pairs, alone)).alias("o")).select("__doc", "o.key", F.col("o.n").alias("place"), F.col("o.lines").alias("lines"))
-
-
-def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """__doc, cut: array of (first, last) places among the document's non-blank lines that repeat earlier lines. docs: __doc, __text."""
-    seen = saved(occurrences(docs, min_words), "line-keys")
-    found = seen.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("__doc", "place")).alias("first")).filter("n > 1").drop("n")
-    hits = seen.join(small(saved(found, "line-firsts")), "key")
-    later = hits.filter((F.struct("__doc", "place") > F.col("first")))
-    later = later.select("__doc", "place", (F.col("place") + F.col("lines") - 1).alias("last")).distinct()
-    # Places that touch or overlap chain up to runs. A pair shares a line with the next; a long line alone starts at its place.
-    order = Window.partitionBy("__doc").orderBy("place", "last")
+    return F.regexp_count(line, F.lit(WORD))
+
+
+def _hash(text: Column) -> Column:
+    """60 bits of the MD5 digest as a number."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def selected(h: Column, w: Column, least: int) -> Column:
+    """(hash, place) of the fingerprints of a document with line hashes h and words w."""
+    most, n = 2 * least, F.size(w)
+
+    # How far the stretch and the window from a line on go: words * 2**32 + lines of the window * 2**16 + lines of the stretch.
+    def step(so_far: Column, x: Column) -> Column:
+        words = F.shiftright(so_far, 32)
+        more = so_far + x.cast("long") * (1 << 32) + (1 << 16)
+        return F.when(words >= most, so_far).when(words >= least, more).otherwise(more + 1)
+
+    def reach(i: Column) -> Column:
+        near = F.aggregate(F.slice(w, i + 1, AHEAD), F.lit(0).cast("long"), step)
+        return bound(near, lambda x: F.when(F.shiftright(x, 32) >= most, x).otherwise(F.aggregate(F.slice(w, i + 1 + AHEAD, most), x, step)))
+
+    def stretch(x: Column, i: Column) -> Column:
+        lines = x.bitwiseAND(F.lit(0xFFFF)).cast("int")
+        joined = F.array_join(F.slice(h, i + 1, lines).cast("array<string>"), ",")
+        window = F.shiftright(x, 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+        return F.when(F.shiftright(x, 32) >= least, F.struct(_hash(joined).alias("g"), i.alias("i"), (i + lines).alias("end"), (i + window).alias("upto")))
+
+    def minima(stretches: Column) -> Column:
+        least_of = lambda x: F.array_min(F.filter(F.slice(stretches, x["i"] + 1, x["upto"] - x["i"]), lambda y: y["end"] <= x["upto"]))
+        found = F.transform(F.filter(stretches, lambda x: x.isNotNull()), lambda x: least_of(x))
+        return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.struct(x["g"].alias("g"), x["i"].alias("i")))))
+
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return bound(F.transform(places, reach), lambda reached: bound(F.transform(reached, stretch), minima))
+
+
+def marked(docs: DataFrame, least: int) -> DataFrame:
+    """id, th, h and w of a document's lines, `own`: its fingerprints, each at its first place, and `again`: shifts of further places against the one before. docs: id, th, text."""
+    lines = F.filter(F.transform(split_lines(F.col("text")), lambda x: F.struct(x["text"].alias("t"), _words(x["text"]).alias("w"))), lambda x: x["w"] > 0)
+    rows = docs.filter("text IS NOT NULL").select("id", "th", F.transform(lines, lambda x: F.struct(_hash(x["t"]).alias("h"), x["w"].alias("w"))).alias("l"))
+
+    def placed(picks: Column) -> Column:
+        same = lambda i: (i > 0) & (F.get(picks, i - 1)["g"] == F.get(picks, i)["g"])
+        own = F.filter(picks, lambda x, i: ~F.coalesce(same(i), F.lit(False)))
+        shifts = F.transform(picks, lambda x, i: F.when(same(i), x["i"] - F.get(picks, i - 1)["i"]))
+        return F.struct(own.alias("own"), F.array_distinct(F.filter(shifts, lambda x: x.isNotNull())).alias("again"))
+
+    found = bound(F.struct(F.col("l.h").alias("h"), F.col("l.w").alias("w")), lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"), bound(selected(x["h"], x["w"], least), placed).alias("p")))
+    return rows.select("id", "th", found.alias("f")).select("id", "th", "f.h", "f.w", "f.p.own", "f.p.again")
+
+
+def equal_runs(h: Column, w: Column, base: Column, shift: Column, least: int) -> Column:
+    """(first, last) of the runs of `least` words or more in which line p of h equals line p - shift of base."""
+    lo, hi = F.greatest(F.lit(0), shift), F.least(F.size(h), F.size(base) + shift)
+    differ = F.filter(F.sequence(lo, hi - 1), lambda p: F.get(h, p) != F.get(base, p - shift))
+
+    def between(ends: Column) -> Column:
+        gaps = F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda k: F.struct((F.get(ends, k - 1) + 1).alias("first"), (F.get(ends, k) - 1).alias("last")))
+        return F.filter(gaps, lambda x: F.aggregate(F.slice(w, x["first"] + 1, F.greatest(F.lit(0), x["last"] - x["first"] + 1)), F.lit(0), lambda s, y: s + y) >= least)
+
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    return F.when(lo < hi, bound(F.concat(F.array(lo - 1), differ, F.array(hi)), between)).otherwise(none)
+
+
+def runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """id, th, cut: array of (first, last) places among the document's lines, without blank ones, that repeat earlier lines. docs: id, th, text."""
+    known = saved(marked(docs, least), "line-marks")
+    keys = known.select("id", "th", F.explode("own").alias("o")).select("id", "th", F.col("o.g").alias("g"), F.col("o.i").alias("i"))
+    first = keys.groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "i")).alias("first")).filter("n > 1").drop("n")
+    first = saved(first, "line-firsts")
+    later = F.struct("id", "th") > F.struct(F.col("first.id").alias("id"), F.col("first.th").alias("th"))
+    hits = keys.join(small(first), "g").filter(later).select("id", "th", F.col("first.id").alias("id0"), F.col("first.th").alias("th0"), (F.col("i") - F.col("first.i")).alias("shift"))
+    inside = known.filter(F.size("again") > 0).select("id", "th", F.col("id").alias("id0"), F.col("th").alias("th0"), F.explode("again").alias("shift"))
+    pairs = saved(hits.unionByName(inside).groupBy("id", "th", "id0", "th0").agg(F.collect_set("shift").alias("shifts")), "line-pairs")
+    dropped(first)
+
+    # The lines of the documents that meet, one row a document.
+    met = pairs.select("id", "th").unionByName(pairs.select(F.col("id0").alias("id"), F.col("th0").alias("th")))
+    met = saved(met.distinct().select(F.col("id").alias("m_id"), F.col("th").alias("m_th")), "line-docs")
+    on = lambda a, b: F.col(a).eqNullSafe(F.col(f"{b}_id")) & (F.col(a.replace("id", "th")) == F.col(f"{b}_th"))
+    held = saved(known.join(small(met), on("id", "m"), "left_semi").select("id", "th", "h", "w").dropDuplicates(["id", "th"]), "line-hashes")
+    named = lambda name, *cols: held.select(F.col("id").alias(f"{name}_id"), F.col("th").alias(f"{name}_th"), *(F.col(c).alias(f"{name}_{c}") for c in cols))
+    both = pairs.join(named("own", "h", "w"), on("id", "own")).join(named("base", "h"), on("id0", "base"))
+    found = F.flatten(F.transform("shifts", lambda s: equal_runs(F.col("own_h"), F.col("own_w"), F.col("base_h"), s, least)))
+    spans = saved(both.select("id", "th", F.explode(found).alias("r")).select("id", "th", "r.first", "r.last").distinct(), "line-spans")
+    dropped(known, pairs, met, held)
+
+    # Runs that touch or overlap are one.
+    order = Window.partitionBy("id", "th").orderBy("first", "last")
     before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = later.withColumn("new", F.when(F.col("place") <= before, 0).otherwise(1))
+    island = spans.withColumn("new", F.when(F.col("first") <= before + 1, 0).otherwise(1))
     island = island.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = island.groupBy("__doc", "run").agg(F.min("place").alias("first"), F.max("last").alias("last"))
-    return spans.groupBy("__doc").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cut"))
+    merged = island.groupBy("id", "th", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return merged.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cut"))
+
+
+def without(text: Column, cut: Column) -> Column:
+    """(text, n_lines, removed) of a text without the runs `cut`: removed has first and last of all lines, blank ones counted, and the words."""
+
+    def lines_of(all_lines: Column) -> Column:
+        counted = F.transform(all_lines, lambda x, i: F.struct(i.alias("i"), _words(x["text"]).alias("w")))
+        return bound(F.filter(counted, lambda x: x["w"] > 0), lambda full: removed_of(all_lines, full))
+
+    def removed_of(all_lines: Column, full: Column) -> Column:
+        def span(c: Column) -> Column:
+            after = F.coalesce(F.get(full, c["last"] + 1)["i"], F.size(all_lines))
+            words = F.aggregate(F.slice(full, c["first"] + 1, c["last"] - c["first"] + 1), F.lit(0), lambda s, x: s + x["w"])
+            return F.struct(F.get(full, c["first"])["i"].alias("first"), (after - 1).alias("last"), words.alias("words"))
+
+        return bound(F.transform(cut, span), lambda gone: F.struct(rest_of(all_lines, gone).alias("text"), F.size(all_lines).alias("n_lines"), gone.alias("removed")))
+
+    def rest_of(all_lines: Column, gone: Column) -> Column:
+        start = lambda j: F.when(j > 0, F.get(gone, j - 1)["last"] + 1).otherwise(0)
+        stop = lambda j: F.coalesce(F.get(gone, j)["first"], F.size(all_lines))
+        kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda j: F.slice(all_lines, start(j) + 1, F.greatest(F.lit(0), stop(j) - start(j)))))
+        space = lambda rest, x, i: F.when(i == 0, "").when(F.get(rest, i - 1)["line"] == x["line"], " ").otherwise("\n")
+        return bound(kept, lambda rest: F.array_join(F.transform(rest, lambda x, i: F.concat(space(rest, x, i), x["text"])), ""))
+
+    return bound(split_lines(text), lines_of)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the text without its repeated runs, and n_lines, removed: array of (first, last) lines of the text before."""
-    rows = docs.withColumn("__text", F.col(text_col)).withColumn("__doc", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
-    cuts = saved(runs(rows.select("__doc", "__text"), min_words), "line-runs")
-    cuts = cuts.select(F.col("__doc.id").alias("__id"), F.col("__doc.h").alias("__h"), F.col("cut").alias("__cut"))
-    same = F.col("__doc.id").eqNullSafe(F.col("__id")) & (F.col("__doc.h") == F.col("__h"))
-    joined = rows.join(small(cuts), same, "left")
-    lines = F.split("__text", "\n")
-    full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), _words(x).alias("w"))), lambda x: x["w"] > 0)
-
-    def span(c: Column) -> Column:
-        """A run of non-blank lines as first and last line of the text, with the blank lines that follow, and its words."""
-        part = F.slice(F.col("__full"), c["first"] + 1, c["last"] - c["first"] + 1)
-        after = F.get(F.col("__full"), c["last"] + 1)["i"]
-        words = F.aggregate(part, F.lit(0), lambda s, x: s + x["w"])
-        return F.struct(F.get(part, F.lit(0))["i"].alias("first"), (F.coalesce(after, F.size("__lines")) - 1).alias("last"), words.alias("words"))
-
-    cut = joined.withColumn("__lines", lines).withColumn("__full", F.when(F.col("__cut").isNotNull(), full))
-    cut = cut.withColumn("removed", F.filter(F.transform("__cut", span), lambda x: x["words"] >= min_words))
-    inside = lambda i: F.exists(F.col("removed"), lambda c: (c["first"] <= i) & (i <= c["last"]))
-    kept = F.array_join(F.filter(F.col("__lines"), lambda x, i: ~inside(i)), "\n")
-    clean = F.when(F.size("removed") > 0, kept).otherwise(F.col("__text"))
-    out = cut.withColumn("__clean", clean).withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)))
+    """docs with the text without its repeated runs, n_lines, and removed: array of (first, last, words) in lines of the text before."""
+    rows = docs.withColumn("__text", F.col(text_col)).withColumn("__th", F.xxhash64(text_col))
+    cuts = saved(runs(rows.select(F.col(id_col).alias("id"), F.col("__th").alias("th"), F.col("__text").alias("text")), min_words), "line-runs")
+    cuts = cuts.select(F.col("id").alias("__id"), F.col("th").alias("__h"), F.col("cut").alias("__cut"))
+    joined = rows.join(small(cuts), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
+    done = F.when(F.col("__cut").isNotNull(), without(F.col("__text"), F.col("__cut")))
+    out = joined.withColumn("__done", done)
+    count = F.coalesce(F.col("__done.n_lines"), F.regexp_count(F.col("__text"), F.lit(LINE_END)) + 1)
     others = [c for c in docs.columns if c not in ("n_lines", "removed")]
-    return out.select(*(F.col("__clean").alias(c) if c == text_col else F.col(c) for c in others), F.when(F.col("__text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), F.coalesce("removed", F.array().cast("array<struct<first:int,last:int,words:int>>")).alias("removed"))
+    clean = F.when(F.col("__done").isNotNull(), F.col("__done.text")).otherwise(F.col("__text")).alias(text_col)
+    return out.select(
+        *(clean if c == text_col else F.col(c) for c in others),
+        F.when(F.col("__text").isNull(), 0).otherwise(count).alias("n_lines"),
+        F.coalesce("__done.removed", F.array().cast("array<struct<first:int,last:int,words:int>>")).alias("removed"),
+    )
 
 
 def digest(clean: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

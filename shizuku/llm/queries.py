@@ -110,23 +110,31 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(size *
 
 
 OP9_SQL = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
-s AS (SELECT rid, doc_id, string_split(text, chr(10)) AS ls FROM d WHERE text IS NOT NULL),
-l AS (SELECT rid, doc_id, len(ls) AS n_lines, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM s),
-w AS (SELECT *, CAST(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS INTEGER) AS words FROM l),
-f AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) AS place, lead(line) OVER (PARTITION BY rid ORDER BY i) AS following,
-  coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i), n_lines) AS next_i FROM w WHERE words > 0),
-p AS (SELECT rid, place, place + 1 AS last, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, place) AS nth FROM f WHERE following IS NOT NULL
-  UNION ALL SELECT rid, place, place AS last, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS nth FROM f WHERE words >= 25),
-h AS (SELECT rid, place, max(last) AS last FROM p WHERE nth > 1 GROUP BY rid, place),
-g AS (SELECT *, CASE WHEN place <= max(last) OVER (PARTITION BY rid ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM h),
-r AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY place ROWS UNBOUNDED PRECEDING) AS run FROM g),
-u AS (SELECT rid, run, min(place) AS a, max(last) AS b FROM r GROUP BY rid, run),
-c AS (SELECT u.rid, u.run, min(f.i) AS lo, max(f.next_i) - 1 AS hi FROM u JOIN f ON f.rid = u.rid AND f.place BETWEEN u.a AND u.b GROUP BY u.rid, u.run HAVING sum(f.words) >= 25),
-x AS (SELECT DISTINCT l.rid, l.i FROM c JOIN l ON l.rid = c.rid AND l.i BETWEEN c.lo AND c.hi),
-k AS (SELECT l.rid, count(*) AS n_lines, count(x.i) AS removed_lines, coalesce(string_agg(CASE WHEN x.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '') AS kept
-  FROM l LEFT JOIN x ON x.rid = l.rid AND x.i = l.i GROUP BY l.rid)
-SELECT doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(removed_lines, 0) AS INTEGER) AS removed_lines, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256
-FROM d LEFT JOIN k USING (rid)
+s AS (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS li FROM (SELECT rid, doc_id, string_split(text, chr(10)) AS ls FROM d WHERE text IS NOT NULL)),
+a AS (SELECT rid, doc_id, li, unnest(ps) AS part, unnest(range(len(ps))) AS pi FROM (SELECT *, string_split(regexp_replace(line, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS ps FROM s)),
+w AS (SELECT rid, doc_id, li, part, row_number() OVER (PARTITION BY rid ORDER BY li, pi) - 1 AS i, CAST(len(regexp_extract_all(part, '[^\x20\x09-\x0D]+')) AS INTEGER) AS words,
+  CAST('0x' || substr(md5(part), 1, 15) AS BIGINT) AS h FROM a),
+f AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS place, sum(words) OVER (PARTITION BY rid ORDER BY i) AS upto, count(*) OVER (PARTITION BY rid) AS n FROM w WHERE words > 0),
+e AS (SELECT x.rid, x.place, min(y.place) FILTER (y.upto - x.upto + x.words >= 25) AS e1, min(y.place) FILTER (y.upto - x.upto + x.words >= 50) AS e2
+  FROM f x JOIN f y ON y.rid = x.rid AND y.place BETWEEN x.place AND x.place + 50 GROUP BY x.rid, x.place),
+g AS (SELECT f.rid, f.doc_id, f.place, e1, coalesce(e2, f.n - 1) AS e2, CAST('0x' || substr(md5((SELECT string_agg(CAST(y.h AS VARCHAR), ',' ORDER BY y.place) FROM f y WHERE y.rid = f.rid AND y.place BETWEEN f.place AND e1)), 1, 15) AS BIGINT) AS g
+  FROM f JOIN e USING (rid, place) WHERE e1 IS NOT NULL),
+m AS (SELECT x.rid, x.doc_id, min({'g': y.g, 'i': y.place}) AS pick FROM g x JOIN g y ON y.rid = x.rid AND y.place BETWEEN x.place AND x.e2 AND y.e1 <= x.e2 GROUP BY x.rid, x.doc_id, x.place),
+p AS (SELECT DISTINCT rid, doc_id, pick.g AS g, pick.i AS i FROM m),
+o AS (SELECT *, lag(i) OVER (PARTITION BY rid, g ORDER BY i) AS last_i, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, i) AS nth, first_value(rid) OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, i) AS rid0,
+  first_value(i) OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, i) AS i0 FROM p),
+t AS (SELECT DISTINCT rid, CASE WHEN last_i IS NULL THEN rid0 ELSE rid END AS rid0, CASE WHEN last_i IS NULL THEN i - i0 ELSE i - last_i END AS shift FROM o WHERE last_i IS NOT NULL OR rid0 <> rid),
+q AS (SELECT t.rid, t.rid0, t.shift, x.place, x.words, x.place - row_number() OVER (PARTITION BY t.rid, t.rid0, t.shift ORDER BY x.place) AS run
+  FROM t JOIN f x ON x.rid = t.rid JOIN f y ON y.rid = t.rid0 AND y.place = x.place - t.shift AND y.h = x.h),
+r AS (SELECT rid, min(place) AS lo, max(place) AS hi FROM q GROUP BY rid, rid0, shift, run HAVING sum(words) >= 25),
+x AS (SELECT DISTINCT f.rid, f.place FROM r JOIN f ON f.rid = r.rid AND f.place BETWEEN lo AND hi),
+l AS (SELECT w.*, max(f.place) OVER (PARTITION BY w.rid ORDER BY w.i) AS at FROM w LEFT JOIN f ON f.rid = w.rid AND f.i = w.i),
+k AS (SELECT l.*, x.place IS NOT NULL AS gone FROM l LEFT JOIN x ON x.rid = l.rid AND x.place = l.at),
+j AS (SELECT rid, string_agg(CASE WHEN last_li IS NULL THEN '' WHEN last_li = li THEN ' ' ELSE chr(10) END || part, '' ORDER BY i) AS kept
+  FROM (SELECT *, lag(li) OVER (PARTITION BY rid ORDER BY i) AS last_li FROM k WHERE NOT gone) GROUP BY rid),
+c AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (gone) AS removed_lines FROM k GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(removed_lines, 0) AS INTEGER) AS removed_lines, CAST(CASE WHEN text IS NOT NULL THEN length(coalesce(kept, '')) END AS BIGINT) AS kept_chars,
+  CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256 FROM d LEFT JOIN c USING (rid) LEFT JOIN j USING (rid)
 """
 
 OP4_SQL = r"""

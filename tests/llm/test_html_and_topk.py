@@ -16,10 +16,105 @@ def test_pages_without_main_text(page):
 
 
 def test_labelled_pages_are_found():
+    exact = found = 0
     for page, wanted in LABELLED:
         got = html_main.main_text(page)
-        assert all(w in got for w in wanted)
-        assert "comments" not in got.lower()
+        found += sum(w in got for w in wanted)
+        exact += all(any(w in block for w in wanted) for block in got.split("\n\n"))
+    assert found >= 0.995 * sum(len(w) for _, w in LABELLED)
+    assert exact >= 0.85 * len(LABELLED)
+
+
+def test_weights_hold_on_pages_that_took_no_part(monkeypatch):
+    html_main.weights.cache_clear()
+    monkeypatch.setattr(html_main, "LABELLED", [x for k, x in enumerate(LABELLED) if k % 3])
+    try:
+        texts = [(html_main.main_text(page), wanted) for page, wanted in LABELLED[::3]]
+    finally:
+        html_main.weights.cache_clear()
+    assert sum(w in got for got, wanted in texts for w in wanted) >= 0.98 * sum(len(w) for _, w in texts)
+
+
+ROWS = "<table>" + "".join(f"<tr><td>cell{i}</td><td>{i}</td></tr>" for i in range(80)) + "</table>"
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>link{i} on</a></li>" for i in range(30)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("part", "stays"),
+    [
+        (ROWS, True), (LINKS, True), ("<figure><img src=a><img src=b></figure>" * 40 + "<p>after</p>", True), ('<section id="related-work"><p>other studies</p></section>', True),
+        ('<p class="notice-period">ends in May</p>', True), ('<h2 id="search-methods">how we looked</h2>', True), ("<p title='it's'>quoted</p>", True), ("<header><p>by line</p></header>", True),
+        (f'<div class="ad">{say(200, 9)}</div>', False), ('<div class="ad-banner">' + f"<p>{say(20, 9)}</p>" * 30 + "</div>", False), ('<div class="notice">we moved</div>', False), ("<aside><p>see also</p></aside>", False),
+        ("<form><label>your name</label></form>", False), ('<section id="comments"><p>first one</p></section>', False), ('<div class="related-posts"><a href=x>more posts</a></div>', False), ("<script>if (a < b) go('</p>')</script>", False),
+        ('<p hidden>out of sight</p>', False), ('<p style="display: none">out of sight</p>', False), ("<nav><a href=x>elsewhere</a></nav>", False), ("<footer>all rights</footer>", False),
+    ],
+)
+def test_parts_within_an_article(part, stays):
+    page = f"<html><body><nav><ul><li><a href=/a>menu</a></li></ul></nav><article><h1>{say(5, 0)}</h1><p>{say(30, 1)}</p>{part}<p>{say(30, 2)}</p></article><footer>end</footer>"
+    got = html_main.main_text(page).split("\n\n")
+    assert got[:2] == [say(5, 0), say(30, 1)] and got[-1] == say(30, 2)
+    inner = " ".join(html_main.SPACE.sub(" ", "".join(v for k, v, *_ in html_main.tokens(part.replace(">", "> ")) if k == "text")).split())
+    assert " ".join(got[2:-1]) == (inner if stays else "")
+
+
+@pytest.mark.parametrize("bit", ["<a", '<p title="', "<b>", "< ", "<!-- ", "<ul><li>", "<script>", "<a b=", "</x", "&amp", "<div><p>"])
+def test_broken_markup_takes_linear_time(bit):
+    import time
+
+    html_main.weights()
+    began = time.time()
+    html_main.main_text(bit * 20_000)
+    small = time.time() - began
+    began = time.time()
+    html_main.main_text(bit * 200_000 + "</i>" * 200_000)
+    assert time.time() - began < 40 * small + 5
+
+
+def test_broken_markup_keeps_what_it_can():
+    art = f"<article><p>{say(20, 1)}</p>"
+    assert html_main.main_text(art + "<p class='x") == say(20, 1)
+    assert html_main.main_text(art + "<!-- open") == say(20, 1)
+    assert html_main.main_text(art + "1 < 2 &amp; <3") == f"{say(20, 1)}\n\n1 < 2 & <3"
+    assert html_main.main_text('<p title="never closed>' + say(20, 1)) == say(20, 1)
+
+
+def test_region_has_the_highest_sum():
+    """Against all pairs of tokens, on pages without parts whose loss is bounded."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    w = html_main.weights()
+    for _ in range(30):
+        bits = [rng.choice(["<p>", "<li>", "<td>", "<br>", "<ul>", "<h2>"]) + " ".join(f"v{rng.randrange(9)}" for _ in range(rng.randrange(6))) + rng.choice(["", "<a href=x>l k</a>"]) for _ in range(25)]
+        page = "".join(bits)
+        gains = []
+        for kind, value, e, _ in html_main.tokens(page):
+            s = html_main.scored(e, False)
+            assert e.part is None
+            gains.append(w.get(f"tag <{value}>", -0.5) * math.exp(-max(s, 0.0)) if kind == "tag" else len(value.split()) * (s - html_main.LINK if e.link else s))
+        best = max(sum(gains[i:j]) for i in range(len(gains)) for j in range(i, len(gains) + 1))
+        assert html_main.regions(page)[1] == pytest.approx(max(best, 0.0))
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query_equals_cutting_out_the_article(spark, sf):
+    """Brute force for the form that the table's pages have: the article element by regular expressions."""
+    import html
+    import re
+
+    import duckdb
+
+    from shizuku.llm import queries
+
+    def plain(page):
+        inner = re.sub(r"<br[^>]*>", " ", re.search(r"<article>(.*?)</article>", page, re.S)[1])
+        blocks = [" ".join(html.unescape(re.sub(r"</?(?:b|i|em|a|span)\b[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|h2|div)\b[^>]*>", inner)]
+        return "\n\n".join(x for x in blocks if x)
+
+    rows = duckdb.sql(f"SELECT page_id, url, html FROM '/root/testdata/sf{sf}/pages.parquet'").fetchall()
+    want = sorted((i, u, plain(h), len(plain(h))) for i, u, h in rows)
+    assert sorted((r.page_id, r.url, r.text, r.n_chars) for r in queries.op1_html_main_text(spark, f"/root/testdata/sf{sf}").collect()) == want
 
 
 def test_parts_of_a_page():
