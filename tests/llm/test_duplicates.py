@@ -171,7 +171,9 @@ def test_rows_without_ids_meet_their_near_copies(spark):
     assert got(neardup.near_duplicates(df, width=4)) == [("5", 57, "5"), ("None", 1, "None"), ("None", 58, "5")]
 
 
-def test_components_of_paths_and_cycles(spark):
+@pytest.mark.parametrize("chunk", [components.CHUNK, 7, 1])
+def test_components_of_paths_and_cycles(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 150)]
     out = components.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()
     want = {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 150: 150, 200: 150}
