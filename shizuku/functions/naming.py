@@ -147,3 +147,27 @@ def any_of(tests: list[Column]) -> Column:
 
 def all_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+# What one of a unit of area is in hectares, one of a unit of money in yen.
+HECTARES = {"ha": 1.0, "ヘクタール": 1.0, "km2": 100.0, "km²": 100.0, "平方キロメートル": 100.0, "m2": 0.0001, "㎡": 0.0001, "a": 0.01}
+YEN = {"円": 1.0, "千円": 1e3, "万円": 1e4, "百万円": 1e6, "億円": 1e8}
+
+
+def in_unit(value: Column, unit: Column, factors: dict[str, float]) -> Column:
+    """A value in the common unit of `factors`; null for a unit that isn't listed."""
+    listed = F.create_map(*(F.lit(x) for pair in factors.items() for x in pair))
+    return value * F.element_at(listed, F.trim(unit))
+
+
+def license_class(text: Column) -> Column:
+    """'open', 'noncommercial', 'restricted' or 'unknown' of a licence's name or address. What isn't known for sure is unknown, never open."""
+    plain = F.regexp_replace(F.lower(F.trim(text)), r"^https?://(?:www\.)?creativecommons\.org/(?:licenses|publicdomain)/", "cc-")
+    cc = F.regexp_extract(F.regexp_replace(plain, r"[_ /]+", "-"), r"^(?:cc-)?(zero|cc0|pdm|mark|by(?:-nc)?(?:-(?:sa|nd))?)(?:-\d.*)?-?$", 1)
+    return F.when(cc.contains("nc"), "noncommercial").when(cc != "", "open").when(plain.rlike(r"^(?:all rights reserved|restricted|closed|©.*)$"), "restricted").otherwise("unknown")
+
+
+def mixed_order(value: Column) -> Column:
+    """A sort key of texts of which some are numbers: numbers first, by value, then all others by code point."""
+    number = value.try_cast("double")
+    return F.struct(number.isNull().alias("text"), number.alias("number"), value.alias("value"))

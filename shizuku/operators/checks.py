@@ -63,3 +63,36 @@ def guard(name: str, violations: DataFrame, most: int = 5) -> None:
     found = violations.limit(most).collect()
     if found:
         raise ValueError(f"{name}: {[r.asDict() for r in found]}")
+
+
+def misshapen_cells(cells: DataFrame, grains: list[str]) -> DataFrame:
+    """Counts of occurrence cells whose period doesn't have the bounds of its grain, in one pass."""
+    start, end = F.col("period_start"), F.col("period_end")
+    year, month = F.substring(start, 1, 4), F.substring(start, 1, 7)
+    is_ = lambda g: F.col("grain") == g
+    last = F.last_day(F.to_date(F.concat(month, F.lit("-01")))).cast("string")
+    return cells.agg(
+        F.count_if(~F.col("grain").isin(*grains)).alias("other_grain"),
+        F.count_if(is_("year") & ((start != F.concat(year, F.lit("-01-01"))) | (end != F.concat(year, F.lit("-12-31"))))).alias("not_a_year"),
+        F.count_if(is_("survey_period") & (year == F.substring(end, 1, 4))).alias("within_a_year"),
+        F.count_if(is_("month") & ((start != F.concat(month, F.lit("-01"))) | (end != last))).alias("not_a_month"),
+    )
+
+
+def months_unlike_years(cells: DataFrame, dims: list[str], bucket: Column) -> DataFrame:
+    """Series and years (`bucket` of a month's first day, as text) in which roll-ups of months (input_grain 'month') differ from their months: in a count, in the least or greatest value, or because one side is missing."""
+    keys = [*dims, "bucket", "stat"]
+    values = [F.sum("n").alias("n"), F.sum("n_censored").alias("n_censored"), F.sum("n_not_detected").alias("n_not_detected")]
+    extreme = lambda c: F.when(F.first("stat") == "min", F.min(c)).when(F.first("stat") == "max", F.max(c)).alias(c)
+    from_month = cells.filter("input_grain = 'month'").withColumn("bucket", F.when(F.col("grain") == "month", bucket).otherwise(F.substring("period_start", 1, 4)))
+    sides = []
+    for rolled in (False, True):
+        rows = from_month.filter((F.col("grain") != "month") if rolled else (F.col("grain") == "month") & (F.col("value_grain") != "month"))
+        sides.append(rows.groupBy(*keys).agg(*values, extreme("value_zero"), extreme("value_lod")).select(*keys, F.struct("n", "n_censored", "n_not_detected", "value_zero", "value_lod").alias("rolled" if rolled else "months")))
+    months, rolled = sides
+    other = rolled.select(*(F.col(k).alias(f"r_{k}") for k in keys), "rolled")
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"r_{k}"))
+    joined = months.join(other, on, "full_outer").filter(~F.col("months").eqNullSafe(F.col("rolled")))
+    return joined.select(*(F.coalesce(k, f"r_{k}").alias(k) for k in keys), "months", "rolled")

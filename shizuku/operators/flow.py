@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shizuku.sources.stored import scratch_dir
+
 # Bases and confidences from the strongest to the weakest.
 BASES = ["measured", "published", "derived", "estimated", "assumed", "unknown"]
 CONFIDENCES = ["high", "medium", "low"]
@@ -29,18 +29,18 @@ def compose(assignments: DataFrame, edges: DataFrame, sources: DataFrame, as_of:
 
     Paths walk upstream from each zone's facilities, one join a step, until they reach a source; shares multiply along a path
     and add up at the source. A path over an edge of unknown basis has no share, and then no source of that zone has one.
-    What runs into a node without inflow, into a cycle or beyond `depth` is unresolved.
+    What runs into a node without inflow, into a cycle or beyond `depth` is unresolved. Without assignments both tables are empty.
     """
     ids = sources.select(F.col("source_id").alias("node")).withColumn("is_source", F.lit(True))
     links = edges.filter(active(as_of)).select(F.col("to_id").alias("node"), "from_id", F.when(F.col("basis") != "unknown", F.coalesce("share", F.lit(0.0))).alias("edge_share"), (F.col("basis") == "unknown").alias("edge_unknown"), _rank(F.col("basis"), BASES).alias("edge_basis"))
     paths = assignments.filter(active(as_of)).select("zone", F.col("facility_id").alias("node"), F.coalesce("share", F.lit(0.0)).alias("share"), F.lit(False).alias("unknown"), _rank(F.col("confidence"), CONFIDENCES).alias("confidence"), F.lit(0).alias("basis"), F.array("facility_id").alias("seen"))
     arrived = lost = None
     context = edges.sparkSession.sparkContext
-    if not edges.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp())  # only where no shared folder is named, as in tests
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch_dir(edges.sparkSession))
     for _ in range(depth + 1):
         at = paths.join(ids, "node", "left").checkpoint()
-        if at.isEmpty():
+        if at.isEmpty() and arrived is not None:
             break
         done = at.filter("is_source").drop("is_source", "seen")
         onward = at.filter("is_source IS NULL").drop("is_source").join(links, "node", "left")

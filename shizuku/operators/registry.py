@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +24,16 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: str = "replace") -> DataFrame:
-    """old with new: 'replace' lets new rows win, 'ignore' old ones. Keys that repeat within new keep one row, the first by all columns."""
-    rank = Window.partitionBy(*keys).orderBy(*new.columns)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: str = "replace", order: list[str] | None = None) -> DataFrame:
+    """old with new: 'replace' lets new rows win, 'ignore' old ones. Null keys match one another.
+
+    Of new rows with one key, 'replace' keeps the last and 'ignore' the first in `order` (columns that tell when a row came), then by all columns.
+    """
+    by = [*(order or []), *new.columns]
+    rank = Window.partitionBy(*keys).orderBy(*(F.col(c).desc_nulls_last() if policy == "replace" else F.col(c).asc_nulls_first() for c in by))
     new = new.withColumn("__rn", F.row_number().over(rank)).filter("__rn = 1").drop("__rn")
-    if policy == "replace":
-        return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-    return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
+    missing = lambda rows, from_: rows.join(from_.select(*(F.col(k).alias(f"__{k}") for k in keys)), reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)), "left_anti")
+    return missing(old, new).unionByName(new) if policy == "replace" else old.unionByName(missing(new, old))
 
 
 def with_alias(rows: DataFrame, aliases: DataFrame) -> DataFrame:

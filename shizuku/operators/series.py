@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shizuku.functions import naming
+from shizuku.sources.stored import scratch_dir
 
 KEY = ["variable_id", "value_grain", "obs_stat", "unit_id"]
 
@@ -55,8 +57,8 @@ def cells(cube: DataFrame, spec: CellSpec, tables: dict[str, DataFrame]) -> Data
     if spec.series is not None:
         # The variable alone is a filter that reaches the scan; the whole key then meets a few rows.
         rows = rows.filter(F.col("variable_id").isin(*{s[0] for s in spec.series}))
-        same = lambda s: naming.all_of([F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(KEY, s, strict=True)])
-        rows = rows.filter(naming.any_of([same(s) for s in spec.series]))
+        keys = cube.sparkSession.createDataFrame([tuple(s) for s in spec.series], ", ".join(f"k_{c} string" for c in KEY))  # no more than the caller lists
+        rows = rows.join(F.broadcast(keys), naming.all_of([F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in KEY]), "left_semi")
     if spec.region_id is not None:
         rows = rows.filter(F.col("region_id") == spec.region_id)
     if spec.input_grains is not None:
@@ -91,10 +93,20 @@ def pivot_stats(found: DataFrame, stats: tuple[str, ...] = ("mean", "min", "max"
 
 
 def evenly(df: DataFrame, order: list[str], most: int) -> DataFrame:
-    """At most so many rows, evenly spaced in order, first and last among them."""
-    total = F.count("*").over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    rows = df.withColumn("__n", total).withColumn("__i", place)
-    steps = F.sequence(F.lit(0), F.least(F.lit(most), F.col("__n")) - 1)
+    """At most so many rows, evenly spaced in order, first and last among them.
+
+    Rows get their place in two levels: the sorted table is written with the partition of each row and its place there, then rows are
+    numbered from those of the partitions before on. Only the counts, a row a partition, go through one window.
+    """
+    if most < 1:
+        return df.limit(0)
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() % (1 << 33))
+    path = f"{scratch_dir(df.sparkSession)}/shizuku-sorted/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(path)
+    sizes = rows.groupBy("__p").agg(F.count("*").alias("__size"))
+    sizes = sizes.select(F.col("__p").alias("__q"), (F.sum("__size").over(Window.orderBy("__p")) - F.col("__size")).alias("__before"), F.sum("__size").over(Window.partitionBy()).alias("__n"))
+    rows = rows.join(F.broadcast(sizes), F.col("__p") == F.col("__q")).withColumn("__at", F.col("__before") + F.col("__i"))
+    steps = F.sequence(F.lit(0), F.least(F.lit(most), F.col("__n")).cast("int") - 1)
     picked = F.transform(steps, lambda k: F.round(k * (F.col("__n") - 1) / F.greatest(F.least(F.lit(most), F.col("__n")) - 1, F.lit(1))).cast("long"))
-    return rows.filter(F.array_contains(picked, F.col("__i").cast("long"))).drop("__n", "__i")
+    return rows.filter(F.array_contains(picked, F.col("__at"))).select(*df.columns)

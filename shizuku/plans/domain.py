@@ -8,18 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shizuku.functions import censoring
+from shizuku.sources.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under its name, with its SQL."""
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, or another one, with its SQL."""
 
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[name or f.__name__] = sql
         return f
 
     return register
@@ -138,7 +139,14 @@ def taxon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def occurrence_cells(spark: SparkSession, sf_dir: str, grains: tuple[str, ...] = ("year", "survey_period")) -> DataFrame:
-    """The occurrence cube with year, binom and taxon_group. Each record goes through one aggregation per population and grain."""
+    """The occurrence cube with year, binom and taxon_group, of some grains: stored once for the state of the tables, in folders by grain and kind of place."""
+    inputs = [table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "part")]
+    cube = stored("occurrence-cells", inputs, lambda: built_cells(spark, sf_dir), partition_by=("grain", "place_kind"), sort_by=("taxon_id", "period_start"))
+    return cube.filter(F.col("grain").isin(*grains))
+
+
+def built_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record goes through one aggregation per population and grain."""
     from functools import reduce
 
     from shizuku.operators import occurrence_cube
@@ -147,6 +155,6 @@ def occurrence_cells(spark: SparkSession, sf_dir: str, grains: tuple[str, ...] =
     here = occurrence_cube.located(occ)
     # The bridge to watersheds is a column here, so the population needs no join.
     there = occ.withColumn("place_id", F.col("ws_id")).withColumn("place_kind", F.lit("watershed"))
-    parts = [occurrence_cube.cells(p, g) for p in (here, there) for g in grains if g != "month"] + ([occurrence_cube.cells(here, "month")] if "month" in grains else [])
+    parts = [occurrence_cube.cells(p, g) for p in (here, there) for g in ("year", "survey_period")] + [occurrence_cube.cells(here, "month")]
     cube = reduce(DataFrame.unionByName, parts)
     return cube.join(taxon(spark, sf_dir), "taxon_id", "left").withColumn("year", F.substring("period_start", 1, 4).cast("int"))

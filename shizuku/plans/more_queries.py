@@ -100,17 +100,17 @@ def greatest_share(spark, sf_dir):
     return documents.greatest_share(rows, ["zone"], "share", "source")
 
 
-@query("SELECT 'Feature' AS type, c_custkey AS id, CAST(floor(c_acctbal / 100) AS BIGINT) AS gx, CAST(c_custkey % 100 AS BIGINT) AS gy, 5 AS corners FROM customer WHERE c_custkey <= 50")
-def mesh_features(spark, sf_dir):
-    """The first 50 customers, as its SQL has them; mesh_features_all takes all."""
-    return _features(table(spark, sf_dir, "customer").filter("c_custkey <= 50"))
+_FEATURES = "SELECT 'Feature' AS type, c_custkey AS id, CAST(floor(c_acctbal / 100) AS BIGINT) AS gx, CAST(c_custkey % 100 AS BIGINT) AS gy, 5 AS corners FROM customer"
 
 
-@query("SELECT 'Feature' AS type, c_custkey AS id, CAST(floor(c_acctbal / 100) AS BIGINT) AS gx, CAST(c_custkey % 100 AS BIGINT) AS gy, 5 AS corners FROM customer")
-def mesh_features_all(spark, sf_dir):
+@query(_FEATURES)
+def mesh_features(spark, sf_dir):
     return _features(table(spark, sf_dir, "customer"))
 
 
+query(_FEATURES, "mesh_features_all")(mesh_features)
+
+
 def _features(customers):
     """Cells as closed squares; their JSON is read back to show that it holds what went in."""
     from shizuku.sources.files import to_geojson

@@ -8,6 +8,7 @@ from shizuku.functions import naming, periods
 from shizuku.operators import checks, registry
 from shizuku.operators import observation_cube as cube
 from shizuku.plans.domain import DAYS, DIM, EVENTS, MONTHS, OBS, instants, monthly, observation, query, table
+from shizuku.sources.stored import stored
 
 _CELL = f"{DIM}, period_start, period_end, grain, input_grain, stat, value_zero, value_lod, n, n_censored, n_not_detected"
 _UNFOLD = "CROSS JOIN (SELECT unnest(['mean', 'min', 'max']) AS stat)"
@@ -22,7 +23,14 @@ def rounded(df, digits: int = 6):
 
 
 def days_of(spark, sf_dir):
-    return cube.day_stats(cube.imputed(observation(spark, sf_dir)))
+    """The daily cells, which months, years and all series read: stored once for the state of the tables."""
+    inputs = [table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation")]
+    return stored("observation-days", inputs, lambda: cube.day_stats(cube.imputed(observation(spark, sf_dir))), sort_by=("variable_id", "place_id", "period_start"))
+
+
+def exact_mean(column: str, digits: int = 9):
+    """The mean of values of up to so many decimals, added up exactly: it doesn't depend on the order of rows."""
+    return F.sum(F.round(column, digits).cast(f"decimal(28,{digits})")).cast("double") / F.count(column)
 
 
 @query(f"WITH {DAYS} SELECT {DIM}, period_start, period_start AS period_end, 'day' AS grain, input_grain, stat, round(value_zero, 6) AS value_zero, round(value_lod, 6) AS value_lod, n, n_censored, n_not_detected FROM (SELECT *, {_PICK} FROM days {_UNFOLD})")
@@ -124,30 +132,30 @@ def day_series(spark, sf_dir):
     return rows.select("place_id", "period_start", F.round("vz_mean", 6).alias("value"))
 
 
-@query(f"WITH {_YEARS} SELECT n_nationkey AS zone, substr(period_start, 1, 4) AS year, variable_id, count(DISTINCT place_id) AS n_sites, CAST(sum(n) AS BIGINT) AS n, round(avg(value_zero), 4) AS avg_zero, round(avg(value_lod), 4) AS avg_lod FROM years JOIN supplier ON place_id = 'site:' || s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE stat = 'mean' GROUP BY ALL")
+@query(f"WITH {_YEARS} SELECT n_nationkey AS zone, substr(period_start, 1, 4) AS year, variable_id, count(DISTINCT place_id) AS n_sites, CAST(sum(n) AS BIGINT) AS n, round(CAST(sum(CAST(round(value_zero, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(value_zero), 4) AS avg_zero, round(CAST(sum(CAST(round(value_lod, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(value_lod), 4) AS avg_lod FROM years JOIN supplier ON place_id = 'site:' || s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE stat = 'mean' GROUP BY ALL")
 def zone_year(spark, sf_dir):
     within = table(spark, sf_dir, "supplier").select(F.concat(F.lit("site:"), "s_suppkey").alias("place_id"), F.col("s_nationkey").alias("zone"))
     rows = years_of(spark, sf_dir).filter("stat = 'mean'").join(within, "place_id")
-    return rows.groupBy("zone", F.substring("period_start", 1, 4).alias("year"), "variable_id").agg(F.countDistinct("place_id").alias("n_sites"), F.sum("n").alias("n"), F.round(F.avg("value_zero"), 4).alias("avg_zero"), F.round(F.avg("value_lod"), 4).alias("avg_lod"))
+    return rows.groupBy("zone", F.substring("period_start", 1, 4).alias("year"), "variable_id").agg(F.countDistinct("place_id").alias("n_sites"), F.sum("n").alias("n"), F.round(exact_mean("value_zero"), 4).alias("avg_zero"), F.round(exact_mean("value_lod"), 4).alias("avg_lod"))
 
 
-@query(f"WITH {DAYS} SELECT n_nationkey AS zone, substr(period_start, 6, 2) AS month_of_year, variable_id, count(*) AS n, round(avg(vz_mean), 4) AS avg, min(vz_mean) AS min, max(vz_mean) AS max FROM days JOIN supplier ON place_id = 'site:' || s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL")
+@query(f"WITH {DAYS} SELECT n_nationkey AS zone, substr(period_start, 6, 2) AS month_of_year, variable_id, count(*) AS n, round(CAST(sum(CAST(round(vz_mean, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(vz_mean), 4) AS avg, min(vz_mean) AS min, max(vz_mean) AS max FROM days JOIN supplier ON place_id = 'site:' || s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL")
 def zone_month(spark, sf_dir):
     within = table(spark, sf_dir, "supplier").select(F.concat(F.lit("site:"), "s_suppkey").alias("place_id"), F.col("s_nationkey").alias("zone"))
     rows = days_of(spark, sf_dir).join(within, "place_id")
-    return rows.groupBy("zone", F.substring("period_start", 6, 2).alias("month_of_year"), "variable_id").agg(F.count("*").alias("n"), F.round(F.avg("vz_mean"), 4).alias("avg"), F.min("vz_mean").alias("min"), F.max("vz_mean").alias("max"))
+    return rows.groupBy("zone", F.substring("period_start", 6, 2).alias("month_of_year"), "variable_id").agg(F.count("*").alias("n"), F.round(exact_mean("vz_mean"), 4).alias("avg"), F.min("vz_mean").alias("min"), F.max("vz_mean").alias("max"))
 
 
-@query(f"WITH {DAYS} SELECT variable_id, substr(period_start, 6, 2) AS month_of_year, count(*) AS n, round(avg(vz_mean), 4) AS avg_zero, round(avg(vl_mean), 4) AS avg_lod, min(vz_mean) AS min, max(vz_mean) AS max, round(sum(vz_sum) / count(DISTINCT substr(period_start, 1, 4)), 4) AS sum_per_year FROM days GROUP BY ALL")
+@query(f"WITH {DAYS} SELECT variable_id, substr(period_start, 6, 2) AS month_of_year, count(*) AS n, round(CAST(sum(CAST(round(vz_mean, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(vz_mean), 4) AS avg_zero, round(CAST(sum(CAST(round(vl_mean, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(vl_mean), 4) AS avg_lod, min(vz_mean) AS min, max(vz_mean) AS max, round(sum(vz_sum) / count(DISTINCT substr(period_start, 1, 4)), 4) AS sum_per_year FROM days GROUP BY ALL")
 def climatology(spark, sf_dir):
     year = F.substring("period_start", 1, 4)
     rows = days_of(spark, sf_dir).groupBy("variable_id", F.substring("period_start", 6, 2).alias("month_of_year"))
-    return rows.agg(F.count("*").alias("n"), F.round(F.avg("vz_mean"), 4).alias("avg_zero"), F.round(F.avg("vl_mean"), 4).alias("avg_lod"), F.min("vz_mean").alias("min"), F.max("vz_mean").alias("max"), F.round(F.sum("vz_sum") / F.countDistinct(year), 4).alias("sum_per_year"))
+    return rows.agg(F.count("*").alias("n"), F.round(exact_mean("vz_mean"), 4).alias("avg_zero"), F.round(exact_mean("vl_mean"), 4).alias("avg_lod"), F.min("vz_mean").alias("min"), F.max("vz_mean").alias("max"), F.round(F.sum("vz_sum") / F.countDistinct(year), 4).alias("sum_per_year"))
 
 
-@query(f"WITH {DAYS} SELECT place_id, variable_id, count(*) AS n_days, min(period_start) AS first_day, max(period_start) AS last_day, round(avg(vz_mean), 4) AS avg FROM days GROUP BY ALL")
+@query(f"WITH {DAYS} SELECT place_id, variable_id, count(*) AS n_days, min(period_start) AS first_day, max(period_start) AS last_day, round(CAST(sum(CAST(round(vz_mean, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(vz_mean), 4) AS avg FROM days GROUP BY ALL")
 def place_summary(spark, sf_dir):
-    return days_of(spark, sf_dir).groupBy("place_id", "variable_id").agg(F.count("*").alias("n_days"), F.min("period_start").alias("first_day"), F.max("period_start").alias("last_day"), F.round(F.avg("vz_mean"), 4).alias("avg"))
+    return days_of(spark, sf_dir).groupBy("place_id", "variable_id").agg(F.count("*").alias("n_days"), F.min("period_start").alias("first_day"), F.max("period_start").alias("last_day"), F.round(exact_mean("vz_mean"), 4).alias("avg"))
 
 
 @query(f"WITH {DAYS} SELECT variable_id, obs_stat, unit_id, value_grain, CAST(sum(CASE WHEN input_grain = 'day' THEN n ELSE 0 END) AS BIGINT) AS n_daily, CAST(sum(CASE WHEN input_grain <> 'day' THEN n ELSE 0 END) AS BIGINT) AS n_annual, count(DISTINCT place_id) AS n_places FROM days GROUP BY ALL")

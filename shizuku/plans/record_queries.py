@@ -178,19 +178,18 @@ def _points_and_places(spark, sf_dir):
     return points, places
 
 
-@query("WITH p AS (SELECT c_custkey AS point_id, (c_custkey % 40) / 10.0 AS lat, (c_custkey % 37) / 10.0 AS lon FROM customer WHERE c_custkey <= 500), s AS (SELECT 'site:' || s_suppkey AS place_id, (s_suppkey % 17) / 4.0 AS lat, (s_suppkey % 13) / 3.0 AS lon FROM supplier), d AS (SELECT point_id, place_id, 2 * 6371.0088 * asin(sqrt(least(power(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * power(sin(radians(s.lon - p.lon) / 2), 2), 1.0))) AS km FROM p, s), r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, place_id) AS rn FROM d WHERE km <= 50) SELECT point_id, round(km, 6) AS km FROM r WHERE rn = 1")
-def nearest_place(spark, sf_dir):
-    """The first 500 customers, as its SQL has them; nearest_place_all takes all."""
-    points, places = _points_and_places(spark, sf_dir)
-    return spatial.nearest(points.filter("point_id <= 500"), places, 50.0).select("point_id", F.round("km", 6).alias("km"))
+_NEAREST = "WITH p AS (SELECT c_custkey AS point_id, (c_custkey % 40) / 10.0 AS lat, (c_custkey % 37) / 10.0 AS lon FROM customer), u AS (SELECT DISTINCT lat, lon FROM p), s AS (SELECT DISTINCT (s_suppkey % 17) / 4.0 AS lat, (s_suppkey % 13) / 3.0 AS lon FROM supplier), d AS (SELECT u.lat, u.lon, min(2 * 6371.0088 * asin(sqrt(least(power(sin(radians(s.lat - u.lat) / 2), 2) + cos(radians(u.lat)) * cos(radians(s.lat)) * power(sin(radians(s.lon - u.lon) / 2), 2), 1.0)))) AS km FROM u, s GROUP BY ALL) SELECT point_id, round(km, 6) AS km FROM p JOIN d ON p.lat = d.lat AND p.lon = d.lon WHERE km <= 50"
 
 
-@query("WITH p AS (SELECT c_custkey AS point_id, (c_custkey % 40) / 10.0 AS lat, (c_custkey % 37) / 10.0 AS lon FROM customer), u AS (SELECT DISTINCT lat, lon FROM p), s AS (SELECT DISTINCT (s_suppkey % 17) / 4.0 AS lat, (s_suppkey % 13) / 3.0 AS lon FROM supplier), d AS (SELECT u.lat, u.lon, min(2 * 6371.0088 * asin(sqrt(least(power(sin(radians(s.lat - u.lat) / 2), 2) + cos(radians(u.lat)) * cos(radians(s.lat)) * power(sin(radians(s.lon - u.lon) / 2), 2), 1.0)))) AS km FROM u, s GROUP BY ALL) SELECT point_id, round(km, 6) AS km FROM p JOIN d ON p.lat = d.lat AND p.lon = d.lon WHERE km <= 50")
-def nearest_place_all(spark, sf_dir):
+@query(_NEAREST)
+def nearest_place(spark, sf_dir):
     points, places = _points_and_places(spark, sf_dir)
     return spatial.nearest(points, places, 50.0).select("point_id", F.round("km", 6).alias("km"))
 
 
+query(_NEAREST, "nearest_place_all")(nearest_place)
+
+
 _EDGES = [("f1", "s1", 0.6, "measured"), ("f1", "s2", 0.4, "published"), ("f2", "f1", 0.5, "estimated"), ("f2", "s3", 0.5, "measured"), ("f3", "s1", None, "unknown"), ("f3", "s2", 0.3, "measured"), ("f4", "nowhere", 1.0, "measured")]
 
 
@@ -232,11 +231,11 @@ def upsert_rows(spark, sf_dir):
     return registry.upsert(old, changed.unionByName(added), ["c_custkey"])
 
 
-@query("WITH a AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey <= 20), d AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 15) SELECT k AS n_nationkey, 'missing' AS side FROM d WHERE k NOT IN (SELECT k FROM a) UNION ALL SELECT k, 'stale' FROM a WHERE k NOT IN (SELECT k FROM d)")
+@query("WITH a AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal < 0), d AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey IN (0, 2, 4)) SELECT k AS n_nationkey, 'missing' AS side FROM d WHERE k NOT IN (SELECT k FROM a) UNION ALL SELECT k, 'stale' FROM a WHERE k NOT IN (SELECT k FROM d)")
 def declared_difference(spark, sf_dir):
-    """Suppliers and nations up to an id, as its SQL has them; declared_difference_all compares whole tables."""
-    actual = table(spark, sf_dir, "supplier").filter("s_suppkey <= 20").select(F.col("s_nationkey").alias("n_nationkey"))
-    return checks.set_difference(actual, table(spark, sf_dir, "nation").filter("n_nationkey < 15"), ["n_nationkey"])
+    """Nations with a supplier in debt against nations of every other region."""
+    actual = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey"))
+    return checks.set_difference(actual, table(spark, sf_dir, "nation").filter(F.col("n_regionkey").isin(0, 2, 4)), ["n_nationkey"])
 
 
 @query("WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), d AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0) SELECT k AS c_custkey, 'missing' AS side FROM (SELECT k FROM d EXCEPT SELECT k FROM a) UNION ALL SELECT k, 'stale' FROM (SELECT k FROM a EXCEPT SELECT k FROM d)")

@@ -112,18 +112,51 @@ def darwin_core(records: DataFrame, licenses: list[str]) -> dict[str, DataFrame]
     return out
 
 
-def meta_xml(tables: dict[str, DataFrame]) -> str:
-    """The archive's descriptor: events are its core, all else hangs on them."""
+def meta_xml(tables: dict[str, DataFrame], files: dict[str, list[str]] | None = None) -> str:
+    """The archive's descriptor: events are its core, all else hangs on them. files: the files of each table, `<table>.txt` by default."""
     parts = []
     for name, df in tables.items():
         tag = "core" if name == "event" else "extension"
         fields = "".join(f'<field index="{i}" term="http://rs.tdwg.org/dwc/terms/{c}"/>' for i, c in enumerate(df.columns))
         key = df.columns.index("eventID")
-        parts.append(f'<{tag} encoding="UTF-8" fieldsTerminatedBy="\\t" linesTerminatedBy="\\n" ignoreHeaderLines="1"><files><location>{name}.txt</location></files><{"id" if tag == "core" else "coreid"} index="{key}"/>{fields}</{tag}>')
+        places = "".join(f"<location>{x}</location>" for x in (files or {}).get(name, [f"{name}.txt"]))
+        parts.append(f'<{tag} encoding="UTF-8" fieldsTerminatedBy="\\t" linesTerminatedBy="\\n" ignoreHeaderLines="1"><files>{places}</files><{"id" if tag == "core" else "coreid"} index="{key}"/>{fields}</{tag}>')
     return '<archive xmlns="http://rs.tdwg.org/dwc/text/">' + "".join(parts) + "</archive>"
 
 
 def write_darwin_core(tables: dict[str, DataFrame], path: str) -> None:
-    """Tab-separated folders of the archive's tables."""
+    """The archive as a folder: tab-separated files of each table, in a folder of its own, and meta.xml, which names every one of them."""
+    from shizuku.sources.stored import files_of
+
+    files = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").option("header", True).option("sep", "\t").option("quote", "").csv(f"{path}/{name}.txt")
+        df.write.mode("overwrite").option("header", True).option("sep", "\t").option("quote", "").csv(f"{path}/{name}")
+        fs, folder = files_of(df.sparkSession, f"{path}/{name}")
+        found = (str(x.getPath().getName()) for x in fs.listStatus(folder))
+        files[name] = sorted(f"{name}/{x}" for x in found if x.startswith("part-"))
+        fs, target = files_of(df.sparkSession, f"{path}/meta.xml")
+    stream = fs.create(target, True)
+    stream.write(bytearray(meta_xml(tables, files).encode()))
+    stream.close()
+
+
+def read_darwin_core(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of an archive as meta.xml describes them: rows that hang on an event which isn't there are an error of the archive, see `orphans`."""
+    text = spark.read.option("wholetext", True).text(f"{path}/meta.xml").first()[0]
+    ns = {"d": "http://rs.tdwg.org/dwc/text/"}
+    out = {}
+    for part in ElementTree.fromstring(text):
+        places = [x.text for x in part.findall("d:files/d:location", ns)]
+        columns = [x.get("term").rsplit("/", 1)[-1] for x in part.findall("d:field", ns)]
+        name = places[0].split("/")[0].removesuffix(".txt")
+        out[name] = spark.read.option("header", True).option("sep", "\t").option("quote", "").schema(", ".join(f"{c} string" for c in columns)).csv([f"{path}/{x}" for x in places])
+    return out
+
+
+def orphans(archive: dict[str, DataFrame]) -> DataFrame:
+    """table, eventID of rows whose event the archive doesn't have."""
+    found = [df.select(F.lit(name).alias("table"), "eventID").join(archive["event"].select("eventID"), "eventID", "left_anti").select("table", "eventID") for name, df in archive.items() if name != "event"]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out

@@ -42,10 +42,16 @@ def publish(df: DataFrame, path: str, checks: Iterable[Callable[[DataFrame], Non
         raise
     _, target = _fs(spark, path)
     _, aside = _fs(spark, old)
-    if fs.exists(target):
-        fs.rename(target, aside)
-    fs.rename(staged, target)
-    fs.delete(aside, True)
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        fs.delete(staged, True)
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(staged, target):
+        if had:
+            fs.rename(aside, target)  # the old table comes back; what was written stays beside it
+        raise OSError(f"cannot move {stage} to {path}")
+    if had:
+        fs.delete(aside, True)
     return found
 
 
