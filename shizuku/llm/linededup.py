@@ -1,9 +1,9 @@
 """Line dedup by winnowing over line hashes: later copies of repeated runs of lines are deleted.
 
 A document is the sequence of its lines, where a line of several sentences counts as one line for each (text from the web is often
-not broken into lines), without the blank ones. A stretch of lines of MIN_WORDS words or a little more, from each line on, has a
-hash. Of the stretches in every window of twice as many words, or less at the document's end, the one with the smallest
-hash is selected as a fingerprint. So two documents that share a run of SURE_WORDS words or more share a fingerprint in it.
+not broken into lines), without the blank ones. Every window of lines of MIN_WORDS words, or just more, selects its smallest line
+hash. The stretch of as many words from the selected line on (at the document's end, the last one there is) is hashed
+as a fingerprint. So two documents that share a run of two such windows, about SURE_WORDS words, share a fingerprint in it.
 
 A fingerprint's position is joined with the earliest one of the same hash in the corpus, found by a pre-aggregated minimum,
 never with all; further positions in the same document are joined with the one before. Each join gives two documents and how
@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from shizuku.llm.common import WORD, bound, dropped, saved, small
 
-#: Least words of a run that is deleted. Runs of twice as many words are sure to be found.
+#: Least words of a run that is deleted; a run is sure to be found if it holds a window and, from its last line on, a stretch, so about twice as many words.
 MIN_WORDS = 25
-#: Lines that the words of a window are looked for in at first; longer windows take a second step.
-AHEAD = 12
+SURE_WORDS = 2 * MIN_WORDS
+#: Lines that the words of a stretch are looked for in at first; longer ones take a second step.
+AHEAD = 10
 #: Where a line of several sentences is divided, and all places where lines end.
 SENTENCE_END = r"(?<=[.!?]) "
 LINE_END = rf"\n|{SENTENCE_END}"
@@ -43,52 +44,65 @@ def _words(line: Column) -> Column:
     return F.regexp_count(line, F.lit(WORD))
 
 
-def _hash(text: Column) -> Column:
-    """60 bits of the MD5 digest as a number."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def _hex(text: Column) -> Column:
+    """60 bits of the MD5 digest as 15 hexadecimal digits, which sort like the number."""
+    return F.substring(F.md5(text), 1, 15)
 
 
-def selected(h: Column, w: Column, least: int) -> Column:
-    """(hash, place) of the fingerprints of a document with line hashes h and words w."""
-    most, n = 2 * least, F.size(w)
+def _number(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("long")
 
-    # How far the stretch and the window from a line on go: words * 2**32 + lines of the window * 2**16 + lines of the stretch.
-    def step(so_far: Column, x: Column) -> Column:
-        words = F.shiftright(so_far, 32)
-        more = so_far + x.cast("long") * (1 << 32) + (1 << 16)
-        return F.when(words >= most, so_far).when(words >= least, more).otherwise(more + 1)
 
-    def reach(i: Column) -> Column:
-        near = F.aggregate(F.slice(w, i + 1, AHEAD), F.lit(0).cast("long"), step)
-        return bound(near, lambda x: F.when(F.shiftright(x, 32) >= most, x).otherwise(F.aggregate(F.slice(w, i + 1 + AHEAD, most), x, step)))
+def stretch_lines(w: Column, i: Column, least: int) -> Column:
+    """How many lines from the i-th on have `least` words or just more; null if the rest of the document has fewer."""
 
-    def stretch(x: Column, i: Column) -> Column:
-        lines = x.bitwiseAND(F.lit(0xFFFF)).cast("int")
-        joined = F.array_join(F.slice(h, i + 1, lines).cast("array<string>"), ",")
-        window = F.shiftright(x, 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
-        return F.when(F.shiftright(x, 32) >= least, F.struct(_hash(joined).alias("g"), i.alias("i"), (i + lines).alias("end"), (i + window).alias("upto")))
+    def among(next_: Column) -> Column:
+        sums = [F.get(next_, F.lit(0))]
+        for k in range(1, AHEAD):
+            sums.append(sums[-1] + F.get(next_, F.lit(k)))
+        found = F.when(sums[1] >= least, F.when(sums[0] >= least, 1).otherwise(2))
+        for k in range(3, AHEAD, 2):  # two at a time, so that fewer sums are made
+            found = found.when(sums[k] >= least, F.when(sums[k - 1] >= least, k).otherwise(k + 1))
+        return found.otherwise(bound(F.aggregate(F.slice(w, i + 1, least), F.lit(0).cast("long"), step), lambda x: F.when(x >= least << 16, x.bitwiseAND(F.lit(0xFFFF)).cast("int"))))
 
-    def minima(stretches: Column) -> Column:
-        least_of = lambda x: F.array_min(F.filter(F.slice(stretches, x["i"] + 1, x["upto"] - x["i"]), lambda y: y["end"] <= x["upto"]))
-        found = F.transform(F.filter(stretches, lambda x: x.isNotNull()), lambda x: least_of(x))
-        return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.struct(x["g"].alias("g"), x["i"].alias("i")))))
+    step = lambda so_far, x: F.when(so_far >= least << 16, so_far).otherwise(so_far + x.cast("long") * (1 << 16) + 1)
+    # Behind the end there are lines without words, so that sums of the last lines aren't null.
+    return bound(F.concat(F.slice(w, i + 1, AHEAD), F.array_repeat(F.lit(0), AHEAD)), among)
 
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return bound(F.transform(places, reach), lambda reached: bound(F.transform(reached, stretch), minima))
+
+def selected(digits: Column, w: Column, least: int) -> Column:
+    """The fingerprints of a document with line hashes `digits` and words w: texts of the hash's digits and the place in nine, sorted."""
+    places = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+    ranked = F.transform(digits, lambda x, i: F.concat(x, F.lpad(i.cast("string"), 9, "0")))
+
+    def windows(known: Column) -> Column:
+        """Places of the smallest line hash of every window; behind the last place where a stretch can begin, that one."""
+        lines, ranks = known["lines"], known["ranks"]
+        least_of = F.transform(lines, lambda n, i: F.array_min(F.slice(ranks, i + 1, n)))
+        return F.array_distinct(F.transform(least_of, lambda x: F.least(F.substring(x, 16, 9).cast("int"), F.size(lines) - 1)))
+
+    def prints(known: Column) -> Column:
+        text = lambda p: F.concat(_hex(F.array_join(F.slice(digits, p + 1, F.get(known["lines"], p)), "")), F.lpad(p.cast("string"), 9, "0"))
+        return F.sort_array(F.transform(windows(known), text))
+
+    # Stretches begin at all lines but the last few.
+    lines = F.filter(F.transform(places, lambda i: stretch_lines(w, i, least)), lambda n: n.isNotNull())
+    return bound(F.struct(lines.alias("lines"), ranked.alias("ranks")), prints)
 
 
 def marked(docs: DataFrame, least: int) -> DataFrame:
-    """id, th, h and w of a document's lines, `own`: its fingerprints, each at its first place, and `again`: shifts of further places against the one before. docs: id, th, text."""
+    """id, th, h and w of a document's lines, `own`: its fingerprints (g, i), each at its first place, and `again`: shifts of further places against the one before. docs: id, th, text."""
     lines = F.filter(F.transform(split_lines(F.col("text")), lambda x: F.struct(x["text"].alias("t"), _words(x["text"]).alias("w"))), lambda x: x["w"] > 0)
-    rows = docs.filter("text IS NOT NULL").select("id", "th", F.transform(lines, lambda x: F.struct(_hash(x["t"]).alias("h"), x["w"].alias("w"))).alias("l"))
+    rows = docs.filter("text IS NOT NULL").select("id", "th", F.transform(lines, lambda x: F.struct(_hex(x["t"]).alias("h"), x["w"].alias("w"))).alias("l"))
 
     def placed(picks: Column) -> Column:
-        same = lambda i: (i > 0) & (F.get(picks, i - 1)["g"] == F.get(picks, i)["g"])
-        own = F.filter(picks, lambda x, i: ~F.coalesce(same(i), F.lit(False)))
-        shifts = F.transform(picks, lambda x, i: F.when(same(i), x["i"] - F.get(picks, i - 1)["i"]))
+        hash_of, place_of = lambda x: F.substring(x, 1, 15), lambda x: F.substring(x, 16, 9).cast("int")
+        same = lambda i: F.when(i > 0, hash_of(F.get(picks, i - 1)) == hash_of(F.get(picks, i))).otherwise(False)
+        own = F.transform(F.filter(picks, lambda x, i: ~same(i)), lambda x: F.struct(_number(hash_of(x)).alias("g"), place_of(x).alias("i")))
+        shifts = F.transform(picks, lambda x, i: F.when(same(i), place_of(x) - place_of(F.get(picks, i - 1))))
         return F.struct(own.alias("own"), F.array_distinct(F.filter(shifts, lambda x: x.isNotNull())).alias("again"))
 
-    found = bound(F.struct(F.col("l.h").alias("h"), F.col("l.w").alias("w")), lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"), bound(selected(x["h"], x["w"], least), placed).alias("p")))
+    found = bound(F.struct(F.col("l.h").alias("h"), F.col("l.w").alias("w")), lambda x: F.struct(F.transform(x["h"], _number).alias("h"), x["w"].alias("w"), bound(selected(x["h"], x["w"], least), placed).alias("p")))
     return rows.select("id", "th", found.alias("f")).select("id", "th", "f.h", "f.w", "f.p.own", "f.p.again")
 
 

@@ -113,14 +113,13 @@ OP9_SQL = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM d
 s AS (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS li FROM (SELECT rid, doc_id, string_split(text, chr(10)) AS ls FROM d WHERE text IS NOT NULL)),
 a AS (SELECT rid, doc_id, li, unnest(ps) AS part, unnest(range(len(ps))) AS pi FROM (SELECT *, string_split(regexp_replace(line, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS ps FROM s)),
 w AS (SELECT rid, doc_id, li, part, row_number() OVER (PARTITION BY rid ORDER BY li, pi) - 1 AS i, CAST(len(regexp_extract_all(part, '[^\x20\x09-\x0D]+')) AS INTEGER) AS words,
-  CAST('0x' || substr(md5(part), 1, 15) AS BIGINT) AS h FROM a),
+  substr(md5(part), 1, 15) AS d, CAST('0x' || substr(md5(part), 1, 15) AS BIGINT) AS h FROM a),
 f AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS place, sum(words) OVER (PARTITION BY rid ORDER BY i) AS upto, count(*) OVER (PARTITION BY rid) AS n FROM w WHERE words > 0),
-e AS (SELECT x.rid, x.place, min(y.place) FILTER (y.upto - x.upto + x.words >= 25) AS e1, min(y.place) FILTER (y.upto - x.upto + x.words >= 50) AS e2
-  FROM f x JOIN f y ON y.rid = x.rid AND y.place BETWEEN x.place AND x.place + 50 GROUP BY x.rid, x.place),
-g AS (SELECT f.rid, f.doc_id, f.place, e1, coalesce(e2, f.n - 1) AS e2, CAST('0x' || substr(md5((SELECT string_agg(CAST(y.h AS VARCHAR), ',' ORDER BY y.place) FROM f y WHERE y.rid = f.rid AND y.place BETWEEN f.place AND e1)), 1, 15) AS BIGINT) AS g
-  FROM f JOIN e USING (rid, place) WHERE e1 IS NOT NULL),
-m AS (SELECT x.rid, x.doc_id, min({'g': y.g, 'i': y.place}) AS pick FROM g x JOIN g y ON y.rid = x.rid AND y.place BETWEEN x.place AND x.e2 AND y.e1 <= x.e2 GROUP BY x.rid, x.doc_id, x.place),
-p AS (SELECT DISTINCT rid, doc_id, pick.g AS g, pick.i AS i FROM m),
+e AS (SELECT x.rid, x.doc_id, x.place, min(y.place) FILTER (y.upto - x.upto + x.words >= 25) AS e1 FROM f x JOIN f y ON y.rid = x.rid AND y.place BETWEEN x.place AND x.place + 25 GROUP BY x.rid, x.doc_id, x.place),
+v AS (SELECT *, max(place) OVER (PARTITION BY rid) AS last_start FROM e WHERE e1 IS NOT NULL),
+m AS (SELECT v.rid, least(min({'d': f.d, 'i': f.place}).i, any_value(last_start)) AS i FROM v JOIN f ON f.rid = v.rid AND f.place BETWEEN v.place AND v.e1 GROUP BY v.rid, v.place),
+p AS (SELECT DISTINCT m.rid, v.doc_id, m.i, CAST('0x' || substr(md5((SELECT string_agg(y.d, '' ORDER BY y.place) FROM f y WHERE y.rid = m.rid AND y.place BETWEEN m.i AND v.e1)), 1, 15) AS BIGINT) AS g
+  FROM (SELECT DISTINCT * FROM m) m JOIN v ON v.rid = m.rid AND v.place = m.i),
 o AS (SELECT *, lag(i) OVER (PARTITION BY rid, g ORDER BY i) AS last_i, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, i) AS nth, first_value(rid) OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, i) AS rid0,
   first_value(i) OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, i) AS i0 FROM p),
 t AS (SELECT DISTINCT rid, CASE WHEN last_i IS NULL THEN rid0 ELSE rid END AS rid0, CASE WHEN last_i IS NULL THEN i - i0 ELSE i - last_i END AS shift FROM o WHERE last_i IS NOT NULL OR rid0 <> rid),
