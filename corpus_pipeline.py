@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shizuku.llm import langid, linededup, mixing, neardup, packing
-from shizuku.llm.common import crc_of, read, saved, small
+from shizuku.llm.common import crc_of, dropped, read, saved, small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Piece tokenizer of the last stage; its file is part of the environment.
@@ -25,11 +25,11 @@ def tokenizer_path() -> str:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is undetermined, those without a letter, go; all others stay as they are."""
-    held_out = F.pmod(crc_of(F.col("doc_id")), F.lit(4)) == 2
+    """Documents whose language is undetermined, those without a letter, go; all others get the language that was found as their `lang`."""
+    held_out = F.coalesce(F.pmod(crc_of(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))
     model = langid.train(docs.filter(~held_out), "text", "lang", "doc_id")
     found = langid.identify(docs.select(*COLUMNS, F.col("text").alias("__judged")), model, text_col="__judged")
-    return found.filter(F.col("lang_pred") != "und").select(*COLUMNS)
+    return found.filter(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +39,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    found = saved(neardup.near_duplicates(docs, width=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    return docs.join(small(found), "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates stays, the one with the smallest id, null last; of rows with one id, that with the smaller hash; of equal rows, one."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    named = docs.select(*COLUMNS).withColumn("__key", key)
+    found = saved(neardup.near_duplicates(named, id_col="__key", width=5, percent=80).select(F.col("doc_id").alias("k"), "n_shingles", "kept"), "judged")
+    gone = saved(found.filter(~F.col("kept")).select(F.col("k").alias("__gone")).distinct(), "gone")
+    rest = named.join(small(gone), F.col("__key").eqNullSafe(F.col("__gone")), "left_anti")
+    equal = saved(found.filter("kept AND n_shingles > 0").groupBy("k").count().filter("count > 1").select(F.col("k").alias("__twice")), "equal-rows")
+    if equal.limit(1).count():
+        twice = rest.join(small(equal), F.col("__key").eqNullSafe(F.col("__twice")), "left_semi").dropDuplicates(["__key"])
+        rest = rest.join(small(equal), F.col("__key").eqNullSafe(F.col("__twice")), "left_anti").unionByName(twice)
+    return rest.select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +76,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(*before)  # the stage that read it is saved
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
