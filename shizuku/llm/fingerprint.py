@@ -19,8 +19,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shizuku.llm.common import bound, saved
+from shizuku.llm.common import bound, saved, small
 
 #: Lanes in one long, bits of a lane (and one for the carry), hashes of a paragraph, longs of a fingerprint.
 LANES_EACH, BITS, HASHES, LONGS = 3, 20, 3, 63
@@ -28,8 +29,8 @@ LANES = LANES_EACH * LONGS
 _ONES = sum(1 << (BITS + 1) * i for i in range(LANES_EACH))
 _LANE = (1 << BITS) - 1
 _KEEP = _ONES * _LANE
-#: Rows that a bucket of neighbouring documents has, about, and the most buckets there are (16 bytes each when broadcast).
-NEAR, MOST_BUCKETS = 64, 1 << 20
+#: Rows that a bucket of neighbouring documents has, about, the most buckets there are, and the quantiles of ids that they lie between.
+NEAR, MOST_BUCKETS, QUANTILES = 64, 1 << 20, 128
 
 
 def paragraphs(text: Column) -> Column:
@@ -88,27 +89,35 @@ def text_of(fp: Column) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """docs with `next`, a struct of `columns` of the next row by id (after the last: the first).
+    """docs with `next`, a struct of `columns` of the next row by id (after the last: the first). Ids are numbers or texts.
 
-    Rows go to buckets of neighbouring ids. A bucket needs one row from outside, the first of the next bucket that has
+    Rows go to buckets of neighbouring ids: equal parts of the stretches between quantiles, so ids far from all others, or
+    dense ones, don't put the rest into one bucket. A bucket needs one row from outside, the first of the next bucket that has
     any; those rows are sent to both. So no task sorts more than a bucket.
     """
-    known = docs.filter(F.col(id_col).isNotNull())
-    bounds = known.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.count("*").alias("n")).first()
-    buckets = max(1, min(MOST_BUCKETS, (bounds["n"] or 0) // NEAR))
-    lo, width = bounds["lo"] or 0, max(1, -(-((bounds["hi"] or 0) - (bounds["lo"] or 0) + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.col(id_col) - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("long")  # null ids come first
+    number = isinstance(docs.schema[id_col].dataType, T.NumericType)
+    # A number that sorts like the id: of a text, its first seven bytes.
+    value = F.col(id_col) if number else F.conv(F.rpad(F.hex(F.substring(F.col(id_col).cast("string").cast("binary"), 1, 7)), 14, "0"), 16, 10)
+    value = value.cast("double")
+    known = docs.filter(F.col(id_col).isNotNull()).select(value.alias("v"))
+    found = known.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.percentile_approx("v", [i / QUANTILES for i in range(1, QUANTILES)], 40 * QUANTILES).alias("q")).first()
+    inner = sorted({x for x in found["q"] or [] if found["lo"] < x <= found["hi"]})
+    edges = [found["lo"] or 0.0, *inner, found["hi"] or 0.0]
+    parts = max(1, min(MOST_BUCKETS, (found["n"] or 0) // NEAR) // (len(edges) - 1))
+    listed = lambda xs: F.array(*(F.lit(float(x)) for x in xs)) if xs else F.array().cast("array<double>")
+    wide = [max(b - a, 1e-300) / parts for a, b in zip(edges, edges[1:], strict=False)]
+    stretch = lambda s: s * parts + F.least(F.lit(parts - 1), F.floor((value - F.get(listed(edges), s)) / F.get(listed(wide), s)))
+    bucket = F.when(F.col(id_col).isNull(), -1).otherwise(bound(F.size(F.filter(listed(inner), lambda x: x <= value)), stretch)).cast("long")  # null ids come first
     rows = docs.withColumn("__b", bucket)
-    firsts = docs.select(F.col(id_col), bucket.alias("__b")).groupBy("__b").agg(F.min(F.coalesce(id_col, F.lit(lo - 1))).alias("__first"))
+    firsts = docs.select(F.col(id_col), bucket.alias("__b")).groupBy("__b").agg(F.min(id_col).alias("__first"))
     around = Window.orderBy("__b")
     before = F.coalesce(F.lag("__b").over(around), F.max("__b").over(Window.partitionBy()))
     firsts = saved(firsts.select("__b", before.alias("__to"), "__first"), "bucket-firsts")  # at most MOST_BUCKETS + 1 rows
-    rows = rows.join(F.broadcast(firsts), "__b")
-    at_start = F.coalesce(F.col(id_col), F.lit(lo - 1)) == F.col("__first")
+    rows = rows.join(small(firsts), "__b")
     # Each row goes to its own bucket; the first rows go to the one before as well, behind all others.
     own = F.struct(F.col("__b").alias("b"), F.lit(0).alias("late"))
     both = F.array(own, F.struct(F.col("__to").alias("b"), F.lit(1).alias("late")))
-    dealt = rows.withColumn("__at", F.explode(F.when(at_start, both).otherwise(F.array(own)))).drop("__b", "__to", "__first")
+    dealt = rows.withColumn("__at", F.explode(F.when(F.col(id_col).eqNullSafe(F.col("__first")), both).otherwise(F.array(own)))).drop("__b", "__to", "__first")
     order = Window.partitionBy("__at.b").orderBy("__at.late", F.col(id_col).asc_nulls_first(), *columns[:1])
     nxt = F.lead(F.struct(*columns)).over(order)
     return dealt.withColumn("next", nxt).filter("__at.late = 0").drop("__at")

@@ -13,8 +13,10 @@ learned script gives the most frequent language, score 0; repeated rows give rep
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,26 +37,30 @@ SCRIPTS = [
     ("telugu", 0xC00, 0xC7F), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x137F), ("khmer", 0x1780, 0x17FF),
     ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x4DBF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("han", 0x20000, 0x2FA1F),
 ]
+#: Letters outside of these ranges belong to the block of this many code points that they stand in.
+BLOCK = 128
 NAMES = sorted({x[0] for x in SCRIPTS})
 
 
+@lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    script = np.full(0x110000, -1, np.int8)
-    for name, lo, hi in SCRIPTS:
-        script[lo : hi + 1] = NAMES.index(name)
+    """By code point: the number of a letter's script, -1 for all else, and whether it is a letter."""
     letter = np.zeros(0x110000, bool)
     letter[:0x30000] = [unicodedata.category(chr(i))[0] == "L" for i in range(0x30000)]
     letter[0x30000:0x33480] = True
+    script = len(NAMES) + np.arange(0x110000, dtype=np.int32) // BLOCK
+    for name, lo, hi in SCRIPTS:
+        script[lo : hi + 1] = NAMES.index(name)
     return np.where(letter, script, -1), letter
 
 
 @dataclass
 class Model:
-    """langs by code point; log probabilities by (n-gram bucket, language); which scripts each language uses."""
+    """langs by code point; log probabilities by (n-gram bucket, language); for each script the languages that use it."""
 
     langs: list[str]
     table: np.ndarray
-    uses: np.ndarray
+    uses: dict[int, np.ndarray]
     common: int
     switch: float = SWITCH
     cache: dict[str, int] = field(default_factory=dict)
@@ -103,7 +109,7 @@ def train(labelled: DataFrame, text_col: str, label_col: str, id_col: str, most:
         held: dict[str, list] = {}
         for batch in batches:
             for lang, group in batch.groupby("lang"):
-                got = held.setdefault(lang, [np.zeros(BUCKETS), np.zeros(len(NAMES)), 0])
+                got = held.setdefault(lang, [np.zeros(BUCKETS), Counter(), 0])
                 for text in group["text"]:
                     words = split_words(text)
                     if not words:
@@ -111,26 +117,31 @@ def train(labelled: DataFrame, text_col: str, label_col: str, id_col: str, most:
                     chars, _, found = grams(words)
                     for f in found:
                         got[0] += np.bincount(f[f >= 0], minlength=BUCKETS)
-                    s = script[np.minimum(chars, 0x10FFFF)]
-                    got[1] += np.bincount(s[s >= 0], minlength=len(NAMES))
+                    got[1].update(dict(zip(*(x.tolist() for x in np.unique(script[np.minimum(chars, 0x10FFFF)], return_counts=True)), strict=True)))
                     got[2] += 1
         for lang, (c, s, n) in held.items():
-            yield pd.DataFrame({"lang": [lang], "counts": [c], "scripts": [s], "n": [n]})
-
-    counted = rows.select("text", "lang").mapInPandas(count, "lang string, counts array<double>, scripts array<double>, n long")
-    by: dict[str, list] = {}
-    for row in counted.toLocalIterator():
-        got = by.setdefault(row["lang"], [np.zeros(BUCKETS), np.zeros(len(NAMES)), 0])
-        for i, k in enumerate(("counts", "scripts", "n")):
-            got[i] = got[i] + np.array(row[k])
-    langs = sorted(by)
+            at = np.flatnonzero(c)
+            scripts = [k for k in s if k >= 0]
+            yield pd.DataFrame({"lang": lang, "kind": ["gram"] * len(at) + ["script"] * len(scripts) + ["text"], "key": [*at.tolist(), *scripts, 0], "n": [*c[at].tolist(), *(s[k] for k in scripts), n]})
+
+    # Added up in the cluster: a row for each language and n-gram bucket or script comes to the driver.
+    counted = rows.select("text", "lang").mapInPandas(count, "lang string, kind string, key long, n double").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(counted["lang"].unique())
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros((0, len(NAMES)), bool), -1, switch)
-    counts = np.array([by[x][0] for x in langs]).T + 0.5
+        return Model([], np.zeros((BUCKETS, 0)), {}, -1, switch)
+    at = counted["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
+    kind, key, n = counted["kind"].to_numpy(), counted["key"].to_numpy(), counted["n"].to_numpy()
+    counts, texts = np.full((BUCKETS, len(langs)), 0.5), np.zeros(len(langs))
+    counts[key[kind == "gram"], at[kind == "gram"]] += n[kind == "gram"]
+    texts[at[kind == "text"]] = n[kind == "text"]
     table = np.log(counts / counts.sum(0))
     table -= table.mean(1, keepdims=True)
-    scripts = np.array([by[x][1] for x in langs])
-    return Model(langs, table.astype(np.float32), scripts > 0.01 * np.maximum(scripts.sum(1, keepdims=True), 1), int(np.argmax([by[x][2] for x in langs])), switch)
+    letters = np.bincount(at[kind == "script"], weights=n[kind == "script"], minlength=len(langs))
+    uses: dict[int, np.ndarray] = {}
+    for i, script, letters_in in zip(at[kind == "script"], key[kind == "script"], n[kind == "script"], strict=True):
+        if letters_in > 0.01 * max(letters[i], 1):
+            uses.setdefault(int(script), np.zeros(len(langs), bool))[i] = True
+    return Model(langs, table.astype(np.float32), uses, int(np.argmax(texts)), switch)
 
 
 def word_scores(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,12 +159,10 @@ def word_scores(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]
     letters = np.add.reduceat(letter[chars].astype(np.int64), starts[:-1])
     s = script[chars]
     allowed = np.zeros((len(words), k), bool)
-    any_script = np.zeros(len(words), bool)
-    for i in range(len(NAMES)):
-        if (s == i).any():
+    for i in np.unique(s).tolist():
+        if i in model.uses:
             has = np.logical_or.reduceat(s == i, starts[:-1])
-            allowed |= has[:, None] & model.uses[:, i][None, :]
-            any_script |= has
+            allowed |= has[:, None] & model.uses[i][None, :]
     # A word in scripts that no language uses is left open; in a known script, other languages are out.
     known = allowed.any(1)
     sums[~known] = 0
@@ -194,14 +203,14 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float) -> np.ndarray
     order = np.argsort(-lengths, kind="stable")
     first, n = starts[:-1][order], lengths[order]
     k = scores.shape[1]
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int16)
     if not len(scores) or k < 2:
         return labels
     stay = np.zeros((len(scores), k), bool)
-    source = np.zeros(len(scores), np.int8)
+    source = np.zeros(len(scores), np.int16)
     alive = np.searchsorted(-n, -np.arange(1, n[0] + 1), side="right")
     value = scores[first[: alive[0]]].astype(np.float64)
-    final = np.zeros(len(first), np.int8)
+    final = np.zeros(len(first), np.int16)
     for t in range(1, n[0]):
         live = alive[t]
         if live < len(value):

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shizuku.llm.common import give_back, saved
+from shizuku.llm.common import give_back, saved, small
 
 #: Tokens in a sequence, the id that ends a document, rounds of the program, words whose ids a worker keeps.
 CAPACITY, END, ROUNDS, KEPT = 4096, 1, 100, 300_000
-#: Buckets that the pieces of one length are ranked in.
-RANK_BUCKETS = 32
+#: Pieces of one length that are ranked together, about.
+RANKED = 20_000
 #: White space where Python's str.split and the tokenizer's patterns agree; texts with other control or odd space go the long way.
 _ODD = [chr(i) for i in (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B, 0xFEFF)]
 
@@ -271,11 +271,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     table = places(configurations(histogram, capacity), capacity)
     held = rows.sparkSession.sparkContext.broadcast(table)  # grows with the number of configurations, not with the documents
 
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int")
+    # Pieces of a length are dealt to as many buckets as they need; ranks count on from the buckets before.
+    buckets = F.element_at(F.create_map(*(F.lit(x) for n in np.flatnonzero(histogram > RANKED).tolist() for x in (n, -(-int(histogram[n]) // RANKED)))), F.col("length").cast("int")) if (histogram > RANKED).any() else F.lit(1)
+    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce(buckets, F.lit(1))).cast("int")
     dealt = rows.withColumn("bucket", bucket)
     sums = dealt.groupBy("length", "bucket").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")
-    sums = F.broadcast(sums.select("length", "bucket", before.alias("before")))  # at most `capacity` times RANK_BUCKETS rows
+    sums = small(saved(sums.select("length", "bucket", before.alias("before")), "rank-buckets"))  # a row for each length, and one more for each RANKED pieces
     inner = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.join(sums, ["length", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(inner) - 1).drop("bucket", "before")
 

@@ -22,14 +22,14 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    held_out = F.pmod(crc_of(F.col("doc_id")), F.lit(4)) == 2
+    held_out = F.coalesce(F.pmod(crc_of(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))
     model = langid.train(docs.filter(~held_out), "text", "lang", "doc_id")
     found = langid.identify(docs, model, keep=["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans"))
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crawl of all pages, fetched in full and then revisited: which response each revisit stands for."""
+    """A crawl of all pages, fetched and revisited while the crawl goes on: which response each revisit stands for."""
     out = warc.resolve(warc.crawl(read(spark, sf_dir, "pages")))
     number = F.substring("record_id", 2, 20).cast("long").alias("page_id")
     headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
@@ -58,7 +58,7 @@ def op7_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels")
-    held_out = F.pmod(crc_of(F.col("doc_id")), F.lit(5)) == 0
+    held_out = F.coalesce(F.pmod(crc_of(F.col("doc_id")), F.lit(5)) == 0, F.lit(False))
     known = labels.filter(~held_out & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     # Labels cover some documents only; the fit itself takes a bounded number of them.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(quality.MOST)
@@ -84,7 +84,7 @@ def queries() -> dict:
 
 OP2_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
@@ -139,16 +139,16 @@ SELECT doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(r
 OP4_SQL = r"""
 WITH p AS (SELECT page_id, url, sha256(coalesce(html, '')) AS sha, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS bytes,
   regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
-q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid|mc_cid|mc_eid)(?:=|$)'))) AS kept FROM p),
-c AS (SELECT page_id, url, sha, bytes, CASE WHEN trim(url) <> '' THEN regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', ''), ':(?:80|443)$', '')
+q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid)(?:=|$)'))) AS kept FROM p),
+c AS (SELECT page_id, url, sha, bytes, page_id + (SELECT max(page_id) // 2 FROM pages) AS later, CASE WHEN trim(url) <> '' THEN regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', ''), ':(?:80|443)$', '')
   || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical_url FROM q),
-m AS (SELECT max(page_id) AS later FROM pages),
-b AS (SELECT canonical_url AS b_url, arg_max(page_id, page_id) AS base, arg_max(sha, page_id) AS base_sha, arg_max(bytes, page_id) AS base_bytes FROM c WHERE canonical_url IS NOT NULL GROUP BY canonical_url),
-j AS (SELECT c.*, b.*, later, CASE WHEN base IS NULL THEN 'no_base' WHEN substr(sha, 1, 16) = substr(base_sha, 1, 16) THEN 'resolved' ELSE 'validator_mismatch' END AS status
-  FROM c LEFT JOIN b ON b_url = canonical_url CROSS JOIN m)
+b AS (SELECT v.page_id AS v_id, max(r.page_id) AS base FROM c v JOIN c r ON r.canonical_url = v.canonical_url AND r.page_id <= v.later GROUP BY v.page_id),
+j AS (SELECT c.*, base, r.sha AS base_sha, r.bytes AS base_bytes, CASE WHEN base IS NULL THEN 'no_base' WHEN c.page_id % 4 = 3 THEN 'unvalidated'
+    WHEN CASE c.page_id % 4 WHEN 0 THEN substr(c.sha, 1, 16) = substr(r.sha, 1, 16) WHEN 1 THEN substr(c.sha, 17, 16) = substr(r.sha, 17, 16) ELSE c.sha = r.sha END THEN 'resolved' ELSE 'validator_mismatch' END AS status
+  FROM c LEFT JOIN b ON v_id = c.page_id LEFT JOIN c r ON r.page_id = base)
 SELECT page_id, url, canonical_url, status, CASE WHEN status = 'resolved' THEN base END AS base_page_id,
-  CASE WHEN status = 'resolved' THEN 'cache-control=max-age=60;content-length=' || base_bytes || ';content-type=text/html;date=' || (page_id + later + 1) || ';etag="' || substr(sha, 1, 16) || '";expires=never'
-    ELSE 'content-length=0;date=' || (page_id + later + 1) || ';etag="' || substr(sha, 1, 16) || '";expires=never' END AS headers,
+  CASE WHEN status = 'resolved' THEN 'cache-control=max-age=60;content-length=' || base_bytes || ';content-type=text/html;date=' || later || ';etag="' || substr(base_sha, 1, 16) || '";expires=never;last-modified=' || substr(base_sha, 17, 16)
+    ELSE 'content-length=0;date=' || later || CASE WHEN page_id % 4 = 0 THEN ';etag="' || substr(sha, 1, 16) || '"' ELSE '' END || ';expires=never' || CASE WHEN page_id % 4 = 1 THEN ';last-modified=' || substr(sha, 17, 16) ELSE '' END END AS headers,
   CASE WHEN status = 'resolved' THEN base_sha END AS payload_sha256, CASE WHEN status = 'resolved' THEN base_bytes END AS payload_length
 FROM j
 """

@@ -7,7 +7,7 @@ its dense array of scores. Each block then selects its k best by partition selec
 Blocks of candidates are dealt to every group of queries, so that no task holds more than one block of each; what a
 task puts out is k rows a query for its slice of candidates.
 
-Defined cases: vectors that are null, empty or hold null or non-finite components take no part; shorter vectors count as
+Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors, empty ones too, count as
 followed by zeros; ties go to the smaller id; components are cut at 2 to the 62nd and sums wrap around at 64 bits; repeated
 ids take part as rows of their own, and a query never meets a row of its own id; no candidates, no rows.
 """
@@ -46,7 +46,7 @@ def packed(rows: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
 
         for batch in batches:
             for key, vec in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key is None or not vec or any(x is None for x in vec):
+                if key is None or vec is None or any(x is None for x in vec):
                     continue
                 x = np.array(vec, np.float64)
                 if np.isfinite(x).all():

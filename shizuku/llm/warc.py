@@ -17,7 +17,7 @@ and smaller record ids first; repeated records are resolved each for itself.
 from __future__ import annotations
 
 import gzip
-import io
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 # Header fields that a 304 response doesn't change, because they describe the stored body or one connection.
 KEPT_FIELDS = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade"]
 # Query parameters that follow visitors and don't choose content.
-TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid|mc_cid|mc_eid)"
+TRACKING = r"(?:utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid)"
 #: Slices of time that the records of one URL are dealt to.
-SLICES = 256
+SLICES = 128
 
 
 def canonical(url: Column) -> Column:
@@ -58,9 +58,10 @@ def resolve(records: DataFrame) -> DataFrame:
     order_kind = F.when(F.col("kind") == "response", 0).otherwise(1)
     rows = records.withColumn("canonical_url", canonical(F.col("url"))).withColumn("__when", F.struct("at", order_kind.alias("k"), F.col("record_id").alias("id")))
     full = F.when(F.col("kind") == "response", F.struct(F.col("__when").alias("when"), F.col("record_id").alias("id"), "headers", "payload_sha256", "payload_length"))
-    bounds = records.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
-    lo, width = bounds["lo"] or 0, max(1, -(-((bounds["hi"] or 0) - (bounds["lo"] or 0) + 1) // SLICES))
-    rows = rows.withColumn("__slice", F.floor((F.col("at") - F.lit(lo)) / F.lit(width)).cast("int")).withColumn("__full", full)
+    # Slices hold about as many records each, so one wrong time doesn't put all others into one slice.
+    cuts = records.agg(F.percentile_approx("at", [i / SLICES for i in range(1, SLICES)], 10 * SLICES).alias("q")).first()["q"] or []
+    cuts = F.array(*(F.lit(x) for x in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
+    rows = rows.withColumn("__slice", F.size(F.filter(cuts, lambda x: x <= F.col("at"))).cast("int")).withColumn("__full", full)
     # Level 1: the last response of each slice, carried on; at most SLICES rows a URL.
     last = rows.filter("__full IS NOT NULL AND canonical_url IS NOT NULL").groupBy("canonical_url", "__slice").agg(F.max_by("__full", "__when").alias("__last"))
     asked = rows.filter("kind = 'revisit' AND canonical_url IS NOT NULL").select("canonical_url", "__slice").distinct()
@@ -110,47 +111,96 @@ def record_bytes(kind: str, record_id: str, url: str, date: str, status: str, he
     return gzip.compress(head.encode() + block + b"\r\n\r\n", mtime=0)
 
 
-def _fields(data: io.BufferedIOBase) -> dict[str, str]:
+def _fields(lines: list[bytes]) -> dict[str, str]:
+    """Header fields with names in lower case; values of a field that repeats are joined by commas, continued lines by spaces."""
     out, name = {}, ""
-    for line in iter(data.readline, b""):
-        text = line.rstrip(b"\r\n").decode("utf-8", "replace")
-        if not text:
-            break
-        if text[0] in " \t" and name:
+    for line in lines:
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and name:
             out[name] += " " + text.strip()
-        else:
+        elif ":" in text:
             name, _, value = text.partition(":")
-            name = name.strip().lower()
-            out[name] = value.strip()
+            name, value = name.strip().lower(), value.strip()
+            out[name] = f"{out[name]}, {value}" if name in out else value
     return out
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, gzipped by record, as a whole or not at all. A record that is cut off ends the file."""
-    stream: io.BufferedIOBase = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while True:
+def _head(data: bytes, at: int) -> tuple[list[bytes], int]:
+    """The lines from `at` up to an empty one, and the place behind it; -1 if there is none."""
+    lines = []
+    while (end := data.find(b"\n", at)) >= 0:
+        line = data[at:end].rstrip(b"\r")
+        at = end + 1
+        if not line:
+            return lines, at
+        lines.append(line)
+    return lines, -1
+
+
+def _members(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """Contents of a file's gzip members, each with what is wrong with it; after a broken one the next one that begins is read."""
+    at, magic, step = 0, b"\x1f\x8b\x08", 1 << 16
+    while (at := data.find(magic, at)) >= 0:
+        reader, out, start = zlib.decompressobj(31), [], at
         try:
-            line = stream.readline()
-            while line in (b"\r\n", b"\n"):
-                line = stream.readline()
-            if not line.startswith(b"WARC/"):
-                return
-            head = _fields(stream)
-            size = int(head.get("content-length", "0"))
-            block = stream.read(size)
-        except (EOFError, OSError, ValueError):
-            return
-        if len(block) < size:
+            while not reader.eof and at < len(data):
+                part = data[at : at + step]
+                at += len(part)
+                out.append(reader.decompress(part))
+            at -= len(reader.unused_data)
+            yield b"".join(out), None if reader.eof else "gzip member is cut off"
+        except zlib.error:
+            at = start + len(magic)
+            yield b"".join(out), "gzip member is broken"
+
+
+def _records(data: bytes) -> Iterator[dict]:
+    at = 0
+    while at < len(data):
+        while data[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+        if at >= len(data):
             return
-        http, status, payload = {}, None, block
+        lines, body = _head(data, at)
+        head = _fields(lines[1:])
+        size = head.get("content-length", "0")
+        problem = None
+        if not lines or not lines[0].startswith(b"WARC/"):
+            problem = "not a record"
+        elif body < 0:
+            problem = "header is cut off"
+        elif not size.isascii() or not size.isdigit():
+            problem = "content-length isn't a number"
+        elif body + int(size) > len(data):
+            problem = "record is cut off"
+        found = {"record_id": head.get("warc-record-id", "").strip("<>"), "kind": head.get("warc-type"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "status": None, "headers": {}, "payload": None, "problem": problem}
+        if problem:
+            yield found
+            next_ = data.find(b"\nWARC/", at)
+            at = next_ + 1 if next_ >= 0 else len(data)
+            continue
+        block = data[body : body + int(size)]
+        at = body + int(size)
+        found["payload"] = block
         if head.get("content-type", "").startswith("application/http"):
-            body = io.BytesIO(block)
-            status = body.readline().decode("latin-1").strip().partition(" ")[2]
-            http, payload = _fields(body), body.read()
-        yield {"record_id": head.get("warc-record-id", "").strip("<>"), "kind": head.get("warc-type"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "status": status, "headers": http, "payload": payload}
+            http, end = _head(block, 0)
+            found |= {"status": http[0].decode("latin-1").partition(" ")[2] if http else None, "headers": _fields(http[1:]), "payload": block[end:] if end >= 0 else b""}
+        yield found
+
+
+def parse(data: bytes) -> Iterator[dict]:
+    """The records of a WARC file, gzipped by record, as a whole or not at all. What is wrong with a record stands in `problem`, and reading goes on at the next one."""
+    if data[:2] != b"\x1f\x8b":
+        yield from _records(data)
+        return
+    for content, problem in _members(data):
+        for record in _records(content):
+            yield record | {"problem": record["problem"] or problem}
+        if problem and not content:
+            yield {"record_id": "", "kind": None, "url": None, "date": None, "status": None, "headers": {}, "payload": None, "problem": problem}
 
 
-SCHEMA = "record_id string, kind string, url string, date string, status string, headers map<string,string>, payload binary"
+SCHEMA = "record_id string, kind string, url string, date string, status string, headers map<string,string>, payload binary, problem string"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -176,24 +226,26 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def crawl(pages: DataFrame) -> DataFrame:
-    """Records of a crawl of `pages` (page_id, url, html) in two passes: all pages in full, then each asked for again with its own validator and answered 304.
+    """Records of a crawl of `pages` (page_id, url, html): page i is fetched in full at time i and asked for again half the crawl later, while other fetches go on.
 
-    A page whose canonical URL was fetched again with other content before the second pass no longer agrees with the latest response.
+    Responses carry an entity tag, a time of change and a digest, all of them made of the content. Of every four revisits one
+    carries the tag, one the time, one the digest and one none. A page whose canonical URL was fetched with other content before its
+    revisit doesn't agree with the latest response; one that is fetched again after it doesn't matter.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    tag = F.sha2(body, 256)
-    base = pages.select("page_id", "url", tag.alias("sha"), F.length(body).cast("long").alias("bytes"))
-    common = {"etag": F.concat(F.lit('"'), F.substring("sha", 1, 16), F.lit('"'))}
-    made = lambda extra: F.map_from_arrays(F.array(*(F.lit(k) for k in (common | extra))), F.array(*(common | extra).values()))
+    base = pages.select("page_id", "url", F.sha2(body, 256).alias("sha"), F.length(body).cast("long").alias("bytes"))
+    tag, changed = F.concat(F.lit('"'), F.substring("sha", 1, 16), F.lit('"')), F.substring("sha", 17, 16)
+    made = lambda fields: F.map_filter(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*fields.values())), lambda k, v: v.isNotNull())
     responses = base.select(
         F.concat(F.lit("r"), "page_id").alias("record_id"), "url", F.col("page_id").alias("at"), F.lit("response").alias("kind"),
-        made({"content-type": F.lit("text/html"), "content-length": F.col("bytes").cast("string"), "date": F.col("page_id").cast("string"), "cache-control": F.lit("max-age=60")}).alias("headers"),
+        made({"etag": tag, "last-modified": changed, "content-type": F.lit("text/html"), "content-length": F.col("bytes").cast("string"), "date": F.col("page_id").cast("string"), "cache-control": F.lit("max-age=60")}).alias("headers"),
         F.col("sha").alias("payload_sha256"), F.col("bytes").alias("payload_length"),
     )
-    later = pages.agg(F.max("page_id")).first()[0] or 0
+    later = F.col("page_id") + F.lit((pages.agg(F.max("page_id")).first()[0] or 0) // 2)
+    which = F.pmod(F.col("page_id"), F.lit(4))
     revisits = base.select(
-        F.concat(F.lit("v"), "page_id").alias("record_id"), "url", (F.col("page_id") + F.lit(later + 1)).alias("at"), F.lit("revisit").alias("kind"),
-        made({"date": (F.col("page_id") + F.lit(later + 1)).cast("string"), "content-length": F.lit("0"), "expires": F.lit("never")}).alias("headers"),
-        F.lit(None).cast("string").alias("payload_sha256"), F.lit(None).cast("long").alias("payload_length"),
+        F.concat(F.lit("v"), "page_id").alias("record_id"), "url", later.alias("at"), F.lit("revisit").alias("kind"),
+        made({"etag": F.when(which == 0, tag), "last-modified": F.when(which == 1, changed), "date": later.cast("string"), "content-length": F.lit("0"), "expires": F.lit("never")}).alias("headers"),
+        F.when(which == 2, F.col("sha")).alias("payload_sha256"), F.lit(None).cast("long").alias("payload_length"),
     )
     return responses.unionByName(revisits)

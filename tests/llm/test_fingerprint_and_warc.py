@@ -1,8 +1,11 @@
 import gzip
 import hashlib
 import random
+import re
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shizuku.llm import fingerprint as fp
@@ -119,9 +122,66 @@ def test_records_round_trip(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(data)
     (tmp_path / "b.warc").write_bytes(gzip.decompress(data) + b"WARC/1.1\r\nContent-Length: 99\r\n\r\ncut off")
     out = warc.read_warc(spark, f"file://{tmp_path}").collect()
-    assert len(out) == 8
+    assert len(out) == 9 and [r.problem for r in out if r.problem] == ["record is cut off"]
+    out = [r for r in out if r.problem is None]
     assert sorted((r.record_id, bytes(r.payload), r.headers["etag"], r.status) for r in out) == sorted((f"urn:{i}", p, f'"{i}"', "200 OK") for i, p in enumerate(payloads) for _ in range(2))
-    assert list(warc.parse(b"")) == [] and list(warc.parse(b"junk")) == []
+    assert list(warc.parse(b"")) == [] and [r["problem"] for r in warc.parse(b"junk")] == ["not a record"]
+
+
+def test_reading_goes_on_after_bad_records():
+    good = [warc.record_bytes("response", f"urn:{i}", "http://h/", "2024-01-01T00:00:00Z", "200 OK", {"A": "1", "B": "2"}, b"x" * i) for i in range(3)]
+    plain = [gzip.decompress(x) for x in good]
+    bad = plain[0].replace(b"Content-Length: ", b"Content-Length: x", 1)
+    got = [(r["record_id"], r["problem"]) for r in warc.parse(plain[0] + bad + plain[1] + plain[2].replace(b"Content-Length: ", b"Content-Length: 9", 1) + plain[2])]
+    assert got == [("urn:0", None), ("urn:0", "content-length isn't a number"), ("urn:1", None), ("urn:2", "record is cut off"), ("urn:2", None)]
+    broken = bytearray(good[1])
+    broken[20:40] = b"\xff" * 20
+    ids = [(r["record_id"], r["problem"]) for r in warc.parse(good[0] + bytes(broken) + good[2] + good[1][:-12])]
+    assert ids[0] == ("urn:0", None) and ("urn:2", None) in ids and sum(p is not None for _, p in ids) >= 2
+    repeated = b"WARC/1.1\r\nWARC-Type: response\r\nX: a\r\nX: b\r\nContent-Type: application/http\r\nContent-Length: 43\r\n\r\nHTTP/1.1 200 OK\r\nVia: a\r\n more\r\nVia: b\r\n\r\nz"
+    assert [(r["headers"], r["payload"]) for r in warc.parse(repeated)] == [({"via": "a more, b"}, b"z")]
+
+
+def test_one_wrong_time_and_responses_after_the_revisit(spark):
+    rows = [(f"r{i}", "http://h/", i, "response", {"etag": f'"{i}"'}, f"s{i}", 1) for i in range(0, 400, 2)] + [(f"v{i}", "http://h/", i, "revisit", {"etag": f'"{i - 1}"'}, None, None) for i in range(1, 400, 2)]
+    out = warc.resolve(spark.createDataFrame([*rows, ("r", "http://h/", 10**15, "response", {}, "s", 1)], SCHEMA)).collect()
+    assert {(x.record_id, x.base_id) for x in out} == {(f"v{i}", f"r{i - 1}") for i in range(1, 400, 2)}
+
+
+def test_neighbours_of_ids_far_apart_and_of_texts(spark):
+    rows = [(i, f"text {i}") for i in range(300)] + [(10**17, "far")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = fp.with_next(df, "doc_id", ["text"])
+    assert {(r.doc_id, r.next.text) for r in near.collect()} == {(i, f"text {i + 1}" if i < 299 else "far") for i in range(300)} | {(10**17, "text 0")}
+    named = spark.createDataFrame([(f"id{i:04d}", f"text {i}") for i in range(200)] + [("", "none"), ("ä", "last")], "doc_id string, text string")
+    got = {r.doc_id: r.next.text for r in fp.with_next(named, "doc_id", ["text"]).collect()}
+    assert got == {f"id{i:04d}": f"text {i + 1}" if i < 199 else "last" for i in range(200)} | {"": "text 0", "ä": "none"}
+
+
+@pytest.mark.parametrize("column", ["fingerprint", "edited_fingerprint"])
+def test_query_fingerprints_by_brute_force(spark, sf_dir, column):
+    """Fingerprints and likenesses of the query, lane by lane, from the paragraphs' own sums."""
+    got = queries.op7_multiset_fingerprint(spark, sf_dir).collect()
+    texts = dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{sf_dir}/documents.parquet'").fetchall())
+    ids = sorted(texts)
+    follow = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    edit = lambda i: texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[follow[i]][: len(texts[i]) // 2]
+    wanted = {i: texts[i] if column == "fingerprint" else edit(i) for i in ids}
+    parts = sorted({x for t in wanted.values() for x in re.split(r"\n|(?<=[.!?]) ", t)})
+    hashed = {r.p: [r[f"h{i}"] for i in range(fp.HASHES)] for r in spark.createDataFrame([(x,) for x in parts], "p string").select("p", *(F.xxhash64(F.lit(i), "p").alias(f"h{i}") for i in range(fp.HASHES))).collect()}
+    lanes = {}
+    for i, t in wanted.items():
+        ps = re.split(r"\n|(?<=[.!?]) ", t)
+        bits = np.array([[(h >> b) & 1 for h in hashed[p] for b in range(63)] for p in ps]).sum(0) % (1 << fp.BITS)
+        longs = [sum(int(bits[h * 63 + k + 21 * lane]) << 21 * lane for lane in range(3)) for h in range(fp.HASHES) for k in range(21)]
+        lanes[i] = (len(ps), longs)
+    assert {r.doc_id: r[column] for r in got} == {i: "".join(f"{x:016x}" for x in [n, *longs]) for i, (n, longs) in lanes.items()}
+    if column == "fingerprint":
+        signs = {i: np.array([2 * (x >> 21 * lane & (1 << fp.BITS) - 1) - n for x in longs for lane in range(3)], float) for i, (n, longs) in lanes.items()}
+        for r in got:
+            a, b = signs[r.doc_id], signs[follow[r.doc_id]]
+            want = 1.0 if lanes[r.doc_id] == lanes[follow[r.doc_id]] else max(0.0, a @ b / max(1e-300, np.sqrt((a @ a) * (b @ b))))
+            assert r.near_next == pytest.approx(want, abs=1e-9)
 
 
 def test_query_equals_its_sql(spark, sf_dir):
