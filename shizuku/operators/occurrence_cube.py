@@ -52,3 +52,27 @@ def cube(occurrence: DataFrame, places: DataFrame) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def from_sources(cells: DataFrame, sources: list[str] | None) -> DataFrame:
+    """Cells of some sources; None stands for all, an empty list for none."""
+    return cells if sources is None else cells.filter(F.col("source_id").isin(*sources) if sources else F.lit(False))
+
+
+def scoped_species(cells: DataFrame, places: list[str] | None = None, years: tuple[int, int] | None = None, sources: list[str] | None = None, group: str | None = None, red_listed: bool = False) -> DataFrame:
+    """The species catalog counted anew for a scope: species with n, n_red_list, places, first and last year. cells: with binom, taxon_group and year, of one kind of place."""
+    rows = from_sources(cells.filter("binom IS NOT NULL"), sources)
+    rows = rows.filter(F.col("place_id").isin(*places) if places else F.lit(False)) if places is not None else rows
+    rows = rows.filter(F.col("year").between(*years)) if years else rows
+    out = rows.groupBy("binom").agg(F.max("taxon_group").alias("taxon_group"), F.sum("n").alias("n"), F.sum("n_red_list").alias("n_red_list"), F.count_distinct("place_id").alias("n_places"), F.min("year").alias("y_from"), F.max("year").alias("y_to"))
+    out = out.filter(F.col("taxon_group") == group) if group else out
+    return out.filter("n_red_list > 0") if red_listed else out
+
+
+def unlocated_years(cells: DataFrame) -> DataFrame:
+    """Species, years and sources of which not all records have coordinates: n at watersheds, n_located in grid cells, and the grid cells, null without any."""
+    here, there = F.col("place_kind") == "grid01", F.col("place_kind") == "watershed"
+    rows = cells.filter("binom IS NOT NULL").groupBy("binom", "year", "source_id")
+    mesh = F.count_distinct(F.when(here, F.col("place_id")))
+    out = rows.agg(F.sum(F.when(there, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(here, F.col("n")).otherwise(0)).alias("n_located"), F.nullif(mesh, F.lit(0)).alias("mesh"))
+    return out.filter("n <> n_located")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -81,15 +82,18 @@ def nearest(points: DataFrame, places: DataFrame, reach_km: float) -> DataFrame:
     Both sides are dealt to cells as wide as the reach, places to their neighbouring cells too, so that only neighbours meet.
     Each distinct coordinate is searched once: places at one coordinate fold to their smallest id, points get their coordinate's answer.
     """
-    side = reach_km / 111.0
-    wide = F.greatest(F.cos(F.radians(F.col("lat"))), F.lit(0.05))
-    cx = lambda: F.floor(F.col("lon") / side)
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    steps = F.ceil(F.lit(1.0) / wide).cast("int")
-    p = points.select("lat", "lon").distinct().withColumn("cx", cx()).withColumn("cy", F.floor(F.col("lat") / side))
-    q = places.groupBy("lat", "lon").agg(F.min("place_id").alias("place_id")).select(F.col("place_id"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), cx().alias("ox"), F.floor(F.col("lat") / side).alias("oy"), steps.alias("steps"))
-    q = q.withColumn("dx", F.explode(F.sequence(-F.col("steps") - 1, F.col("steps") + 1))).withColumn("dy", around)
-    q = q.withColumn("cx", F.col("ox") + F.col("dx")).withColumn("cy", F.col("oy") + F.col("dy"))
+    side = min(reach_km / 111.0, 90.0)
+    around = math.ceil(360.0 / side)  # cells of a circle of latitude; the last may be narrower than the rest
+    cx = lambda: F.pmod(F.floor((F.col("lon") + 180.0) / side), F.lit(around))
+    cy = lambda: F.floor(F.col("lat") / side)
+    # Degrees of longitude that the reach spans at the latitude furthest from the equator; near a pole, all.
+    far = F.abs("lat") + 1.01 * side
+    span = F.when(far >= 89.9, 360.0).otherwise(side / F.cos(F.radians(far)))
+    steps = F.least(F.ceil(span / side).cast("int") + 1, F.lit(around // 2 + 1))
+    p = points.select("lat", "lon").distinct().withColumn("cx", cx()).withColumn("cy", cy())
+    q = places.groupBy("lat", "lon").agg(F.min("place_id").alias("place_id")).select(F.col("place_id"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), cx().alias("ox"), cy().alias("oy"), steps.alias("steps"))
+    q = q.withColumn("dx", F.explode(F.sequence(-F.col("steps"), F.col("steps")))).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1))))
+    q = q.withColumn("cx", F.pmod(F.col("ox") + F.col("dx"), F.lit(around))).withColumn("cy", F.col("oy") + F.col("dy"))
     pairs = p.join(q, ["cx", "cy"]).withColumn("km", naming.haversine_km(F.col("lat"), F.col("lon"), F.col("q_lat"), F.col("q_lon"))).filter(F.col("km") <= reach_km)
     found = pairs.groupBy("lat", "lon").agg(F.min(F.struct("km", "place_id")).alias("b"))
     best = points.join(found, ["lat", "lon"]).groupBy("point_id").agg(F.min("b").alias("b"))

@@ -162,6 +162,38 @@ def thinned_series(spark, sf_dir):
     return series.evenly(rows, ["period_start", "place_id", "stat_key", "unit_id"], 200).select("period_start", "place_id", F.round("vz_mean", 6).alias("value"))
 
 
+_SCOPED = "binom, max(taxon_group) AS taxon_group, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_red_list) AS BIGINT) AS n_red_list, count(DISTINCT place_id) AS n_places, min(year) AS y_from, max(year) AS y_to FROM cells WHERE place_kind = 'watershed' AND binom IS NOT NULL"
+
+
+@query(f"WITH {OCC} SELECT {_SCOPED} AND source_id IN ('1-URGENT', '2-HIGH') AND place_id IN ('ws:1', 'ws:2', 'ws:3', 'ws:7') AND year BETWEEN 1993 AND 1996 GROUP BY binom HAVING max(taxon_group) = 'Small' AND sum(n_red_list) > 0")
+def scoped_species(spark, sf_dir):
+    """The species catalog of some watersheds, years and sources: red-listed species of one group."""
+    cells = occurrence_cells(spark, sf_dir).filter("place_kind = 'watershed'")
+    return occurrence_cube.scoped_species(cells, ["ws:1", "ws:2", "ws:3", "ws:7"], (1993, 1996), ["1-URGENT", "2-HIGH"], "Small", True)
+
+
+@query(f"WITH {OCC} SELECT 'all' AS scope, count(DISTINCT binom) AS n_species, CAST(sum(n) AS BIGINT) AS n FROM cells WHERE place_kind = 'watershed' AND binom IS NOT NULL UNION ALL SELECT 'none', 0, NULL")
+def source_scopes(spark, sf_dir):
+    """No list of sources stands for all of them, an empty one for none."""
+    cells = occurrence_cells(spark, sf_dir).filter("place_kind = 'watershed'")
+    total = lambda name, sources: occurrence_cube.scoped_species(cells, sources=sources).agg(F.lit(name).alias("scope"), F.count("*").alias("n_species"), F.sum("n").alias("n"))
+    return total("all", None).unionByName(total("none", []))
+
+
+@query(f"WITH {OCC} SELECT binom, year, source_id, CAST(sum(CASE WHEN place_kind = 'watershed' THEN n ELSE 0 END) AS BIGINT) AS n, CAST(sum(CASE WHEN place_kind = 'grid01' THEN n ELSE 0 END) AS BIGINT) AS n_located, nullif(count(DISTINCT CASE WHEN place_kind = 'grid01' THEN place_id END), 0) AS mesh FROM cells WHERE binom IS NOT NULL GROUP BY ALL HAVING n <> n_located")
+def unlocated_years(spark, sf_dir):
+    return occurrence_cube.unlocated_years(occurrence_cells(spark, sf_dir))
+
+
+@query("SELECT 'ws:' || n_nationkey AS watershed_id, n_name AS name, 'region:' || n_regionkey AS region_id, count(s_suppkey) AS n_sites, round(CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE), 2) AS balance, count(s_suppkey) > 0 AS observed FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
+def watershed_attributes(spark, sf_dir):
+    """Every watershed with its attributes and sites, those without any too."""
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    rows = n.join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_name", "n_regionkey")
+    total = F.round(F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double"), 2)
+    return rows.agg(F.count("s_suppkey").alias("n_sites"), total.alias("balance")).select(F.concat(F.lit("ws:"), "n_nationkey").alias("watershed_id"), F.col("n_name").alias("name"), F.concat(F.lit("region:"), "n_regionkey").alias("region_id"), "n_sites", "balance", (F.col("n_sites") > 0).alias("observed"))
+
+
 # Files.
 
 

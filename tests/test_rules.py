@@ -113,3 +113,28 @@ def test_archive_with_a_missing_event(spark, tmp_path):
     back = files.read_darwin_core(spark, f"file://{tmp_path}/a")
     assert {r.scientificName for r in back["occurrence"].collect()} == {"Aa bb", "Cc"} and back["event"].count() == 1
     assert [tuple(r) for r in files.orphans(back).collect()] == [("occurrence", "e2")]
+
+
+def test_nearest_at_poles_and_across_the_date_line(spark):
+    import math
+    import random
+
+    from shizuku.operators import spatial
+
+    def km(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(math.sqrt(min(h, 1.0)))
+
+    rng = random.Random(3)
+    spot = lambda: (rng.choice([rng.uniform(-90, 90), rng.uniform(88, 90), rng.uniform(-90, -87), 0.0]), rng.choice([rng.uniform(-180, 180), rng.uniform(179, 180), rng.uniform(-180, -179)]))
+    points, places = [spot() for _ in range(200)], [spot() for _ in range(60)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(points)], "point_id long, lat double, lon double")
+    to = spark.createDataFrame([(f"p{i:02d}", *x) for i, x in enumerate(places)], "place_id string, lat double, lon double")
+    for reach in (80.0, 400.0):
+        want = {}
+        for i, x in enumerate(points):
+            d, j = min((km(x, y), f"p{j:02d}") for j, y in enumerate(places))
+            if d <= reach:
+                want[i] = j
+        got = {r.point_id: r.place_id for r in spatial.nearest(df, to, reach).collect()}
+        assert got == want and want
