@@ -1,6 +1,6 @@
 """Quality of texts by Bradley-Terry pairwise ranking.
 
-Every text has a vector of features that need its words, characters and lines, not its language. Labelled texts give
+Every text has a vector of features: rates of its characters, words and lines, and the shares of its words by hash. Labelled texts give
 preference pairs, a better one over a worse one; the weights minimise the logistic loss of the pairs' feature
 differences. The weighted sum is the text's strength. A threshold is set at the quantile of the labelled strengths that
 parts the labels' shares, and strengths are mapped to 0..1 by a logistic curve that passes through `CUT` there.
@@ -14,6 +14,7 @@ both kinds all scores are 0.5; repeated rows give repeated results.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,15 +27,30 @@ from pyspark.sql import types as T
 
 #: Labelled rows, pairs and steps of a fit at most; the score at the threshold.
 MOST, PAIRS, STEPS, CUT = 20_000, 60_000, 400, 0.3
-RAW = 17
+#: Words whose hashes a worker keeps.
+KEPT = 100_000
+RAW, HASHED = 17, 256
 _BYTE = {c: ord(c) for c in "|!.?,"}
 _SPECIAL = [ord(c) for c in "|*#$%&!@=<>{}[]\\~^_+"]
 
 
-def features(text: str | None) -> list[float]:
-    """Shares and lengths of a whole text."""
+def hashed(counts: dict[str, int], kept: dict[str, int]) -> np.ndarray:
+    """Roots of the shares of a text's words by hash, HASHED of them."""
+    out = np.zeros(HASHED)
+    for word, n in counts.items():
+        at = kept.get(word)
+        if at is None:
+            if len(kept) > KEPT:
+                kept.clear()
+            at = kept[word] = zlib.crc32(word.encode("utf-8", "replace")) % HASHED
+        out[at] += n
+    return np.sqrt(out / max(1, sum(counts.values())))
+
+
+def features(text: str | None, kept: dict[str, int] | None = None) -> list[float]:
+    """Shares and lengths of a whole text, RAW of them, and of its words by hash."""
     if not text:
-        return [0.0] * RAW
+        return [0.0] * (RAW + HASHED)
     n = len(text)
     words = text.split()
     m = max(1, len(words))
@@ -51,6 +67,7 @@ def features(text: str | None) -> list[float]:
         per["|"], per["!"], per["."] + per["?"], per[","],
         len(counts) / m, max(counts.values(), default=0) / m, repeats / m, pairs / m, len(set(lines)) / k,
         sum(map(len, words)) / m / 10, math.log1p(m / k), sum(map(str.isupper, words)) / m,
+        *hashed(counts, {} if kept is None else kept).tolist(),
     ]
 
 
@@ -74,8 +91,8 @@ class Model:
 
 
 def expand(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Raw features and, for each, a step at every edge: strengths needn't be straight lines of a feature."""
-    steps = raw[:, :, None] > edges[None, :, :]
+    """All features and, for each that isn't hashed, a step at every edge: strengths needn't be straight lines of a feature."""
+    steps = raw[:, :RAW, None] > edges[None, :, :]
     return np.hstack([raw, steps.reshape(len(raw), -1).astype(np.float64)])
 
 
@@ -84,7 +101,7 @@ def fit(raw: np.ndarray, label: np.ndarray, seed: int = 7, pairs: int = PAIRS, s
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(good) or not len(bad):
         return Model(np.zeros((RAW, 0)), np.zeros(0), np.ones(0), np.zeros(0), 0.0, 1.0)
-    edges = np.quantile(raw[np.concatenate([good, bad])], [0.02, 0.05, 0.1, 0.3, 0.5, 0.7, 0.9, 0.95, 0.98], axis=0).T
+    edges = np.quantile(raw[np.concatenate([good, bad]), :RAW], [0.02, 0.05, 0.1, 0.3, 0.5, 0.7, 0.9, 0.95, 0.98], axis=0).T
     x = expand(raw, edges)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     x = ((x - mean) / scale).astype(np.float32)
@@ -113,11 +130,12 @@ def train(labelled: DataFrame, text_col: str, label_col: str, id_col: str, most:
     rows = usable.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).join(F.broadcast(chosen.distinct()), "__id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, int] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(x) for x in batch.column(1).to_pylist()], pa.list_(pa.float64())), batch.column(2), batch.column(0).cast(pa.string())], names=["raw", "label", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array([features(x, kept) for x in batch.column(1).to_pylist()], pa.list_(pa.float64())), batch.column(2), batch.column(0).cast(pa.string())], names=["raw", "label", "id"])
 
     got = rows.select("__id", "text", "label").mapInArrow(run, "raw array<double>, label int, id string").toArrow().sort_by([("id", "ascending")])
-    raw = np.array(got["raw"].to_pylist(), np.float64).reshape(-1, RAW)
+    raw = np.array(got["raw"].to_pylist(), np.float64).reshape(-1, RAW + HASHED)
     return fit(raw, got["label"].to_numpy())
 
 
@@ -128,8 +146,9 @@ def rank(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     kept = docs.select(*keep, F.col(text_col).alias("__sz_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, int] = {}
         for batch in batches:
-            raw = np.array([features(x) for x in batch.column(batch.num_columns - 1).to_pylist()], np.float64).reshape(-1, RAW)
+            raw = np.array([features(x, kept) for x in batch.column(batch.num_columns - 1).to_pylist()], np.float64).reshape(-1, RAW + HASHED)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held.value.score(raw), pa.float64())], names=[*batch.schema.names[:-1], "quality_score"])
 
     return kept.mapInArrow(run, T.StructType([*kept.drop("__sz_text").schema.fields, T.StructField("quality_score", T.DoubleType())]))
