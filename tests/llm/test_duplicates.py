@@ -93,6 +93,13 @@ def test_query_matches_brute_force_on_documents(spark, sf_dir):
     assert got(queries.op10_near_duplicates(spark, sf_dir)) == brute(rows, 4)
 
 
+def test_query_equals_its_sql(spark, sf_dir):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = sorted(db.execute(queries.OP10_SQL).fetchall())
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in queries.op10_near_duplicates(spark, sf_dir).collect()) == want
+
+
 def roots(nodes, links):
     root = {n: n for n in nodes}
 

@@ -115,6 +115,9 @@ def test_query_equals_cutting_out_the_article(spark, sf):
     rows = duckdb.sql(f"SELECT page_id, url, html FROM '/root/testdata/sf{sf}/pages.parquet'").fetchall()
     want = sorted((i, u, plain(h), len(plain(h))) for i, u, h in rows)
     assert sorted((r.page_id, r.url, r.text, r.n_chars) for r in queries.op1_html_main_text(spark, f"/root/testdata/sf{sf}").collect()) == want
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf{sf}/pages.parquet'")
+    assert sorted(db.execute(queries.OP1_SQL).fetchall()) == want
 
 
 def test_parts_of_a_page():
