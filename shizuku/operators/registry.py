@@ -27,10 +27,11 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: str = "replace", order: list[str] | None = None) -> DataFrame:
     """old with new: 'replace' lets new rows win, 'ignore' old ones. Null keys match one another.
 
-    Of new rows with one key, 'replace' keeps the last and 'ignore' the first in `order` (columns that tell when a row came), then by all columns.
+    Of new rows with one key, 'replace' keeps the last and 'ignore' the first in `order` (columns that tell when a row came);
+    of those that came together, or without `order`, the first by all columns.
     """
-    by = [*(order or []), *new.columns]
-    rank = Window.partitionBy(*keys).orderBy(*(F.col(c).desc_nulls_last() if policy == "replace" else F.col(c).asc_nulls_first() for c in by))
+    came = [F.col(c).desc_nulls_last() if policy == "replace" else F.col(c).asc_nulls_first() for c in order or []]
+    rank = Window.partitionBy(*keys).orderBy(*came, *new.columns)
     new = new.withColumn("__rn", F.row_number().over(rank)).filter("__rn = 1").drop("__rn")
     missing = lambda rows, from_: rows.join(from_.select(*(F.col(k).alias(f"__{k}") for k in keys)), reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)), "left_anti")
     return missing(old, new).unionByName(new) if policy == "replace" else old.unionByName(missing(new, old))
