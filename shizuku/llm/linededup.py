@@ -28,10 +28,9 @@ from shizuku.llm.common import WORD, bound, dropped, saved, small
 MIN_WORDS = 25
 SURE_WORDS = 2 * MIN_WORDS
 #: Lines that the words of a stretch are looked for in at first; longer ones take a second step.
-AHEAD = 10
-#: Where a line of several sentences is divided, and all places where lines end.
+AHEAD = 6
+#: Where a line of several sentences is divided.
 SENTENCE_END = r"(?<=[.!?]) "
-LINE_END = rf"\n|{SENTENCE_END}"
 
 
 def split_lines(text: Column) -> Column:
@@ -44,6 +43,14 @@ def _words(line: Column) -> Column:
     return F.regexp_count(line, F.lit(WORD))
 
 
+def _count(text: Column) -> Column:
+    """How many lines split_lines gives."""
+    ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    for mark in ".!?":
+        ends = ends + ((F.length(text) - F.length(F.replace(text, F.lit(f"{mark} "), F.lit("")))) / 2).cast("int")
+    return ends + 1
+
+
 def _hex(text: Column) -> Column:
     """60 bits of the MD5 digest as 15 hexadecimal digits, which sort like the number."""
     return F.substring(F.md5(text), 1, 15)
@@ -53,21 +60,14 @@ def _number(digits: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long")
 
 
-def stretch_lines(w: Column, i: Column, least: int) -> Column:
-    """How many lines from the i-th on have `least` words or just more; null if the rest of the document has fewer."""
-
-    def among(next_: Column) -> Column:
-        sums = [F.get(next_, F.lit(0))]
-        for k in range(1, AHEAD):
-            sums.append(sums[-1] + F.get(next_, F.lit(k)))
-        found = F.when(sums[1] >= least, F.when(sums[0] >= least, 1).otherwise(2))
-        for k in range(3, AHEAD, 2):  # two at a time, so that fewer sums are made
-            found = found.when(sums[k] >= least, F.when(sums[k - 1] >= least, k).otherwise(k + 1))
-        return found.otherwise(bound(F.aggregate(F.slice(w, i + 1, least), F.lit(0).cast("long"), step), lambda x: F.when(x >= least << 16, x.bitwiseAND(F.lit(0xFFFF)).cast("int"))))
-
-    step = lambda so_far, x: F.when(so_far >= least << 16, so_far).otherwise(so_far + x.cast("long") * (1 << 16) + 1)
-    # Behind the end there are lines without words, so that sums of the last lines aren't null.
-    return bound(F.concat(F.slice(w, i + 1, AHEAD), F.array_repeat(F.lit(0), AHEAD)), among)
+def stretch_lines(scaled: Column, i: Column, least: int) -> Column:
+    """How many lines from the i-th on have `least` words or just more; null if the rest of the document has fewer. scaled: words times 2**16."""
+    enough = least << 16
+    # Words in the upper bits, lines in the lower ones; lines beyond the stretch aren't counted.
+    step = lambda so_far, x: so_far + x + F.when(so_far < enough, 1).otherwise(0)
+    of = lambda n: F.aggregate(F.slice(scaled, i + 1, n), F.lit(0).cast("long"), step)
+    lines = lambda x: x.bitwiseAND(F.lit(0xFFFF)).cast("int")
+    return bound(of(AHEAD), lambda x: F.when(x >= enough, lines(x)).otherwise(bound(of(least), lambda y: F.when(y >= enough, lines(y)))))
 
 
 def selected(digits: Column, w: Column, least: int) -> Column:
@@ -86,7 +86,8 @@ def selected(digits: Column, w: Column, least: int) -> Column:
         return F.sort_array(F.transform(windows(known), text))
 
     # Stretches begin at all lines but the last few.
-    lines = F.filter(F.transform(places, lambda i: stretch_lines(w, i, least)), lambda n: n.isNotNull())
+    scaled = F.transform(w, lambda x: x.cast("long") * (1 << 16))
+    lines = bound(scaled, lambda ws: F.filter(F.transform(places, lambda i: stretch_lines(ws, i, least)), lambda n: n.isNotNull()))
     return bound(F.struct(lines.alias("lines"), ranked.alias("ranks")), prints)
 
 
@@ -184,7 +185,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     joined = rows.join(small(cuts), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
     done = F.when(F.col("__cut").isNotNull(), without(F.col("__text"), F.col("__cut")))
     out = joined.withColumn("__done", done)
-    count = F.coalesce(F.col("__done.n_lines"), F.regexp_count(F.col("__text"), F.lit(LINE_END)) + 1)
+    count = F.coalesce(F.col("__done.n_lines"), _count(F.col("__text")))
     others = [c for c in docs.columns if c not in ("n_lines", "removed")]
     clean = F.when(F.col("__done").isNotNull(), F.col("__done.text")).otherwise(F.col("__text")).alias(text_col)
     return out.select(
