@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shizuku.llm import fingerprint, html_main, langid, linededup, mixing, neardup, packing, quality, topk, warc
+from shizuku.llm import alignment, decontaminate, divergence, fingerprint, html_main, langid, linededup, mixing, neardup, packing, quality, topk, warc
 from shizuku.llm.common import crc_of, read
 
 
@@ -75,7 +75,23 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-_ALL = (op1_html_main_text, op2_exact_top_k, op3_language_id, op4_warc_revisits, op5_weighted_mix, op6_best_fit_pack, op7_multiset_fingerprint, op8_quality_rank, op9_line_dedup, op10_near_duplicates)
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.scan(docs, read(spark, sf_dir, "benchmark")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.digest(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_ALL = (op1_html_main_text, op2_exact_top_k, op3_language_id, op4_warc_revisits, op5_weighted_mix, op6_best_fit_pack, op7_multiset_fingerprint, op8_quality_rank, op9_line_dedup, op10_near_duplicates, op11_decontaminate, op12_source_divergence, op13_tokenizer_alignment)
 
 
 def queries() -> dict:
@@ -172,5 +188,35 @@ FROM j
 """
 
 
+# A window is an item's ten words in a row, or all its words where it has fewer.
+OP11_SQL = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+g AS (SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[k:k + least(len(ws), 10) - 1], ' ') AS gram FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 8, 2))) AS k FROM i WHERE len(ws) > 0)),
+p AS (SELECT rid, n, array_to_string(ws[k:k + n - 1], ' ') AS gram, k FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM g) WHERE len(ws) >= n)),
+h AS (SELECT rid, p.n, k, item FROM p JOIN g USING (n, gram)),
+c AS (SELECT rid, count(DISTINCT w) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS w FROM (SELECT DISTINCT rid, n, k FROM h)) GROUP BY rid),
+t AS (SELECT rid, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+"""
+
+# The definition itself: every group with every kept term of its language.
+OP12_SQL = r"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+l AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM l GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+a AS (SELECT g.lang, g.source, l.term, l.n AS all_n, coalesce(c.n, 0) AS n FROM g JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+s AS (SELECT lang, source, sum(n) AS n FROM a GROUP BY lang, source),
+p AS (SELECT a.lang, a.source, a.term, a.n, 1 + (CAST(1000000000 AS HUGEINT) * (a.n + 1)) // (s.n + v.v) AS p, 1 + (CAST(1000000000 AS HUGEINT) * (a.all_n + 1)) // (v.n + v.v) AS q
+  FROM a JOIN s ON s.lang = a.lang AND s.source = a.source JOIN v ON v.lang = a.lang),
+e AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+o AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(e.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN e ON e.lang = x.lang AND e.source = x.source AND e.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_main_text": OP1_SQL, "op10_near_duplicates": OP10_SQL, "op2_exact_top_k": OP2_SQL, "op4_warc_revisits": OP4_SQL, "op5_weighted_mix": OP5_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op11_decontaminate": OP11_SQL, "op12_source_divergence": OP12_SQL, "op1_html_main_text": OP1_SQL, "op10_near_duplicates": OP10_SQL, "op2_exact_top_k": OP2_SQL, "op4_warc_revisits": OP4_SQL, "op5_weighted_mix": OP5_SQL, "op9_line_dedup": OP9_SQL}
