@@ -103,10 +103,11 @@ def escaped_id(text: Column) -> Column:
 
 
 def weakest(rank: list[str], *values: Column) -> Column:
-    """The value that stands last in `rank`, best first; unknown values count as weakest, nulls are left out."""
-    place = lambda c: F.when(c.isNull(), -1).otherwise(F.coalesce(F.array_position(F.array(*map(F.lit, rank)), c).cast("int"), F.lit(0)) - 1)
-    placed = [F.when(c.isNotNull(), F.struct(F.when(place(c) < 0, len(rank)).otherwise(place(c)).alias("p"), c.alias("v"))) for c in values]
-    return (F.greatest(*placed) if len(placed) > 1 else placed[0])["v"]
+    """Of values the one that stands last in `rank`, best first. A null or a value that isn't in it counts as the last name of `rank`, as does having no values."""
+    names = F.array(*map(F.lit, rank))
+    # array_position counts from 1 and gives 0 for what isn't there, null for a null.
+    places = [F.coalesce(F.nullif(F.array_position(names, c), F.lit(0)).cast("int"), F.lit(len(rank))) for c in values]
+    return F.element_at(names, F.greatest(*places) if len(places) > 1 else places[0] if places else F.lit(len(rank)))
 
 
 def first_rule(rules: list[tuple[Column, str]], default: Column) -> Column:
@@ -132,8 +133,8 @@ def picked_label(*candidates: Column) -> Column:
 
 
 def direction(before: Column, now: Column) -> Column:
-    """How a rank, 1 the most severe, has moved."""
-    return F.when(before.isNull(), "new").when(now.isNull(), "removed").when(now < before, "up").when(now > before, "down").otherwise("same")
+    """How a rank, 1 the most severe, has moved. Without a rank before it is new; one that has none now counts as unmoved."""
+    return F.when(before.isNull(), "new").when(now < before, "up").when(now > before, "down").otherwise("same")
 
 
 def coordinate_uncertainty(decimals: Column) -> Column:
@@ -161,10 +162,23 @@ def in_unit(value: Column, unit: Column, factors: dict[str, float]) -> Column:
 
 
 def license_class(text: Column) -> Column:
-    """'open', 'noncommercial', 'restricted' or 'unknown' of a licence's name or address. What isn't known for sure is unknown, never open."""
+    """'open', 'noncommercial', 'restricted' or 'unknown' of a licence's name or address.
+
+    Open are CC0, the public domain and CC BY; NC makes a licence noncommercial, whatever stands beside it; SA or ND alone, which allow
+    commercial use under conditions, make it restricted. Everything else is unknown, all rights reserved included.
+    """
     plain = F.regexp_replace(F.lower(F.trim(text)), r"^https?://(?:www\.)?creativecommons\.org/(?:licenses|publicdomain)/", "cc-")
     cc = F.regexp_extract(F.regexp_replace(plain, r"[_ /]+", "-"), r"^(?:cc-)?(zero|cc0|pdm|mark|by(?:-nc)?(?:-(?:sa|nd))?)(?:-\d.*)?-?$", 1)
-    return F.when(cc.contains("nc"), "noncommercial").when(cc != "", "open").when(plain.rlike(r"^(?:all rights reserved|restricted|closed|©.*)$"), "restricted").otherwise("unknown")
+    return F.when(cc.contains("-nc"), "noncommercial").when(cc.rlike("-(?:sa|nd)$"), "restricted").when(cc != "", "open").otherwise("unknown")
+
+
+#: Metres of uncertainty from which on a record is withheld from places.
+WITHHELD_M = 10_000
+
+
+def withheld(uncertainty_m: Column) -> Column:
+    """Whether a record is too vague to be assigned to a place; an unknown uncertainty withholds nothing."""
+    return F.coalesce(uncertainty_m >= WITHHELD_M, F.lit(False))
 
 
 def mixed_order(value: Column) -> Column:

@@ -205,6 +205,24 @@ def flow_compose(spark, sf_dir):
     return flow.compose(assignments, edges, sources, "2024-04-01")[0]
 
 
+@query("""WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS at, 'n' || (n_nationkey * 2) % 25 AS up, 0.5::DOUBLE AS share FROM nation UNION ALL SELECT 'n' || n_nationkey, 's' || n_regionkey, 0.3 FROM nation WHERE n_nationkey % 3 = 0),
+w(zone, node, share, seen, n) AS (SELECT s_suppkey, 'n' || s_nationkey, 1.0::DOUBLE, ['n' || s_nationkey], 0 FROM supplier
+  UNION ALL SELECT zone, up, w.share * e.share, list_append(seen, up), n + 1 FROM w JOIN e ON e.at = w.node WHERE NOT list_contains(seen, up) AND n < 33),
+c AS (SELECT zone, 'unresolved' AS source_id, sum(w.share * e.share) AS share FROM w JOIN e ON e.at = w.node WHERE list_contains(seen, up) GROUP BY zone)
+SELECT zone, node AS source_id, round(sum(share), 6) AS share FROM w WHERE node LIKE 's%' GROUP BY ALL UNION ALL SELECT zone, source_id, round(share, 6) FROM c WHERE round(share, 6) > 0""")
+def flow_with_cycles(spark, sf_dir):
+    """Suppliers as zones, fed through a graph of nations that has cycles of one, four and twenty nodes, and what runs into them."""
+    n, none = F.col("n_nationkey"), F.lit(None).cast("string")
+    name = lambda c, letter="n": F.concat(F.lit(letter), c.cast("string"))
+    edge = lambda rows, up, share: rows.select(name(n).alias("to_id"), up.alias("from_id"), F.lit(share).alias("share"), F.lit("measured").alias("basis"), none.alias("valid_from"), none.alias("valid_to"))
+    nations = table(spark, sf_dir, "nation")
+    edges = edge(nations, name(n * 2 % 25), 0.5).unionByName(edge(nations.filter("n_nationkey % 3 = 0"), name(F.col("n_regionkey"), "s"), 0.3))
+    sources = table(spark, sf_dir, "region").select(name(F.col("r_regionkey"), "s").alias("source_id"))
+    assignments = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("zone"), name(F.col("s_nationkey")).alias("facility_id"), F.lit(1.0).alias("share"), F.lit("high").alias("confidence"), none.alias("valid_from"), none.alias("valid_to"))
+    shares, lost = flow.compose(assignments, edges, sources, "2024-04-01")
+    return shares.select("zone", "source_id", "share").unionByName(lost.select("zone", F.lit("unresolved").alias("source_id"), F.col("unresolved").alias("share")))
+
+
 @query("SELECT l_suppkey AS grp, round(sum(l_discount), 6) AS total FROM lineitem GROUP BY ALL HAVING abs(sum(l_discount) - 1) > 0.005")
 def share_sums(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("grp"), F.col("l_discount").alias("share"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def names_and_numbers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", naming.bare_name(name).alias("bare"), naming.number_of(wide).alias("number"), pair["count"].alias("count"), pair["inner"].alias("inner_count"), label.alias("label"))
 
 
-@query("SELECT c_custkey, 'grid01:' || CAST(floor(c_acctbal / 100 * 100) AS BIGINT) || ',' || CAST(c_custkey % 180 * 100 AS BIGINT) AS cell, CAST(c_custkey % 90 AS DOUBLE) AS lat, CAST(c_custkey % 180 AS DOUBLE) AS lon, 'a%20' || CAST(c_custkey AS VARCHAR) || '%2F.-_%E7%A8%AE' AS escaped, CASE c_custkey % 3 WHEN 0 THEN 'estimated' WHEN 1 THEN 'unknown' ELSE 'derived' END AS weakest FROM customer")
+@query("SELECT c_custkey, 'grid01:' || CAST(floor(c_acctbal / 100 * 100) AS BIGINT) || ',' || CAST(c_custkey % 180 * 100 AS BIGINT) AS cell, CAST(c_custkey % 90 AS DOUBLE) AS lat, CAST(c_custkey % 180 AS DOUBLE) AS lon, 'a%20' || CAST(c_custkey AS VARCHAR) || '%2F.-_%E7%A8%AE' AS escaped, CASE c_custkey % 3 WHEN 0 THEN 'estimated' WHEN 1 THEN 'unknown' ELSE 'unknown' END AS weakest, c_custkey % 3 = 0 AND c_acctbal >= 10000 / 3 AS withheld FROM customer")
 def cells_and_ids(spark, sf_dir):
     """Grid cells of coordinates and back, reversible ids, and the weaker of two bases."""
     k = F.col("c_custkey")
@@ -64,17 +65,18 @@ def cells_and_ids(spark, sf_dir):
     other = F.when(k % 3 == 0, "estimated").when(k % 3 == 1, "unknown")
     return table(spark, sf_dir, "customer").select(
         "c_custkey", naming.grid_id(F.col("c_acctbal") / 100, (k % 180).cast("double")).alias("cell"), back["lat"].alias("lat"), back["lon"].alias("lon"),
-        naming.escaped_id(F.concat(F.lit("a "), k.cast("string"), F.lit("/.-_種"))).alias("escaped"), naming.weakest(["measured", "published", "derived", "estimated", "assumed", "unknown"], F.lit("derived"), other).alias("weakest"),
+        naming.escaped_id(F.concat(F.lit("a "), k.cast("string"), F.lit("/.-_種"))).alias("escaped"), naming.weakest(["measured", "published", "derived", "estimated", "assumed", "unknown"], F.lit("derived"), other).alias("weakest"), naming.withheld(F.when(k % 3 == 0, F.col("c_acctbal") * 3)).alias("withheld"),
     )
 
 
 @query("""SELECT p_partkey, round(p_size * CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 100 WHEN 2 THEN 0.01 END::DOUBLE, 6) AS hectares, p_size * CASE p_partkey % 3 WHEN 0 THEN 1000.0 WHEN 1 THEN 1000000.0 ELSE 100000000.0 END::DOUBLE AS yen,
-CASE p_partkey % 6 WHEN 0 THEN 'open' WHEN 1 THEN 'noncommercial' WHEN 2 THEN 'open' WHEN 3 THEN 'restricted' ELSE 'unknown' END AS license_class, power(10.0::DOUBLE, 5 - p_partkey % 6) AS uncertainty_m FROM part""")
+CASE p_partkey % 8 WHEN 0 THEN 'open' WHEN 1 THEN 'noncommercial' WHEN 2 THEN 'restricted' WHEN 5 THEN 'open' WHEN 6 THEN 'restricted' WHEN 7 THEN 'noncommercial' ELSE 'unknown' END AS license_class, power(10.0::DOUBLE, 5 - p_partkey % 6) AS uncertainty_m FROM part""")
 def units_and_licenses(spark, sf_dir):
     k = F.col("p_partkey")
     area = F.when(k % 4 == 0, "ha").when(k % 4 == 1, "平方キロメートル").when(k % 4 == 2, "a").otherwise("坪")
     money = F.when(k % 3 == 0, "千円").when(k % 3 == 1, "百万円").otherwise("億円")
-    text = F.when(k % 6 == 0, "CC0").when(k % 6 == 1, "https://creativecommons.org/licenses/by-nc/4.0/").when(k % 6 == 2, "cc-by-sa-4.0").when(k % 6 == 3, "All rights reserved").when(k % 6 == 4, "see website")
+    base = "https://creativecommons.org/licenses"
+    text = F.when(k % 8 == 0, "CC0").when(k % 8 == 1, f"{base}/by-nc/4.0/legalcode").when(k % 8 == 2, "cc-by-sa").when(k % 8 == 3, "All rights reserved").when(k % 8 == 5, f"{base}/by/4.0/legalcode").when(k % 8 == 6, f"{base}/by-sa/4.0/legalcode").when(k % 8 == 7, "cc-by-nc-nd")
     size = F.col("p_size").cast("double")
     return table(spark, sf_dir, "part").select("p_partkey", F.round(naming.in_unit(size, area, naming.HECTARES), 6).alias("hectares"), naming.in_unit(size, money, naming.YEN).alias("yen"), naming.license_class(text).alias("license_class"), naming.coordinate_uncertainty((k % 6).cast("int")).alias("uncertainty_m"))
 
@@ -90,7 +92,7 @@ def mixed_sort(spark, sf_dir):
     return top.withColumn("place", F.row_number().over(Window.orderBy(naming.mixed_order(F.col("value")))).cast("long"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_name ELSE 'site ' || s_suppkey END AS label, CASE WHEN s_suppkey % 5 = 0 THEN 'new' WHEN s_suppkey % 7 = 0 THEN 'removed' WHEN s_suppkey % 4 < s_suppkey % 3 THEN 'up' WHEN s_suppkey % 4 > s_suppkey % 3 THEN 'down' ELSE 'same' END AS direction FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_name ELSE 'site ' || s_suppkey END AS label, CASE WHEN s_suppkey % 5 = 0 THEN 'new' WHEN s_suppkey % 7 = 0 THEN 'same' WHEN s_suppkey % 4 < s_suppkey % 3 THEN 'up' WHEN s_suppkey % 4 > s_suppkey % 3 THEN 'down' ELSE 'same' END AS direction FROM supplier")
 def labels_and_moves(spark, sf_dir):
     k = F.col("s_suppkey")
     before, now = F.when(k % 5 != 0, k % 3), F.when(k % 7 != 0, k % 4)
@@ -265,20 +267,52 @@ def darwin_core_archive(spark, sf_dir):
 # Adapters and samples.
 
 
-def _supplier_records(context):
-    """An adapter: suppliers in credit as sites."""
+#: An adapter: suppliers in credit as sites.
+_SUPPLIER_RECORDS = """
+def rows(context):
     for row in context.input_rows():
         if row["s_acctbal"] is not None and row["s_acctbal"] > 0:
             yield {"place_id": f"{context.source}:{row['s_suppkey']}", "name": row["s_name"].strip(), "balance": round(row["s_acctbal"], 2)}
+"""
+_SITES = adapters.Manifest("sites", "region:1", "place_id string, name string, balance double", checks=(("balance", "balance > 0"), ("prefix", "place_id LIKE 'sites:%'")))
+#: Another: orders as records with a severity, parsed from the text of the priority. The key is copied as it is.
+_ORDER_RECORDS = """
+import re
+from datetime import date
 
+SHAPE = re.compile(r"(\\d)-([A-Z ]+)")
 
-_SITES = adapters.Manifest("sites", "region:1", "place_id string, name string, balance double", checks=(("balance", "balance > 0"), ("prefix", "place_id LIKE 'sites:%'")))
+
+def rows(context):
+    for row in context.input_rows():
+        found = SHAPE.match(row["o_orderpriority"] or "")
+        day = row["o_orderdate"]
+        if found:
+            yield {"record": row["o_orderkey"], "severity": int(found[1]), "label": found[2].strip().title(), "observed": date(day.year, day.month, day.day)}
+"""
 
 
 @query("SELECT 'sites:' || s_suppkey AS place_id, s_name AS name, round(s_acctbal, 2) AS balance, 'sites' AS source_id, 'region:1' AS region_id FROM supplier WHERE s_acctbal > 0")
 def adapted_sites(spark, sf_dir):
     """Records of an adapter, run on the executors as its manifest declares."""
-    return adapters.adapted(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), _SITES, _supplier_records)
+    return adapters.adapted(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), _SITES, _SUPPLIER_RECORDS)
+
+
+def _with_manifest(spark, sf_dir, name: str, manifest: adapters.Manifest):
+    """A table read by the data source, as its manifest says."""
+    inputs = tuple(table(spark, sf_dir, name).inputFiles())
+    adapters.register(spark)
+    path = _place(spark, "manifest")
+    tables.write_text(spark, path, replace(manifest, inputs=inputs).to_json())
+    return spark.read.format("shizuku_adapter").option("manifest", path).load()
+
+
+@query("SELECT o_orderkey AS record, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS severity, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Urgent' WHEN '2' THEN 'High' WHEN '3' THEN 'Medium' WHEN '4' THEN 'Not Specified' ELSE 'Low' END AS label, CAST(o_orderdate AS DATE) AS observed, 'orders' AS source_id, 'region:2' AS region_id FROM orders WHERE o_orderkey > 1000 AND o_orderpriority IS NOT NULL")
+def adapter_source(spark, sf_dir):
+    """Records of orders through the data source: partitions by row group, a filter on the copied key handed to the reader."""
+    schema = "record long, severity int, label string, observed date"
+    manifest = adapters.Manifest("orders", "region:2", schema, code=_ORDER_RECORDS, columns=("o_orderkey", "o_orderpriority", "o_orderdate"), copied=(("record", "o_orderkey"),))
+    return _with_manifest(spark, sf_dir, "orders", manifest).filter("record > 1000 AND region_id = 'region:2'")
 
 
 @query("SELECT 'rows' AS name, CAST(-1 AS BIGINT) + 1 AS expected, count(*) AS found FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'dear', 0, count(*) FILTER (WHERE s_acctbal <= 5000) FROM supplier WHERE s_acctbal > 0")

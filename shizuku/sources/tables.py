@@ -17,6 +17,13 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, place = _fs(spark, path)
+    stream = fs.create(place, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
 def fingerprint(df: DataFrame) -> dict:
     """Rows and a hash of them that doesn't depend on their order."""
     row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("s"), F.sum(F.hash(*df.columns).cast("long")).alias("t")).first()
@@ -74,9 +81,7 @@ def export(tables: dict[str, DataFrame], path: str, partition_by: dict[str, list
     for gone in set(before) - set(tables):
         fs.delete(_fs(spark, f"{path}/{gone}")[1], True)
     package = {"profile": "data-package", "resources": out}
-    stream = fs.create(manifest, True)
-    stream.write(bytearray(json.dumps(package, ensure_ascii=False, indent=1).encode()))
-    stream.close()
+    write_text(spark, f"{path}/datapackage.json", json.dumps(package, ensure_ascii=False, indent=1))
     return package
 
 
