@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from shizuku.llm.common import bound, saved, small
 
-#: Words of a window.
-WIDTH = 10
+#: Words of a window, and hashes of texts that are broadcast at most: 24 bytes each, 48 MB.
+WIDTH, HASHES = 10, 2_000_000
 #: What stands between words of a lower-cased text, and pieces of a text as it is: words and what stands between them.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PIECES = r"([0-9A-Za-z[^\x00-\x7F]]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
@@ -93,7 +93,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: st
     grams = saved(benchmark_windows(benchmark, width, item_id, item_text), "windows")
     met = saved(candidates(docs, grams, text_col), "window-hits").select(F.col("th").alias("__th"), F.col("hits").alias("__hits"), F.col("sets").alias("__sets"))
     kept = [c for c in docs.columns if c not in RESULT or c == text_col]
-    rows = docs.select(*kept, F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__h")).join(small(met), F.col("__h") == F.col("__th"), "left")
+    # Only texts that met a window go through the join with what they met, which has wide rows; their hashes alone tell them apart.
+    named = docs.select(*kept, F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__h"))
+    hashes, same = small(met.select("__th"), HASHES), F.col("__h") == F.col("__th")
+    rows = named.join(hashes, same, "left_semi").join(met, same).unionByName(named.join(hashes, same, "left_anti"), allowMissingColumns=True)
 
     def judged(ws: Column) -> Column:
         true = F.filter("__hits", lambda x: F.slice(ws, x["pos"] + 1, F.size(x["gram"])) == x["gram"])
