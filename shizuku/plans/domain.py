@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shizuku.functions import censoring
-from shizuku.sources.stored import stored
+from shizuku.sources.stored import definition, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -140,8 +141,10 @@ def taxon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def occurrence_cells(spark: SparkSession, sf_dir: str, grains: tuple[str, ...] = ("year", "survey_period")) -> DataFrame:
     """The occurrence cube with year, binom and taxon_group, of some grains: stored once for the state of the tables, in folders by grain and kind of place."""
+    from shizuku.operators import occurrence_cube
+
     inputs = [table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "part")]
-    cube = stored("occurrence-cells", inputs, lambda: built_cells(spark, sf_dir), partition_by=("grain", "place_kind"), sort_by=("taxon_id", "period_start"))
+    cube = stored("occurrence-cells", inputs, lambda: built_cells(spark, sf_dir), partition_by=("grain", "place_kind"), sort_by=("taxon_id", "period_start"), version=definition(occurrence_cube, sys.modules[__name__]))
     return cube.filter(F.col("grain").isin(*grains))
 
 

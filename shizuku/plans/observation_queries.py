@@ -8,7 +8,7 @@ from shizuku.functions import naming, periods
 from shizuku.operators import checks, registry
 from shizuku.operators import observation_cube as cube
 from shizuku.plans.domain import DAYS, DIM, EVENTS, MONTHS, OBS, instants, monthly, observation, query, table
-from shizuku.sources.stored import stored
+from shizuku.plans.stored_cells import observation_levels
 
 _CELL = f"{DIM}, period_start, period_end, grain, input_grain, stat, value_zero, value_lod, n, n_censored, n_not_detected"
 _UNFOLD = "CROSS JOIN (SELECT unnest(['mean', 'min', 'max']) AS stat)"
@@ -23,9 +23,13 @@ def rounded(df, digits: int = 6):
 
 
 def days_of(spark, sf_dir):
-    """The daily cells, which months, years and all series read: stored once for the state of the tables."""
-    inputs = [table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation")]
-    return stored("observation-days", inputs, lambda: cube.day_stats(cube.imputed(observation(spark, sf_dir))), sort_by=("variable_id", "place_id", "period_start"))
+    """The stored daily cells."""
+    return observation_levels(spark, sf_dir)[0].cells().drop("zone_id").withColumn("period_end", F.col("period_start")).withColumn("grain", F.lit("day"))
+
+
+def _mean(p: str, digits: int = 6):
+    """The mean of the daily means that a stored level has added up."""
+    return F.round(F.col(f"{p}_mean_s").cast("double") / F.col(f"{p}_mean_c"), digits)
 
 
 def exact_mean(column: str, digits: int = 9):
@@ -46,7 +50,9 @@ def obs_daily_sum(spark, sf_dir):
 
 @query(f"WITH {DAYS}, mon AS (SELECT {DIM}, input_grain, substr(period_start, 1, 7) AS m, avg(vz_mean) AS z, avg(vl_mean) AS l, count(*) AS n, CAST(sum(n_censored) AS BIGINT) AS n_censored, CAST(sum(n_not_detected) AS BIGINT) AS n_not_detected FROM days GROUP BY ALL) SELECT {DIM}, m || '-01' AS period_start, strftime(last_day(CAST(m || '-01' AS DATE)), '%Y-%m-%d') AS period_end, 'month' AS grain, input_grain, 'mean' AS stat, round(z, 6) AS value_zero, round(l, 6) AS value_lod, n, n_censored, n_not_detected FROM mon")
 def obs_month_from_day(spark, sf_dir):
-    return rounded(cube.month_from_days(days_of(spark, sf_dir)))
+    rows = observation_levels(spark, sf_dir)[0].table("month").read()
+    cells = rows.withColumns({"period_start": F.concat("month", F.lit("-01")), "period_end": periods.month_end(F.col("month")), "grain": F.lit("month"), "stat": F.lit("mean"), "value_zero": _mean("vz"), "value_lod": _mean("vl"), "n": F.col("cells")})
+    return cells.select(*cube.CELL)
 
 
 _YEAR = f"yr AS (SELECT {DIM}, input_grain, substr(period_start, 1, 4) AS y, avg(vz_mean) AS vz_mean, min(vz_mean) AS vz_min, max(vz_mean) AS vz_max, avg(vl_mean) AS vl_mean, min(vl_mean) AS vl_min, max(vl_mean) AS vl_max, count(*) AS n, CAST(sum(n_censored) AS BIGINT) AS n_censored, CAST(sum(n_not_detected) AS BIGINT) AS n_not_detected FROM days GROUP BY ALL)"
@@ -54,7 +60,11 @@ _YEARS = f"{DAYS}, {_YEAR}, years AS (SELECT {DIM}, y || '-01-01' AS period_star
 
 
 def years_of(spark, sf_dir):
-    return rounded(cube.year_from_days(days_of(spark, sf_dir)))
+    """Yearly cells, from the stored level."""
+    rows = observation_levels(spark, sf_dir)[0].table("year").read()
+    start, end = periods.year_bounds(F.col("year"))
+    wide = {f"{p}_{k}": c for p in ("vz", "vl") for k, c in (("mean", _mean(p)), ("min", F.round(f"{p}_mean_lo", 6)), ("max", F.round(f"{p}_mean_hi", 6)))}
+    return cube.unfold(rows.withColumns({"period_start": start, "period_end": end, "grain": F.lit("year"), "n": F.col("cells"), **wide}), ["mean", "min", "max"])
 
 
 @query(f"WITH {_YEARS} SELECT * FROM years")
@@ -113,15 +123,16 @@ def totals_reconcile(spark, sf_dir):
 
 @query(f"WITH {_YEARS} SELECT place_id, variable_id, obs_stat, unit_id, substr(period_start, 1, 4) AS year, max(CASE WHEN stat = 'mean' THEN value_zero END) AS mean, max(CASE WHEN stat = 'min' THEN value_zero END) AS min, max(CASE WHEN stat = 'max' THEN value_zero END) AS max, max(n) AS n FROM years WHERE variable_id = 'R' GROUP BY place_id, variable_id, obs_stat, unit_id, substr(period_start, 1, 4)")
 def year_series_pivot(spark, sf_dir):
-    rows = years_of(spark, sf_dir).filter("variable_id = 'R'")
-    pick = lambda s: F.max(F.when(F.col("stat") == s, F.col("value_zero"))).alias(s)
-    return rows.groupBy("place_id", "variable_id", "obs_stat", "unit_id", F.substring("period_start", 1, 4).alias("year")).agg(pick("mean"), pick("min"), pick("max"), F.max("n").alias("n"))
+    """One wide row a series and year: the stored level has the statistics side by side."""
+    rows = observation_levels(spark, sf_dir)[0].table("year").read().filter("variable_id = 'R'")
+    return rows.groupBy("place_id", "variable_id", "obs_stat", "unit_id", "year").agg(F.max(_mean("vz")).alias("mean"), F.max(F.round("vz_mean_lo", 6)).alias("min"), F.max(F.round("vz_mean_hi", 6)).alias("max"), F.max("cells").alias("n"))
 
 
 @query(f"WITH {DAYS} SELECT place_id, substr(period_start, 1, 7) AS month, round(avg(vz_mean), 6) AS value, count(*) AS n FROM days WHERE variable_id = 'A' AND unit_id = 'F' AND obs_stat = 'mean' AND place_id IN ('site:1', 'site:2', 'site:3') GROUP BY ALL")
 def month_series(spark, sf_dir):
-    rows = days_of(spark, sf_dir).filter("variable_id = 'A' AND unit_id = 'F' AND obs_stat = 'mean'").filter(F.col("place_id").isin("site:1", "site:2", "site:3"))
-    return rows.groupBy("place_id", F.substring("period_start", 1, 7).alias("month")).agg(F.round(F.avg("vz_mean"), 6).alias("value"), F.count("*").alias("n"))
+    where = "variable_id = 'A' AND unit_id = 'F' AND obs_stat = 'mean' AND place_id IN ('site:1', 'site:2', 'site:3')"
+    found = observation_levels(spark, sf_dir)[0].answer(["place_id", "month"], {"value": ("mean", "vz_mean"), "n": ("count",)}, where, ["variable_id", "unit_id", "obs_stat"])
+    return found.withColumn("value", F.round("value", 6))
 
 
 @query(f"WITH {DAYS} SELECT place_id, period_start, round(vz_mean, 6) AS value FROM days WHERE variable_id || '|' || value_grain || '|' || coalesce(obs_stat, '') || '|' || unit_id = 'N|day||O' AND period_start >= '1996-01' AND period_start <= '1996-06'")
@@ -134,34 +145,40 @@ def day_series(spark, sf_dir):
 
 @query(f"WITH {_YEARS} SELECT n_nationkey AS zone, substr(period_start, 1, 4) AS year, variable_id, count(DISTINCT place_id) AS n_sites, CAST(sum(n) AS BIGINT) AS n, round(CAST(sum(CAST(round(value_zero, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(value_zero), 4) AS avg_zero, round(CAST(sum(CAST(round(value_lod, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(value_lod), 4) AS avg_lod FROM years JOIN supplier ON place_id = 'site:' || s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE stat = 'mean' GROUP BY ALL")
 def zone_year(spark, sf_dir):
-    within = table(spark, sf_dir, "supplier").select(F.concat(F.lit("site:"), "s_suppkey").alias("place_id"), F.col("s_nationkey").alias("zone"))
-    rows = years_of(spark, sf_dir).filter("stat = 'mean'").join(within, "place_id")
-    return rows.groupBy("zone", F.substring("period_start", 1, 4).alias("year"), "variable_id").agg(F.countDistinct("place_id").alias("n_sites"), F.sum("n").alias("n"), F.round(exact_mean("value_zero"), 4).alias("avg_zero"), F.round(exact_mean("value_lod"), 4).alias("avg_lod"))
+    """Means of yearly means by zone: the stored level of exactly these keys."""
+    measures = {"n_sites": ("distinct", "place_id"), "n": ("total", "n"), "avg_zero": ("mean", "value_zero"), "avg_lod": ("mean", "value_lod")}
+    found = observation_levels(spark, sf_dir)[1].answer(["zone_id", "year", "variable_id"], measures, "zone_id IS NOT NULL")
+    return found.select(F.col("zone_id").alias("zone"), "year", "variable_id", "n_sites", "n", F.round("avg_zero", 4).alias("avg_zero"), F.round("avg_lod", 4).alias("avg_lod"))
 
 
 @query(f"WITH {DAYS} SELECT n_nationkey AS zone, substr(period_start, 6, 2) AS month_of_year, variable_id, count(*) AS n, round(CAST(sum(CAST(round(vz_mean, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(vz_mean), 4) AS avg, min(vz_mean) AS min, max(vz_mean) AS max FROM days JOIN supplier ON place_id = 'site:' || s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL")
 def zone_month(spark, sf_dir):
-    within = table(spark, sf_dir, "supplier").select(F.concat(F.lit("site:"), "s_suppkey").alias("place_id"), F.col("s_nationkey").alias("zone"))
-    rows = days_of(spark, sf_dir).join(within, "place_id")
-    return rows.groupBy("zone", F.substring("period_start", 6, 2).alias("month_of_year"), "variable_id").agg(F.count("*").alias("n"), F.round(exact_mean("vz_mean"), 4).alias("avg"), F.min("vz_mean").alias("min"), F.max("vz_mean").alias("max"))
+    found = observation_levels(spark, sf_dir)[0].answer(["zone_id", "month_of_year", "variable_id"], {"n": ("count",), "avg": ("mean", "vz_mean"), "min": ("min", "vz_mean"), "max": ("max", "vz_mean")}, "zone_id IS NOT NULL")
+    return found.select(F.col("zone_id").alias("zone"), "month_of_year", "variable_id", "n", F.round("avg", 4).alias("avg"), "min", "max")
 
 
 @query(f"WITH {DAYS} SELECT variable_id, substr(period_start, 6, 2) AS month_of_year, count(*) AS n, round(CAST(sum(CAST(round(vz_mean, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(vz_mean), 4) AS avg_zero, round(CAST(sum(CAST(round(vl_mean, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(vl_mean), 4) AS avg_lod, min(vz_mean) AS min, max(vz_mean) AS max, round(sum(vz_sum) / count(DISTINCT substr(period_start, 1, 4)), 4) AS sum_per_year FROM days GROUP BY ALL")
 def climatology(spark, sf_dir):
-    year = F.substring("period_start", 1, 4)
-    rows = days_of(spark, sf_dir).groupBy("variable_id", F.substring("period_start", 6, 2).alias("month_of_year"))
-    return rows.agg(F.count("*").alias("n"), F.round(exact_mean("vz_mean"), 4).alias("avg_zero"), F.round(exact_mean("vl_mean"), 4).alias("avg_lod"), F.min("vz_mean").alias("min"), F.max("vz_mean").alias("max"), F.round(F.sum("vz_sum") / F.countDistinct(year), 4).alias("sum_per_year"))
+    measures = {"n": ("count",), "avg_zero": ("mean", "vz_mean"), "avg_lod": ("mean", "vl_mean"), "min": ("min", "vz_mean"), "max": ("max", "vz_mean"), "total": ("sum", "vz_sum"), "years": ("distinct", "year")}
+    found = observation_levels(spark, sf_dir)[0].answer(["variable_id", "month_of_year"], measures)
+    return found.select("variable_id", "month_of_year", "n", F.round("avg_zero", 4).alias("avg_zero"), F.round("avg_lod", 4).alias("avg_lod"), "min", "max", F.round(F.col("total") / F.col("years"), 4).alias("sum_per_year"))
 
 
 @query(f"WITH {DAYS} SELECT place_id, variable_id, count(*) AS n_days, min(period_start) AS first_day, max(period_start) AS last_day, round(CAST(sum(CAST(round(vz_mean, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(vz_mean), 4) AS avg FROM days GROUP BY ALL")
 def place_summary(spark, sf_dir):
-    return days_of(spark, sf_dir).groupBy("place_id", "variable_id").agg(F.count("*").alias("n_days"), F.min("period_start").alias("first_day"), F.max("period_start").alias("last_day"), F.round(exact_mean("vz_mean"), 4).alias("avg"))
+    found = observation_levels(spark, sf_dir)[0].answer(["place_id", "variable_id"], {"n_days": ("count",), "first_day": ("first",), "last_day": ("last",), "avg": ("mean", "vz_mean")})
+    return found.withColumn("avg", F.round("avg", 4))
 
 
 @query(f"WITH {DAYS} SELECT variable_id, obs_stat, unit_id, value_grain, CAST(sum(CASE WHEN input_grain = 'day' THEN n ELSE 0 END) AS BIGINT) AS n_daily, CAST(sum(CASE WHEN input_grain <> 'day' THEN n ELSE 0 END) AS BIGINT) AS n_annual, count(DISTINCT place_id) AS n_places FROM days GROUP BY ALL")
 def series_summary(spark, sf_dir):
-    daily = F.col("input_grain") == "day"
-    return days_of(spark, sf_dir).groupBy("variable_id", "obs_stat", "unit_id", "value_grain").agg(F.sum(F.when(daily, F.col("n")).otherwise(0)).alias("n_daily"), F.sum(F.when(~daily, F.col("n")).otherwise(0)).alias("n_annual"), F.countDistinct("place_id").alias("n_places"))
+    keys = ["variable_id", "obs_stat", "unit_id", "value_grain"]
+    days = observation_levels(spark, sf_dir)[0]
+    counts, daily = days.answer([*keys, "input_grain"], {"n": ("total", "n")}), F.col("input_grain") == "day"
+    counts = counts.groupBy(*keys).agg(F.sum(F.when(daily, F.col("n")).otherwise(0)).alias("n_daily"), F.sum(F.when(~daily, F.col("n")).otherwise(0)).alias("n_annual"))
+    places = days.answer(keys, {"n_places": ("distinct", "place_id")})
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    return counts.alias("c").join(places.alias("p"), same).select("c.*", "p.n_places")
 
 
 @query(f"""WITH {DAYS}, s AS (SELECT variable_id, obs_stat, unit_id, CAST(sum(n) AS BIGINT) AS n FROM days GROUP BY ALL), p AS (SELECT variable_id, count(DISTINCT place_id) AS n_places FROM days GROUP BY ALL),
@@ -169,9 +186,9 @@ u AS (SELECT variable_id, unit_id, row_number() OVER (PARTITION BY variable_id O
 SELECT s.variable_id, CAST(sum(s.n) AS BIGINT) AS n, count(*) AS n_series, any_value(n_places) AS n_places, any_value(u.unit_id) AS unit_id, string_agg(DISTINCT s.obs_stat, ',' ORDER BY s.obs_stat) AS stats FROM s JOIN p USING (variable_id) LEFT JOIN u ON u.variable_id = s.variable_id AND rn = 1 GROUP BY s.variable_id""")
 def variable_catalog(spark, sf_dir):
     """Series bundled to variables: places are counted anew, never added up; the unit with the most values stands for all."""
-    days = days_of(spark, sf_dir)
-    series = days.groupBy("variable_id", "obs_stat", "unit_id").agg(F.sum("n").alias("n"))
-    places = days.groupBy("variable_id").agg(F.countDistinct("place_id").alias("n_places"))
+    days = observation_levels(spark, sf_dir)[0]
+    series = days.answer(["variable_id", "obs_stat", "unit_id"], {"n": ("total", "n")})
+    places = days.answer(["variable_id"], {"n_places": ("distinct", "place_id")})
     units = series.filter("unit_id IS NOT NULL").groupBy("variable_id", "unit_id").agg(F.sum("n").alias("n"))
     unit = registry.latest(units, ["variable_id"], [F.col("n").desc(), F.col("unit_id")]).select("variable_id", "unit_id")
     whole = series.groupBy("variable_id").agg(F.sum("n").alias("n"), F.count("*").alias("n_series"), F.array_join(F.array_sort(F.collect_set("obs_stat")), ",").alias("stats"))
@@ -180,14 +197,15 @@ def variable_catalog(spark, sf_dir):
 
 @query(f"WITH {DAYS} SELECT place_id, variable_id, obs_stat, unit_id, input_grain, CAST(sum(n) AS BIGINT) AS n, min(substr(period_start, 1, 4)) AS y_from, max(substr(period_start, 1, 4)) AS y_to FROM days WHERE place_id = 'site:7' GROUP BY ALL")
 def site_variables(spark, sf_dir):
-    year = F.substring("period_start", 1, 4)
-    return days_of(spark, sf_dir).filter("place_id = 'site:7'").groupBy("place_id", "variable_id", "obs_stat", "unit_id", "input_grain").agg(F.sum("n").alias("n"), F.min(year).alias("y_from"), F.max(year).alias("y_to"))
+    found = observation_levels(spark, sf_dir)[0].answer(["place_id", "variable_id", "obs_stat", "unit_id", "input_grain"], {"n": ("total", "n"), "first": ("first",), "last": ("last",)}, "place_id = 'site:7'")
+    return found.select("place_id", "variable_id", "obs_stat", "unit_id", "input_grain", "n", F.substring("first", 1, 4).alias("y_from"), F.substring("last", 1, 4).alias("y_to"))
 
 
 @query(f"WITH {DAYS}, r AS (SELECT place_id, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT variable_id || '|' || coalesce(obs_stat, '') || '|' || unit_id) AS n_series, count(DISTINCT variable_id) AS n_variables FROM days GROUP BY ALL) SELECT s_suppkey AS site, s_name AS name, s_nationkey AS zone, coalesce(n, 0) AS n, coalesce(n_series, 0) AS n_series, coalesce(n_variables, 0) AS n_variables FROM supplier LEFT JOIN r ON place_id = 'site:' || s_suppkey")
 def sites_list(spark, sf_dir):
     key = naming.series_key(F.col("variable_id"), F.lit(None).cast("string"), F.col("obs_stat"), F.col("unit_id"))
-    rolled = days_of(spark, sf_dir).groupBy("place_id").agg(F.sum("n").alias("n"), F.countDistinct(key).alias("n_series"), F.countDistinct("variable_id").alias("n_variables"))
+    series = observation_levels(spark, sf_dir)[0].answer(["place_id", "variable_id", "obs_stat", "unit_id"], {"n": ("total", "n")})
+    rolled = series.groupBy("place_id").agg(F.sum("n").alias("n"), F.countDistinct(key).alias("n_series"), F.countDistinct("variable_id").alias("n_variables"))
     sites = table(spark, sf_dir, "supplier").withColumn("place_id", F.concat(F.lit("site:"), "s_suppkey"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return sites.join(rolled, "place_id", "left").select(F.col("s_suppkey").alias("site"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("zone"), zero("n"), zero("n_series"), zero("n_variables"))
@@ -195,9 +213,8 @@ def sites_list(spark, sf_dir):
 
 @query(f"WITH {DAYS}, p AS (SELECT s_nationkey AS water, place_id, sum(n) AS n FROM days JOIN supplier ON place_id = 'site:' || s_suppkey GROUP BY ALL) SELECT water, count(*) AS n_sites, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY water HAVING count(*) >= 2")
 def water_bodies(spark, sf_dir):
-    at = table(spark, sf_dir, "supplier").select(F.concat(F.lit("site:"), "s_suppkey").alias("place_id"), F.col("s_nationkey").alias("water"))
-    per_site = days_of(spark, sf_dir).join(at, "place_id").groupBy("water", "place_id").agg(F.sum("n").alias("n"))
-    return per_site.groupBy("water").agg(F.count("*").alias("n_sites"), F.sum("n").alias("n")).filter("n_sites >= 2")
+    per_site = observation_levels(spark, sf_dir)[0].answer(["zone_id", "place_id"], {"n": ("total", "n")}, "zone_id IS NOT NULL")
+    return per_site.groupBy(F.col("zone_id").alias("water")).agg(F.count("*").alias("n_sites"), F.sum("n").alias("n")).filter("n_sites >= 2")
 
 
 @query("WITH e AS (SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, CAST(strftime(ts, '%H') AS INTEGER) AS h, value FROM events), s AS (SELECT user_id, event_type, day, h, max(floor(value * 1000)) AS v FROM e GROUP BY ALL) SELECT user_id, event_type, day, round(avg(v), 3) AS mean, min(v) AS min, max(v) AS max, count(v) AS n_obs, 24 - count(v) AS n_missing FROM s GROUP BY ALL")

@@ -11,7 +11,7 @@ from shizuku.functions import naming, periods
 from shizuku.operators import checks, observation_cube, occurrence_cube, sampling, series
 from shizuku.plans.domain import DAYS, DIM, MONTHS, OBS, OCC, monthly, observation, occurrence, occurrence_cells, query, table
 from shizuku.plans.observation_queries import _PICK, _UNFOLD, _YEARS, days_of, years_of
-from shizuku.sources import adapters, files, tables
+from shizuku.sources import adapters, files, parted, tables
 from shizuku.sources.stored import scratch_dir
 
 
@@ -264,6 +264,22 @@ def darwin_core_archive(spark, sf_dir):
     return out
 
 
+@query("SELECT 'written' AS name, count(DISTINCT strftime(o_orderdate, '%Y')) FILTER (WHERE strftime(o_orderdate, '%Y') = '1995') AS n FROM orders UNION ALL SELECT 'kept', count(DISTINCT strftime(o_orderdate, '%Y')) FILTER (WHERE strftime(o_orderdate, '%Y') <> '1995') FROM orders UNION ALL SELECT 'rows', count(*) FROM orders UNION ALL SELECT 'shipped', count(*) FILTER (WHERE strftime(o_orderdate, '%Y') = '1995' OR o_orderstatus = 'F') FROM orders")
+def changed_parts(spark, sf_dir):
+    """Orders in parts by year, then with one year's changed: how many parts were written, how many stayed in their old folders, and what is there then."""
+    year = F.date_format("o_orderdate", "yyyy")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", year.alias("year"))
+    changed = orders.withColumn("o_orderstatus", F.when(F.col("year") == "1995", "F").otherwise(F.col("o_orderstatus")))
+    store = parted.Parted(spark, _place(spark, "orders-in-parts"))
+    store.replace(lambda years: orders.filter(F.col("year").isin(years)), "year", parted.marks_of(orders, F.col("year")))
+    before = {p["folder"] for p in store.manifest()["parts"].values()}
+    written = store.replace(lambda years: changed.filter(F.col("year").isin(years)), "year", parted.marks_of(changed, F.col("year")))
+    kept = before & {p["folder"] for p in store.manifest()["parts"].values()}
+    counts = store.read().agg(F.count("*").alias("rows"), F.count_if(F.col("o_orderstatus") == "F").alias("shipped"))
+    named = F.array(F.struct(F.lit("written").alias("name"), F.lit(len(written)).cast("long").alias("n")), F.struct(F.lit("kept"), F.lit(len(kept)).cast("long")), F.struct(F.lit("rows"), F.col("rows")), F.struct(F.lit("shipped"), F.col("shipped")))
+    return counts.select(F.explode(named).alias("x")).select("x.*")
+
+
 # Adapters and samples.
 
 

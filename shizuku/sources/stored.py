@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,6 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: States of a stored table that stay: the one in use and the one before, which queries may still read.
+KEPT = 2
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir. Where it is unset, local mode gets a temporary one; a cluster, whose machines don't share such folders, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,10 +43,20 @@ def state_of(inputs: list[DataFrame]) -> str:
     return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:24]
 
 
-def stored(name: str, inputs: list[DataFrame], build: Callable[[], DataFrame], partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()) -> DataFrame:
-    """The table that build() gives of the inputs: read if it was built from the same files before, else built beside its place and put there whole."""
+def definition(*modules) -> str:
+    """A digest of the code that stored tables are made by: another one makes them anew."""
+    return hashlib.sha256("".join(inspect.getsource(m) for m in modules).encode()).hexdigest()[:16]
+
+
+def stored(name: str, inputs: list[DataFrame], build: Callable[[], DataFrame], partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (), version: str = "") -> DataFrame:
+    """The table that build() gives of the inputs: read if it was built from the same files by the same `version` before, else built beside its place and put there whole.
+
+    Of the states of one set of input folders the KEPT latest stay.
+    """
     spark, made = inputs[0].sparkSession, build()
-    path = f"{scratch_dir(spark)}/shizuku-cubes/{name}-{state_of(inputs)}"
+    folders = sorted({f.rsplit("/", 1)[0] for df in inputs for f in df.inputFiles()})
+    top = f"{scratch_dir(spark)}/shizuku-cubes/{name}-{hashlib.sha256(' '.join(folders).encode()).hexdigest()[:16]}"
+    path = f"{top}/{state_of(inputs)}-{version}"
     fs, target = files_of(spark, path)
     if not fs.exists(target):
         stage = f"{path}__building_{uuid.uuid4().hex}"
@@ -52,4 +67,7 @@ def stored(name: str, inputs: list[DataFrame], build: Callable[[], DataFrame], p
             fs.delete(staged, True)
         elif not fs.rename(staged, target):
             raise OSError(f"cannot move {stage} to {path}")
+        states = sorted((s for s in fs.listStatus(target.getParent()) if "__building_" not in s.getPath().getName()), key=lambda s: -s.getModificationTime())
+        for old in states[KEPT:]:
+            fs.delete(old.getPath(), True)
     return spark.read.schema(made.schema).parquet(path).select(*made.columns)

@@ -24,6 +24,18 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     stream.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file's content, without a job; None if there is none."""
+    fs, place = _fs(spark, path)
+    if not fs.exists(place):
+        return None
+    stream = fs.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def fingerprint(df: DataFrame) -> dict:
     """Rows and a hash of them that doesn't depend on their order."""
     row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("s"), F.sum(F.hash(*df.columns).cast("long")).alias("t")).first()
@@ -75,8 +87,7 @@ def export(tables: dict[str, DataFrame], path: str, partition_by: dict[str, list
         print_of = fingerprint(df)
         entry = {"name": name, "path": name, "format": "parquet", "rows": print_of["rows"], "hash": print_of["hash"], "partition_by": (partition_by or {}).get(name, []), "license": (licenses or {}).get(name), "schema": {"fields": [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema]}}
         if before.get(name, {}).get("hash") != entry["hash"]:
-            keys = entry["partition_by"]
-            (df.write.mode("overwrite").partitionBy(*keys) if keys else df.write.mode("overwrite")).parquet(f"{path}/{name}")
+            publish(df, f"{path}/{name}", partition_by=entry["partition_by"])
         out.append(entry)
     for gone in set(before) - set(tables):
         fs.delete(_fs(spark, f"{path}/{gone}")[1], True)
