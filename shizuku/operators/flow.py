@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shizuku.sources.stored import scratch_dir
+from shizuku.sources.stored import checkpoints
 
 # Bases and confidences from the strongest to the weakest.
 BASES = ["measured", "published", "derived", "estimated", "assumed", "unknown"]
@@ -37,9 +37,7 @@ def compose(assignments: DataFrame, edges: DataFrame, sources: DataFrame, as_of:
     links = edges.filter(active(as_of)).select(F.col("to_id").alias("node"), "from_id", F.when(F.col("basis") != "unknown", F.coalesce("share", F.lit(0.0))).alias("edge_share"), (F.col("basis") == "unknown").alias("edge_unknown"), _rank(F.col("basis"), BASES).alias("edge_basis"))
     paths = assignments.filter(active(as_of)).select("zone", F.col("facility_id").alias("node"), F.coalesce("share", F.lit(0.0)).alias("share"), F.lit(False).alias("unknown"), _rank(F.col("confidence"), CONFIDENCES).alias("confidence"), F.lit(0).alias("basis"))
     arrived = lost = None
-    context = edges.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(scratch_dir(edges.sparkSession))
+    checkpoints(edges.sparkSession)
     cyclic = _may_cycle(links, depth).withColumn("on_cycle", F.lit(True))
     none = F.array().cast("array<string>")
     paths = paths.withColumn("seen", none)

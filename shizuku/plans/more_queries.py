@@ -108,9 +108,6 @@ def mesh_features(spark, sf_dir):
     return _features(table(spark, sf_dir, "customer"))
 
 
-query(_FEATURES, "mesh_features_all")(mesh_features)
-
-
 def _features(customers):
     """Cells as closed squares; their JSON is read back to show that it holds what went in."""
     from shizuku.sources.files import to_geojson

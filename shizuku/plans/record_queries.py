@@ -168,7 +168,7 @@ def pip_grid_join(spark, sf_dir):
     rows = [(n, [ring(*box)] + ([ring(10.0, 10.0, 20.0, 20.0)] if n == "a" else [])) for n, *box in _POLYGONS]
     polygons = spark.createDataFrame(rows, "polygon_id string, rings array<array<array<double>>>")
     points = table(spark, sf_dir, "customer").select(((F.col("c_acctbal") + 0.5) / 100).alias("lon"), (F.col("c_custkey") % 100 + 0.123).alias("lat"))
-    return spatial.point_in_polygon(points, polygons, cell=5.0).groupBy("polygon_id").agg(F.count("*").alias("n"))
+    return spatial.point_in_polygon(points, polygons).groupBy("polygon_id").agg(F.count("*").alias("n"))
 
 
 def _points_and_places(spark, sf_dir):
@@ -178,16 +178,49 @@ def _points_and_places(spark, sf_dir):
     return points, places
 
 
-_NEAREST = "WITH p AS (SELECT c_custkey AS point_id, (c_custkey % 40) / 10.0 AS lat, (c_custkey % 37) / 10.0 AS lon FROM customer), u AS (SELECT DISTINCT lat, lon FROM p), s AS (SELECT DISTINCT (s_suppkey % 17) / 4.0 AS lat, (s_suppkey % 13) / 3.0 AS lon FROM supplier), d AS (SELECT u.lat, u.lon, min(2 * 6371.0088 * asin(sqrt(least(power(sin(radians(s.lat - u.lat) / 2), 2) + cos(radians(u.lat)) * cos(radians(s.lat)) * power(sin(radians(s.lon - u.lon) / 2), 2), 1.0)))) AS km FROM u, s GROUP BY ALL) SELECT point_id, round(km, 6) AS km FROM p JOIN d ON p.lat = d.lat AND p.lon = d.lon WHERE km <= 50"
+_KM = "2 * 6371.0088 * asin(sqrt(least(power(sin(radians(s.lat - u.lat) / 2), 2) + cos(radians(u.lat)) * cos(radians(s.lat)) * power(sin(radians(s.lon - u.lon) / 2), 2), 1.0)))"
+_PAIRS = f"p AS (SELECT c_custkey AS point_id, (c_custkey % 40) / 10.0 AS lat, (c_custkey % 37) / 10.0 AS lon FROM customer), u AS (SELECT DISTINCT lat, lon FROM p), s AS (SELECT (s_suppkey % 17) / 4.0 AS lat, (s_suppkey % 13) / 3.0 AS lon, min('site:' || s_suppkey) AS place_id FROM supplier GROUP BY ALL), d AS (SELECT u.lat, u.lon, min({_KM}) AS km FROM u, s GROUP BY ALL)"
 
 
-@query(_NEAREST)
+@query(f"WITH {_PAIRS} SELECT point_id, round(km, 6) AS km FROM p JOIN d ON p.lat = d.lat AND p.lon = d.lon WHERE km <= 50")
 def nearest_place(spark, sf_dir):
     points, places = _points_and_places(spark, sf_dir)
     return spatial.nearest(points, places, 50.0).select("point_id", F.round("km", 6).alias("km"))
 
 
-query(_NEAREST, "nearest_place_all")(nearest_place)
+@query(f"""WITH p AS (SELECT o_orderkey AS point_id, o_orderkey % 170 - 85.0 AS lat, o_orderkey % 359 - 179.5 AS lon FROM orders), u AS (SELECT DISTINCT lat, lon FROM p),
+s AS (SELECT (s_suppkey % 6) * 7.0 - 20 AS lat, (s_suppkey % 5) * 9.0 + 100.25 AS lon, min('site:' || s_suppkey) AS place_id FROM supplier GROUP BY ALL),
+d AS (SELECT u.lat, u.lon, s.place_id, {_KM} AS km FROM u, s), m AS (SELECT *, row_number() OVER (PARTITION BY lat, lon ORDER BY round(km, 6), place_id) AS rn FROM d)
+SELECT point_id, round(km, 4) AS km, place_id FROM p JOIN m ON p.lat = m.lat AND p.lon = m.lon WHERE rn = 1""")
+def nearest_anywhere(spark, sf_dir):
+    """The nearest place of points all over the globe, most of them thousands of kilometres from any; places that share a coordinate count as that with the smallest id."""
+    k, s = F.col("o_orderkey"), F.col("s_suppkey")
+    points = table(spark, sf_dir, "orders").select(k.alias("point_id"), (k % 170 - 85.0).alias("lat"), (k % 359 - 179.5).alias("lon"))
+    places = table(spark, sf_dir, "supplier").select(F.concat(F.lit("site:"), s).alias("place_id"), (s % 6 * 7.0 - 20).alias("lat"), (s % 5 * 9.0 + 100.25).alias("lon"))
+    return spatial.nearest_any(points, places).select("point_id", F.round("km", 4).alias("km"), "place_id")
+
+
+@query("""WITH p AS (SELECT DISTINCT o_orderkey % 977 / 97.0 + 0.003 AS lon, o_orderkey % 613 / 61.0 + 0.0007 AS lat FROM orders), q AS (SELECT lon, lat, CAST(floor(lon) AS INTEGER) AS x, CAST(floor(lat) AS INTEGER) AS y, lon - floor(lon) AS a, lat - floor(lat) AS b FROM p),
+r AS (SELECT *, CASE WHEN x % 3 = 0 THEN a + b < 1 ELSE NOT (a > 0.25 AND a < 0.75 AND b > 0.25 AND b < 0.5) END AS in_one, a < 0.5 AS west FROM q WHERE x < 10 AND y < 10)
+SELECT 'n' || (x % 5) || ':' || y AS polygon_id, count(*) AS n FROM r WHERE in_one AND (x < 5 OR west) GROUP BY ALL""")
+def points_in_parts(spark, sf_dir):
+    """Distinct points in fifty polygons of two parts each, five degrees apart: triangles, squares with a hole, and halves of them."""
+    n = F.col("n_nationkey")
+    base = table(spark, sf_dir, "nation").select((n % 5).alias("x"), (n / 5).cast("int").alias("y")).withColumn("y", F.explode(F.array(F.col("y"), F.col("y") + 5)))
+    at = lambda px, py: F.array((px).cast("double"), (py).cast("double"))
+
+    def ring(dx, corners):
+        return F.array(*(at(F.col("x") + dx + a, F.col("y") + b) for a, b in corners))
+
+    square, hole, half, half_hole = [(0, 0), (1, 0), (1, 1), (0, 1)], [(0.25, 0.25), (0.75, 0.25), (0.75, 0.5), (0.25, 0.5)], [(0, 0), (0.5, 0), (0.5, 1), (0, 1)], [(0.25, 0.25), (0.5, 0.25), (0.5, 0.5), (0.25, 0.5)]
+    triangle, cut = [(0, 0), (1, 0), (0, 1)], [(0, 0), (0.5, 0), (0.5, 0.5), (0, 1)]
+    slanted = lambda dx: (F.col("x") + dx) % 3 == 0
+    first = F.when(slanted(0), F.array(ring(0, triangle))).otherwise(F.array(ring(0, square), ring(0, hole)))
+    second = F.when(slanted(5), F.array(ring(5, cut))).otherwise(F.array(ring(5, half), ring(5, half_hole)))
+    polygons = base.select(F.concat(F.lit("n"), "x", F.lit(":"), "y").alias("polygon_id"), F.concat(first, second).alias("rings"))
+    k = F.col("o_orderkey")
+    points = table(spark, sf_dir, "orders").select((k % 977 / 97.0 + 0.003).alias("lon"), (k % 613 / 61.0 + 0.0007).alias("lat"))
+    return spatial.point_in_polygon(points, polygons).groupBy("polygon_id").agg(F.count("*").alias("n"))
 
 
 _EDGES = [("f1", "s1", 0.6, "measured"), ("f1", "s2", 0.4, "published"), ("f2", "f1", 0.5, "estimated"), ("f2", "s3", 0.5, "measured"), ("f3", "s1", None, "unknown"), ("f3", "s2", 0.3, "measured"), ("f4", "nowhere", 1.0, "measured")]

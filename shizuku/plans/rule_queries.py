@@ -276,7 +276,7 @@ def changed_parts(spark, sf_dir):
     written = store.replace(lambda years: changed.filter(F.col("year").isin(years)), "year", parted.marks_of(changed, F.col("year")))
     kept = before & {p["folder"] for p in store.manifest()["parts"].values()}
     counts = store.read().agg(F.count("*").alias("rows"), F.count_if(F.col("o_orderstatus") == "F").alias("shipped"))
-    named = F.array(F.struct(F.lit("written").alias("name"), F.lit(len(written)).cast("long").alias("n")), F.struct(F.lit("kept"), F.lit(len(kept)).cast("long")), F.struct(F.lit("rows"), F.col("rows")), F.struct(F.lit("shipped"), F.col("shipped")))
+    named = F.array(F.struct(F.lit("written").alias("name"), F.lit(len(written)).cast("long").alias("n")), F.struct(F.lit("kept").alias("name"), F.lit(len(kept)).cast("long").alias("n")), F.struct(F.lit("rows").alias("name"), F.col("rows").alias("n")), F.struct(F.lit("shipped").alias("name"), F.col("shipped").alias("n")))
     return counts.select(F.explode(named).alias("x")).select("x.*")
 
 

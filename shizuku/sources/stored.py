@@ -26,6 +26,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Sees to it that checkpoint() has a folder: the shared one."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
+
+
 def files_of(spark: SparkSession, path: str):
     """File system and Hadoop path of a path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -47,6 +47,49 @@ def test_random_points_match_the_exact_rule(spark):
     assert spatial.contains(xs, ys, [ring]).tolist() == [spatial._exact(float(x), float(y), [tuple(p) for p in ring]) for x, y in zip(xs, ys, strict=True)]
 
 
+def star(rng, n, cx=0.0, cy=0.0, r=1.0):
+    angle = np.sort(rng.uniform(0, 2 * np.pi, n))
+    return [[float(cx + q * np.cos(t)), float(cy + q * np.sin(t))] for t, q in zip(angle, r * rng.uniform(0.3, 1, n), strict=True)]
+
+
+def test_covers_of_random_polygons_match_the_exact_rule(spark):
+    rng = np.random.default_rng(4)
+    shapes = [("small", [star(rng, 9, 1, 1, 0.01)]), ("parts", [star(rng, 40, -3, 2), star(rng, 5, -3, 2, 0.2), star(rng, 60, 40, -20, 3)]), ("many", [star(rng, 3000, 100, 50, 10)]), ("world", [[[-180.0, -90.0], [180.0, -90.0], [180.0, 90.0], [-180.0, 90.0]], star(rng, 30, 5, 5, 4)]), ("empty", []), ("none", None)]
+    points = [(float(y), float(x)) for cx, cy, r in ((1, 1, 0.012), (-3, 2, 1.1), (40, -20, 3), (100, 50, 10.5), (5, 5, 5)) for x, y in zip(rng.uniform(cx - r, cx + r, 80), rng.uniform(cy - r, cy + r, 80), strict=True)]
+    points += [(float(round(y * 64) / 64), float(round(x * 64) / 64)) for y, x in points[:160]]  # on the borders of cells
+    got = {tuple(r) for r in spatial.point_in_polygon(spark.createDataFrame(points, "lat double, lon double"), polygons(spark, shapes), single=False).collect()}
+    want = {(y, x, name) for name, rings in shapes for y, x in points if sum(spatial._exact(x, y, [tuple(p) for p in ring]) for ring in rings or []) % 2}
+    assert got == want
+    cells = spatial.covers(polygons(spark, shapes)).groupBy("polygon_id").agg(F.count("*").alias("n"), F.max(F.size("edges")).alias("e"), F.count_if(F.col("edges").isNull()).alias("whole")).collect()
+    by = {r.polygon_id: r for r in cells}
+    assert set(by) == {"small", "parts", "many", "world"} and by["world"].n < 400 and by["many"].n < 4 * 3000 and by["many"].whole > 10 and all(r.e <= spatial.EDGES for r in cells)
+
+
+def test_points_near_edges_are_judged_exactly(spark):
+    ring = [[0.0, 0.0], [1.0, 0.1], [1.1, 1.0], [0.1, 0.9]]
+    on = [(0.05, 0.5), (0.05 + 2**-50, 0.5), (0.05 - 2**-50, 0.5)]
+    frame = lambda rows: spark.createDataFrame(rows, "lat double, lon double")
+    for lat, lon in on:
+        try:
+            want = {(lat, lon)} if spatial._exact(lon, lat, [tuple(p) for p in ring]) else set()
+        except ValueError:
+            with pytest.raises(Exception, match="edge"):
+                spatial.point_in_polygon(frame([(lat, lon)]), polygons(spark, [("a", [ring])])).collect()
+            continue
+        assert {(r.lat, r.lon) for r in spatial.point_in_polygon(frame([(lat, lon)]), polygons(spark, [("a", [ring])])).collect()} == want
+
+
+def test_nearest_without_a_reach(spark):
+    rng = np.random.default_rng(8)
+    points = [(i, float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180))) for i in range(150)] + [(150, None, 1.0), (151, -3.0, 12.0), (152, 90.0, 0.0)]
+    places = [(f"p{i}", float(rng.uniform(-8, 8)), float(rng.uniform(-5, 25))) for i in range(20)] + [("p99", -3.0, 12.0), ("p98", -3.0, 12.0)]
+    km = lambda a, b: 2 * 6371.0088 * np.arcsin(min(1.0, np.sqrt(np.sin(np.radians(b[0] - a[0]) / 2) ** 2 + np.cos(np.radians(a[0])) * np.cos(np.radians(b[0])) * np.sin(np.radians(b[1] - a[1]) / 2) ** 2)))
+    want = {k: min((round(km((lat, lon), p[1:]), 6), p[0]) for p in places)[1] for k, lat, lon in points if lat is not None}
+    df, to = spark.createDataFrame(points, "point_id int, lat double, lon double"), spark.createDataFrame(places, "place_id string, lat double, lon double")
+    assert {r.point_id: r.place_id for r in spatial.nearest_any(df, to).collect()} == want
+    assert spatial.nearest_any(df, to.limit(0)).count() == 0 and spatial.nearest_any(df.limit(0), to).count() == 0
+
+
 def test_nearest(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 60.0, 10.0), (3, -45.0, 100.0)], "point_id int, lat double, lon double")
     places = spark.createDataFrame([("b", 0.0, 0.1), ("a", 0.0, -0.1), ("c", 60.0, 10.15), ("d", 60.2, 10.0)], "place_id string, lat double, lon double")
