@@ -6,6 +6,10 @@ the odds that a text in it belongs to the main text. Tags score negative, the mo
 like main text. One linear scan finds the contiguous region with the highest sum. Blocks of the region whose own surroundings score
 negative, adverts within a text for instance, are left out; the others are joined by an empty line.
 
+What wraps the page is no part of its frame, whatever its name: an element that holds most of the words and the article or main
+element (all, if there are several, and all headings), or nearly all words and all headings, takes nothing off what it holds. Lists of links within a text cost the region
+around them a bounded sum, however long they are, so they stay between texts and still end a region at the page's edge.
+
 A name of several parts, as in `related-work`, has the mean weight of its parts, so that the article's own parts aren't taken for
 the page's frame because of one word. The page is scanned once from left to right, in time linear in its length whatever its markup.
 
@@ -40,9 +44,13 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 
 #: Bound of a feature's weight and of a word's score; what one part outside of the main text takes away from a region around it, at most.
 CLIP, PART = 4.0, 6.0
+#: What the links of one parent take away from a region around them, at most: more than a line of a page's frame brings, less than a paragraph.
+LINKS = 15.0
 #: What a link takes off a word's score; score of texts in elements that are never seen.
 LINK, NEVER, RIDGE = 1.5, -8.0, 0.3
 
+#: Ends of raw elements, whose names are ASCII in either case; no other letter has them as its lower case.
+RAW_ENDS = {x: re.compile(f"</{x}", re.I | re.A) for x in RAW}
 NAME = re.compile(r"[^\s/>]*")
 SPACES = re.compile(r"[\s/]*")
 KEY = re.compile(r"[^\s/>=]*")
@@ -57,7 +65,7 @@ class Page:
     """Tags and texts of a page, from left to right. Each place is read a bounded number of times."""
 
     def __init__(self, page: str):
-        self.page, self.low, self.gone = page, None, set()
+        self.page, self.gone = page, set()
 
     def find(self, what: str, at: int) -> int:
         """Place of `what` from `at` on, or -1; what isn't found once isn't looked for again."""
@@ -126,11 +134,10 @@ class Page:
                     return
                 yield "open", tag, found
                 if tag in RAW:
-                    self.low = self.low if self.low is not None else page.lower()
-                    end = self.low.find(f"</{tag}", at) if f"</{tag}" not in self.gone else -1
-                    if end < 0:
+                    end = RAW_ENDS[tag].search(page, at)
+                    if not end:
                         return
-                    at = end
+                    at = end.start()
             else:
                 yield "text", "<", None
                 at = lt + 1
@@ -158,9 +165,9 @@ def unseen(tag: str, found: dict[str, str]) -> bool:
 
 
 class Element:
-    """An open element: whether it lies in an article or main element, in a link, is seen; and where the paragraph is that a new block would end."""
+    """An open element: whether it lies in an article or main element, in a link, is seen; where the paragraph is that a new block would end; and what it holds: words, those in links, outermost article or main elements, headings that aren't of the page's frame."""
 
-    __slots__ = ("tag", "parent", "features", "main", "link", "seen", "p", "score", "part")
+    __slots__ = ("tag", "parent", "features", "main", "link", "seen", "p", "score", "part", "framed", "words", "linked", "mains", "heads", "listing", "own")
 
     def __init__(self, tag: str, parent: Element | None, found: dict[str, str], at: int):
         self.tag, self.parent = tag, parent
@@ -171,11 +178,42 @@ class Element:
         self.p = at if tag == "p" else parent.p if parent is not None and tag in INLINE else -1
         self.score: float | None = None
         self.part: Element | None = None
-
-
-def tokens(page: str):
-    """('tag', name, element around it, block) and ('text', text, element around it, block) from left to right."""
+        self.framed = parent is not None and (parent.framed or tag in ("header", "nav", "aside", "footer"))
+        self.words = self.linked = 0
+        self.mains = int(parent is not None and not parent.main and tag in ("article", "main") and self.seen)
+        self.heads = int(tag in ("h1", "h2", "h3") and self.seen and not self.framed)
+        self.listing: Element | None | bool = False
+        self.own: float | None = None
+
+    def wraps(self, page: Element) -> bool:
+        """Whether it stands around the page's content rather than beside it."""
+        whole = self.heads == page.heads
+        around = self.mains == page.mains and (page.mains == 1 or page.mains > 1 and whole) and 2 * self.words >= page.words
+        return around or 5 * self.words >= 4 * page.words and whole
+
+    def links(self) -> Element | None:
+        """The element whose children of links this one lies in, or among; None if it lies in none."""
+        if self.listing is False:
+            chain = []
+            e = self
+            while e.parent is not None and e.listing is False:
+                chain.append(e)
+                e = e.parent
+            found = e.listing if e.listing is not False else None
+            for x in reversed(chain):
+                if found is None and x.tag not in INLINE and x.words and 2 * x.linked >= x.words:
+                    found = x.parent
+                x.listing = found
+            if self.listing is False:
+                self.listing = None
+        return self.listing
+
+
+def tokens(page: str, made: list[Element] | None = None):
+    """('tag', name, element around it, block) and ('text', text, element around it, block) from left to right. made: gets all elements, each after its parent."""
     stack, counts, block = [Element("", None, {}, 0)], Counter(), 0
+    if made is not None:
+        made.append(stack[0])
 
     def pop(upto: int) -> None:
         for x in stack[upto:]:
@@ -207,6 +245,8 @@ def tokens(page: str):
         if value not in VOID:
             stack.append(Element(value, stack[-1], found, len(stack)))
             counts[value] += 1
+            if made is not None:
+                made.append(stack[-1])
 
 
 @lru_cache(maxsize=1)
@@ -257,17 +297,37 @@ def mean_weight(names: tuple[str, ...]) -> float:
     return sum(min(x, 0.0) if min(found) < -CLIP / 2 else x for x in found) / len(found)
 
 
-def scored(e: Element, has_main: bool) -> float:
-    """The score of a word in an element; sets `part`, the outermost element around that by itself isn't of the main text."""
+def own_score(x: Element, page: Element) -> float:
+    """What an element by itself adds to the score of its words."""
+    if x.own is None:
+        x.own = sum(mean_weight(names) for names in x.features)
+        if x.own < 0 and x.wraps(page):
+            x.own = 0.0
+    return x.own
+
+
+def with_main(made: list[Element]) -> bool:
+    """Whether a page has an article or main element that isn't in a part of its frame, as those of comments are."""
+    page, framed = made[0], set()
+    for x in made[1:] if page.mains else ():
+        if id(x.parent) in framed or own_score(x, page) < -CLIP / 2:
+            framed.add(id(x))
+        elif x.words and x.main:
+            return True
+    return False
+
+
+def scored(e: Element, has_main: bool, page: Element) -> float:
+    """The score of a word in an element of a page; sets `part`, the outermost element around that by itself isn't of the main text."""
     w, open_ = weights(), []
     while e.score is None and e.parent is not None:
         open_.append(e)
         e = e.parent
     if e.score is None:
         e.score = 0.0
-    prior = lambda x: w["(inside)"] if x.main else w["(outside)"] if has_main else w["(page)"]
+    prior = lambda x: w["(page)"] if not has_main else w["(inside)"] if x.main else w["(outside)"]
     for x in reversed(open_):
-        own = sum(mean_weight(names) for names in x.features)
+        own = own_score(x, page)
         # What is clearly no main text stays so whatever it stands in.
         x.score = max(-2 * CLIP, min(CLIP, (min(e.score, 0.0) if own < -CLIP / 2 - 0.5 else e.score) + own)) if x.seen else NEVER
         x.part = e.part
@@ -279,28 +339,50 @@ def scored(e: Element, has_main: bool) -> float:
 
 def regions(page: str) -> tuple[list[tuple[int, str]], float]:
     """The (block, text) parts of the best region, and its score."""
-    w, parts, got = weights(), [], list(tokens(page))
-    has_main = any(kind == "text" and e.main and e.seen and not value.isspace() for kind, value, e, _ in got)
-    taken: dict[int, float] = {}
-    best = score = 0.0
-    first, found = 0, (0, 0)
-    for kind, value, e, block in got:
-        s = scored(e, has_main)
+    w, parts, made = weights(), [], []
+    got = [(kind, html_lib.unescape(value) if kind == "text" else value, e, block) for kind, value, e, block in tokens(page, made)]
+    sizes = [len(value.split()) if kind == "text" else 0 for kind, value, _, _ in got]
+    for (_, _, e, _), n in zip(got, sizes, strict=True):
+        if n and e.seen:
+            e.words += n
+            e.linked += n * e.link
+    for e in reversed(made[1:]):
+        up = e.parent
+        up.words, up.linked, up.mains, up.heads = up.words + e.words, up.linked + e.linked, up.mains + e.mains, up.heads + e.heads
+    has_main = with_main(made)
+    changes, groups, run = [], [], 0
+    for (kind, value, e, block), n in zip(got, sizes, strict=True):
+        s = scored(e, has_main, made[0])
         if kind == "tag":
             change = 0.0 if e.part is not None else w.get(f"tag <{value}>", -0.5) * math.exp(-max(s, 0.0))
         else:
-            value = html_lib.unescape(value)
-            change = len(value.split()) * (s - LINK if e.link and s > NEVER else s)
+            change = n * (s - LINK if e.link and s > NEVER else s)
             parts.append((block, value, s >= 0 or not has_main and e.part is None))
+        among = e.links() if e.part is None and e.seen else None
+        run += among is None and n > 0
+        changes.append(change)
+        groups.append((id(among), run) if among is not None and change < 0 else None)
+    # What the links of one parent, without other words between them, take away together.
+    losses = Counter()
+    for change, group in zip(changes, groups, strict=True):
+        if group:
+            losses[group] -= change
+    taken: dict[int, float] = {}
+    best = score = 0.0
+    first, found, seen_parts = 0, (0, 0), 0
+    for (kind, _, e, _), change, group in zip(got, changes, groups, strict=True):
+        seen_parts += kind == "text"
+        if group and losses[group] > LINKS:
+            change *= LINKS / losses[group]
         if e.part is not None and change < 0:  # a part that is left out doesn't part the text around it
             left = taken.setdefault(id(e.part), PART)
             change = max(change, -left)
             taken[id(e.part)] += change
         score += change
         if score <= 0:
-            score, first = 0.0, len(parts)
+            score, first = 0.0, seen_parts
         elif score > best:
-            best, found = score, (first, len(parts))
+            best, found = score, (first, seen_parts)
     lo, hi = found
     if lo < hi:  # the blocks at both ends are taken whole
         while lo and parts[lo - 1][0] == parts[lo][0]:

@@ -88,11 +88,22 @@ def test_region_has_the_highest_sum():
     for _ in range(30):
         bits = [rng.choice(["<p>", "<li>", "<td>", "<br>", "<ul>", "<h2>"]) + " ".join(f"v{rng.randrange(9)}" for _ in range(rng.randrange(6))) + rng.choice(["", "<a href=x>l k</a>"]) for _ in range(25)]
         page = "".join(bits)
-        gains = []
-        for kind, value, e, _ in html_main.tokens(page):
-            s = html_main.scored(e, False)
+        gains, made = [], []
+        got = list(html_main.tokens(page, made))
+        for kind, value, e, _ in got:
+            if kind == "text":
+                e.words, e.linked = e.words + len(value.split()), e.linked + len(value.split()) * e.link
+        for e in reversed(made[1:]):
+            e.parent.words, e.parent.linked, e.parent.heads = e.parent.words + e.words, e.parent.linked + e.linked, e.parent.heads + e.heads
+        runs, run = [], 0
+        for kind, value, e, _ in got:
+            s = html_main.scored(e, False, made[0])
+            run += kind == "text" and e.links() is None and bool(value.split())
+            runs.append((id(e.links()), run) if e.links() else None)
             assert e.part is None
             gains.append(w.get(f"tag <{value}>", -0.5) * math.exp(-max(s, 0.0)) if kind == "tag" else len(value.split()) * (s - html_main.LINK if e.link else s))
+        loss = {r: -sum(g for g, x in zip(gains, runs, strict=True) if x == r and g < 0) for r in runs if r}
+        gains = [g * html_main.LINKS / loss[r] if r and g < 0 and loss[r] > html_main.LINKS else g for g, r in zip(gains, runs, strict=True)]
         best = max(sum(gains[i:j]) for i in range(len(gains)) for j in range(i, len(gains) + 1))
         assert html_main.regions(page)[1] == pytest.approx(max(best, 0.0))
 
@@ -169,3 +180,36 @@ def test_top_k_odd_vectors(spark):
 def test_wide_values_are_exact():
     q, p = np.array([[2**40, -3]]), np.array([[2**20, 5], [7, 2**30]])
     assert topk.accumulate(q, p).tolist() == [[2**60 - 21, 5 * 2**40 - 3 * 2**30]]
+
+
+LONG, SHORT = " ".join(f"word{i}" for i in range(80)), " ".join(f"w{i}" for i in range(30))
+WRAPPED = [
+    f'<form id="aspnetForm"><nav><a href=x>homelink</a></nav><div><h1>Title</h1><p>{LONG}</p></div><div class="footer">copy right</div></form>',
+    f'<form id="aspnetForm"><nav><a href=x>homelink</a></nav><article><h1>Title</h1><p>{LONG}</p></article></form>', f'<div class="sidebar-layout"><div class="content-with-sidebar"><h1>Title</h1><p>{LONG}</p></div></div>',
+    f'<div id="search"><article><h1>Title</h1><p>{LONG}</p></article></div>', f'<div class="header-wrapper"><main><h1>Title</h1><p>{LONG}</p></main></div><div class="footer">copy right</div>',
+]
+
+
+@pytest.mark.parametrize("k", range(len(WRAPPED)))
+def test_what_wraps_the_page_is_no_frame(k):
+    assert html_main.main_text(f"<html><body>{WRAPPED[k]}</body></html>") == f"Title\n\n{LONG}"
+
+
+@pytest.mark.parametrize("comments", [f'<div class="comments"><p>{LONG} {LONG}</p></div>', f'<div class="comments"><article><p>{LONG}</p></article><article><p>{LONG}</p></article></div>'])
+def test_comments_longer_than_the_article_go(comments):
+    assert html_main.main_text(f'<body><h1>Title</h1><div class="text"><p>{SHORT}</p></div>{comments}</body>') == f"Title\n\n{SHORT}"
+
+
+@pytest.mark.parametrize("n", [5, 10, 25, 60, 200])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_lists_of_links_between_texts_stay(tag, n):
+    for item in ('<li><a href="/{i}">link{i} text</a></li>', '<div><a href="/{i}">link{i} text</a></div>', '<p><a href="/{i}">link{i} text</a></p>'):
+        items = "".join(item.format(i=i) for i in range(n))
+        items = f"<ul>{items}</ul>" if item.startswith("<li") else items
+        page = f"<body><nav><ul><li><a href=q>navlink</a></li></ul></nav><{tag}><h1>Title</h1><p>{SHORT}</p>{items}<p>{LONG}</p></{tag}><footer>copyfoot</footer></body>"
+        assert html_main.main_text(page) == "\n\n".join(["Title", SHORT, *(f"link{i} text" for i in range(n)), LONG])
+
+
+def test_letters_that_change_length_in_lower_case():
+    page = f"<article><p>\u0130-dot start {SHORT}</p><script>var x = '</scr\u0131pt>';</SCRIPT><p>after {LONG}</p><style>a</style><p>\u0130\u0130 end</p></article>"
+    assert html_main.main_text(page) == f"\u0130-dot start {SHORT}\n\nafter {LONG}\n\n\u0130\u0130 end"
