@@ -4,15 +4,15 @@ A text is encoded by a byte-level BPE file (A) and by a SentencePiece model (B);
 both end cut the bytes into groups, and a token of A is linked with each token of B whose bytes overlap its own. How often a pair of ids is
 linked in the whole corpus is its count; the pair that a B id is linked in most often (pairs, if several are) is that id's best one.
 
-Texts are encoded once, in chunks: between a character that isn't white space and a space behind it both tokenizers always begin a new
-token, so what lies between two such places is encoded and aligned by itself, kept, and used again wherever it occurs. Each
-batch of documents is saved as one row a document and, for each pair of ids, one posting row: in which of its documents the
-pair is linked and how often. Counts are the sums of these rows, pre-aggregated in the tasks that read them.
+Texts are encoded once, in chunks: at places where both tokenizers always begin a new token, before a space that follows something
+else, say, texts are cut, and a chunk is encoded and aligned by itself, kept under a number, and used again wherever it occurs. A batch
+of documents is then counted as numbers of chunks, and saved as one row a document and, for each pair of ids, one posting row: in which of
+its documents the pair is linked and how often. Counts are the sums of these rows, pre-aggregated in the tasks that read them.
 
 Then posting rows are cogrouped by B id with the counts: both kinds of rows are dealt to partitions by B id and sorted by Spark, which spills
 what doesn't fit, counts in front. A task streams over them; of one B id it holds its counts, at most one for each A id, finds the
-highest, and passes the postings behind them on as contributions to documents, added up by document as they come. A B id
-with many postings is dealt to several parts by batch, each of which gets its counts. Contributions are summed by document.
+highest, and passes the postings behind them on as contributions to documents, added up by document as they come and sent as one row a
+batch. A B id with many postings is dealt to several parts by batch, each of which gets its counts. Contributions are summed by document.
 
 Defined cases: null and empty texts, and texts whose joined tokens differ from a space and the text in bytes, have no tokens, zeros
 everywhere and '' as groups; special tokens' strings are plain text; repeated rows count each; an empty table gives no rows.
@@ -23,65 +23,107 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shizuku.llm.common import dropped, give_back, saved, small
 
-#: Chunks that a worker keeps, bytes of the longest one kept, and links of a batch of documents, about.
-KEPT, LONGEST, BATCH_LINKS = 200_000, 64, 1_500_000
-#: Postings of one B id in one part of it, about.
-PART = 4_000_000
-#: A space behind something that surely isn't white space and before anything else than spaces.
-_CUT = re.compile(r"(?<=[\w!-~])(?= +[^ ])")
-#: Contributions that a task adds up before it passes them on.
-HELD = 500_000
+#: Chunks that a worker keeps, links and documents of a batch, about.
+KEPT, BATCH_LINKS, BATCH_DOCS = 300_000, 1_500_000, 4096
+#: Postings of one B id in one part of it, about, and postings that a task adds up before it passes them on.
+PART, HELD = 4_000_000, 2_000_000
+#: Letters and marks that may be parted, if no piece of the model holds the one before the other.
+_LETTER, _MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?\n"
+#: Bits of a document's or chunk's number in a sort key.
+_BITS = 20
 
 
 class Aligner:
-    """Aligns texts chunk by chunk."""
+    """Aligns texts chunk by chunk. Chunks have numbers; of each the counts, the groups as text and the codes of linked pairs are kept."""
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        tokenizer = Tokenizer.from_file(path_a)
+        tokenizer.encode_special_tokens = True
+        self.a = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         self.b = SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab = file["model"]["vocab"]
         # The printable stand-ins of bytes in byte-level vocabularies: printable ones stand for themselves, the others count up from 256.
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
         self.bytes_a = {i: bytes(byte[c] for c in t) for t, i in vocab.items() if all(c in byte for c in t)}
+        self.shortcut(file)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        # Chunks hold only if no piece goes on from something else into a space.
-        self.cut = _CUT if not any(re.search("[^▁]▁", p) for p in pieces) else None
-        self.kept: dict[str, tuple] = {}
-
-    def chunk(self, chunk: str) -> tuple:
-        """n_a, n_b, n_groups, groups as text, codes of the linked pairs (a << 32 | b, one for each link); (None,) where bytes differ. The chunk begins with a space."""
-        ids_a = self.a.encode(chunk, add_special_tokens=False).ids
-        ids_b = self.b.encode(chunk[1:])
-        raw = chunk.encode()
+        self.shift = max(1, len(pieces) - 1).bit_length()
+        if max(self.bytes_a, default=0).bit_length() + self.shift + _BITS > 63:
+            raise ValueError("the vocabularies are too large for codes of pairs")
+        # Cuts hold only where no piece goes on over them.
+        held = "\0".join(pieces)
+        self.words_hold = not re.search("[^▁\0]▁", held)
+        marks = "".join(m for m in _MARKS if not re.search(f"[{_LETTER}]{re.escape(m)}", held))
+        rules = [r"(?<=[\w!-~])(?= +[^ ])"] if self.words_hold else []
+        rules += [f"(?<=[{_LETTER}])(?=[{marks}])"] if marks else []
+        self.lines = "\n" not in held
+        rules += [r"(?<=[\w!-~])(?=\n)", r"(?<=[\w!-~]\n)(?=\S)"] if self.lines else []
+        self.cut = re.compile("|".join(rules)) if rules and self.lines else None
+        self.ends = re.compile(r"[\w!-~]\Z")
+        self.clear()
+
+    def shortcut(self, file: dict) -> None:
+        """Where the file is byte-level BPE with the usual pattern and ids in the order of its merges, a quicker library gives the same ids."""
+        model, pre = file["model"], file["pre_tokenizer"] or {}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+        plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not file["normalizer"] and not file["post_processor"] and not model.get("ignore_merges")
+        special = {x["content"] for x in file["added_tokens"]}
+        usual = {t: i for t, i in model["vocab"].items() if t not in special}
+        if not plain or any(usual.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)) or len(usual) != 256 + len(merges):
+            return
+        import public_tokenizers
+        import tiktoken
+
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={self.bytes_a[i]: i for i in usual.values()}, special_tokens={})
+        self.a = own._core_bpe.encode_ordinary
+
+    def clear(self) -> None:
+        """Forgets all chunks."""
+        self.words: dict[str, int] = {}
+        self.chunks: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.fits: list[bool] = []
+        self.sizes: list[tuple[int, int, int, int]] = []  # n_a, n_b, n_groups, n_links
+        self.links = array("q")
+        self._arrays = None
+
+    def aligned(self, chunk: str) -> tuple[int, int, list[str], list[int]] | None:
+        """n_a, n_b, groups and codes of the linked pairs, one for each link; None where bytes differ."""
+        ids_a = self.a(chunk)
+        # The model puts a space in front; where the chunk has none, a line end stands behind that, a token of its own.
+        ids_b = self.b.encode(chunk[1:]) if chunk[0] == " " else self.b.encode("\n" + chunk)[2:]
         parts_a, parts_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
+        raw = chunk.encode()
         if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return (None,)
-        groups, links = [], []
+            return None
+        shift, groups, links = self.shift, [], []
         i = j = first_a = first_b = 0
         end_a, end_b = len(parts_a[0]), len(parts_b[0])
         while True:
-            links.append(ids_a[i] << 32 | ids_b[j])
+            links.append(ids_a[i] << shift | ids_b[j])
             if end_a == end_b:
                 groups.append(f"{','.join(map(str, ids_a[first_a : i + 1]))}|{','.join(map(str, ids_b[first_b : j + 1]))}")
                 i, j = i + 1, j + 1
                 if i == len(ids_a):
-                    break
+                    return len(ids_a), len(ids_b), groups, links
                 first_a, first_b = i, j
                 end_a, end_b = end_a + len(parts_a[i]), end_b + len(parts_b[j])
             elif end_a < end_b:
@@ -90,31 +132,67 @@ class Aligner:
             else:
                 j += 1
                 end_b += len(parts_b[j])
-        return len(ids_a), len(ids_b), len(groups), ";".join(groups), np.array(links, np.int64)
 
-    def text(self, text: str | None) -> tuple | None:
-        """n_a, n_b, n_groups, groups_sha256 and the array of pair codes of a text; None where it has no tokens."""
-        if not text:
-            return None
-        try:
-            text.encode()
-        except UnicodeEncodeError:
-            return None
-        chunks = self.cut.split(" " + text) if self.cut else [" " + text]
-        kept, found = self.kept, []
-        for c in chunks:
-            got = kept.get(c)
-            if got is None:
-                got = self.chunk(c)
-                if len(c) <= LONGEST:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[c] = got
-            found.append(got)
-        if any(x[0] is None for x in found):
-            return None
-        n_a, n_b, n_groups, groups, links = zip(*found, strict=True)
-        return sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256(";".join(groups).encode()).hexdigest(), np.concatenate(links)
+    def number(self, chunk: str) -> int:
+        """The number of a chunk, which is aligned if it is new."""
+        found = self.chunks.get(chunk)
+        if found is None:
+            found = self.chunks[chunk] = len(self.groups)
+            got = self.aligned(chunk)
+            self.fits.append(got is not None)
+            n_a, n_b, groups, links = got or (0, 0, [], [])
+            self.groups.append(";".join(groups))
+            self.sizes.append((n_a, n_b, len(groups), len(links)))
+            self.links.extend(links)
+        return found
+
+    def numbers(self, text: str) -> list[int]:
+        """The chunks of a space and the text."""
+        if self.cut is None:
+            return [self.number(" " + text)]
+        out, words = [], text.split(" ") if self.words_hold else []
+        known, split, number = self.words, self.cut.split, self.number
+        last = len(words) - 1
+        for k, w in enumerate(words):
+            found = known.get(w)
+            if found is not None:
+                out.append(found)
+                continue
+            if not w or k < last and not self.ends.search(w):
+                out = []  # what lies between words isn't one space behind something else
+                break
+            parts = split(" " + w)
+            own = [number(c) for c in parts]
+            if len(own) == 1 and self.ends.search(w):
+                known[w] = own[0]
+            out += own
+        return out or [number(c) for c in split(" " + text)]
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts by chunk, where the links of each begin, and the links."""
+        sizes = np.array(self.sizes, np.int64).reshape(-1, 4)
+        return sizes, np.concatenate([[0], np.cumsum(sizes[:, 3])]), np.frombuffer(self.links, np.int64).copy()
+
+
+#: Aligners of this worker process by their paths: loading takes longer than many a task.
+_LOADED: dict[tuple[str, str], Aligner] = {}
+
+
+def _loaded(path_a: str, path_b: str) -> Aligner:
+    if (path_a, path_b) not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path_a, path_b] = Aligner(path_a, path_b)
+    return _LOADED[path_a, path_b]
+
+
+def _weights(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and the sums of their weights."""
+    if not len(key):
+        return key, weight
+    order = np.argsort(key, kind="stable")
+    key, weight = key[order], weight[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(weight, first)
 
 
 _SAVED = "kind string, batch long, doc int, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a int, b int, n long, docs array<int>, times array<int>"
@@ -127,96 +205,130 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        aligner = Aligner(path_a, path_b)
-        part, batch_no, keys, rows, links, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+        aligner = _loaded(path_a, path_b)
+        part, batch_no, keys, shas, chunks, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+        low = (1 << _BITS) - 1
 
         def flush(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-            batch = part << 32 | batch_no
-            n = len(rows)
-            none = lambda t: pa.nulls(n, t)
-            columns = list(zip(*rows, strict=True))
-            head = [pa.array(["doc"] * n), pa.array([batch] * n, pa.int64()), pa.array(range(n), pa.int32()), *(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(columns[4], pa.string())]
+            batch, n = part << 32 | batch_no, len(keys)
+            sizes, begin, links = aligner.tables()
+            number = np.array([c for cs in chunks for c in cs], np.int64)
+            doc = np.repeat(np.arange(n), [len(cs) for cs in chunks])
+            sums = np.stack([np.bincount(doc, sizes[number, i], n).astype(np.int64) for i in range(4)], 1) if len(number) else np.zeros((n, 4), np.int64)
+            none = lambda t, m: pa.nulls(m, t)
             lists = pa.list_(pa.int32())
             names = ["kind", "batch", "doc", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "n", "docs", "times", "key"]
-            yield pa.RecordBatch.from_arrays([*head, none(pa.int32()), none(pa.int32()), none(pa.int64()), none(lists), none(lists), pa.array(keys, kind)], names=names)
-            codes = np.concatenate([*(x for x in links if x is not None), np.array([], np.int64)])
-            if len(codes):
-                doc = np.repeat(np.arange(n), [0 if x is None else len(x) for x in links])
-                pair, at = np.unique(codes, return_inverse=True)
-                once, times = np.unique(at.astype(np.int64) * n + doc, return_counts=True)
-                of, doc = once // n, (once % n).astype(np.int32)
-                ends = np.searchsorted(of, np.arange(len(pair) + 1)).astype(np.int32)
-                total = np.add.reduceat(times, ends[:-1])
-                for lo in range(0, len(pair), 20_000):
-                    hi = min(lo + 20_000, len(pair))
-                    m, cut = hi - lo, slice(ends[lo], ends[hi])
-                    offsets = pa.array(ends[lo : hi + 1] - ends[lo], pa.int32())
-                    empty = [pa.nulls(m, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())]
-                    arrays = [pa.ListArray.from_arrays(offsets, pa.array(x[cut].astype(np.int32), pa.int32())) for x in (doc, times)]
-                    ids = [pa.array((pair[lo:hi] >> 32).astype(np.int32)), pa.array((pair[lo:hi] & 0xFFFFFFFF).astype(np.int32)), pa.array(total[lo:hi].astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays([pa.array(["post"] * m), pa.array([batch] * m, pa.int64()), *empty, *ids, *arrays, pa.nulls(m, kind)], names=names)
+            head = [pa.array(["doc"] * n), pa.array([batch] * n, pa.int64()), pa.array(range(n), pa.int32()), *(pa.array(sums[:, i]) for i in range(4)), pa.array(shas, pa.string())]
+            yield pa.RecordBatch.from_arrays([*head, *(none(t, n) for t in (pa.int32(), pa.int32(), pa.int64(), lists, lists)), pa.array(keys, kind)], names=names)
+            # Chunks by document first, then the links of each different one.
+            key, times = _weights(doc << 32 | number, np.ones(len(number), np.int64))
+            doc, number = key >> 32, key & 0xFFFFFFFF
+            m = sizes[number, 3]
+            at = np.repeat(begin[number] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum()) if len(m) else np.zeros(0, np.int64)
+            key, times = _weights(links[at] << _BITS | np.repeat(doc, m), np.repeat(times, m))
+            pair, doc = key >> _BITS, (key & low).astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+            ends, pair = np.append(first, len(pair)).astype(np.int32), pair[first]
+            total = np.add.reduceat(times, first) if len(first) else times
+            for lo in range(0, len(pair), 20_000):
+                hi = min(lo + 20_000, len(pair))
+                m, cut = hi - lo, slice(ends[lo], ends[hi])
+                offsets = pa.array(ends[lo : hi + 1] - ends[lo], pa.int32())
+                empty = [none(t, m) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())]
+                arrays = [pa.ListArray.from_arrays(offsets, pa.array(x[cut].astype(np.int32), pa.int32())) for x in (doc, times)]
+                ids = [pa.array((pair[lo:hi] >> aligner.shift).astype(np.int32)), pa.array((pair[lo:hi] & (1 << aligner.shift) - 1).astype(np.int32)), pa.array(total[lo:hi].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(["post"] * m), pa.array([batch] * m, pa.int64()), *empty, *ids, *arrays, none(kind, m)], names=names)
+            if len(aligner.groups) > KEPT:
+                aligner.clear()
 
         for table in batches:
             kind = table.schema.field(0).type
             for key, text in zip(table.column(0).to_pylist(), table.column(1), strict=True):
-                got = aligner.text(text.as_py())
+                text = text.as_py()
+                own = aligner.numbers(text) if text else []
+                if not all(map(aligner.fits.__getitem__, own)):
+                    own = []
                 keys.append(key)
-                rows.append((0, 0, 0, 0, "") if got is None else (*got[:3], len(got[4]), got[3]))
-                links.append(None if got is None else got[4])
-                held += 100 if got is None else len(got[4]) + 100
-                if held >= BATCH_LINKS:
+                chunks.append(own)
+                shas.append(hashlib.sha256(";".join(map(aligner.groups.__getitem__, own)).encode()).hexdigest() if own else "")
+                held += len(own)
+                if held >= BATCH_LINKS or len(keys) >= BATCH_DOCS or len(aligner.groups) > KEPT:
                     yield from flush(kind)
-                    batch_no, keys, rows, links, held = batch_no + 1, [], [], [], 0
-        if rows:
+                    batch_no, keys, shas, chunks, held = batch_no + 1, [], [], [], 0
+        if keys:
             yield from flush(kind)
-        aligner.kept.clear()
+        aligner.clear()
         give_back()
 
     return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, f"{_SAVED}, key {key_kind}")
 
 
 def contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """batch, doc, n_best, count_sum from rows sorted by b and part: counts (a, n) come first, then posting rows."""
+    """batch, docs, best, sums from rows sorted by b and part: counts (a, n) come first, then posting rows."""
     counts: dict[int, int] = {}
     now, best, held = None, 0, 0
-    sums: dict[int, list] = {}
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for batch, parts in sums.items():
-            doc, is_best, total = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            size = int(doc.max()) + 1
-            bests, seen = np.bincount(doc, is_best, size), np.bincount(doc, minlength=size) > 0
-            whole = np.zeros(size, np.int64)
-            np.add.at(whole, doc, total)
-            at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch, np.int64)), pa.array(at.astype(np.int32)), pa.array(bests[at].astype(np.int64)), pa.array(whole[at])], names=["batch", "doc", "n_best", "count_sum"])
-        sums.clear()
+        if not parts:
+            return
+        batch, doc, bests, sums = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        parts.clear()
+        order = np.lexsort((doc, batch))
+        batch, doc, bests, sums = batch[order], doc[order], bests[order], sums[order]
+        first = np.flatnonzero(np.concatenate([[True], (batch[1:] != batch[:-1]) | (doc[1:] != doc[:-1])]))
+        batch, doc, bests, sums = batch[first], doc[first], np.add.reduceat(bests, first), np.add.reduceat(sums, first)
+        ends = np.append(np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]])), len(batch)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (doc.astype(np.int32), bests, sums)]
+        yield pa.RecordBatch.from_arrays([pa.array(batch[ends[:-1]]), *lists], names=["batch", "docs", "best", "sums"])
 
     for table in batches:
         b, part, a, n, batch = (table.column(x).to_numpy(zero_copy_only=False) for x in ("b", "part", "a", "n", "batch"))
         docs, times = table.column("docs"), table.column("times")
-        is_count = docs.is_null().to_numpy(zero_copy_only=False)
-        ends, doc_all, times_all = docs.offsets.to_numpy(), docs.values.to_numpy(), times.values.to_numpy()
-        for i in range(table.num_rows):
-            if now != (b[i], part[i]):
-                now, best = (b[i], part[i]), 0
+        posts = docs.is_valid().to_numpy(zero_copy_only=False)
+        own, top = np.zeros(len(b), np.int64), np.zeros(len(b), bool)
+        for i, (key, id_a, count, post) in enumerate(zip(zip(b.tolist(), part.tolist(), strict=True), a.tolist(), n.tolist(), posts.tolist(), strict=True)):
+            if now != key:
+                now, best = key, 0
                 counts.clear()
-            if is_count[i]:
-                counts[int(a[i])] = int(n[i])
-                best = max(best, int(n[i]))
-                continue
-            own = counts[int(a[i])]
-            cut = slice(ends[i], ends[i + 1])
-            times_i = times_all[cut].astype(np.int64)
-            sums.setdefault(int(batch[i]), []).append((doc_all[cut], times_i if own == best else np.zeros_like(times_i), times_i * own))
-            held += len(times_i)
-            if held >= HELD:
-                yield from flush()
-                held = 0
+            if post:
+                own[i] = count = counts[id_a]
+                top[i] = count == best
+            else:
+                counts[id_a] = count
+                best = max(best, count)
+        size = pc.list_value_length(docs).fill_null(0).to_numpy(zero_copy_only=False)
+        doc, each = docs.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
+        if len(doc):
+            parts.append((np.repeat(np.where(posts, batch, 0).astype(np.int64), size), doc, np.where(np.repeat(top, size), each, 0), each * np.repeat(own, size)))
+            held += len(doc)
+        if held >= HELD:
+            yield from flush()
+            held = 0
     yield from flush()
     give_back()
 
 
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batch, doc, n_best, count_sum from contributions sorted by batch: one batch's documents are held at a time."""
+    now, best, sums = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def done() -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(sums)  # a document with a link has a count
+        if now is not None and len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), now, np.int64)), pa.array(at.astype(np.int32)), pa.array(best[at]), pa.array(sums[at])], names=["batch", "doc", "n_best", "count_sum"])
+
+    for table in batches:
+        for batch, doc, b, s in zip(table.column("batch").to_pylist(), table.column("docs"), table.column("best"), table.column("sums"), strict=True):
+            if batch != now:
+                yield from done()
+                now, best, sums = batch, np.zeros(BATCH_DOCS, np.int64), np.zeros(BATCH_DOCS, np.int64)
+            at = doc.values.to_numpy()
+            best[at] += b.values.to_numpy()
+            sums[at] += s.values.to_numpy()
+    yield from done()
+
+
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two tables: documents (key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) and pairs (a, b, n, best)."""
     rows = saved(encoded(docs, path_a, path_b, id_col, text_col), "alignments")
@@ -231,8 +343,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     dealt_counts = dealt_counts.select("b", "part", "a", "n", no.cast("long").alias("batch"), no.cast("array<int>").alias("docs"), no.cast("array<int>").alias("times"))
     dealt_posts = posts.join(parts, "b", "left").withColumn("part", F.pmod(F.xxhash64("batch"), F.coalesce("parts", F.lit(1))).cast("int")).select("b", "part", "a", "n", "batch", "docs", "times")
     both = dealt_counts.unionByName(dealt_posts).repartition("b", "part").sortWithinPartitions("b", "part", F.col("batch").asc_nulls_first(), "a")
-    given = both.mapInArrow(contributions, "batch long, doc int, n_best long, count_sum long")
-    sums = given.groupBy("batch", "doc").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    given = both.mapInArrow(contributions, "batch long, docs array<int>, best array<long>, sums array<long>")
+    sums = given.repartition("batch").sortWithinPartitions("batch").mapInArrow(summed, "batch long, doc int, n_best long, count_sum long")
     own = rows.filter("kind = 'doc'").select("batch", "doc", "key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     whole = own.join(sums, ["batch", "doc"], "left").fillna(0, ["n_best", "count_sum"])
     documents = saved(whole.select("key", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"), "aligned")

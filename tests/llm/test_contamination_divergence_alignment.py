@@ -195,15 +195,22 @@ def test_alignment_by_brute_force(spark, monkeypatch):
 
 def test_chunks_give_the_tokens_of_whole_texts():
     aligner = alignment.Aligner(public_tokenizers.path(A), public_tokenizers.path(B))
+    assert aligner.cut is not None
     draw = random.Random(1)
-    pieces = ["a", "the", "s'", "'s", " ", "  ", "\n", "\t", "\r", ".", "!?", "12", "é", " ", "日", "\U0001f600", "▁", "_", "​", "\x1f", "-"]
-    for _ in range(3000):
+    pieces = ["a", "the", "s'", "'s", " ", " ", "  ", "\n", "\n", "\t", "\r", ".", ",", "!?", "12", "²", "é", "×", "\u00a0", "日", "\U0001f600", "▁", "_", "\u200b", "\x1f", "\x85", "-", "<s>", "Word"]
+    for k in range(6000):
         text = "".join(draw.choices(pieces, k=draw.randrange(1, 14)))
         ids_a, raw_a, ids_b, raw_b = tokens_of(text)
         fits = b"".join(raw_a) == b"".join(raw_b) == (" " + text).encode()
-        got = aligner.text(text)
-        assert (got is not None) == fits, repr(text)
-        assert got is None or (got[0], got[1]) == (len(ids_a), len(ids_b)), repr(text)
+        own = aligner.numbers(text)
+        assert all(aligner.fits[i] for i in own) == fits, repr(text)
+        if fits:
+            sizes = [aligner.sizes[i] for i in own]
+            assert (sum(x[0] for x in sizes), sum(x[1] for x in sizes)) == (len(ids_a), len(ids_b)), repr(text)
+            groups = ";".join(aligner.groups[i] for i in own).split(";")
+            assert [int(x) for g in groups for x in g.split("|")[0].split(",")] == ids_a and [int(x) for g in groups for x in g.split("|")[1].split(",")] == ids_b, repr(text)
+        if k % 1000 == 0:
+            aligner.clear()
 
 
 @pytest.mark.parametrize("name", ["op11_decontaminate", "op12_source_divergence", "op13_tokenizer_alignment"])
