@@ -7,8 +7,8 @@ its dense array of scores. Each block then selects its k best by partition selec
 Blocks of candidates are dealt to every group of queries, so that no task holds more than one block of each; what a
 task puts out is k rows a query for its slice of candidates.
 
-Defined cases: vectors that are null, empty or hold null or non-finite components take no part; shorter vectors count as
-followed by zeros; ties go to the smaller id; components are cut at 2 to the 62nd and sums wrap around at 64 bits; repeated
+Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as
+followed by zeros, so an empty one scores 0 with all; ties go to the smaller id; components or scores beyond 64 bits are errors; repeated
 ids take part as rows of their own, and a query never meets a row of its own id; no candidates, no rows.
 """
 
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from shizuku.llm.common import saved
 
-#: Vectors in a block of candidates, queries in a block, and tasks that the candidate blocks of one query block are dealt to.
-BLOCK, QUERIES, SLICE = 4096, 1024, 8
+#: Vectors in a block of candidates, queries in a block, and tasks that the candidate blocks of one query block are dealt to: so many, or one for DEALT blocks.
+BLOCK, QUERIES, SLICE, DEALT = 4096, 1024, 8, 64
 
 
 def packed(rows: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
@@ -34,11 +34,12 @@ def packed(rows: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
         held_ids, held = [], []
 
         def block():
-            width = max(len(x) for x in held)
+            width = max(1, max(len(x) for x in held))
             m = np.zeros((width, len(held)), np.float64)
             for i, x in enumerate(held):
                 m[: len(x), i] = np.floor(64.0 * x)
-            m = np.clip(m, -(2.0**62), 2.0**62)
+            if np.abs(m).max() >= 2.0**63:
+                raise ValueError("a component is too large for 64 bits")
             order = np.argsort(np.array(held_ids, np.int64), kind="stable")
             m = m[:, order].astype(np.int64)
             kind = next(t for t in ("int8", "int16", "int32", "int64") if t == "int64" or -np.iinfo(t).max <= m.min() and m.max() <= np.iinfo(t).max)
@@ -46,7 +47,7 @@ def packed(rows: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
 
         for batch in batches:
             for key, vec in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key is None or not vec or any(x is None for x in vec):
+                if key is None or vec is None or any(x is None for x in vec):
                     continue
                 x = np.array(vec, np.float64)
                 if np.isfinite(x).all():
@@ -73,6 +74,11 @@ def accumulate(queries: np.ndarray, postings: np.ndarray) -> np.ndarray:
     queries, postings = queries[:, :terms], postings[:terms]
     bound = np.sqrt((queries.astype(float) ** 2).sum(1).max(initial=0)) * np.sqrt((postings.astype(float) ** 2).sum(0).max(initial=0))
     most = max(np.abs(queries.astype(float)).max(initial=0), np.abs(postings.astype(float)).max(initial=0))
+    if bound >= 2.0**62:  # sums may pass 64 bits: whole numbers of any size tell whether they do
+        scores = queries.astype(object) @ postings.astype(object)
+        if any(abs(x) >= 2**63 for x in scores.flat):
+            raise ValueError("a score is too large for 64 bits")
+        return scores.astype(np.int64)
     # By Cauchy and Schwarz no sum of some of the products passes the bound: the narrowest type that holds it is exact.
     kind = np.int16 if max(bound, most) < 32_000 else np.int32 if max(bound, most) < 2e9 else np.int64
     postings, queries = postings.astype(kind), queries.astype(kind)
@@ -114,9 +120,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_co
     asked = saved(packed(asked, id_col, vec_col, 2 * query_block).withColumn("qb", number), "query-blocks")
     deal = saved(packed(vectors, id_col, vec_col, block).withColumn("cb", number), "candidate-blocks")
     # Every query block meets every candidate block: their numbers are paired first, then each side's block joins.
-    # The last join leaves a query block's candidates together, dealt to SLICE tasks.
-    slices = deal.select("cb", F.pmod(F.xxhash64("cb"), F.lit(SLICE)).alias("slice"))
-    slots = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICE - 1)))).withColumn("slice", F.col("slice").cast("long"))
+    # The last join leaves a query block's candidates together, dealt to as many tasks as there are slices.
+    n = max(SLICE, -(-deal.count() // DEALT))
+    slices = deal.select("cb", F.pmod(F.xxhash64("cb"), F.lit(n)).alias("slice"))
+    slots = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("slice", F.col("slice").cast("long"))
     right = slots.select("qb", "slice").join(slices, "slice").join(deal.select("cb", F.struct("ids", "terms", "kind", "postings").alias("c")), "cb")
     left = slots.select("qb", "slice", F.struct("ids", "terms", "kind", "postings").alias("q"))
     pairs = right.join(left, ["qb", "slice"])

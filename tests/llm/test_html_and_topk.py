@@ -173,13 +173,16 @@ def test_top_k_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, []), (6, [1.0]), (7, [1.0]), (7, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.filter("vec_id < 6"), k=3).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 6, 4096), (0, 2, 7, 4096), (0, 3, 7, 4096)]
+    assert got == [(0, 1, 6, 4096), (0, 2, 7, 4096), (0, 3, 7, 4096), (5, 1, 0, 0), (5, 2, 6, 0), (5, 3, 7, 0)]
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
 def test_wide_values_are_exact():
     q, p = np.array([[2**40, -3]]), np.array([[2**20, 5], [7, 2**30]])
     assert topk.accumulate(q, p).tolist() == [[2**60 - 21, 5 * 2**40 - 3 * 2**30]]
+    assert topk.accumulate(np.array([[2**31, 2**31]]), np.array([[2**31], [-(2**31)]])).tolist() == [[0]]
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.accumulate(np.array([[2**32]]), np.array([[2**32]]))
 
 
 LONG, SHORT = " ".join(f"word{i}" for i in range(80)), " ".join(f"w{i}" for i in range(30))
