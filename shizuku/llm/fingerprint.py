@@ -17,6 +17,8 @@ edited texts, documents follow one another by id, then by text; a table of one r
 
 from __future__ import annotations
 
+import os.path
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +31,8 @@ LANES = LANES_EACH * LONGS
 _ONES = sum(1 << (BITS + 1) * i for i in range(LANES_EACH))
 _LANE = (1 << BITS) - 1
 _KEEP = _ONES * _LANE
-#: Rows that a bucket of neighbouring documents has, about, the most buckets there are, and the quantiles of ids that they lie between.
-NEAR, MOST_BUCKETS, QUANTILES = 64, 1 << 20, 128
+#: Rows that a bucket of neighbouring documents has, about, and the stretches of ids, of like numbers of rows, that buckets are parts of.
+NEAR, STRETCHES = 2048, 128
 
 
 def paragraphs(text: Column) -> Column:
@@ -89,30 +91,47 @@ def text_of(fp: Column) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """docs with `next`, a struct of `columns` of the next row by id (after the last: the first). Ids are numbers or texts.
+    """docs with `next`, a struct of `columns` of the next row by id (after the last: the first). Ids are numbers, or texts in the order of their UTF-8 bytes.
 
-    Rows go to buckets of neighbouring ids: equal parts of the stretches between quantiles, so ids far from all others, or
-    dense ones, don't put the rest into one bucket. A bucket needs one row from outside, the first of the next bucket that has
-    any; those rows are sent to both. So no task sorts more than a bucket.
+    Spark deals the ids alone, without the rows, to STRETCHES ranges of like numbers of them. Rows go to buckets, equal parts of
+    a stretch as many as its rows call for: by the id's number, or by the bytes of a text behind what the stretch's first and last id have
+    in common, so that ids far from all others, dense ones or long common beginnings don't put the rest into one bucket. A
+    bucket needs one row from outside, the first of the next bucket that has any; those rows are sent to both. So no task sorts more
+    than a bucket, and nothing but the stretches' ends goes to the driver.
     """
     number = isinstance(docs.schema[id_col].dataType, T.NumericType)
-    # A number that sorts like the id: of a text, its first seven bytes.
-    value = F.col(id_col) if number else F.conv(F.rpad(F.hex(F.substring(F.col(id_col).cast("string").cast("binary"), 1, 7)), 14, "0"), 16, 10)
-    value = value.cast("double")
-    known = docs.filter(F.col(id_col).isNotNull()).select(value.alias("v"))
-    found = known.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.percentile_approx("v", [i / QUANTILES for i in range(1, QUANTILES)], 40 * QUANTILES).alias("q")).first()
-    inner = sorted({x for x in found["q"] or [] if found["lo"] < x <= found["hi"]})
-    edges = [found["lo"] or 0.0, *inner, found["hi"] or 0.0]
-    parts = max(1, min(MOST_BUCKETS, (found["n"] or 0) // NEAR) // (len(edges) - 1))
-    listed = lambda xs: F.array(*(F.lit(float(x)) for x in xs)) if xs else F.array().cast("array<double>")
-    wide = [max(b - a, 1e-300) / parts for a, b in zip(edges, edges[1:], strict=False)]
-    stretch = lambda s: s * parts + F.least(F.lit(parts - 1), F.floor((value - F.get(listed(edges), s)) / F.get(listed(wide), s)))
-    bucket = F.when(F.col(id_col).isNull(), -1).otherwise(bound(F.size(F.filter(listed(inner), lambda x: x <= value)), stretch)).cast("long")  # null ids come first
-    rows = docs.withColumn("__b", bucket)
-    firsts = docs.select(F.col(id_col), bucket.alias("__b")).groupBy("__b").agg(F.min(id_col).alias("__first"))
-    around = Window.orderBy("__b")
-    before = F.coalesce(F.lag("__b").over(around), F.max("__b").over(Window.partitionBy()))
-    firsts = saved(firsts.select("__b", before.alias("__to"), "__first"), "bucket-firsts")  # at most MOST_BUCKETS + 1 rows
+    ids = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i") if number else F.col(id_col).cast("string").alias("i"))
+    ranges = ids.repartitionByRange(STRETCHES, "i").groupBy(F.spark_partition_id().alias("p")).agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.count("*").alias("n"))
+    found = sorted(ranges.collect(), key=lambda r: r["lo"] if number else r["lo"].encode())  # as many rows as stretches
+    common = [0 if number else len(os.path.commonprefix([r["lo"].encode(), r["hi"].encode()])) for r in found]
+    of_bytes = lambda b, skip: float(int.from_bytes(b[skip : skip + 7].ljust(7, b"\0"), "big"))
+    ends = [(float(r["lo"]), float(r["hi"])) if number else (of_bytes(r["lo"].encode(), k), of_bytes(r["hi"].encode(), k)) for r, k in zip(found, common, strict=True)]
+    parts = [max(1, r["n"] // NEAR) for r in found]
+    listed = lambda xs, kind: F.array(*map(F.lit, xs)).cast(f"array<{kind}>")
+    at = lambda xs, s, kind="double": F.get(listed(xs, kind), s)
+    key = F.col(id_col) if number else F.col(id_col).cast("string")
+    kind = docs.schema[id_col].dataType.simpleString() if number else "string"
+    stretch = F.size(F.filter(listed([r["lo"] for r in found[1:]], kind), lambda x: x <= key))
+
+    def bucket_in(s: Column) -> Column:
+        # A number that sorts like the id within its stretch.
+        value = key.cast("double") if number else F.conv(F.rpad(F.hex(F.substring(key.cast("binary"), at(common, s, "int") + 1, F.lit(7))), 14, "0"), 16, 10).cast("double")
+        wide = [max(hi - lo, 1e-300) / n for (lo, hi), n in zip(ends, parts, strict=True)]
+        first = [sum(parts[:k]) for k in range(len(parts))]
+        part = F.least(at(parts, s, "long") - 1, F.floor((value - at([lo for lo, _ in ends], s)) / at(wide, s)))
+        return F.struct(s.cast("long").alias("s"), (at(first, s, "long") + F.greatest(F.lit(0), part)).alias("b"))
+
+    none = F.struct(F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("b"))  # null ids come first
+    bucket = F.when(F.col(id_col).isNull(), none).otherwise(bound(stretch, bucket_in)) if found else none
+    rows = docs.withColumn("__b", bucket["b"])
+    firsts = docs.select(F.col(id_col), bucket.alias("k")).groupBy("k.s", "k.b").agg(F.min(id_col).alias("__first"))
+    firsts = saved(firsts.select("s", F.col("b").alias("__b"), "__first"), "bucket-starts")
+    # The bucket before: within the stretch, or the last one of the stretch before, which is never empty; before the first comes the last of all.
+    lasts = {r["s"]: r["b"] for r in firsts.groupBy("s").agg(F.max("__b").alias("b")).collect()}
+    order = sorted(lasts)
+    before = F.create_map(*(F.lit(x).cast("long") for k, s in enumerate(order) for x in (s, lasts[order[k - 1]]))) if order else F.lit(None).cast("map<bigint,bigint>")
+    lag = F.lag("__b").over(Window.partitionBy("s").orderBy("__b"))
+    firsts = saved(firsts.select("__b", F.coalesce(lag, F.try_element_at(before, F.col("s"))).alias("__to"), "__first"), "bucket-firsts")
     rows = rows.join(small(firsts), "__b")
     # Each row goes to its own bucket; the first rows go to the one before as well, behind all others.
     own = F.struct(F.col("__b").alias("b"), F.lit(0).alias("late"))

@@ -158,6 +158,22 @@ def test_neighbours_of_ids_far_apart_and_of_texts(spark):
     assert got == {f"id{i:04d}": f"text {i + 1}" if i < 199 else "last" for i in range(200)} | {"": "text 0", "ä": "none"}
 
 
+def test_text_ids_with_a_long_common_beginning_spread_over_tasks(spark):
+    ids = [f"document-of-the-corpus-{i:08d}" for i in range(20_000)]
+    rows = spark.range(0, 20_000, numPartitions=4).select(F.format_string("document-of-the-corpus-%08d", "id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(None, "none"), (None, "none")], "doc_id string, text string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        near = fp.with_next(rows, "doc_id", ["text"])
+        tasks = near.select("doc_id").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        got = near.select("doc_id", "next.text").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == 20_002 and max(tasks) < 10_000
+    assert {r.doc_id: r.text for r in got if r.doc_id} == {x: str(i + 1) if i < 19_999 else "none" for i, x in enumerate(ids)}
+    assert sorted(r.text for r in got if r.doc_id is None) == ["0", "none"]
+
+
 @pytest.mark.parametrize("column", ["fingerprint", "edited_fingerprint"])
 def test_query_fingerprints_by_brute_force(spark, sf_dir, column):
     """Fingerprints and likenesses of the query, lane by lane, from the paragraphs' own sums."""
