@@ -25,6 +25,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from shizuku.llm.common import dropped, give_back, saved, small
 
 #: Chunks that a worker keeps, links and documents of a batch, about.
-KEPT, BATCH_LINKS, BATCH_DOCS = 300_000, 1_500_000, 4096
+KEPT, BATCH_LINKS, BATCH_DOCS = 400_000, 1_500_000, 4096
 #: Postings of one B id in one part of it, about, and postings that a task adds up before it passes them on.
 PART, HELD = 4_000_000, 2_000_000
 #: Letters and marks that may be parted, if no piece of the model holds the one before the other.
@@ -53,7 +54,7 @@ class Aligner:
 
         tokenizer = Tokenizer.from_file(path_a)
         tokenizer.encode_special_tokens = True
-        self.a = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        self.a, self.piece = lambda text: tokenizer.encode(text, add_special_tokens=False).ids, None
         self.b = SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as f:
             file = json.load(f)
@@ -65,6 +66,9 @@ class Aligner:
         self.shortcut(file)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.lengths_a, self.lengths_b = np.zeros(max(self.bytes_a, default=0) + 1, np.int64), np.array(list(map(len, self.bytes_b)), np.int64)
+        for i, b in self.bytes_a.items():
+            self.lengths_a[i] = len(b)
         self.shift = max(1, len(pieces) - 1).bit_length()
         if max(self.bytes_a, default=0).bit_length() + self.shift + _BITS > 63:
             raise ValueError("the vocabularies are too large for codes of pairs")
@@ -77,7 +81,6 @@ class Aligner:
         self.lines = "\n" not in held
         rules += [r"(?<=[\w!-~])(?=\n)", r"(?<=[\w!-~]\n)(?=\S)"] if self.lines else []
         self.cut = re.compile("|".join(rules)) if rules and self.lines else None
-        self.ends = re.compile(r"[\w!-~]\Z")
         self.clear()
 
     def shortcut(self, file: dict) -> None:
@@ -93,59 +96,57 @@ class Aligner:
         import tiktoken
 
         own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={self.bytes_a[i]: i for i in usual.values()}, special_tokens={})
-        self.a = own._core_bpe.encode_ordinary
+        self.a, self.piece = own._core_bpe.encode_ordinary, own._core_bpe.encode_single_piece
 
     def clear(self) -> None:
         """Forgets all chunks."""
-        self.words: dict[str, int] = {}
+        self.words: dict[str, int | tuple[int, ...]] = {}
         self.chunks: dict[str, int] = {}
         self.groups: list[str] = []
-        self.fits: list[bool] = []
-        self.sizes: list[tuple[int, int, int, int]] = []  # n_a, n_b, n_groups, n_links
-        self.links = array("q")
-        self._arrays = None
-
-    def aligned(self, chunk: str) -> tuple[int, int, list[str], list[int]] | None:
-        """n_a, n_b, groups and codes of the linked pairs, one for each link; None where bytes differ."""
-        ids_a = self.a(chunk)
-        # The model puts a space in front; where the chunk has none, a line end stands behind that, a token of its own.
-        ids_b = self.b.encode(chunk[1:]) if chunk[0] == " " else self.b.encode("\n" + chunk)[2:]
-        parts_a, parts_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        raw = chunk.encode()
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        shift, groups, links = self.shift, [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = len(parts_a[0]), len(parts_b[0])
-        while True:
-            links.append(ids_a[i] << shift | ids_b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, ids_a[first_a : i + 1]))}|{','.join(map(str, ids_b[first_b : j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(ids_a):
-                    return len(ids_a), len(ids_b), groups, links
-                first_a, first_b = i, j
-                end_a, end_b = end_a + len(parts_a[i]), end_b + len(parts_b[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(parts_a[i])
-            else:
-                j += 1
-                end_b += len(parts_b[j])
+        self.fits, self.waiting = bytearray(), []
+        self.sizes, self.links = array("q"), array("q")  # of each n_a, n_b, n_groups, n_links
 
     def number(self, chunk: str) -> int:
-        """The number of a chunk, which is aligned if it is new."""
+        """The number of a chunk; new ones wait for `settle`."""
         found = self.chunks.get(chunk)
         if found is None:
-            found = self.chunks[chunk] = len(self.groups)
-            got = self.aligned(chunk)
-            self.fits.append(got is not None)
-            n_a, n_b, groups, links = got or (0, 0, [], [])
-            self.groups.append(";".join(groups))
-            self.sizes.append((n_a, n_b, len(groups), len(links)))
-            self.links.extend(links)
+            found = self.chunks[chunk] = len(self.chunks)
+            self.waiting.append(chunk)
         return found
 
+    def settle(self) -> None:
+        """Aligns all chunks that wait, as if they were one text: chunks where bytes differ count as empty."""
+        chunks, self.waiting = self.waiting, []
+        if not chunks:
+            return
+        ids_a = [self.piece(c.encode()) if self.piece and c.isascii() and c[0] == " " and c[1:].isalpha() else self.a(c) for c in chunks]
+        # The model puts a space in front; where the chunk has none, a line end stands behind that, a token of its own.
+        ids_b = self.b.encode([c[1:] if c[0] == " " else "\n" + c for c in chunks], num_threads=1)
+        ids_b = [x if c[0] == " " else x[2:] for c, x in zip(chunks, ids_b, strict=True)]
+        join, of_a, of_b = b"".join, self.bytes_a.get, self.bytes_b.__getitem__
+        whole = bytes(join(map(of_b, b)) == join([of_a(i, b"") for i in a]) == c.encode() for c, a, b in zip(chunks, ids_a, ids_b, strict=True))
+        if 0 in whole:
+            ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, whole, strict=True)] for ids in (ids_a, ids_b))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        ends_a, ends_b = np.cumsum(self.lengths_a[flat_a]), np.cumsum(self.lengths_b[flat_b])
+        ends = np.concatenate([[0], ends_a])[np.cumsum(n_a)]  # of chunks; those that don't fit end where the one before does
+        # Between two neighbouring ends of any tokens lies one token of each side: a link.
+        marks, common = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        links = flat_a[np.searchsorted(ends_a, marks)] << self.shift | flat_b[np.searchsorted(ends_b, marks)]
+        at = np.searchsorted(ends, common)
+        n_groups, n_links = np.bincount(at, minlength=len(chunks)), np.bincount(np.searchsorted(ends, marks), minlength=len(chunks))
+        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
+        stop_a, stop_b = (np.searchsorted(x, common, "right").tolist() for x in (ends_a, ends_b))
+        groups = [f"{','.join(text_a[a:i])}|{','.join(text_b[b:j])}" for a, i, b, j in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b, strict=False)]
+        first = 0
+        for n in n_groups.tolist():
+            self.groups.append(groups[first] if n == 1 else ";".join(groups[first : first + n]))
+            first += n
+        self.fits += whole
+        self.sizes.frombytes(np.stack([n_a, n_b, n_groups, n_links], 1).astype(np.int64).tobytes())
+        self.links.frombytes(links.tobytes())
+
     def numbers(self, text: str) -> list[int]:
         """The chunks of a space and the text."""
         if self.cut is None:
@@ -155,22 +156,28 @@ class Aligner:
         last = len(words) - 1
         for k, w in enumerate(words):
             found = known.get(w)
-            if found is not None:
+            if found is None:
+                end = w[-1:]
+                part = "!" <= end <= "~" or end.isalnum()  # something that a space behind it can be cut from
+                if not part and (k < last or not end):
+                    out = []  # what lies between words isn't one space behind something else
+                    break
+                own = [number(c) for c in split(" " + w)]
+                found = own[0] if len(own) == 1 else tuple(own)
+                if part and "\n" not in w:
+                    known[w] = found
+            if type(found) is int:
                 out.append(found)
-                continue
-            if not w or k < last and not self.ends.search(w):
-                out = []  # what lies between words isn't one space behind something else
-                break
-            parts = split(" " + w)
-            own = [number(c) for c in parts]
-            if len(own) == 1 and self.ends.search(w):
-                known[w] = own[0]
-            out += own
+            else:
+                out += found
         return out or [number(c) for c in split(" " + text)]
 
+    def full(self) -> bool:
+        return len(self.chunks) > KEPT or len(self.links) > 8 * KEPT or len(self.words) > KEPT
+
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts by chunk, where the links of each begin, and the links."""
-        sizes = np.array(self.sizes, np.int64).reshape(-1, 4)
+        sizes = np.frombuffer(self.sizes, np.int64).copy().reshape(-1, 4)
         return sizes, np.concatenate([[0], np.cumsum(sizes[:, 3])]), np.frombuffer(self.links, np.int64).copy()
 
 
@@ -206,11 +213,15 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
         from pyspark import TaskContext
 
         aligner = _loaded(path_a, path_b)
-        part, batch_no, keys, shas, chunks, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, batch_no, keys, chunks, held = TaskContext.get().partitionId(), 0, [], [], 0
         low = (1 << _BITS) - 1
 
         def flush(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
             batch, n = part << 32 | batch_no, len(keys)
+            aligner.settle()
+            fits, groups = aligner.fits.__getitem__, aligner.groups.__getitem__
+            chunks[:] = [own if all(map(fits, own)) else [] for own in chunks]
+            shas = [hashlib.sha256(";".join(map(groups, own)).encode()).hexdigest() if own else "" for own in chunks]
             sizes, begin, links = aligner.tables()
             number = np.array([c for cs in chunks for c in cs], np.int64)
             doc = np.repeat(np.arange(n), [len(cs) for cs in chunks])
@@ -238,26 +249,21 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
                 arrays = [pa.ListArray.from_arrays(offsets, pa.array(x[cut].astype(np.int32), pa.int32())) for x in (doc, times)]
                 ids = [pa.array((pair[lo:hi] >> aligner.shift).astype(np.int32)), pa.array((pair[lo:hi] & (1 << aligner.shift) - 1).astype(np.int32)), pa.array(total[lo:hi].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.array(["post"] * m), pa.array([batch] * m, pa.int64()), *empty, *ids, *arrays, none(kind, m)], names=names)
-            if len(aligner.groups) > KEPT:
+            if aligner.full():
                 aligner.clear()
 
         for table in batches:
             kind = table.schema.field(0).type
             for key, text in zip(table.column(0).to_pylist(), table.column(1), strict=True):
                 text = text.as_py()
-                own = aligner.numbers(text) if text else []
-                if not all(map(aligner.fits.__getitem__, own)):
-                    own = []
                 keys.append(key)
-                chunks.append(own)
-                shas.append(hashlib.sha256(";".join(map(aligner.groups.__getitem__, own)).encode()).hexdigest() if own else "")
-                held += len(own)
-                if held >= BATCH_LINKS or len(keys) >= BATCH_DOCS or len(aligner.groups) > KEPT:
+                chunks.append(aligner.numbers(text) if text else [])
+                held += len(chunks[-1])
+                if held >= BATCH_LINKS or len(keys) >= BATCH_DOCS or aligner.full():
                     yield from flush(kind)
-                    batch_no, keys, shas, chunks, held = batch_no + 1, [], [], [], 0
+                    batch_no, keys, chunks, held = batch_no + 1, [], [], 0
         if keys:
-            yield from flush(kind)
-        aligner.clear()
+            yield from flush(kind)  # chunks stay for the worker's next task
         give_back()
 
     return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, f"{_SAVED}, key {key_kind}")
