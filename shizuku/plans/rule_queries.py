@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from shizuku.functions import naming, periods
-from shizuku.operators import checks, observation_cube, occurrence_cube, sampling, series
+from shizuku.operators import checks, observation_cube, occurrence_cube, sampling, series, temporal
 from shizuku.plans.domain import DAYS, DIM, MONTHS, OBS, OCC, monthly, observation, occurrence, occurrence_cells, query, table
 from shizuku.plans.observation_queries import _PICK, _UNFOLD, _YEARS, days_of, years_of
 from shizuku.sources import adapters, files, parted, tables
@@ -264,6 +264,36 @@ def darwin_core_archive(spark, sf_dir):
     return out
 
 
+# Joins by time.
+
+
+def _day_number(column: str):
+    return F.datediff(F.col(column).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+
+
+@query("""WITH o AS (SELECT o_custkey % 5 AS subject, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS since, max({'k': o_orderkey, 'rank': CAST(substr(o_orderpriority, 1, 1) AS INTEGER)}) AS v FROM orders GROUP BY ALL),
+e AS (SELECT subject, since, lead(since) OVER (PARTITION BY subject ORDER BY since) AS until, v.rank AS rank FROM o), p AS (SELECT l_suppkey % 5 AS subject, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS day, l_quantity FROM lineitem)
+SELECT subject, rank, count(*) AS n, sum(l_quantity) AS quantity, min(day - since) AS least_age, max(day - since) AS greatest_age FROM p JOIN e USING (subject) WHERE day >= since AND (until IS NULL OR day < until) GROUP BY ALL""")
+def assessments_in_force(spark, sf_dir):
+    """Line items by the assessment that was in force for their subject on the day: each assessment holds until the next one. Five subjects share all rows."""
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("subject"), _day_number("o_orderdate").alias("since"), F.col("o_orderkey").alias("k"), F.substring("o_orderpriority", 1, 1).cast("int").alias("rank"))
+    points = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 5).alias("subject"), _day_number("l_shipdate").alias("day"), "l_quantity")
+    found = temporal.valid_at(points, temporal.editions(orders, ["subject"], "since"), ["subject"], "day", "since", "until")
+    age = F.col("day") - F.col("since")
+    return found.groupBy("subject", "rank").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.min(age).alias("least_age"), F.max(age).alias("greatest_age"))
+
+
+@query("""WITH r AS (SELECT user_id % 3 AS g, ts AS since, event_id FROM events WHERE event_type = 'error'), m AS (SELECT l.event_id, max({'since': r.since, 'event_id': r.event_id}) AS b FROM events l JOIN r ON l.user_id % 3 = r.g AND r.since <= l.ts GROUP BY ALL)
+SELECT e.event_id, m.b.event_id AS last_error, date_diff('second', m.b.since, e.ts) AS seconds FROM events e LEFT JOIN m USING (event_id)""")
+def last_error_before(spark, sf_dir):
+    """For every event the last error up to it among users of its group; three groups share all rows."""
+    events = table(spark, sf_dir, "events").withColumn("g", F.col("user_id") % 3)
+    errors = events.filter("event_type = 'error'").select("g", F.col("ts").alias("since"), "event_id")
+    found = temporal.as_of(events.select("event_id", "g", "ts"), errors, ["g"], "ts", "since")
+    whole = lambda c: F.date_trunc("second", c).cast("long")
+    return found.select("event_id", F.col("found.event_id").alias("last_error"), (whole(F.col("ts")) - whole(F.col("found.since"))).alias("seconds"))
+
+
 @query("SELECT 'written' AS name, count(DISTINCT strftime(o_orderdate, '%Y')) FILTER (WHERE strftime(o_orderdate, '%Y') = '1995') AS n FROM orders UNION ALL SELECT 'kept', count(DISTINCT strftime(o_orderdate, '%Y')) FILTER (WHERE strftime(o_orderdate, '%Y') <> '1995') FROM orders UNION ALL SELECT 'rows', count(*) FROM orders UNION ALL SELECT 'shipped', count(*) FILTER (WHERE strftime(o_orderdate, '%Y') = '1995' OR o_orderstatus = 'F') FROM orders")
 def changed_parts(spark, sf_dir):
     """Orders in parts by year, then with one year's changed: how many parts were written, how many stayed in their old folders, and what is there then."""
