@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shizuku.functions import naming
-from shizuku.operators import checks, documents, flow, registry, sampling
+from shizuku.operators import checks, documents, flow, mesh, registry, sampling
 from shizuku.plans.domain import query, table
 
 
@@ -154,3 +154,39 @@ def landuse_mesh(spark, sf_dir):
     """Cells and areas by zone and class, with the class's share of the zone."""
     rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("zone"), F.col("c_mktsegment").alias("class")).agg(F.count("*").alias("n_cells"), F.sum(F.floor("c_acctbal")).alias("area"))
     return rows.withColumn("pct", F.round(F.col("n_cells") * 100.0 / F.sum("n_cells").over(Window.partitionBy("zone")), 4))
+
+
+# Land use: customers as cells of a mesh, their segments as classes, bands of longitude as watersheds.
+
+
+def _mesh_cells(spark, sf_dir):
+    k = F.col("c_custkey")
+    iy, ix = (k * 7 % 800).cast("int"), (k * 13 % 640).cast("int")
+    digits = [(iy / 100), (ix / 100), (iy / 10 % 10), (ix / 10 % 10), (iy % 10), (ix % 10)]
+    code = F.concat(F.lit("5339"), *(d.cast("int").cast("string") for d in digits))
+    return table(spark, sf_dir, "customer").select(mesh.cell_of(code).alias("c"), F.col("c_mktsegment").alias("kind")).select("c.ix", "c.iy", "kind")
+
+
+_CELLS = "c AS (SELECT 139 * 800 + c_custkey * 13 % 640 AS ix, 53 * 800 + c_custkey * 7 % 800 AS iy, c_mktsegment AS kind FROM customer)"
+_UPTO = "(sin(radians({0} / 1200.0)) / (1 - pow({1}, 2) * pow(sin(radians({0} / 1200.0)), 2)) + ln((1 + {1} * sin(radians({0} / 1200.0))) / (1 - {1} * sin(radians({0} / 1200.0)))) / (2 * {1}))"
+_ECC = "sqrt(1 - pow(6356752.314245179 / 6378137.0, 2))"
+
+
+@query(f"""WITH {_CELLS}, a AS (SELECT *, (ix + 0.5) / 800 AS lon, radians(1 / 800.0) * pow(6356752.314245179, 2) / 2 * ({_UPTO.format("(iy + 1)", _ECC)} - {_UPTO.format("iy", _ECC)}) AS m2 FROM c)
+SELECT CASE WHEN lon < 139.2001 THEN 'ws:1' WHEN lon < 139.5001 THEN 'ws:2' END AS polygon_id, kind, count(*) AS n_cells, round(sum(m2)) AS m2 FROM a GROUP BY ALL""")
+def landuse_areas(spark, sf_dir):
+    """Cells and square metres on the ellipsoid by watershed and class; what lies east of all watersheds has none."""
+    ring = lambda x1, x2: [[x1, 35.0], [x2, 35.0], [x2, 36.5], [x1, 36.5]]
+    polygons = spark.createDataFrame([("ws:1", [ring(138.9, 139.2001)]), ("ws:2", [ring(139.2001, 139.5001)])], "polygon_id string, rings array<array<array<double>>>")
+    return mesh.areas(_mesh_cells(spark, sf_dir), polygons).withColumn("m2", F.round("m2"))
+
+
+@query(f"""WITH {_CELLS}, d AS (SELECT DISTINCT * FROM c), n AS (SELECT kind, count(*) AS n FROM d GROUP BY ALL), p AS (SELECT a.kind, count(*) AS pairs FROM d a JOIN d b ON a.kind = b.kind AND ((b.ix = a.ix + 1 AND b.iy = a.iy) OR (b.ix = a.ix AND b.iy = a.iy + 1)) GROUP BY ALL)
+SELECT kind, CAST(4 * n - 2 * coalesce(pairs, 0) AS BIGINT) AS border, n AS area FROM n LEFT JOIN p USING (kind)""")
+def landuse_outlines(spark, sf_dir):
+    """Length of the outlines of each class, holes included, and the area they hold, in sides and cells: that of the cells."""
+    pairs = F.arrays_zip(F.col("corners").alias("a"), F.concat(F.slice("corners", 2, F.size("corners")), F.slice("corners", 1, 1)).alias("b"))
+    length = F.aggregate("p", F.lit(0).cast("long"), lambda s, q: s + F.abs(q["a"]["x"] - q["b"]["x"]) + F.abs(q["a"]["y"] - q["b"]["y"]))
+    twice = F.aggregate("p", F.lit(0).cast("long"), lambda s, q: s + q["a"]["x"].cast("long") * q["b"]["y"] - q["b"]["x"].cast("long") * q["a"]["y"])
+    rings = mesh.outlines(_mesh_cells(spark, sf_dir), ["kind"]).withColumn("p", pairs)
+    return rings.groupBy("kind").agg(F.sum(length).alias("border"), (F.sum(twice) / 2).cast("long").alias("area"))
