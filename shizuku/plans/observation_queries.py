@@ -195,6 +195,19 @@ def variable_catalog(spark, sf_dir):
     return whole.join(places, "variable_id").join(unit, "variable_id", "left")
 
 
+@query(f"WITH {DAYS} SELECT region_id, variable_id, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT place_id) AS n_places, min(period_start) AS first_day, max(period_start) AS last_day FROM days GROUP BY ALL")
+def variable_catalog_by_region(spark, sf_dir):
+    return observation_levels(spark, sf_dir)[0].answer(["region_id", "variable_id"], {"n": ("total", "n"), "n_places": ("distinct", "place_id"), "first_day": ("first",), "last_day": ("last",)})
+
+
+@query(f"WITH {DAYS} SELECT value_grain AS dataset, coalesce(obs_stat, 'any') AS stat, variable_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_censored) AS BIGINT) AS n_censored, count(DISTINCT place_id) AS n_places, count(DISTINCT substr(period_start, 1, 4)) AS n_years FROM days GROUP BY ALL")
+def variable_catalog_by_dataset(spark, sf_dir):
+    days = observation_levels(spark, sf_dir)[0]
+    keys = ["value_grain", "obs_stat", "variable_id"]
+    found = days.answer(keys, {"n": ("total", "n"), "n_censored": ("total", "n_censored"), "n_places": ("distinct", "place_id"), "n_years": ("distinct", "year")})
+    return found.select(F.col("value_grain").alias("dataset"), F.coalesce("obs_stat", F.lit("any")).alias("stat"), "variable_id", "n", "n_censored", "n_places", "n_years")
+
+
 @query(f"WITH {DAYS} SELECT place_id, variable_id, obs_stat, unit_id, input_grain, CAST(sum(n) AS BIGINT) AS n, min(substr(period_start, 1, 4)) AS y_from, max(substr(period_start, 1, 4)) AS y_to FROM days WHERE place_id = 'site:7' GROUP BY ALL")
 def site_variables(spark, sf_dir):
     found = observation_levels(spark, sf_dir)[0].answer(["place_id", "variable_id", "obs_stat", "unit_id", "input_grain"], {"n": ("total", "n"), "first": ("first",), "last": ("last",)}, "place_id = 'site:7'")

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from shizuku.functions import naming, periods
-from shizuku.operators import checks, observation_cube, occurrence_cube, sampling, series, temporal
+from shizuku.operators import checks, facts, observation_cube, occurrence_cube, sampling, series, temporal
 from shizuku.plans.domain import DAYS, DIM, MONTHS, OBS, OCC, monthly, observation, occurrence, occurrence_cells, query, table
 from shizuku.plans.observation_queries import _PICK, _UNFOLD, _YEARS, days_of, years_of
 from shizuku.sources import adapters, files, parted, tables
@@ -264,6 +264,58 @@ def darwin_core_archive(spark, sf_dir):
     return out
 
 
+# Facts and their lineage.
+
+
+_FACTS = """f AS (SELECT l_orderkey, l_quantity, CASE WHEN s.s_suppkey IS NULL THEN 1 ELSE 0 END AS no_place, CASE WHEN p.p_partkey IS NULL THEN 1 ELSE 0 END AS no_variable, CASE WHEN l_quantity >= 3 THEN 0 ELSE 1 END AS too_small, n.n_name AS zone
+  FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) s ON l_suppkey = s.s_suppkey LEFT JOIN (SELECT * FROM part WHERE p_size > 5) p ON l_partkey = p.p_partkey LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey AND n.n_regionkey < 3)"""
+
+
+def _facts(spark, sf_dir):
+    suppliers, parts = table(spark, sf_dir, "supplier").filter("s_acctbal > 0"), table(spark, sf_dir, "part").filter("p_size > 5")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity")
+    references = [
+        facts.Reference("place", suppliers, (("l_suppkey", "s_suppkey"),), (("nation_key", "s_nationkey"),)), facts.Reference("variable", parts, (("l_partkey", "p_partkey"),), (("size", "p_size"),)),
+        facts.Reference("zone", table(spark, sf_dir, "nation").filter("n_regionkey < 3"), (("nation_key", "n_nationkey"),), (("zone", "n_name"),), required=False),
+    ]
+    return rows, facts.resolved(rows, references, [("too small", F.col("l_quantity") >= 3)])
+
+
+@query(f"WITH {_FACTS} SELECT zone, count(*) AS n, sum(l_quantity) AS quantity FROM f WHERE no_place + no_variable + too_small = 0 GROUP BY ALL")
+def facts_by_zone(spark, sf_dir):
+    """Line items whose site and variable are registered; the zone may be missing."""
+    return facts.accepted(_facts(spark, sf_dir)[1]).groupBy("zone").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query(f"WITH {_FACTS} SELECT 'place' AS reason, sum(no_place)::BIGINT AS n FROM f UNION ALL SELECT 'variable', sum(no_variable)::BIGINT FROM f UNION ALL SELECT 'too small', sum(too_small)::BIGINT FROM f")
+def facts_rejected(spark, sf_dir):
+    return facts.reasons(_facts(spark, sf_dir)[1])
+
+
+@query(f"WITH {_FACTS} SELECT (SELECT count(*) FROM lineitem) AS given, count(*) FILTER (WHERE no_place + no_variable + too_small = 0) AS accepted, count(*) FILTER (WHERE no_place + no_variable + too_small > 0) AS rejected, true AS held FROM f")
+def facts_conserved(spark, sf_dir):
+    """No line item is lost or doubled on its way to the facts."""
+    return facts.conserved(*_facts(spark, sf_dir))
+
+
+@query("SELECT 'sites' AS name, r.read, c.n FROM (SELECT count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey) c, (VALUES ('nation'), ('supplier')) r(read) UNION ALL SELECT 'zones', 'nation', count(*) FROM nation WHERE n_regionkey = (SELECT max(r_regionkey) FROM region) UNION ALL SELECT 'zones', 'region', count(*) FROM nation WHERE n_regionkey = (SELECT max(r_regionkey) FROM region)")
+def stage_lineage(spark, sf_dir):
+    """What two stages read by their plans, one of them in a subquery, and the rows that they published."""
+    catalog = tables.Catalog(spark, _place(spark, "catalog"))
+    for name in ("nation", "region", "supplier"):
+        catalog.verified[name] = tables.publish(table(spark, sf_dir, name), f"{catalog.path}/{name}")
+
+    def zones(c):
+        c.read("region").createOrReplaceTempView("lineage_region")
+        c.read("nation").createOrReplaceTempView("lineage_nation")
+        return spark.sql("SELECT * FROM lineage_nation WHERE n_regionkey = (SELECT max(r_regionkey) FROM lineage_region)")
+
+    catalog.build("sites", lambda c: c.read("supplier").join(c.read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).drop("n_comment", "s_comment"))
+    catalog.build("zones", zones)
+    rows = [(name, read, found["rows"]) for name, found in catalog.lineage.items() for read in found["from"]]
+    return spark.createDataFrame(rows, "name string, read string, n long")
+
+
 # Joins by time.
 
 

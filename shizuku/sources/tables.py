@@ -96,9 +96,27 @@ def export(tables: dict[str, DataFrame], path: str, partition_by: dict[str, list
     return package
 
 
+def leaves(df: DataFrame) -> list[tuple[str, str]]:
+    """(kind, where) of everything that a plan reads, subqueries included: 'files' and a path, 'memory' for rows that came with the plan or from a checkpoint, or the name of the relation's class."""
+    plan, out = df._jdf.queryExecution().analyzed(), []
+    below = plan.subqueriesAll()
+    for p in [plan, *(below.apply(i) for i in range(below.size()))]:
+        found = p.collectLeaves()
+        for leaf in (found.apply(i) for i in range(found.size())):
+            kind = leaf.getClass().getSimpleName()
+            if kind in ("LocalRelation", "Range", "OneRowRelation", "LogicalRDD"):
+                out.append(("memory", kind))
+            elif kind == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+                paths = leaf.relation().location().rootPaths()
+                out += [("files", paths.apply(i).toString()) for i in range(paths.size())]
+            else:
+                out.append((kind, leaf.simpleStringWithNodeId() if hasattr(leaf, "simpleStringWithNodeId") else kind))
+    return sorted(set(out))
+
+
 @dataclass
 class Catalog:
-    """Named tables under a folder that remembers what each stage has read, and refuses tables that no stage has verified."""
+    """Named tables under a folder that knows what each stage has read, by the stage's plan, and refuses what no stage has verified or what is read past it."""
 
     spark: SparkSession
     path: str
@@ -113,8 +131,15 @@ class Catalog:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def build(self, name: str, stage: Callable[[Catalog], DataFrame], checks: Iterable[Callable[[DataFrame], None]] = (), **how) -> dict:
+        """Publishes what a stage gives. Files of other tables than those it has read here, or sources that aren't files, are refused."""
         self.reads = []
-        found = publish(stage(self), f"{self.path}/{name}", checks, **how)
-        self.lineage[name] = {"from": {r: self.verified[r]["hash"] for r in dict.fromkeys(self.reads)}, **found}
+        rows = stage(self)
+        place = lambda n: (lambda fs, p: fs.makeQualified(p).toString())(*_fs(self.spark, f"{self.path}/{n}"))
+        known = {place(n): n for n in dict.fromkeys(self.reads)}
+        read = [(kind, where) for kind, where in leaves(rows) if kind != "memory"]
+        if past := [where for kind, where in read if kind != "files" or where not in known]:
+            raise ValueError(f"{name} reads past the catalog: {past}")
+        found = publish(rows, f"{self.path}/{name}", checks, **how)
+        self.lineage[name] = {"from": {known[where]: self.verified[known[where]]["hash"] for _, where in read}, **found}
         self.verified[name] = found
         return found
