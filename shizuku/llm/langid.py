@@ -98,11 +98,13 @@ def split_words(text: str) -> list[str]:
 
 
 def train(labelled: DataFrame, text_col: str, label_col: str, id_col: str, most: int = MOST, switch: float = SWITCH) -> Model:
-    """A model from at most `most` rows with text and label."""
+    """A model from at most `most` different rows with text and label; rows that are equal in id, text and label count once."""
     usable = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    # Only ids and labels are sorted; the texts of the chosen ids, at most `most`, are counted where they lie.
-    chosen = usable.select(F.col(id_col).alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(most)
-    rows = usable.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang")).join(F.broadcast(chosen.distinct()), "__id", "left_semi")
+    named = usable.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h"), F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
+    # Only ids, hashes and labels are sorted; the texts of the chosen rows, at most `most`, are counted where they lie.
+    own = ["__id", "__h", "lang"]
+    chosen = named.select(*own).distinct().orderBy(F.xxhash64("__id"), *own).limit(most)
+    rows = named.join(F.broadcast(chosen), own, "left_semi").dropDuplicates(own)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         script, _ = _tables()
@@ -233,8 +235,8 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float) -> np.ndarray
     return labels
 
 
-#: Words that go through one Viterbi pass together, at most, besides those of one text.
-TOGETHER = 1_000_000
+#: Words times languages that go through one Viterbi pass together, at most, besides those of one text.
+TOGETHER = 4_000_000
 
 
 def label(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float, list[tuple[str, int, int]]]]:
@@ -243,7 +245,7 @@ def label(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float, l
     while at < len(texts):
         words: list[str] = []
         starts = [0]
-        while at < len(texts) and (not words or len(words) < TOGETHER):
+        while at < len(texts) and (not words or len(words) * len(model.langs) < TOGETHER):
             words += split_words(texts[at]) if texts[at] else []
             starts.append(len(words))
             at += 1

@@ -124,17 +124,19 @@ def fit(raw: np.ndarray, label: np.ndarray, seed: int = 7, pairs: int = PAIRS, s
 
 
 def train(labelled: DataFrame, text_col: str, label_col: str, id_col: str, most: int = MOST) -> Model:
-    """A model of at most `most` rows whose label is 0 or 1; only their features come to the driver."""
+    """A model of at most `most` different rows whose label is 0 or 1; only their features come to the driver. Rows that are equal in id, text and label count once."""
     usable = labelled.filter(F.col(label_col).isin(0, 1))
-    chosen = usable.select(F.col(id_col).alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(most)
-    rows = usable.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).join(F.broadcast(chosen.distinct()), "__id", "left_semi")
+    named = usable.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text"))
+    own = ["__id", "__h", "label"]
+    chosen = named.select(*own).distinct().orderBy(F.xxhash64("__id"), *own).limit(most)
+    rows = named.join(F.broadcast(chosen), own, "left_semi").dropDuplicates(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, int] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(x, kept) for x in batch.column(1).to_pylist()], pa.list_(pa.float64())), batch.column(2), batch.column(0).cast(pa.string())], names=["raw", "label", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array([features(x, kept) for x in batch.column(1).to_pylist()], pa.list_(pa.float64())), batch.column(2), batch.column(0).cast(pa.string()), batch.column(3)], names=["raw", "label", "id", "h"])
 
-    got = rows.select("__id", "text", "label").mapInArrow(run, "raw array<double>, label int, id string").toArrow().sort_by([("id", "ascending")])
+    got = rows.select("__id", "text", "label", "__h").mapInArrow(run, "raw array<double>, label int, id string, h long").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("h", "ascending")])
     raw = np.array(got["raw"].to_pylist(), np.float64).reshape(-1, RAW + HASHED)
     return fit(raw, got["label"].to_numpy())
 

@@ -97,3 +97,28 @@ def test_training_is_bounded(spark):
     rows = [(i, speak(EN, 10, i), "en") for i in range(50)] + [(None, "x", "en"), (99, None, "en"), (98, "y", None)]
     m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("x", F.lit(1)), "text", "lang", "doc_id", most=7)
     assert m.langs == ["en"]
+
+
+def test_fits_are_bounded_by_rows_whose_ids_repeat(spark):
+    rows = [(1, f"the cat number {i} sat down", "en", i % 2) for i in range(30)] + [(1, "the cat sat", "en", 1)] * 30 + [(None, "null id", "en", 0), (2, "der hund lief weg", "de", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    model = langid.train(df, "text", "lang", "doc_id", most=5)
+    assert model.langs and set(model.langs) <= {"de", "en"}
+    seen = []
+    original = quality.fit
+    try:
+        quality.fit = lambda raw, label, **how: seen.append((len(raw), sorted(label))) or original(raw, label, **how)
+        quality.train(df, "text", "quality", "doc_id", most=7)
+        quality.train(df, "text", "quality", "doc_id", most=1000)
+    finally:
+        quality.fit = original
+    assert seen[0][0] <= 7 and seen[1][0] == 32  # 30 texts, one that repeats, one of another id; a null id is no id
+
+
+def test_identification_is_the_same_in_blocks_of_any_size(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der hund lief in den wald", "de")], "doc_id long, text string, lang string")
+    model = langid.train(df, "text", "lang", "doc_id")
+    texts = ["the cat ran", None, "", "der hund", "12 34", "the mat der wald the cat " * 40]
+    whole = list(langid.label(model, texts))
+    monkeypatch.setattr(langid, "TOGETHER", 1)
+    assert list(langid.label(model, texts)) == whole
