@@ -30,6 +30,8 @@ KEPT_FIELDS = ["connection", "content-encoding", "content-length", "content-rang
 TRACKING = r"(?:utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid)"
 #: Slices of time that the records of one URL are dealt to.
 SLICES = 128
+#: One slice more for so many records, up to so many slices.
+SLICE_ROWS, MOST_SLICES = 500_000, 1024
 
 
 def canonical(url: Column) -> Column:
@@ -58,11 +60,12 @@ def resolve(records: DataFrame) -> DataFrame:
     order_kind = F.when(F.col("kind") == "response", 0).otherwise(1)
     rows = records.withColumn("canonical_url", canonical(F.col("url"))).withColumn("__when", F.struct("at", order_kind.alias("k"), F.col("record_id").alias("id")))
     full = F.when(F.col("kind") == "response", F.struct(F.col("__when").alias("when"), F.col("record_id").alias("id"), "headers", "payload_sha256", "payload_length"))
-    # Slices hold about as many records each, so one wrong time doesn't put all others into one slice.
-    cuts = records.agg(F.percentile_approx("at", [i / SLICES for i in range(1, SLICES)], 10 * SLICES).alias("q")).first()["q"] or []
+    # Slices hold about as many records each, so one wrong time doesn't put all others into one slice; there are more where there are more records.
+    n = max(SLICES, min(MOST_SLICES, records.count() // SLICE_ROWS))
+    cuts = records.agg(F.percentile_approx("at", [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"] or []
     cuts = F.array(*(F.lit(x) for x in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
     rows = rows.withColumn("__slice", F.size(F.filter(cuts, lambda x: x <= F.col("at"))).cast("int")).withColumn("__full", full)
-    # Level 1: the last response of each slice, carried on; at most SLICES rows a URL.
+    # Level 1: the last response of each slice, carried on; at most a row a slice and URL.
     last = rows.filter("__full IS NOT NULL AND canonical_url IS NOT NULL").groupBy("canonical_url", "__slice").agg(F.max_by("__full", "__when").alias("__last"))
     asked = rows.filter("kind = 'revisit' AND canonical_url IS NOT NULL").select("canonical_url", "__slice").distinct()
     steps = asked.join(last, ["canonical_url", "__slice"], "full_outer")
@@ -70,10 +73,12 @@ def resolve(records: DataFrame) -> DataFrame:
     steps = steps.select(F.col("canonical_url").alias("__url"), F.col("__slice").alias("__s"), carried.alias("__carried"))
     # Level 2: within the slice.
     within = F.last("__full", ignorenulls=True).over(Window.partitionBy("canonical_url", "__slice").orderBy("__when").rowsBetween(Window.unboundedPreceding, -1))
-    found = rows.withColumn("__base", within).filter("kind = 'revisit'")
+    found = rows.filter("canonical_url IS NOT NULL").withColumn("__base", within).filter("kind = 'revisit'")
     found = found.join(steps, (F.col("canonical_url") == F.col("__url")) & (F.col("__slice") == F.col("__s")), "left")
-    found = found.withColumn("__base", F.when(F.col("canonical_url").isNotNull(), F.coalesce("__base", "__carried")))
-    return checked(found)
+    found = found.withColumn("__base", F.coalesce("__base", "__carried")).drop("__url", "__s", "__carried")
+    # Without a URL nothing can be found: these rows take no part in windows.
+    none = rows.filter("canonical_url IS NULL AND kind = 'revisit'").withColumn("__base", F.lit(None).cast(found.schema["__base"].dataType))
+    return checked(found.unionByName(none))
 
 
 def checked(found: DataFrame) -> DataFrame:

@@ -208,3 +208,13 @@ def test_query_equals_its_sql(spark, sf_dir):
     want = sorted(map(str, rel.fetchall()))
     got = sorted(str(tuple(r[n] for n in names)) for r in queries.op4_warc_revisits(spark, sf_dir).collect())
     assert got == want
+
+
+def test_revisits_without_urls_and_more_slices(spark, monkeypatch):
+    rows = [(f"r{i}", "http://h/", i, "response", {"etag": f'"{i}"'}, f"s{i}", 1) for i in range(0, 200, 2)] + [(f"v{i}", "http://h/", i, "revisit", {"etag": f'"{i - 1}"'}, None, None) for i in range(1, 200, 2)]
+    rows += [(f"n{i}", None, i, "revisit", {}, None, None) for i in range(50)] + [("e", "  ", 5, "revisit", {}, None, None), ("q", None, 5, "response", {}, "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {(f"v{i}", f"r{i - 1}", "resolved") for i in range(1, 200, 2)} | {(f"n{i}", None, "no_base") for i in range(50)} | {("e", None, "no_base")}
+    assert {(x.record_id, x.base_id, x.status) for x in warc.resolve(df).collect()} == want
+    monkeypatch.setattr(warc, "SLICE_ROWS", 1)
+    assert {(x.record_id, x.base_id, x.status) for x in warc.resolve(df).collect()} == want
