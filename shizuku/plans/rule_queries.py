@@ -287,7 +287,7 @@ def facts_by_zone(spark, sf_dir):
     return facts.accepted(_facts(spark, sf_dir)[1]).groupBy("zone").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
-@query(f"WITH {_FACTS} SELECT 'place' AS reason, sum(no_place)::BIGINT AS n FROM f UNION ALL SELECT 'variable', sum(no_variable)::BIGINT FROM f UNION ALL SELECT 'too small', sum(too_small)::BIGINT FROM f")
+@query(f"WITH {_FACTS} SELECT * FROM (SELECT 'place' AS reason, sum(no_place)::BIGINT AS n FROM f UNION ALL SELECT 'variable', sum(no_variable)::BIGINT FROM f UNION ALL SELECT 'too small', sum(too_small)::BIGINT FROM f) WHERE n > 0")
 def facts_rejected(spark, sf_dir):
     return facts.reasons(_facts(spark, sf_dir)[1])
 

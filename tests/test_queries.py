@@ -5,7 +5,7 @@ import pytest
 
 from shizuku import registered
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 #: Queries with thresholds that the smallest tables don't reach.
 SPARSE = {"share_trend", "species_mesh_years", "species_months_gated", "doc_series_list", "dataset_search_and", "species_search", "regr_pairs", "water_bodies"}
 #: Queries that count violations or differences: an empty result or zeros are right.
