@@ -115,7 +115,7 @@ def test_features_and_differences_of_whole_tables(spark):
     sf_dir = "/root/testdata/sf0.01"
     customers = {r.c_custkey: r.c_acctbal for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal").collect()}
     ordering = {r.o_custkey for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey").collect()}
-    features = registered.QUERIES["mesh_features_all"](spark, sf_dir).collect()
+    features = registered.QUERIES["mesh_features"](spark, sf_dir).collect()
     assert sorted((r.id, r.gx, r.gy, r.corners) for r in features) == sorted((k, int(v // 100), k % 100, 5) for k, v in customers.items())
     credit = {k for k, v in customers.items() if v > 0}
     got = sorted((r.c_custkey, r.side) for r in registered.QUERIES["declared_difference_all"](spark, sf_dir).collect())
@@ -134,7 +134,7 @@ def test_nearest_place_of_every_customer(spark):
         km = (2 * 6371.0088 * np.arcsin(np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2))).min()
         if km <= 50:
             want[k] = km
-    got = {r.point_id: r.km for r in registered.QUERIES["nearest_place_all"](spark, sf_dir).collect()}
+    got = {r.point_id: r.km for r in registered.QUERIES["nearest_place"](spark, sf_dir).collect()}
     assert got.keys() == want.keys() and max(got) > 500
     assert all(abs(got[k] - want[k]) < 2e-6 for k in got)
 
