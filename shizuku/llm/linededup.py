@@ -40,7 +40,13 @@ def split_lines(text: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(WORD))
+    """How many words a line has: single spaces are counted; the pattern is for lines with other white space or several spaces in a row."""
+    odd = F.contains(line, F.lit("  "))
+    for space in "\t\v\f\r":
+        odd = odd | F.contains(line, F.lit(space))
+    at_ends = F.startswith(line, F.lit(" ")).cast("int") + F.endswith(line, F.lit(" ")).cast("int")
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(line == "", 0).when(odd, F.regexp_count(line, F.lit(WORD))).otherwise(spaces + 1 - at_ends)
 
 
 def _count(text: Column) -> Column:
@@ -70,41 +76,44 @@ def stretch_lines(scaled: Column, i: Column, least: int) -> Column:
     return bound(of(AHEAD), lambda x: F.when(x >= enough, lines(x)).otherwise(bound(of(least), lambda y: F.when(y >= enough, lines(y)))))
 
 
-def selected(digits: Column, w: Column, least: int) -> Column:
-    """The fingerprints of a document with line hashes `digits` and words w: texts of the hash's digits and the place in nine, sorted."""
+def selected(digits: Column, h: Column, w: Column, least: int) -> Column:
+    """The fingerprints (g, i) of a document with line hashes h, their digits and words w: the stretch's hash and its place, sorted."""
     places = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
-    ranked = F.transform(digits, lambda x, i: F.concat(x, F.lpad(i.cast("string"), 9, "0")))
 
-    def windows(known: Column) -> Column:
-        """Places of the smallest line hash of every window; behind the last place where a stretch can begin, that one."""
-        lines, ranks = known["lines"], known["ranks"]
-        least_of = F.transform(lines, lambda n, i: F.array_min(F.slice(ranks, i + 1, n)))
-        return F.array_distinct(F.transform(least_of, lambda x: F.least(F.substring(x, 16, 9).cast("int"), F.size(lines) - 1)))
+    def windows(lines: Column) -> Column:
+        """Places of the smallest line hash of every window, the first of equal ones; behind the last place where a stretch can begin, that one."""
+        first = lambda s: F.array_position(s, F.array_min(s)).cast("int")
+        return F.array_distinct(F.transform(lines, lambda n, i: F.least(i + first(F.slice(h, i + 1, n)) - 1, F.size(lines) - 1)))
 
-    def prints(known: Column) -> Column:
-        text = lambda p: F.concat(_hex(F.array_join(F.slice(digits, p + 1, F.get(known["lines"], p)), "")), F.lpad(p.cast("string"), 9, "0"))
-        return F.sort_array(F.transform(windows(known), text))
+    def prints(lines: Column) -> Column:
+        hash_of = lambda p: _number(_hex(F.array_join(F.slice(digits, p + 1, F.get(lines, p)), "")))
+        return F.sort_array(F.transform(windows(lines), lambda p: F.struct(hash_of(p).alias("g"), p.alias("i"))))
 
     # Stretches begin at all lines but the last few.
     scaled = F.transform(w, lambda x: x.cast("long") * (1 << 16))
     lines = bound(scaled, lambda ws: F.filter(F.transform(places, lambda i: stretch_lines(ws, i, least)), lambda n: n.isNotNull()))
-    return bound(F.struct(lines.alias("lines"), ranked.alias("ranks")), prints)
+    return bound(lines, prints)
 
 
 def marked(docs: DataFrame, least: int) -> DataFrame:
     """id, th, h and w of a document's lines, `own`: its fingerprints (g, i), each at its first place, and `again`: shifts of further places against the one before. docs: id, th, text."""
-    lines = F.filter(F.transform(split_lines(F.col("text")), lambda x: F.struct(x["text"].alias("t"), _words(x["text"]).alias("w"))), lambda x: x["w"] > 0)
-    rows = docs.filter("text IS NOT NULL").select("id", "th", F.transform(lines, lambda x: F.struct(_hex(x["t"]).alias("h"), x["w"].alias("w"))).alias("l"))
+    # The same pieces as split_lines gives, without the blank ones; replacing and splitting at one character need no pattern.
+    text = F.col("text")
+    for mark in ".!?":
+        text = F.replace(text, F.lit(f"{mark} "), F.lit(f"{mark}\n"))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\v\f\r")) != "")
+    line_of = bound(lines, lambda ts: F.struct(F.transform(ts, _hex).alias("d"), F.transform(ts, _words).alias("w")))
+    rows = docs.filter("text IS NOT NULL").select("id", "th", line_of.alias("l"))
 
     def placed(picks: Column) -> Column:
-        hash_of, place_of = lambda x: F.substring(x, 1, 15), lambda x: F.substring(x, 16, 9).cast("int")
-        same = lambda i: F.when(i > 0, hash_of(F.get(picks, i - 1)) == hash_of(F.get(picks, i))).otherwise(False)
-        own = F.transform(F.filter(picks, lambda x, i: ~same(i)), lambda x: F.struct(_number(hash_of(x)).alias("g"), place_of(x).alias("i")))
-        shifts = F.transform(picks, lambda x, i: F.when(same(i), place_of(x) - place_of(F.get(picks, i - 1))))
-        return F.struct(own.alias("own"), F.array_distinct(F.filter(shifts, lambda x: x.isNotNull())).alias("again"))
-
-    found = bound(F.struct(F.col("l.h").alias("h"), F.col("l.w").alias("w")), lambda x: F.struct(F.transform(x["h"], _number).alias("h"), x["w"].alias("w"), bound(selected(x["h"], x["w"], least), placed).alias("p")))
-    return rows.select("id", "th", found.alias("f")).select("id", "th", "f.h", "f.w", "f.p.own", "f.p.again")
+        gap = lambda x, i: F.when(i > 0, F.when(F.get(picks, i - 1)["g"] == x["g"], x["i"] - F.get(picks, i - 1)["i"]))
+        marks = F.transform(picks, lambda x, i: F.struct(x["g"].alias("g"), x["i"].alias("i"), gap(x, i).alias("gap")))
+        own = lambda ms: F.transform(F.filter(ms, lambda m: m["gap"].isNull()), lambda m: F.struct(m["g"], m["i"]))
+        again = lambda ms: F.array_distinct(F.filter(F.transform(ms, lambda m: m["gap"]), lambda x: x.isNotNull()))
+        return bound(marks, lambda ms: F.struct(own(ms).alias("own"), again(ms).alias("again")))
+
+    numbered = bound(F.struct(F.col("l.d").alias("d"), F.transform("l.d", _number).alias("h"), F.col("l.w").alias("w")), lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"), bound(selected(x["d"], x["h"], x["w"], least), placed).alias("p")))
+    return rows.select("id", "th", numbered.alias("f")).select("id", "th", "f.h", "f.w", "f.p.own", "f.p.again")
 
 
 def equal_runs(h: Column, w: Column, base: Column, shift: Column, least: int) -> Column:
