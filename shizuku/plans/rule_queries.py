@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from shizuku.functions import naming, periods
-from shizuku.operators import checks, facts, observation_cube, occurrence_cube, sampling, series, temporal
+from shizuku.operators import checks, facts, observation_cube, occurrence_cube, sampling, series, snapshots, temporal
 from shizuku.plans.domain import DAYS, DIM, MONTHS, OBS, OCC, monthly, observation, occurrence, occurrence_cells, query, table
 from shizuku.plans.observation_queries import _PICK, _UNFOLD, _YEARS, days_of, years_of
 from shizuku.sources import adapters, files, parted, tables
@@ -445,3 +445,26 @@ def sample_with_references(spark, sf_dir):
     found = sampling.closure(rows, {"orders": rows["orders"].filter("o_totalprice > 300000")}, [("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey")])
     parts = [found[t].agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in names]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_SALES = "SELECT l_returnflag AS f, '{\"l_linestatus\":\"' || l_linestatus || '\",\"year\":' || year(l_shipdate) || '}' AS row_key, CAST(count(*) AS VARCHAR) AS n, CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR) AS units FROM lineitem WHERE %s GROUP BY l_returnflag, l_linestatus, year(l_shipdate)"
+
+
+@query(f"""WITH b AS ({_SALES % "true"}), a AS ({_SALES % "l_returnflag <> 'R' OR l_linenumber < 5"}),
+bl AS (SELECT f, row_key, 'n' AS column_name, n AS value FROM b UNION ALL SELECT f, row_key, 'units', units FROM b), al AS (SELECT f, row_key, 'n' AS column_name, n AS value FROM a UNION ALL SELECT f, row_key, 'units', units FROM a)
+SELECT 'sales' AS query, '{{"flag":"' || f || '"}}' AS parameters, row_key, CAST(1 AS INTEGER) AS nth, column_name, CASE WHEN bl.value IS NULL THEN 'added' WHEN al.value IS NULL THEN 'removed' ELSE 'changed' END AS kind, bl.value AS before, al.value AS after
+FROM bl FULL JOIN al USING (f, row_key, column_name) WHERE bl.value IS DISTINCT FROM al.value""")
+def snapshot_changes(spark, sf_dir):
+    """Yearly sales for every return flag before and after a rule leaves some of the returned lines out: each cell that changes is named."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", F.year("l_shipdate").alias("year"))
+
+    def sales(flag: str, kept=None):
+        rows = lines.filter(F.col("l_returnflag") == flag)
+        rows = rows if kept is None else rows.filter(kept)
+        return rows.groupBy("l_linestatus", "year").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("units"))
+
+    flags = snapshots.grid({"flag": ["A", "N", "R"]}, 3)
+    kept = (F.col("l_returnflag") != "R") | (F.col("l_linenumber") < 5)
+    before = snapshots.snapshot("sales", sales, flags, ["l_linestatus", "year"])
+    after = snapshots.snapshot("sales", lambda flag: sales(flag, kept), flags, ["l_linestatus", "year"])
+    return snapshots.changes(before, after)
