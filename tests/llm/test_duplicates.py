@@ -229,3 +229,20 @@ def test_rows_of_one_id_with_other_texts(spark):
     df = spark.createDataFrame([(1, f"a\n{passage}"), (1, f"b\n{passage}"), (None, passage)], "doc_id long, text string")
     texts = sorted(r.text for r in linededup.dedup(df).select(F.coalesce("text", F.lit("")).alias("text")).collect())
     assert texts == sorted(["a", "b", passage])
+
+
+def test_words_of_a_line_equal_the_pattern(spark):
+    from pyspark.sql import functions as F
+
+    from shizuku.llm import linededup
+    from shizuku.llm.common import WORD
+
+    odd = ["", " ", "  ", "a", " a", "a ", " a ", "a b", "a  b", "a\tb", "\t", "a\rb c", "\x0b\x0c", "é ü ö", "a\x1cb c", "x. y! z?", "日本 語", "a b c  "]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    got = df.select("x", linededup._words(F.col("x")).alias("fast"), F.regexp_count("x", F.lit(WORD)).alias("slow")).collect()
+    assert [r.x for r in got if r.fast != r.slow] == []
+    # The pieces without a pattern are those of split_lines.
+    texts = ["", "a. b! c? d.e", ". . ? ! x", "a.\n b. \n\n c", "a.  b", ".\n", " . "]
+    for r in linededup.marked(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id int, th long, text string"), 1).collect():
+        row = spark.createDataFrame([(texts[r.id],)], "t string").select(linededup.split_lines(F.col("t")).alias("l")).first()
+        assert len(r.h) == len([x for x in row.l if x["text"].strip(" \t\x0b\x0c\r") != ""])
