@@ -76,8 +76,8 @@ def _path(edges: np.ndarray, ax: float, ay: float, bx: float, by: float) -> tupl
     return odd % 2 == 1, close
 
 
-def _exact_path(edges: list, ax: float, ay: float, bx: float, by: float) -> bool:
-    """The same in rational numbers. Where the path's corner lies on an edge, it takes the other corner. b on an edge is an error."""
+def _exact_path(edges: list, ax: float, ay: float, bx: float, by: float, strict: bool = True) -> bool | None:
+    """The same in rational numbers. Where the path's corner lies on an edge, it takes the other corner. b on an edge is an error, or None if not `strict`."""
     ax, ay, bx, by = map(Fraction, (ax, ay, bx, by))
     lines = [tuple(map(Fraction, e)) for e in edges]
 
@@ -93,6 +93,8 @@ def _exact_path(edges: list, ax: float, ay: float, bx: float, by: float) -> bool
         return sum((h > lo) != (h > hi) for h in hits)
 
     if on(bx, by):
+        if not strict:
+            return None
         raise ValueError(f"({float(bx)}, {float(by)}) lies on an edge")
     if not on(ax, by):
         return (upright(ax, ay, by) + level(by, ax, bx)) % 2 == 1
@@ -170,14 +172,29 @@ def covers(polygons: DataFrame, most: int = EDGES) -> DataFrame:
     return polygons.select("polygon_id", "rings").mapInArrow(run, f"polygon_id {kind}, level int, cx long, cy long, inside boolean, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, single: bool = True, most: int = EDGES) -> DataFrame:
+def point_in_polygon(points: DataFrame, polygons: DataFrame, single: bool = True, most: int = EDGES, strict: bool = True) -> DataFrame:
     """lat, lon, polygon_id for each distinct point within a polygon. polygons: polygon_id, rings array<array<array<double>>> of (lon, lat).
 
     Polygons are listed by the cells of their covers, coarse ones inside, fine ones along their edges, so the list grows with their outlines. Distinct points
     join by cell, once for each size of cell there is. In a cell that edges touch a point is compared with the cell's reference point over
     these few edges, in compiled expressions; close calls are made exactly, in Python. A point on an edge is an error, and so is, with
-    `single`, one in two polygons.
+    `single`, one in two polygons. Without `strict` each ring counts without its edges: a point on the edge of a polygon lies outside of it, one on the
+    edge of a hole within the polygon around it. A point then lies in a polygon if an odd number of its rings hold it.
     """
+    if strict:
+        found = _found(points, polygons, most, True)
+    else:
+        rings = polygons.select("polygon_id", F.posexplode("rings").alias("ring", "points")).select(F.struct("polygon_id", "ring").alias("polygon_id"), F.array("points").alias("rings"))
+        held = _found(points, rings, most, False).groupBy("lat", "lon", F.col("polygon_id.polygon_id").alias("polygon_id")).agg(F.count("*").alias("n"))
+        found = held.filter("n % 2 = 1").drop("n")
+    if not single:
+        return found
+    n = F.count("*").over(Window.partitionBy("lat", "lon"))
+    return found.withColumn("n", n).withColumn("polygon_id", F.when(F.col("n") == 1, F.col("polygon_id")).otherwise(F.raise_error(F.lit("a point lies in two polygons")))).drop("n")
+
+
+def _found(points: DataFrame, polygons: DataFrame, most: int, strict: bool) -> DataFrame:
+    """lat, lon, polygon_id for each distinct point within a polygon; one on an edge is an error, or outside if not `strict`."""
     checkpoints(points.sparkSession)
     cells = covers(polygons, most).checkpoint()
     levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # as many as SIDES at most
@@ -204,18 +221,14 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, single: bool = True
 
     @F.pandas_udf("boolean")
     def exactly(lon: pd.Series, lat: pd.Series, rx: pd.Series, ry: pd.Series, edges: pd.Series) -> pd.Series:
-        return pd.Series([_exact_path([tuple(q[k] for k in ("x1", "y1", "x2", "y2")) for q in e], a, b, x, y) for x, y, a, b, e in zip(lon, lat, rx, ry, edges, strict=True)], dtype=bool)
+        return pd.Series([_exact_path([tuple(q[k] for k in ("x1", "y1", "x2", "y2")) for q in e], a, b, x, y, strict) for x, y, a, b, e in zip(lon, lat, rx, ry, edges, strict=True)], dtype=object)
 
     whole = pairs.filter("edges IS NULL")
     cut = pairs.filter("edges IS NOT NULL").withColumn("close", F.exists("edges", close))
     odd = F.aggregate("edges", F.lit(False), lambda so_far, e: so_far != crossed(e))
     clear = cut.filter(~F.col("close")).filter(F.col("inside") != odd)
     judged = cut.filter("close").withColumn("odd", exactly("lon", "lat", "rx", "ry", "edges")).filter(F.col("inside") != F.col("odd"))
-    found = reduce(DataFrame.unionByName, (x.select("lat", "lon", "polygon_id") for x in (whole, clear, judged)))
-    if not single:
-        return found
-    n = F.count("*").over(Window.partitionBy("lat", "lon"))
-    return found.withColumn("n", n).withColumn("polygon_id", F.when(F.col("n") == 1, F.col("polygon_id")).otherwise(F.raise_error(F.lit("a point lies in two polygons")))).drop("n")
+    return reduce(DataFrame.unionByName, (x.select("lat", "lon", "polygon_id") for x in (whole, clear, judged)))
 
 
 # Nearest places.

@@ -164,11 +164,12 @@ _POLYGONS = [("a", 0.0, 0.0, 30.0, 40.0), ("b", 30.0, 0.0, 70.0, 40.0), ("c", 0.
 
 @query("WITH p AS (SELECT DISTINCT (c_acctbal + 0.5) / 100 AS lon, (c_custkey % 100) + 0.123 AS lat FROM customer), q AS (SELECT *, CASE WHEN lon > 0 AND lon < 30 AND lat > 0 AND lat < 40 AND NOT (lon > 10 AND lon < 20 AND lat > 10 AND lat < 20) THEN 'a' WHEN lon > 30 AND lon < 70 AND lat > 0 AND lat < 40 THEN 'b' WHEN lon > 0 AND lon < 70 AND lat > 40 AND lat < 101 THEN 'c' END AS polygon_id FROM p) SELECT polygon_id, count(*) AS n FROM q WHERE polygon_id IS NOT NULL GROUP BY ALL")
 def pip_grid_join(spark, sf_dir):
+    """Distinct points by polygon. Balances of whole cents lie on edges now and then: outside of a rectangle, but within it on the edge of its hole."""
     ring = lambda x1, y1, x2, y2: [[x1, y1], [x2, y1], [x2, y2], [x1, y2]]
     rows = [(n, [ring(*box)] + ([ring(10.0, 10.0, 20.0, 20.0)] if n == "a" else [])) for n, *box in _POLYGONS]
     polygons = spark.createDataFrame(rows, "polygon_id string, rings array<array<array<double>>>")
     points = table(spark, sf_dir, "customer").select(((F.col("c_acctbal") + 0.5) / 100).alias("lon"), (F.col("c_custkey") % 100 + 0.123).alias("lat"))
-    return spatial.point_in_polygon(points, polygons).groupBy("polygon_id").agg(F.count("*").alias("n"))
+    return spatial.point_in_polygon(points, polygons, strict=False).groupBy("polygon_id").agg(F.count("*").alias("n"))
 
 
 def _points_and_places(spark, sf_dir):

@@ -34,6 +34,27 @@ def test_points_on_edges_are_errors(spark, point):
         spatial.point_in_polygon(spark.createDataFrame([point], "lat double, lon double"), polygons(spark, [("a", [SQUARE, HOLE])])).collect()
 
 
+def test_points_on_edges_without_strictness(spark):
+    """Each ring without its edges: outside of the polygon on its edge, within it on its hole's, in neither of two neighbours between them."""
+    beside = [[x + 1, y] for x, y in SQUARE]
+    shapes = polygons(spark, [("a", [SQUARE, HOLE]), ("b", [beside]), ("none", None)])
+    points = [(0.0, 0.5), (1.0, 1.0), (0.5, 1.0), (0.5, 0.4), (0.4, 0.4), (0.5, 0.5), (0.2, 0.3), (0.5, 1.5), (0.5, 2.0), (0.6, 0.4 + 2**-50), (None, 0.5)]
+    got = {tuple(r) for r in spatial.point_in_polygon(spark.createDataFrame(points, "lat double, lon double"), shapes, strict=False).collect()}
+    assert got == {(0.5, 0.4, "a"), (0.4, 0.4, "a"), (0.2, 0.3, "a"), (0.5, 1.5, "b"), (0.6, 0.4 + 2**-50, "a")}
+    with pytest.raises(Exception, match="two polygons"):
+        spatial.point_in_polygon(spark.createDataFrame([(0.2, 0.2)], "lat double, lon double"), polygons(spark, [("a", [SQUARE]), ("b", [SQUARE])]), strict=False).collect()
+
+
+def test_customers_on_edges_count_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(5, 2999.5), (50, 2999.5), (15, 999.5), (12, 1999.5), (7, -0.5), (60, 6999.5), (3, 500.0), (15, 1500.0), (33, 4000.0), (41, None)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").coalesce(1).write.parquet(f"file://{tmp_path}/customer.parquet")
+    sql = registered.SQL["pip_grid_join"].replace("customer", f"'{tmp_path}/customer.parquet/*.parquet'")
+    want = sorted(duckdb.sql(sql).fetchall())
+    assert sorted(map(tuple, registered.QUERIES["pip_grid_join"](spark, f"file://{tmp_path}").select("polygon_id", "n").collect())) == want == [("a", 3), ("b", 1), ("c", 1)]
+
+
 def test_overlapping_polygons_are_errors(spark):
     with pytest.raises(Exception, match="two polygons"):
         spatial.point_in_polygon(spark.createDataFrame([(0.2, 0.2)], "lat double, lon double"), polygons(spark, [("a", [SQUARE]), ("b", [SQUARE])])).collect()
