@@ -9,6 +9,9 @@ answer to the last digit, because sums are exact. The router takes the one of fe
 Levels that keep the part column, the year, are refreshed part by part: when facts change, only the years that changed are read,
 rolled up and written; levels without it are rolled up again from the smallest level that has been refreshed. Each level is a
 table in parts (`sources.parted`), so readers see it before or after a refresh, never in between.
+
+A lattice can also hold its finest cells as a DataFrame, with nothing stored. It then answers every request from them in the pass that makes
+them; requests for numbers of rows, different keys and first and last days, which add up over the rows of cells as well, don't fold the rows into cells.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ PERIODS = {"month": ("period_start", 1, 7), "year": ("period_start", 1, 4), "mon
 _FROM_MONTH = {"year": (1, 4), "month_of_year": (6, 2)}
 _DECIMAL = "decimal(38,9)"
 _WHOLE = "all"
+#: Measures that are the same over cells and over the rows that cells fold.
+_OVER_ROWS = {"total", "distinct", "first", "last"}
 
 
 @dataclass(frozen=True)
@@ -51,7 +56,10 @@ def cut(name: str, keys: Iterable[str]) -> Column | None:
 
 @dataclass
 class Lattice:
-    """Levels under a path. values: columns of cells with sums and extremes; counts: columns of whole numbers that add up; part: the key that parts are made by."""
+    """Levels under a path. values: columns of cells with sums and extremes; counts: columns of whole numbers that add up; part: the key that parts are made by.
+
+    made: the finest cells, where nothing is stored; loose: the rows that they fold, each with the keys of its cell and what it adds to the counts.
+    """
 
     spark: SparkSession
     path: str
@@ -60,6 +68,8 @@ class Lattice:
     values: tuple[str, ...]
     counts: tuple[str, ...]
     part: str = "year"
+    made: DataFrame | None = field(default=None, repr=False)
+    loose: DataFrame | None = field(default=None, repr=False)
     _tables: dict = field(default_factory=dict, repr=False)
 
     def table(self, name: str) -> Parted:
@@ -67,9 +77,16 @@ class Lattice:
 
     def cells(self, wanted: Callable[[str], bool] | None = None) -> DataFrame:
         """The finest level, with the part column left out."""
+        if self.made is not None:
+            return self.made
         rows = self.table(self.base.name).read(wanted)
         return rows.drop(self.part) if self.part not in self.base.keys else rows
 
+    def level(self, name: str) -> DataFrame:
+        """A coarser level: as stored, or rolled up from the cells."""
+        to = next(x for x in self.levels if x.name == name)
+        return self.table(name).read() if self.made is None else self.rolled(self.lifted(self.made), self.base.keys, to)
+
     # Measures.
 
     def lifted(self, cells: DataFrame) -> DataFrame:
@@ -112,7 +129,7 @@ class Lattice:
         return min(ready, key=lambda x: self.table(x.name).rows())
 
     def _measures(self, level: Level, wanted: Callable[[str], bool] | None = None) -> DataFrame:
-        rows = self.table(level.name).read(wanted)
+        rows = self.made if self.made is not None else self.table(level.name).read(wanted)
         return self.lifted(rows) if level is self.base else rows
 
     def _level_parts(self, to: Level, parts: list[str]) -> DataFrame:
@@ -129,17 +146,17 @@ class Lattice:
     # Answering.
 
     def able(self, keys: Iterable[str], measures: dict[str, tuple], uses: Iterable[str] = ()) -> list[Level]:
-        """Levels that can answer, those of fewest rows first."""
+        """Levels that can answer, those of fewest rows first. Where nothing is stored, that's the finest one or none."""
         need = {*keys, *uses}
         counted = {m[1] for m in measures.values() if m[0] == "distinct"}
         out = []
-        for x in (self.base, *self.levels):
+        for x in (self.base, *(self.levels if self.made is None else ())):
             fits = all(cut(k, x.keys) is not None for k in need)
             # A number of different ones holds for the level's own keys only.
             as_stored = counted <= set(x.distinct) and set(x.keys) == set(keys) and x is not self.base
             if fits and (as_stored or all(cut(k, x.keys) is not None for k in counted)):
                 out.append(x)
-        return sorted(out, key=lambda x: self.table(x.name).rows())
+        return sorted(out, key=lambda x: self.table(x.name).rows()) if self.made is None else out
 
     def answer(self, keys: Iterable[str], measures: dict[str, tuple], where: str | None = None, uses: Iterable[str] = (), level: Level | None = None) -> DataFrame:
         """keys and measures, by alias: ("mean" | "sum" | "min" | "max", value), ("count",) of cells, ("total", count), ("distinct", key), ("first",), ("last",).
@@ -153,7 +170,11 @@ class Lattice:
         at = level or fit[0]
         if at not in fit:
             raise ValueError(f"the level {at.name} doesn't hold the request")
-        rows = self._measures(at)
+        if self.loose is not None and {m[0] for m in measures.values()} <= _OVER_ROWS:
+            day = cut("period_start", self.base.keys)
+            rows = self.loose if day is None else self.loose.withColumns({"first": day, "last": day})
+        else:
+            rows = self._measures(at)
         cuts = {k: cut(k, at.keys) for k in dict.fromkeys([*keys, *uses])}
         rows = rows.withColumns({k: c for k, c in cuts.items() if k not in at.keys})
         rows = rows.filter(where) if where else rows

@@ -39,11 +39,24 @@ def unfold(wide: DataFrame, stats: list[str]) -> DataFrame:
     return wide.withColumn("s", each).select(*(F.col(f"s.{c}") if c in ("stat", "value_zero", "value_lod") else F.col(c) for c in CELL))
 
 
-def day_stats(members: DataFrame) -> DataFrame:
-    """Daily cells of observations of a day, an hour or an instant, all statistics in one row."""
-    day = F.substring("period_start", 1, 10)
-    rows = members.filter(F.col("period_grain").isin("day", "hour", "instant"))
-    wide = rows.groupBy(*DIMS, F.col("period_grain").alias("input_grain"), day.alias("period_start")).agg(*_stats(), *_counts())
+_OF_DAYS = ("day", "hour", "instant")
+
+
+def in_days(members: DataFrame) -> DataFrame:
+    """The members of daily cells with their cells' keys and what each adds to the counts."""
+    each = {"n": F.lit(True), "n_censored": F.col("censoring") == "below_lod", "n_not_detected": F.col("censoring") == "not_detected"}
+    rows = members.filter(F.col("period_grain").isin(*_OF_DAYS))
+    return rows.select(*DIMS, F.col("period_grain").alias("input_grain"), F.substring("period_start", 1, 10).alias("period_start"), *(F.when(c, 1).otherwise(0).cast("long").alias(k) for k, c in each.items()))
+
+
+def day_stats(members: DataFrame, keys: list[str] = DIMS, day: Column | None = None) -> DataFrame:
+    """Daily cells of observations of a day, an hour or an instant, all statistics in one row.
+
+    keys and day: other columns that tell the same cells apart as DIMS and the text of the day do, numbers say; the cells then have these.
+    """
+    day = F.substring("period_start", 1, 10) if day is None else day
+    rows = members.filter(F.col("period_grain").isin(*_OF_DAYS))
+    wide = rows.groupBy(*keys, F.col("period_grain").alias("input_grain"), day.alias("period_start")).agg(*_stats(), *_counts())
     return wide.withColumn("period_end", F.col("period_start")).withColumn("grain", F.lit("day"))
 
 

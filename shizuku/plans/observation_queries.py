@@ -8,7 +8,7 @@ from shizuku.functions import naming, periods
 from shizuku.operators import checks, registry
 from shizuku.operators import observation_cube as cube
 from shizuku.plans.domain import DAYS, DIM, EVENTS, MONTHS, OBS, instants, monthly, observation, query, table
-from shizuku.plans.stored_cells import observation_levels
+from shizuku.plans.stored_cells import levels
 
 _CELL = f"{DIM}, period_start, period_end, grain, input_grain, stat, value_zero, value_lod, n, n_censored, n_not_detected"
 _UNFOLD = "CROSS JOIN (SELECT unnest(['mean', 'min', 'max']) AS stat)"
@@ -23,8 +23,8 @@ def rounded(df, digits: int = 6):
 
 
 def days_of(spark, sf_dir):
-    """The stored daily cells."""
-    return observation_levels(spark, sf_dir)[0].cells().drop("zone_id").withColumn("period_end", F.col("period_start")).withColumn("grain", F.lit("day"))
+    """The daily cells, as stored or from the facts."""
+    return levels(spark, sf_dir)[0].cells().drop("zone_id").withColumn("period_end", F.col("period_start")).withColumn("grain", F.lit("day"))
 
 
 def _mean(p: str, digits: int = 6):
@@ -50,7 +50,7 @@ def obs_daily_sum(spark, sf_dir):
 
 @query(f"WITH {DAYS}, mon AS (SELECT {DIM}, input_grain, substr(period_start, 1, 7) AS m, avg(vz_mean) AS z, avg(vl_mean) AS l, count(*) AS n, CAST(sum(n_censored) AS BIGINT) AS n_censored, CAST(sum(n_not_detected) AS BIGINT) AS n_not_detected FROM days GROUP BY ALL) SELECT {DIM}, m || '-01' AS period_start, strftime(last_day(CAST(m || '-01' AS DATE)), '%Y-%m-%d') AS period_end, 'month' AS grain, input_grain, 'mean' AS stat, round(z, 6) AS value_zero, round(l, 6) AS value_lod, n, n_censored, n_not_detected FROM mon")
 def obs_month_from_day(spark, sf_dir):
-    rows = observation_levels(spark, sf_dir)[0].table("month").read()
+    rows = levels(spark, sf_dir)[0].level("month")
     cells = rows.withColumns({"period_start": F.concat("month", F.lit("-01")), "period_end": periods.month_end(F.col("month")), "grain": F.lit("month"), "stat": F.lit("mean"), "value_zero": _mean("vz"), "value_lod": _mean("vl"), "n": F.col("cells")})
     return cells.select(*cube.CELL)
 
@@ -59,9 +59,11 @@ _YEAR = f"yr AS (SELECT {DIM}, input_grain, substr(period_start, 1, 4) AS y, avg
 _YEARS = f"{DAYS}, {_YEAR}, years AS (SELECT {DIM}, y || '-01-01' AS period_start, y || '-12-31' AS period_end, 'year' AS grain, input_grain, stat, round(value_zero, 6) AS value_zero, round(value_lod, 6) AS value_lod, n, n_censored, n_not_detected FROM (SELECT *, {_PICK} FROM yr {_UNFOLD}))"
 
 
-def years_of(spark, sf_dir):
-    """Yearly cells, from the stored level."""
-    rows = observation_levels(spark, sf_dir)[0].table("year").read()
+def years_of(spark, sf_dir, chosen=None):
+    """Yearly cells, from the level of years. chosen: takes some of its rows, or of the facts', by the keys that both have."""
+    days = levels(spark, sf_dir, chosen=chosen)[0]
+    rows = days.level("year")
+    rows = chosen(rows) if chosen and days.made is None else rows
     start, end = periods.year_bounds(F.col("year"))
     wide = {f"{p}_{k}": c for p in ("vz", "vl") for k, c in (("mean", _mean(p)), ("min", F.round(f"{p}_mean_lo", 6)), ("max", F.round(f"{p}_mean_hi", 6)))}
     return cube.unfold(rows.withColumns({"period_start": start, "period_end": end, "grain": F.lit("year"), "n": F.col("cells"), **wide}), ["mean", "min", "max"])
@@ -124,14 +126,14 @@ def totals_reconcile(spark, sf_dir):
 @query(f"WITH {_YEARS} SELECT place_id, variable_id, obs_stat, unit_id, substr(period_start, 1, 4) AS year, max(CASE WHEN stat = 'mean' THEN value_zero END) AS mean, max(CASE WHEN stat = 'min' THEN value_zero END) AS min, max(CASE WHEN stat = 'max' THEN value_zero END) AS max, max(n) AS n FROM years WHERE variable_id = 'R' GROUP BY place_id, variable_id, obs_stat, unit_id, substr(period_start, 1, 4)")
 def year_series_pivot(spark, sf_dir):
     """One wide row a series and year: the stored level has the statistics side by side."""
-    rows = observation_levels(spark, sf_dir)[0].table("year").read().filter("variable_id = 'R'")
+    rows = levels(spark, sf_dir)[0].level("year").filter("variable_id = 'R'")
     return rows.groupBy("place_id", "variable_id", "obs_stat", "unit_id", "year").agg(F.max(_mean("vz")).alias("mean"), F.max(F.round("vz_mean_lo", 6)).alias("min"), F.max(F.round("vz_mean_hi", 6)).alias("max"), F.max("cells").alias("n"))
 
 
 @query(f"WITH {DAYS} SELECT place_id, substr(period_start, 1, 7) AS month, round(avg(vz_mean), 6) AS value, count(*) AS n FROM days WHERE variable_id = 'A' AND unit_id = 'F' AND obs_stat = 'mean' AND place_id IN ('site:1', 'site:2', 'site:3') GROUP BY ALL")
 def month_series(spark, sf_dir):
     where = "variable_id = 'A' AND unit_id = 'F' AND obs_stat = 'mean' AND place_id IN ('site:1', 'site:2', 'site:3')"
-    found = observation_levels(spark, sf_dir)[0].answer(["place_id", "month"], {"value": ("mean", "vz_mean"), "n": ("count",)}, where, ["variable_id", "unit_id", "obs_stat"])
+    found = levels(spark, sf_dir)[0].answer(["place_id", "month"], {"value": ("mean", "vz_mean"), "n": ("count",)}, where, ["variable_id", "unit_id", "obs_stat"])
     return found.withColumn("value", F.round("value", 6))
 
 
@@ -147,33 +149,33 @@ def day_series(spark, sf_dir):
 def zone_year(spark, sf_dir):
     """Means of yearly means by zone: the stored level of exactly these keys."""
     measures = {"n_sites": ("distinct", "place_id"), "n": ("total", "n"), "avg_zero": ("mean", "value_zero"), "avg_lod": ("mean", "value_lod")}
-    found = observation_levels(spark, sf_dir)[1].answer(["zone_id", "year", "variable_id"], measures, "zone_id IS NOT NULL")
+    found = levels(spark, sf_dir, zones=True)[1].answer(["zone_id", "year", "variable_id"], measures, "zone_id IS NOT NULL")
     return found.select(F.col("zone_id").alias("zone"), "year", "variable_id", "n_sites", "n", F.round("avg_zero", 4).alias("avg_zero"), F.round("avg_lod", 4).alias("avg_lod"))
 
 
 @query(f"WITH {DAYS} SELECT n_nationkey AS zone, substr(period_start, 6, 2) AS month_of_year, variable_id, count(*) AS n, round(CAST(sum(CAST(round(vz_mean, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(vz_mean), 4) AS avg, min(vz_mean) AS min, max(vz_mean) AS max FROM days JOIN supplier ON place_id = 'site:' || s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL")
 def zone_month(spark, sf_dir):
-    found = observation_levels(spark, sf_dir)[0].answer(["zone_id", "month_of_year", "variable_id"], {"n": ("count",), "avg": ("mean", "vz_mean"), "min": ("min", "vz_mean"), "max": ("max", "vz_mean")}, "zone_id IS NOT NULL")
+    found = levels(spark, sf_dir, zones=True)[0].answer(["zone_id", "month_of_year", "variable_id"], {"n": ("count",), "avg": ("mean", "vz_mean"), "min": ("min", "vz_mean"), "max": ("max", "vz_mean")}, "zone_id IS NOT NULL")
     return found.select(F.col("zone_id").alias("zone"), "month_of_year", "variable_id", "n", F.round("avg", 4).alias("avg"), "min", "max")
 
 
 @query(f"WITH {DAYS} SELECT variable_id, substr(period_start, 6, 2) AS month_of_year, count(*) AS n, round(CAST(sum(CAST(round(vz_mean, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(vz_mean), 4) AS avg_zero, round(CAST(sum(CAST(round(vl_mean, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(vl_mean), 4) AS avg_lod, min(vz_mean) AS min, max(vz_mean) AS max, round(sum(vz_sum) / count(DISTINCT substr(period_start, 1, 4)), 4) AS sum_per_year FROM days GROUP BY ALL")
 def climatology(spark, sf_dir):
     measures = {"n": ("count",), "avg_zero": ("mean", "vz_mean"), "avg_lod": ("mean", "vl_mean"), "min": ("min", "vz_mean"), "max": ("max", "vz_mean"), "total": ("sum", "vz_sum"), "years": ("distinct", "year")}
-    found = observation_levels(spark, sf_dir)[0].answer(["variable_id", "month_of_year"], measures)
+    found = levels(spark, sf_dir)[0].answer(["variable_id", "month_of_year"], measures)
     return found.select("variable_id", "month_of_year", "n", F.round("avg_zero", 4).alias("avg_zero"), F.round("avg_lod", 4).alias("avg_lod"), "min", "max", F.round(F.col("total") / F.col("years"), 4).alias("sum_per_year"))
 
 
 @query(f"WITH {DAYS} SELECT place_id, variable_id, count(*) AS n_days, min(period_start) AS first_day, max(period_start) AS last_day, round(CAST(sum(CAST(round(vz_mean, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(vz_mean), 4) AS avg FROM days GROUP BY ALL")
 def place_summary(spark, sf_dir):
-    found = observation_levels(spark, sf_dir)[0].answer(["place_id", "variable_id"], {"n_days": ("count",), "first_day": ("first",), "last_day": ("last",), "avg": ("mean", "vz_mean")})
+    found = levels(spark, sf_dir)[0].answer(["place_id", "variable_id"], {"n_days": ("count",), "first_day": ("first",), "last_day": ("last",), "avg": ("mean", "vz_mean")})
     return found.withColumn("avg", F.round("avg", 4))
 
 
 @query(f"WITH {DAYS} SELECT variable_id, obs_stat, unit_id, value_grain, CAST(sum(CASE WHEN input_grain = 'day' THEN n ELSE 0 END) AS BIGINT) AS n_daily, CAST(sum(CASE WHEN input_grain <> 'day' THEN n ELSE 0 END) AS BIGINT) AS n_annual, count(DISTINCT place_id) AS n_places FROM days GROUP BY ALL")
 def series_summary(spark, sf_dir):
     keys = ["variable_id", "obs_stat", "unit_id", "value_grain"]
-    days = observation_levels(spark, sf_dir)[0]
+    days = levels(spark, sf_dir)[0]
     counts, daily = days.answer([*keys, "input_grain"], {"n": ("total", "n")}), F.col("input_grain") == "day"
     counts = counts.groupBy(*keys).agg(F.sum(F.when(daily, F.col("n")).otherwise(0)).alias("n_daily"), F.sum(F.when(~daily, F.col("n")).otherwise(0)).alias("n_annual"))
     places = days.answer(keys, {"n_places": ("distinct", "place_id")})
@@ -186,7 +188,7 @@ u AS (SELECT variable_id, unit_id, row_number() OVER (PARTITION BY variable_id O
 SELECT s.variable_id, CAST(sum(s.n) AS BIGINT) AS n, count(*) AS n_series, any_value(n_places) AS n_places, any_value(u.unit_id) AS unit_id, string_agg(DISTINCT s.obs_stat, ',' ORDER BY s.obs_stat) AS stats FROM s JOIN p USING (variable_id) LEFT JOIN u ON u.variable_id = s.variable_id AND rn = 1 GROUP BY s.variable_id""")
 def variable_catalog(spark, sf_dir):
     """Series bundled to variables: places are counted anew, never added up; the unit with the most values stands for all."""
-    days = observation_levels(spark, sf_dir)[0]
+    days = levels(spark, sf_dir)[0]
     series = days.answer(["variable_id", "obs_stat", "unit_id"], {"n": ("total", "n")})
     places = days.answer(["variable_id"], {"n_places": ("distinct", "place_id")})
     units = series.filter("unit_id IS NOT NULL").groupBy("variable_id", "unit_id").agg(F.sum("n").alias("n"))
@@ -197,12 +199,12 @@ def variable_catalog(spark, sf_dir):
 
 @query(f"WITH {DAYS} SELECT region_id, variable_id, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT place_id) AS n_places, min(period_start) AS first_day, max(period_start) AS last_day FROM days GROUP BY ALL")
 def variable_catalog_by_region(spark, sf_dir):
-    return observation_levels(spark, sf_dir)[0].answer(["region_id", "variable_id"], {"n": ("total", "n"), "n_places": ("distinct", "place_id"), "first_day": ("first",), "last_day": ("last",)})
+    return levels(spark, sf_dir)[0].answer(["region_id", "variable_id"], {"n": ("total", "n"), "n_places": ("distinct", "place_id"), "first_day": ("first",), "last_day": ("last",)})
 
 
 @query(f"WITH {DAYS} SELECT value_grain AS dataset, coalesce(obs_stat, 'any') AS stat, variable_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_censored) AS BIGINT) AS n_censored, count(DISTINCT place_id) AS n_places, count(DISTINCT substr(period_start, 1, 4)) AS n_years FROM days GROUP BY ALL")
 def variable_catalog_by_dataset(spark, sf_dir):
-    days = observation_levels(spark, sf_dir)[0]
+    days = levels(spark, sf_dir)[0]
     keys = ["value_grain", "obs_stat", "variable_id"]
     found = days.answer(keys, {"n": ("total", "n"), "n_censored": ("total", "n_censored"), "n_places": ("distinct", "place_id"), "n_years": ("distinct", "year")})
     return found.select(F.col("value_grain").alias("dataset"), F.coalesce("obs_stat", F.lit("any")).alias("stat"), "variable_id", "n", "n_censored", "n_places", "n_years")
@@ -210,14 +212,14 @@ def variable_catalog_by_dataset(spark, sf_dir):
 
 @query(f"WITH {DAYS} SELECT place_id, variable_id, obs_stat, unit_id, input_grain, CAST(sum(n) AS BIGINT) AS n, min(substr(period_start, 1, 4)) AS y_from, max(substr(period_start, 1, 4)) AS y_to FROM days WHERE place_id = 'site:7' GROUP BY ALL")
 def site_variables(spark, sf_dir):
-    found = observation_levels(spark, sf_dir)[0].answer(["place_id", "variable_id", "obs_stat", "unit_id", "input_grain"], {"n": ("total", "n"), "first": ("first",), "last": ("last",)}, "place_id = 'site:7'")
+    found = levels(spark, sf_dir)[0].answer(["place_id", "variable_id", "obs_stat", "unit_id", "input_grain"], {"n": ("total", "n"), "first": ("first",), "last": ("last",)}, "place_id = 'site:7'")
     return found.select("place_id", "variable_id", "obs_stat", "unit_id", "input_grain", "n", F.substring("first", 1, 4).alias("y_from"), F.substring("last", 1, 4).alias("y_to"))
 
 
 @query(f"WITH {DAYS}, r AS (SELECT place_id, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT variable_id || '|' || coalesce(obs_stat, '') || '|' || unit_id) AS n_series, count(DISTINCT variable_id) AS n_variables FROM days GROUP BY ALL) SELECT s_suppkey AS site, s_name AS name, s_nationkey AS zone, coalesce(n, 0) AS n, coalesce(n_series, 0) AS n_series, coalesce(n_variables, 0) AS n_variables FROM supplier LEFT JOIN r ON place_id = 'site:' || s_suppkey")
 def sites_list(spark, sf_dir):
     key = naming.series_key(F.col("variable_id"), F.lit(None).cast("string"), F.col("obs_stat"), F.col("unit_id"))
-    series = observation_levels(spark, sf_dir)[0].answer(["place_id", "variable_id", "obs_stat", "unit_id"], {"n": ("total", "n")})
+    series = levels(spark, sf_dir)[0].answer(["place_id", "variable_id", "obs_stat", "unit_id"], {"n": ("total", "n")})
     rolled = series.groupBy("place_id").agg(F.sum("n").alias("n"), F.countDistinct(key).alias("n_series"), F.countDistinct("variable_id").alias("n_variables"))
     sites = table(spark, sf_dir, "supplier").withColumn("place_id", F.concat(F.lit("site:"), "s_suppkey"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -226,7 +228,7 @@ def sites_list(spark, sf_dir):
 
 @query(f"WITH {DAYS}, p AS (SELECT s_nationkey AS water, place_id, sum(n) AS n FROM days JOIN supplier ON place_id = 'site:' || s_suppkey GROUP BY ALL) SELECT water, count(*) AS n_sites, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY water HAVING count(*) >= 2")
 def water_bodies(spark, sf_dir):
-    per_site = observation_levels(spark, sf_dir)[0].answer(["zone_id", "place_id"], {"n": ("total", "n")}, "zone_id IS NOT NULL")
+    per_site = levels(spark, sf_dir, zones=True)[0].answer(["zone_id", "place_id"], {"n": ("total", "n")}, "zone_id IS NOT NULL")
     return per_site.groupBy(F.col("zone_id").alias("water")).agg(F.count("*").alias("n_sites"), F.sum("n").alias("n")).filter("n_sites >= 2")
 
 

@@ -1,14 +1,17 @@
 """Stored roll-ups: every level that can answer gives the direct answer, and a refresh rolls up what has changed, no more."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from shizuku.operators import lattice
+from shizuku import registered
+from shizuku.operators import lattice, observation_cube
 from shizuku.operators.lattice import Level
-from shizuku.plans import stored_cells
+from shizuku.plans import domain, stored_cells
 from shizuku.sources import parted
+from shizuku.sources.stored import scratch_dir
 
 FACT = "region_id string, place_id string, place_kind string, variable_id string, obs_stat string, unit_id string, value_grain string, period_grain string, period_start string, period_end string, censoring string, censoring_limit double, value_num double"
 
@@ -62,6 +65,68 @@ def test_every_able_level_gives_the_direct_answer(levels, k):
         assert sorted(map(tuple, days.answer(keys, measures, where, uses, level).collect()), key=str) == want, level.name
 
 
+@pytest.mark.parametrize("k", range(len(REQUESTS)))
+def test_facts_answer_as_levels_do(spark, levels, k):
+    keys, measures, where, uses = REQUESTS[k]
+    _, days, _ = levels
+    own = stored_cells.unstored(facts_of(spark), zones_of(spark))[0]
+    assert own.able(keys, measures, uses) == [stored_cells.DAY]
+    want = sorted(map(tuple, days.answer(keys, measures, where, uses).collect()), key=str)
+    assert want and sorted(map(tuple, own.answer(keys, measures, where, uses).collect()), key=str) == want
+    if "zone_id" not in keys:
+        assert sorted(map(tuple, stored_cells.unstored(facts_of(spark))[0].answer(keys, measures, where, uses).collect()), key=str) == want
+
+
+def test_levels_from_facts_are_those_stored(spark, levels):
+    _, days, years = levels
+    own, own_years = stored_cells.unstored(facts_of(spark), zones_of(spark))
+    pairs = [(own.level(x.name), days.level(x.name)) for x in stored_cells.LEVELS] + [(own.cells(), days.cells()), (own_years.cells(), years.cells())]
+    for made, there in pairs:
+        there = there.select(made.columns)
+        assert there.count() > 0 and made.exceptAll(there).count() == there.exceptAll(made).count() == 0, made.columns
+    with pytest.raises(StopIteration):
+        stored_cells.unstored(facts_of(spark))[0].level("zone_month")
+
+
+#: Queries over daily cells and levels: by the facts, where none are stored, and by the stored ones.
+BOTH = ["cell_invariants", "cells_of_spec", "climatology", "obs_daily", "obs_month_from_day", "series_summary", "site_variables", "thinned_series", "variable_catalog_by_region", "water_bodies", "year_series_pivot", "zone_year"]
+
+
+@pytest.fixture(scope="module")
+def tables_apart(spark, sf_dir, tmp_path_factory):
+    at = tmp_path_factory.mktemp("tables")
+    for t in ("lineitem", "supplier", "nation"):
+        (at / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    rows = lambda: {n: sorted(map(str, registered.QUERIES[n](spark, str(at)).collect())) for n in BOTH}
+    place = Path(scratch_dir(spark).removeprefix("file://")) / "shizuku-cubes"
+    before = set(place.glob("observation-*"))
+    alone = rows()
+    made = set(place.glob("observation-*")) - before
+    stored_cells.observation_levels(spark, str(at))
+    assert stored_cells.levels(spark, str(at))[0].made is None
+    return alone, made, rows()
+
+
+@pytest.mark.parametrize("name", BOTH)
+def test_queries_by_facts_and_by_stored_levels(tables_apart, name):
+    alone, made, stored = tables_apart
+    assert alone[name] == stored[name] and not made
+
+
+def test_cells_by_the_tables_keys(spark, tmp_path):
+    """Null and odd keys, several items in a cell: the same cells as by the texts."""
+    at = f"file://{tmp_path}"
+    spark.createDataFrame([(1, 0), (2, 1)], "s_suppkey long, s_nationkey int").write.parquet(f"{at}/supplier.parquet")
+    spark.createDataFrame([(0, 0), (1, 1)], "n_nationkey int, n_regionkey int").write.parquet(f"{at}/nation.parquet")
+    draw, days = random.Random(3), [None, "1995-01-31 23:30:00", "1995-02-01 00:00:00", "1996-12-31 12:00:00"]
+    items = [(draw.choice([1, 2, 3, None]), draw.choice([None, -1, 0, 1, 2, 3, 4, 5, 6]), draw.choice([1.0, 5.0, 7.25, None]), draw.choice([0.0, 0.04]), draw.choice(["N", "R", None]), draw.choice("OF"), draw.choice(days)) for _ in range(500)]
+    rows = spark.createDataFrame(items, "l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string, d string")
+    rows.withColumn("l_shipdate", F.to_timestamp_ntz("d")).drop("d").write.parquet(f"{at}/lineitem.parquet")
+    texts = observation_cube.day_stats(observation_cube.imputed(domain.observation(spark, at)))
+    own = domain.day_cells(spark, at).select(texts.columns)
+    assert own.count() == texts.count() > 50 and own.exceptAll(texts).count() == texts.exceptAll(own).count() == 0
+
+
 def test_the_smallest_level_is_taken(levels):
     _, days, years = levels
     first = lambda keys, measures, uses=(): days.able(keys, measures, uses)[0].name
