@@ -174,13 +174,10 @@ def place_summary(spark, sf_dir):
 
 @query(f"WITH {DAYS} SELECT variable_id, obs_stat, unit_id, value_grain, CAST(sum(CASE WHEN input_grain = 'day' THEN n ELSE 0 END) AS BIGINT) AS n_daily, CAST(sum(CASE WHEN input_grain <> 'day' THEN n ELSE 0 END) AS BIGINT) AS n_annual, count(DISTINCT place_id) AS n_places FROM days GROUP BY ALL")
 def series_summary(spark, sf_dir):
-    keys = ["variable_id", "obs_stat", "unit_id", "value_grain"]
-    days = levels(spark, sf_dir)[0]
-    counts, daily = days.answer([*keys, "input_grain"], {"n": ("total", "n")}), F.col("input_grain") == "day"
-    counts = counts.groupBy(*keys).agg(F.sum(F.when(daily, F.col("n")).otherwise(0)).alias("n_daily"), F.sum(F.when(~daily, F.col("n")).otherwise(0)).alias("n_annual"))
-    places = days.answer(keys, {"n_places": ("distinct", "place_id")})
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
-    return counts.alias("c").join(places.alias("p"), same).select("c.*", "p.n_places")
+    """Values and places by series: totals of each place first, so that one pass gives both."""
+    keys, daily = ["variable_id", "obs_stat", "unit_id", "value_grain"], F.col("input_grain") == "day"
+    counts = levels(spark, sf_dir)[0].answer([*keys, "input_grain", "place_id"], {"n": ("total", "n")})
+    return counts.groupBy(*keys).agg(F.sum(F.when(daily, F.col("n")).otherwise(0)).alias("n_daily"), F.sum(F.when(~daily, F.col("n")).otherwise(0)).alias("n_annual"), F.countDistinct("place_id").alias("n_places"))
 
 
 @query(f"""WITH {DAYS}, s AS (SELECT variable_id, obs_stat, unit_id, CAST(sum(n) AS BIGINT) AS n FROM days GROUP BY ALL), p AS (SELECT variable_id, count(DISTINCT place_id) AS n_places FROM days GROUP BY ALL),

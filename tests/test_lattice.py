@@ -196,3 +196,9 @@ def test_levels_count_dropped_keys(spark, tmp_path):
     own.refresh(lambda parts: rows.filter(F.col("year").isin(parts)), parted.marks_of(rows, F.col("year")), "s")
     got = own.answer(["a"], {"d": ("distinct", "b"), "m": ("mean", "v"), "n": ("total", "n")})
     assert own.able(["a"], {"d": ("distinct", "b")})[0].name == "top" and {tuple(r) for r in got.collect()} == {("x", 2, 1.0, 3), ("y", 1, 3.0, 3), (None, 0, 4.0, 4)}
+
+
+def test_series_are_summed_in_one_pass(spark, sf_dir):
+    """The facts are read once, and folded by series and place: no daily cells come in between."""
+    plan = registered.QUERIES["series_summary"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1 and "l_shipdate" not in plan.split("Relation [l_orderkey")[0]
