@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,6 +109,8 @@ def evenly(df: DataFrame, order: list[str], most: int) -> DataFrame:
     sizes = rows.groupBy("__p").agg(F.count("*").alias("__size"))
     sizes = sizes.select(F.col("__p").alias("__q"), (F.sum("__size").over(Window.orderBy("__p")) - F.col("__size")).alias("__before"), F.sum("__size").over(Window.partitionBy()).alias("__n"))
     rows = rows.join(F.broadcast(sizes), F.col("__p") == F.col("__q")).withColumn("__at", F.col("__before") + F.col("__i"))
-    steps = F.sequence(F.lit(0), F.least(F.lit(most), F.col("__n")).cast("int") - 1)
-    picked = F.transform(steps, lambda k: F.round(k * (F.col("__n") - 1) / F.greatest(F.least(F.lit(most), F.col("__n")) - 1, F.lit(1))).cast("long"))
-    return rows.filter(F.array_contains(picked, F.col("__at"))).select(*df.columns)
+    # The k-th of m picks stands at round(k * (n - 1) / (m - 1)). Of a place only the picks beside place * (m - 1) / (n - 1) can stand there, so a row costs the same however many there are.
+    n, last = F.col("__n"), F.least(F.lit(most), F.col("__n")) - 1
+    below = F.floor(F.col("__at") * last / F.greatest(n - 1, F.lit(1)))
+    stands = [(k >= 0) & (k <= last) & (F.round(k * (n - 1) / F.greatest(last, F.lit(1))).cast("long") == F.col("__at")) for k in (below - 1, below, below + 1)]
+    return rows.filter(reduce(or_, stands)).select(*df.columns)

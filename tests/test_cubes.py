@@ -116,6 +116,18 @@ def test_even_subsample(spark):
     assert got == [0, 25, 50, 74, 99] and series.evenly(spark.range(3), ["id"], 5).count() == 3
 
 
+def test_even_picks_cost_the_same_however_many(spark):
+    """Which rows are picked is told from each row's own place: no list of all picks is made and searched for every row."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    for n, most in ((1, 3), (2, 2), (7, 5), (201, 200), (5000, 200), (5000, 4999), (30_000, 20_000)):
+        m = min(n, most)
+        want = [int((Decimal(k) * (n - 1) / max(m - 1, 1)).quantize(Decimal(1), ROUND_HALF_UP)) for k in range(m)]
+        found = series.evenly(spark.range(n), ["id"], most)
+        assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert [r.id for r in found.orderBy("id").collect()] == want, (n, most)
+
+
 OCC = "record_id long, region_id string, source_id string, place_id string, taxon_id string, lat double, lon double, period_raw string, period_start string, period_end string, red_list_category string, is_alien_in_scope int"
 
 
