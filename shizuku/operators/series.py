@@ -47,9 +47,8 @@ def _places(scope: tuple, tables: dict[str, DataFrame]) -> DataFrame | None:
     return spark.createDataFrame([(v,) for v in values], "place_id string")
 
 
-def cells(cube: DataFrame, spec: CellSpec, tables: dict[str, DataFrame]) -> DataFrame:
-    """The cells of a specification, in a fixed order if limited; `limit` reads one row more, so that callers see whether there are more."""
-    rows = cube.filter(F.col("grain").isin(*spec.grains) & F.col("stat").isin(*spec.stats))
+def chosen(rows: DataFrame, spec: CellSpec, tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of the places, series and sources of a specification. These are keys of cells, so facts can be chosen before they are folded into cells."""
     if spec.scope[0] != "watershed":
         rows = rows.filter("place_kind = 'site'")
     if spec.scope[0] == "places" and not spec.scope[1]:
@@ -59,20 +58,29 @@ def cells(cube: DataFrame, spec: CellSpec, tables: dict[str, DataFrame]) -> Data
     if spec.series is not None:
         # The variable alone is a filter that reaches the scan; the whole key then meets a few rows.
         rows = rows.filter(F.col("variable_id").isin(*{s[0] for s in spec.series}))
-        keys = cube.sparkSession.createDataFrame([tuple(s) for s in spec.series], ", ".join(f"k_{c} string" for c in KEY))  # no more than the caller lists
+        keys = rows.sparkSession.createDataFrame([tuple(s) for s in spec.series], ", ".join(f"k_{c} string" for c in KEY))  # no more than the caller lists
         rows = rows.join(F.broadcast(keys), naming.all_of([F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in KEY]), "left_semi")
     if spec.region_id is not None:
         rows = rows.filter(F.col("region_id") == spec.region_id)
     if spec.input_grains is not None:
         rows = rows.filter(F.col("input_grain").isin(*spec.input_grains))
+    places = _places(spec.scope, tables)
+    return rows if places is None else rows.join(places, "place_id", "left_semi")
+
+
+def cells(cube: DataFrame, spec: CellSpec, tables: dict[str, DataFrame]) -> DataFrame:
+    """The cells of a specification, in a fixed order if limited; `limit` reads one row more, so that callers see whether there are more."""
+    return of_grain(chosen(cube, spec, tables), spec)
+
+
+def of_grain(found: DataFrame, spec: CellSpec) -> DataFrame:
+    """Of the chosen cells those of the specification's grains, statistics and period, limited as it says."""
+    rows = found.filter(F.col("grain").isin(*spec.grains) & F.col("stat").isin(*spec.stats))
     if spec.source_grain_only:
         rows = rows.filter(naming.at_source_grain(F.col("grain"), F.col("input_grain")))
     first, last = spec.period
     rows = rows.filter(F.col("period_start") >= first) if first is not None else rows
     rows = rows.filter(F.col("period_start") <= last) if last is not None else rows
-    places = _places(spec.scope, tables)
-    if places is not None:
-        rows = rows.join(places, "place_id", "left_semi")
     if spec.limit is None:
         return rows
     return rows.orderBy("place_id", "period_start", "stat", *(F.col(c).asc_nulls_first() for c in KEY)).limit(spec.limit + 1)

@@ -202,3 +202,10 @@ def test_series_are_summed_in_one_pass(spark, sf_dir):
     """The facts are read once, and folded by series and place: no daily cells come in between."""
     plan = registered.QUERIES["series_summary"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [l_orderkey") == 1 and "l_shipdate" not in plan.split("Relation [l_orderkey")[0]
+
+
+def test_cells_of_a_specification_choose_their_facts_first(spark, sf_dir):
+    """Places and series are met before the facts are folded into daily cells."""
+    plan = registered.QUERIES["cells_of_spec"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    folded = max(i for i, line in enumerate(plan.splitlines()) if "avg(v_zero" in line)
+    assert plan.count("LeftSemi") == 2 and all(i > folded for i, line in enumerate(plan.splitlines()) if "LeftSemi" in line)
