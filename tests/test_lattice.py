@@ -209,3 +209,12 @@ def test_cells_of_a_specification_choose_their_facts_first(spark, sf_dir):
     plan = registered.QUERIES["cells_of_spec"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     folded = max(i for i, line in enumerate(plan.splitlines()) if "avg(v_zero" in line)
     assert plan.count("LeftSemi") == 2 and all(i > folded for i, line in enumerate(plan.splitlines()) if "LeftSemi" in line)
+
+
+def test_cells_are_folded_once_where_they_are_dealt(spark, sf_dir):
+    """Line items go through one shuffle by the tables' keys; what the check doesn't count isn't computed."""
+    from shizuku.plans.observation_queries import days_of
+
+    plan = registered.QUERIES["cell_invariants"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_suppkey" in plan and "site:" not in plan and "sum(v_zero" not in plan
+    assert days_of(spark, sf_dir).count() == domain.day_cells(spark, sf_dir).count()
